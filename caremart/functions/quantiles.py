@@ -23,6 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_ACCURACY = 50_000
+# Auto accuracy keeps the gathered bracket near this many values per column.
+BRACKET_TARGET = 1_000_000
+MIN_ACCURACY, MAX_ACCURACY = 1_000, 2_000_000
+
+
+def auto_accuracy(rows: int) -> int:
+    """Sketch accuracy so that ~8 rows/accuracy bracket values stay near ``BRACKET_TARGET``."""
+    return int(min(MAX_ACCURACY, max(MIN_ACCURACY, -(-8 * rows // BRACKET_TARGET))))
 
 
 def _bracket_probs(accuracy: int) -> tuple[float, float]:

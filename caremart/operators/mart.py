@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caremart.functions.columns import clamp, sum_skip_nulls
-from caremart.functions.quantiles import DEFAULT_ACCURACY, medians, modes
+from caremart.functions.quantiles import auto_accuracy, medians, modes
 from caremart.operators.filters import apply_filters, attended, in_period
 
 NUMERIC_IMPUTE = ["cost_per_session", "session_duration", "quality_rating", "direct_cost", "indirect_cost",
@@ -86,13 +86,15 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str] = NUMERIC_COERCE) -> DataF
 
 def impute(df: DataFrame, numeric: Sequence[str] = NUMERIC_IMPUTE,
            categorical: Sequence[str] = CATEGORICAL_IMPUTE, default: str = "Unknown",
-           median_strategy: str = "exact", accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+           median_strategy: str = "exact", accuracy: int | None = None) -> DataFrame:
     """MRT3/MRT4: median fill of numeric columns, mode fill (ties -> smallest) of categoricals.
 
     The statistics are one row over exactly the rows of ``df`` (so a filtered
     mart gets its own medians) and are attached by a broadcast of that one row.
     """
     numeric = [c for c in numeric if c in df.columns]
+    if accuracy is None:
+        accuracy = auto_accuracy(df.count()) if median_strategy == "exact" else 10_000
     categorical = [c for c in categorical if c in df.columns]
     med = medians(df, numeric, [f"_med_{c}" for c in numeric], median_strategy, accuracy)
     mod = modes(df, categorical, [f"_mode_{c}" for c in categorical])
@@ -126,7 +128,7 @@ def normalized_score_expr(score: str = "score", lo: str = "scale_min", hi: str =
 
 
 def normalize_score(df: DataFrame, out: str = "normalized_score", median_strategy: str = "exact",
-                    accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                    accuracy: int = 10_000) -> DataFrame:
     """MRT7: normalised score; leftover NULLs take the median of the normalised scores."""
     df = df.withColumn(out, normalized_score_expr())
     med = medians(df, [out], ["_med_norm"], median_strategy, accuracy)
@@ -154,7 +156,7 @@ MART_COLUMNS = [
 
 def outcome_mart(tables: Mapping[str, DataFrame], period: tuple | None = None,
                  filters: Mapping[str, object] | None = None, cost_grain: str = "row",
-                 median_strategy: str = "exact", accuracy: int = DEFAULT_ACCURACY,
+                 median_strategy: str = "exact", accuracy: int | None = None,
                  stage: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """MRT9: the whole mart for an optional period and optional equality filters.
 
@@ -173,7 +175,10 @@ def outcome_mart(tables: Mapping[str, DataFrame], period: tuple | None = None,
     star = coerce_numeric(star)
     if stage is not None:
         star = stage(star, "star")
+    if accuracy is None and median_strategy == "exact":
+        # one cheap count (footer metadata when the star is staged) sizes the sketches
+        accuracy = auto_accuracy(star.count())
     mart = impute(star, median_strategy=median_strategy, accuracy=accuracy)
     mart = with_variances(with_total_cost(mart))
-    mart = improvement(normalize_score(mart, median_strategy=median_strategy, accuracy=accuracy))
+    mart = improvement(normalize_score(mart, median_strategy=median_strategy, accuracy=accuracy or 10_000))
     return mart.select(*MART_COLUMNS)

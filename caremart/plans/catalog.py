@@ -394,3 +394,170 @@ def q_top_bottom(spark, sf_dir):
 def q_top_k(spark, sf_dir):
     return R.top_k(A.intervention_analysis(mart(spark, sf_dir)).select("intervention_name", "efficiency_ratio"),
                    "efficiency_ratio", 3, tie="intervention_name")
+
+
+# --------------------------------------------------------------------------- individuals, goals, schedules
+from caremart.operators import individuals as I  # noqa: E402
+from caremart.sources.adapter import SESSION_AS_OF  # noqa: E402
+
+_FIRST_LAST = """row_number() OVER (PARTITION BY {k} ORDER BY session_date, id) AS rf,
+     row_number() OVER (PARTITION BY {k} ORDER BY session_date DESC, id DESC) AS rl"""
+
+
+@register("individual_summary", mart_query(f"""SELECT anonymous_id, count(*) AS total_sessions,
+  count(DISTINCT intervention_name) AS active_interventions, avg(normalized_score) AS avg_outcome,
+  max(CASE WHEN rl = 1 THEN normalized_score END) AS latest_outcome,
+  max(CASE WHEN rf = 1 THEN normalized_score END) AS first_outcome,
+  sum(total_cost) AS total_investment, avg(total_cost) AS avg_session_cost,
+  avg(CASE WHEN attendance_status = 'attended' THEN 1.0 ELSE 0.0 END) * 100 AS attendance_rate,
+  avg(quality_rating) AS avg_quality,
+  max(CASE WHEN rl = 1 THEN normalized_score END) - max(CASE WHEN rf = 1 THEN normalized_score END) AS outcome_change
+ FROM (SELECT *, {_FIRST_LAST.format(k='anonymous_id')} FROM mart WHERE anonymous_id IS NOT NULL) x
+ GROUP BY anonymous_id"""), ["avg_outcome", "latest_outcome", "first_outcome", "total_investment",
+                             "avg_session_cost", "attendance_rate", "avg_quality", "outcome_change"], "AGG14 WIN4")
+def q_individual_summary(spark, sf_dir):
+    return I.individual_summary(mart(spark, sf_dir))
+
+
+@register("progress_summary", mart_query(f"""SELECT anonymous_id, intervention_name, metric_name,
+  max(CASE WHEN rf = 1 THEN normalized_score END) AS first_score,
+  max(CASE WHEN rl = 1 THEN normalized_score END) AS latest_score,
+  avg(normalized_score) AS avg_score, count(normalized_score) AS sessions,
+  max(CASE WHEN rl = 1 THEN improvement_from_baseline END) AS total_improvement,
+  max(CASE WHEN rl = 1 THEN normalized_score END) - max(CASE WHEN rf = 1 THEN normalized_score END) AS change
+ FROM (SELECT *, {_FIRST_LAST.format(k='anonymous_id, intervention_name, metric_name')} FROM mart) x
+ GROUP BY 1, 2, 3"""), ["first_score", "latest_score", "avg_score", "total_improvement", "change"], "AGG15")
+def q_progress_summary(spark, sf_dir):
+    return I.progress_summary(mart(spark, sf_dir))
+
+
+EFF_SQL = """SELECT anonymous_id, intervention_name, avg(normalized_score) AS avg_outcome,
+  stddev_samp(normalized_score) AS outcome_std, count(normalized_score) AS session_count,
+  avg(improvement_from_baseline) AS avg_improvement, sum(improvement_from_baseline) AS total_improvement,
+  sum(total_cost) AS total_cost, avg(quality_rating) AS avg_quality, avg(session_duration) AS avg_duration,
+  sum(total_cost) / NULLIF(sum(improvement_from_baseline), 0) AS cost_per_improvement
+ FROM mart GROUP BY 1, 2"""
+
+
+@register("individual_effectiveness", mart_query(EFF_SQL),
+          ["avg_outcome", "outcome_std", "avg_improvement", "total_improvement", "total_cost", "avg_quality",
+           "avg_duration", "cost_per_improvement"], "AGG16")
+def q_individual_effectiveness(spark, sf_dir):
+    return I.individual_effectiveness(mart(spark, sf_dir))
+
+
+@register("individual_recommendations", mart_query(f"""SELECT anonymous_id,
+  max(CASE WHEN r1 = 1 THEN intervention_name END) AS most_effective,
+  max(CASE WHEN r2 = 1 THEN intervention_name END) AS most_utilized,
+  max(CASE WHEN r3 = 1 AND cost_per_improvement IS NOT NULL THEN intervention_name END) AS most_cost_effective
+ FROM (SELECT *,
+   row_number() OVER (PARTITION BY anonymous_id ORDER BY avg_improvement DESC NULLS LAST, intervention_name) r1,
+   row_number() OVER (PARTITION BY anonymous_id ORDER BY session_count DESC, intervention_name) r2,
+   row_number() OVER (PARTITION BY anonymous_id ORDER BY cost_per_improvement ASC NULLS LAST, intervention_name) r3
+   FROM ({EFF_SQL}) e) x GROUP BY 1"""), [], "AGG17")
+def q_recommendations(spark, sf_dir):
+    return I.recommendations(I.individual_effectiveness(mart(spark, sf_dir)))
+
+
+@register("individual_detail", mart_query("""SELECT anonymous_id,
+  1 - stddev_samp(normalized_score) / NULLIF(avg(normalized_score), 0) AS consistency_index,
+  regr_slope(normalized_score, idx) * 30 AS monthly_trend,
+  avg(session_duration / NULLIF(planned_duration, 0)) AS duration_compliance,
+  1 - stddev_samp(quality_rating) / NULLIF(avg(quality_rating), 0) AS quality_consistency,
+  CASE WHEN sum(improvement_from_baseline) > 0 THEN sum(total_cost) / sum(improvement_from_baseline)
+       ELSE 0.0 END AS cost_per_improvement,
+  CASE WHEN sum(total_cost) > 0 THEN sum(improvement_from_baseline) / sum(total_cost) * 100
+       ELSE 0.0 END AS roi_percentage
+ FROM (SELECT *, CAST(row_number() OVER (PARTITION BY anonymous_id ORDER BY session_date, id) - 1 AS DOUBLE) AS idx
+       FROM mart WHERE anonymous_id IS NOT NULL) x GROUP BY 1"""),
+          ["consistency_index", "monthly_trend", "duration_compliance", "quality_consistency",
+           "cost_per_improvement", "roi_percentage"], "AGG18 STA10")
+def q_individual_detail(spark, sf_dir):
+    return I.individual_detail(mart(spark, sf_dir))
+
+
+@register("goal_progress", with_views(f"""SELECT g.id, g.individual_id, g.outcome_metric_id, m.name AS metric_name,
+  g.goal_type, g.priority_level, g.status, base AS baseline_value, tgt AS target_value, cur AS current_value,
+  prog AS progress, g.target_date - DATE '{SESSION_AS_OF}' AS days_remaining,
+  CASE WHEN prog >= 80 THEN 'green' WHEN prog >= 50 THEN 'orange' WHEN prog IS NOT NULL THEN 'red' END
+    AS status_color
+ FROM (SELECT *, CASE WHEN raw IS NULL THEN NULL ELSE greatest(0.0, least(100.0, raw)) END AS prog FROM (
+   SELECT g.*, base, cur, tgt, hib,
+     CASE WHEN coalesce(hib, false) THEN (cur - base) / NULLIF(tgt - base, 0) * 100
+          ELSE (base - cur) / NULLIF(base - tgt, 0) * 100 END AS raw
+   FROM (SELECT g.*, m.higher_is_better AS hib, CAST(g.target_value AS DOUBLE) AS tgt,
+            coalesce(CAST(g.baseline_value AS DOUBLE), sc.first_score) AS base,
+            coalesce(sc.latest_score, CAST(g.baseline_value AS DOUBLE), sc.first_score) AS cur
+         FROM c_goals g JOIN c_metrics m ON g.outcome_metric_id = m.id
+         LEFT JOIN sc ON g.individual_id = sc.individual_id AND g.outcome_metric_id = sc.outcome_metric_id) g) r) g
+ JOIN c_metrics m ON g.outcome_metric_id = m.id""",
+          """sc AS (SELECT individual_id, outcome_metric_id,
+   max(CASE WHEN rl = 1 THEN score END) AS latest_score, max(CASE WHEN rf = 1 THEN score END) AS first_score
+ FROM (SELECT individual_id, outcome_metric_id, score,
+   row_number() OVER (PARTITION BY individual_id, outcome_metric_id ORDER BY session_date, created_at, id) rf,
+   row_number() OVER (PARTITION BY individual_id, outcome_metric_id
+                      ORDER BY session_date DESC, created_at DESC, id DESC) rl
+   FROM c_outcomes) x GROUP BY 1, 2)"""),
+          ["baseline_value", "target_value", "current_value", "progress"], "GOL1 JN2 JN3 JN4")
+def q_goal_progress(spark, sf_dir):
+    c = care(spark, sf_dir)
+    return I.goal_progress(c.goals, c.metrics, c.outcomes, SESSION_AS_OF)
+
+
+@register("schedule_overdue", with_views(f"""SELECT s.id, i.anonymous_id, m.name AS metric_name, s.frequency,
+  s.start_date + CASE s.frequency WHEN 'Weekly' THEN 7 WHEN 'Bi-Weekly' THEN 14 WHEN 'Monthly' THEN 30
+                                  WHEN 'Quarterly' THEN 90 END AS next_due_date,
+  DATE '{SESSION_AS_OF}' - (s.start_date + CASE s.frequency WHEN 'Weekly' THEN 7 WHEN 'Bi-Weekly' THEN 14
+       WHEN 'Monthly' THEN 30 WHEN 'Quarterly' THEN 90 END) AS days_overdue,
+  (s.start_date + CASE s.frequency WHEN 'Weekly' THEN 7 WHEN 'Bi-Weekly' THEN 14 WHEN 'Monthly' THEN 30
+       WHEN 'Quarterly' THEN 90 END) < DATE '{SESSION_AS_OF}' AS overdue
+ FROM c_schedules s JOIN c_individuals i ON s.individual_id = i.id JOIN c_metrics m ON s.outcome_metric_id = m.id"""),
+          [], "SCH1 SCH2 JN7")
+def q_schedule_overdue(spark, sf_dir):
+    c = care(spark, sf_dir)
+    return I.schedule_list(I.next_due(c.schedules), c.individuals, c.metrics, SESSION_AS_OF)
+
+
+_STAFF_SINCE = "2000-01-01"
+
+
+def _activity(spark, sf_dir):
+    import datetime as dt
+    c = care(spark, sf_dir)
+    return I.staff_activity(c.outcomes, c.interventions, c.metrics, c.individuals, dt.date.fromisoformat(_STAFF_SINCE))
+
+
+_ACTIVITY_SQL = f"""activity AS (SELECT o.*, i.name AS intervention_name, m.name AS metric_name, p.anonymous_id
+ FROM c_outcomes o JOIN c_interventions i ON o.intervention_id = i.id JOIN c_metrics m ON o.outcome_metric_id = m.id
+ JOIN c_individuals p ON o.individual_id = p.id WHERE o.session_date >= DATE '{_STAFF_SINCE}')"""
+
+
+@register("staff_dashboard", with_views(f"""SELECT staff_id, count(DISTINCT session_id) AS sessions_period,
+  count(DISTINCT anonymous_id) AS individuals_served, avg(quality_rating) AS avg_quality_rating,
+  count(DISTINCT CASE WHEN session_date >= DATE '{SESSION_AS_OF}' - 7 THEN session_id END) AS sessions_this_week
+ FROM activity WHERE staff_id IS NOT NULL GROUP BY 1""", _ACTIVITY_SQL), ["avg_quality_rating"], "AGG36 JN6")
+def q_staff_dashboard(spark, sf_dir):
+    return I.staff_dashboard(_activity(spark, sf_dir), SESSION_AS_OF)
+
+
+@register("staff_recent_vs_early", with_views("""SELECT staff_id, n, recent_avg, early_avg, trend,
+  CASE WHEN trend > 0.5 THEN 'improving' WHEN trend < -0.5 THEN 'declining' ELSE 'stable' END AS verdict
+ FROM (SELECT staff_id, count(*) AS n, avg(CASE WHEN rn_new <= 10 THEN score END) AS recent_avg,
+         avg(CASE WHEN rn_old <= 10 THEN score END) AS early_avg,
+         avg(CASE WHEN rn_new <= 10 THEN score END) - avg(CASE WHEN rn_old <= 10 THEN score END) AS trend
+       FROM (SELECT staff_id, score,
+               row_number() OVER (PARTITION BY staff_id ORDER BY session_date DESC, id DESC) AS rn_new,
+               row_number() OVER (PARTITION BY staff_id ORDER BY session_date, id) AS rn_old
+             FROM activity) x GROUP BY 1) g WHERE n > 10""", _ACTIVITY_SQL),
+          ["recent_avg", "early_avg", "trend"], "WIN5")
+def q_staff_recent_vs_early(spark, sf_dir):
+    return R.recent_vs_early(_activity(spark, sf_dir), "staff_id", "session_date", "score", 10)
+
+
+@register("staff_recent_activity", with_views("""SELECT session_date, anonymous_id, intervention_name, score,
+  quality_rating, staff_id, id FROM (SELECT *, row_number() OVER (PARTITION BY staff_id
+  ORDER BY session_date DESC, id DESC) AS rn FROM activity) x WHERE rn <= 10""", _ACTIVITY_SQL),
+          ["score"], "WIN6")
+def q_staff_recent_activity(spark, sf_dir):
+    return R.recent_activity(_activity(spark, sf_dir), "staff_id", "session_date", 10).select(
+        "session_date", "anonymous_id", "intervention_name", "score", "quality_rating", "staff_id", "id")

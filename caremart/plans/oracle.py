@@ -58,6 +58,9 @@ CARE_VIEWS = {
    DATE '2001-01-01' + CAST(c_custkey % 180 AS INTEGER) AS target_date, 1 + c_custkey % 3 AS priority_level,
    CASE WHEN c_custkey % 4 = 0 THEN 'closed' ELSE 'active' END AS status
  FROM customer, c_metrics m WHERE c_custkey % 5 = 0 AND m.id <= 5""",
+    "c_schedules": """SELECT id, individual_id, outcome_metric_id,
+   (['Weekly', 'Bi-Weekly', 'Monthly', 'Quarterly'])[CAST(id % 4 + 1 AS INTEGER)] AS frequency,
+   target_date - 60 AS start_date FROM c_goals""",
     "c_budgets": """SELECT CAST(fiscal_year AS INTEGER) AS fiscal_year, CAST(total_budget AS DOUBLE) AS total_budget
  FROM (VALUES (1995,4e6),(1996,5e6),(1997,5e6),(1998,5e6),(1999,5e6),(2000,5e6),(2001,4e6)) t(fiscal_year, total_budget)""",
     "c_logins": """SELECT event_id, user_id, ts, event_type = 'error' AS failed

@@ -38,6 +38,7 @@ METRIC_ROWS = [
     (6, "M6", "Social", 10.0, 10.0, True),
     (7, "M7", "Cognitive", None, None, True),
 ]
+SCHEDULE_FREQUENCIES = ["Weekly", "Bi-Weekly", "Monthly", "Quarterly"]
 BUDGET_ROWS = [(1995, 4e6), (1996, 5e6), (1997, 5e6), (1998, 5e6), (1999, 5e6), (2000, 5e6), (2001, 4e6)]
 
 SESSION_AS_OF = _dt.date(2001, 1, 1)
@@ -171,6 +172,13 @@ class CareTables:
             F.when(F.col("c_custkey") % 4 == 0, "closed").otherwise("active").alias("status"),
         )
 
+    @cached_property
+    def schedules(self) -> DataFrame:
+        """Assessment schedules derived from the goals: frequency by id, start 60 days before target."""
+        freq = F.element_at(F.array(*[F.lit(f) for f in SCHEDULE_FREQUENCIES]), (F.col("id") % 4 + 1).cast("int"))
+        return self.goals.select("id", "individual_id", "outcome_metric_id", freq.alias("frequency"),
+                                 F.date_sub(F.col("target_date"), 60).alias("start_date"))
+
     @cached_property
     def budgets(self) -> DataFrame:
         return self.spark.createDataFrame(BUDGET_ROWS, "fiscal_year int, total_budget double")
