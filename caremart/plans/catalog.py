@@ -561,3 +561,164 @@ def q_staff_recent_vs_early(spark, sf_dir):
 def q_staff_recent_activity(spark, sf_dir):
     return R.recent_activity(_activity(spark, sf_dir), "staff_id", "session_date", 10).select(
         "session_date", "anonymous_id", "intervention_name", "score", "quality_rating", "staff_id", "id")
+
+
+# --------------------------------------------------------------------------- data quality
+from caremart.operators import quality as Q  # noqa: E402
+
+_AS_OF = f"DATE '{SESSION_AS_OF}'"
+
+
+@register("dq_overview", with_views(f"""SELECT
+  (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM c_outcomes
+     GROUP BY individual_id, intervention_id, session_date) d) AS duplicates,
+  (SELECT count(*) FROM c_outcomes o JOIN c_metrics m ON o.outcome_metric_id = m.id
+     WHERE o.score < m.scale_min OR o.score > m.scale_max) AS invalid_scores,
+  (SELECT count(*) FROM c_outcomes WHERE session_date > {_AS_OF}) AS future_dates"""), [], "DQ1")
+def q_dq_overview(spark, sf_dir):
+    c = care(spark, sf_dir)
+    return Q.dq_overview(c.outcomes, c.metrics, SESSION_AS_OF)
+
+
+@register("duplicate_groups", with_views("""SELECT individual_id, intervention_id, session_date, count(*) AS count
+ FROM c_outcomes GROUP BY 1, 2, 3 HAVING count(*) > 1 ORDER BY count DESC, 1, 2, 3 LIMIT 10"""), [], "DQ2")
+def q_duplicate_groups(spark, sf_dir):
+    return Q.duplicate_groups(care(spark, sf_dir).outcomes, n=10)
+
+
+@register("dedupe_keep_first", with_views("""SELECT id, individual_id, intervention_id, session_date FROM (
+ SELECT *, row_number() OVER (PARTITION BY individual_id, intervention_id, session_date ORDER BY created_at, id) AS rn
+ FROM c_outcomes) x WHERE rn = 1"""), [], "DQ3")
+def q_dedupe_keep_first(spark, sf_dir):
+    return Q.dedupe_keep_first(care(spark, sf_dir).outcomes).select("id", "individual_id", "intervention_id",
+                                                                    "session_date")
+
+
+@register("invalid_scores", with_views("""SELECT o.id, p.anonymous_id, i.name AS intervention, m.name AS metric,
+  o.score, m.scale_min, m.scale_max
+ FROM c_outcomes o JOIN c_metrics m ON o.outcome_metric_id = m.id JOIN c_individuals p ON o.individual_id = p.id
+ JOIN c_interventions i ON o.intervention_id = i.id WHERE o.score < m.scale_min OR o.score > m.scale_max"""),
+          ["score", "scale_min", "scale_max"], "JN5 DQ4 FLT7")
+def q_invalid_scores(spark, sf_dir):
+    c = care(spark, sf_dir)
+    return Q.invalid_scores(c.outcomes, c.metrics, c.individuals, c.interventions, n=None)
+
+
+@register("future_dated", with_views(f"""SELECT id, individual_id, intervention_id, session_date FROM c_outcomes
+ WHERE session_date > DATE '2000-06-30'"""), [], "DQ5 FLT8")
+def q_future_dated(spark, sf_dir):
+    import datetime as dt
+    return Q.future_list(care(spark, sf_dir).outcomes, dt.date(2000, 6, 30), n=None)
+
+
+@register("days_since_valid_entry", with_views(f"""SELECT max(session_date) AS latest_entry,
+  {_AS_OF} - max(session_date) AS days_since FROM c_outcomes WHERE session_date <= {_AS_OF}"""), [], "AGG35")
+def q_days_since_valid(spark, sf_dir):
+    return Q.days_since_valid(care(spark, sf_dir).outcomes, SESSION_AS_OF)
+
+
+@register("activity_freshness", with_views(f"""SELECT max(session_date) AS last_session,
+  coalesce({_AS_OF} - max(session_date), 999) AS days_since_last,
+  CASE WHEN coalesce({_AS_OF} - max(session_date), 999) > 7 THEN 'warning'
+       WHEN coalesce({_AS_OF} - max(session_date), 999) > 3 THEN 'info' ELSE 'ok' END AS level
+ FROM c_outcomes WHERE session_date <= DATE '1999-06-01'"""), [], "AGG34")
+def q_freshness(spark, sf_dir):
+    o = care(spark, sf_dir).outcomes.where(F.col("session_date") <= F.lit("1999-06-01").cast("date"))
+    return Q.freshness(o, SESSION_AS_OF)
+
+
+@register("rule_score_documents", with_views("""SELECT doc_id, s AS rule_score,
+  CASE WHEN s < 2 THEN 'Very Weak' WHEN s < 3 THEN 'Weak' WHEN s < 4 THEN 'Medium' WHEN s < 5 THEN 'Strong'
+       ELSE 'Very Strong' END AS rule_label, s >= 4 AS rule_valid
+ FROM (SELECT doc_id, CAST(length(coalesce(text, '')) >= 8 AS INTEGER)
+   + CAST(regexp_matches(coalesce(text, ''), '[A-Z]') AS INTEGER)
+   + CAST(regexp_matches(coalesce(text, ''), '[a-z]') AS INTEGER)
+   + CAST(regexp_matches(coalesce(text, ''), '[0-9]') AS INTEGER)
+   + CAST(regexp_matches(coalesce(text, ''), '[!@#$%^&*(),.?":{}|<>]') AS INTEGER) AS s FROM documents) d"""),
+          [], "RUL1")
+def q_rule_score(spark, sf_dir):
+    d = care(spark, sf_dir).raw("documents").select("doc_id", "text")
+    return Q.rule_score(d, "text").select("doc_id", "rule_score", "rule_label", "rule_valid")
+
+
+# --------------------------------------------------------------------------- bulk import
+from caremart.operators import ingest as G  # noqa: E402
+
+
+@register("import_conversion_errors", with_views("""SELECT row_num,
+  CASE WHEN score IS NOT NULL AND score_value IS NULL THEN score END AS bad_score,
+  CASE WHEN session_date IS NOT NULL AND session_day IS NULL THEN session_date END AS bad_date
+ FROM c_import_typed WHERE (score IS NOT NULL AND score_value IS NULL)
+   OR (session_date IS NOT NULL AND session_day IS NULL)"""), [], "ING2")
+def q_import_conversion_errors(spark, sf_dir):
+    return G.conversion_errors(care(spark, sf_dir).import_batch)
+
+
+@register("import_unknown_references", with_views("""SELECT kind, count(*) AS unknown_count,
+  array_to_string(list_slice(list_sort(list(value)), 1, 5), ', ') AS first_values FROM (
+ SELECT DISTINCT 'individual' AS kind, individual_anonymous_id AS value FROM c_import
+  WHERE individual_anonymous_id NOT IN (SELECT anonymous_id FROM c_individuals WHERE active)
+ UNION ALL SELECT DISTINCT 'intervention', intervention_name FROM c_import
+  WHERE intervention_name NOT IN (SELECT name FROM c_interventions WHERE active)
+ UNION ALL SELECT DISTINCT 'metric', metric_name FROM c_import
+  WHERE metric_name NOT IN (SELECT name FROM c_metrics WHERE active)) u GROUP BY kind"""), [],
+          "ING3 JN8 SET1 SRT2")
+def q_import_unknown(spark, sf_dir):
+    c = care(spark, sf_dir)
+    return G.unknown_reference_report(c.import_batch, c.individuals, c.interventions, c.metrics)
+
+
+@register("import_range_violations", with_views("""SELECT row_num, t.metric_name, score_value AS score,
+  m.scale_min, m.scale_max FROM c_import_typed t JOIN c_metrics m ON t.metric_name = m.name
+ WHERE m.active AND NOT (score_value BETWEEN m.scale_min AND m.scale_max)"""),
+          ["score", "scale_min", "scale_max"], "ING4 JN11")
+def q_import_range_violations(spark, sf_dir):
+    c = care(spark, sf_dir)
+    return G.range_violations(c.import_batch, c.metrics)
+
+
+@register("import_warnings", with_views(f"""SELECT
+  (SELECT count(*) FROM c_import_typed WHERE session_day > {_AS_OF}) AS future_dates,
+  (SELECT coalesce(sum(c - 1), 0) FROM (SELECT count(*) AS c FROM c_import
+     GROUP BY individual_anonymous_id, intervention_name, session_date) d) AS duplicates"""), [], "ING5 ING6")
+def q_import_warnings(spark, sf_dir):
+    return G.batch_warnings(care(spark, sf_dir).import_batch, SESSION_AS_OF)
+
+
+def _stored(c: CareTables) -> DataFrame:
+    """The records already stored when the batch arrives: everything before 1998."""
+    return c.outcomes.where(F.col("session_date") < F.lit("1998-01-01").cast("date"))
+
+
+_RESOLVED_SQL = """resolved AS (SELECT t.*, p.id AS individual_id, i.id AS intervention_id, m.id AS outcome_metric_id
+ FROM c_import_typed t JOIN c_individuals p ON t.individual_anonymous_id = p.anonymous_id
+ JOIN c_interventions i ON t.intervention_name = i.name JOIN c_metrics m ON t.metric_name = m.name
+ WHERE t.score_value IS NOT NULL AND t.session_day IS NOT NULL),
+fresh AS (SELECT * FROM resolved r WHERE NOT EXISTS (SELECT 1 FROM c_outcomes o
+  WHERE o.session_date < DATE '1998-01-01' AND o.individual_id = r.individual_id AND o.intervention_id = r.intervention_id
+    AND o.session_date = r.session_day)),
+imported AS (SELECT * FROM fresh f WHERE row_num = (SELECT min(row_num) FROM fresh g
+  WHERE g.individual_id = f.individual_id AND g.intervention_id = f.intervention_id
+    AND g.session_day IS NOT DISTINCT FROM f.session_day))"""
+
+
+@register("import_outcomes", with_views("""SELECT row_num, individual_id, intervention_id, outcome_metric_id,
+  score_value AS score, session_day AS session_date, CAST(session_duration AS INTEGER) AS session_duration,
+  'attended' AS attendance_status, 4 AS quality_rating, '' AS notes FROM imported""", _RESOLVED_SQL),
+          ["score"], "ING7 ING8 JN9 JN10")
+def q_import_outcomes(spark, sf_dir):
+    c = care(spark, sf_dir)
+    out = G.import_outcomes(c.import_batch, c.individuals, c.interventions, c.metrics, existing=_stored(c))
+    return out.select("row_num", "individual_id", "intervention_id", "outcome_metric_id", "score", "session_date",
+                      "session_duration", "attendance_status", "quality_rating", "notes")
+
+
+@register("import_counts", with_views("""SELECT (SELECT count(*) FROM c_import) AS batch_rows,
+  (SELECT count(*) FROM imported) AS imported,
+  (SELECT count(*) FROM resolved) - (SELECT count(*) FROM imported) AS skipped,
+  (SELECT count(*) FROM c_import) - (SELECT count(*) FROM resolved) AS unresolved""", _RESOLVED_SQL), [], "ING8")
+def q_import_counts(spark, sf_dir):
+    c = care(spark, sf_dir)
+    resolved = G.resolve_ids(c.import_batch, c.individuals, c.interventions, c.metrics)
+    imported = G.import_outcomes(c.import_batch, c.individuals, c.interventions, c.metrics, existing=_stored(c))
+    return G.import_counts(c.import_batch, imported, resolved)

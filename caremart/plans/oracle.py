@@ -61,6 +61,17 @@ CARE_VIEWS = {
     "c_schedules": """SELECT id, individual_id, outcome_metric_id,
    (['Weekly', 'Bi-Weekly', 'Monthly', 'Quarterly'])[CAST(id % 4 + 1 AS INTEGER)] AS frequency,
    target_date - 60 AS start_date FROM c_goals""",
+    "c_import": """SELECT ((l_orderkey * 10000000 + l_partkey) * 10000 + l_suppkey) * 8 + l_linenumber AS row_num,
+   CASE WHEN o_custkey % 53 = 0 THEN 'UNKNOWN-' || o_custkey ELSE c_name END AS individual_anonymous_id,
+   CASE WHEN l_partkey % 71 = 0 THEN lower(p_type) ELSE p_type END AS intervention_name,
+   'M' || CAST(l_linenumber + CASE WHEN l_orderkey % 61 = 0 THEN 10 ELSE 0 END AS VARCHAR) AS metric_name,
+   CASE WHEN l_orderkey % 97 = 0 THEN 'n/a' ELSE CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) END AS score,
+   CASE WHEN l_orderkey % 89 = 0 THEN 'not a date' ELSE CAST(CAST(l_shipdate AS DATE) AS VARCHAR) END AS session_date,
+   CAST(30 + l_partkey % 31 AS VARCHAR) AS session_duration
+ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey
+  JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R'""",
+    "c_import_typed": """SELECT *, TRY_CAST(score AS DOUBLE) AS score_value,
+   CAST(try_strptime(session_date, '%Y-%m-%d') AS DATE) AS session_day FROM c_import""",
     "c_budgets": """SELECT CAST(fiscal_year AS INTEGER) AS fiscal_year, CAST(total_budget AS DOUBLE) AS total_budget
  FROM (VALUES (1995,4e6),(1996,5e6),(1997,5e6),(1998,5e6),(1999,5e6),(2000,5e6),(2001,4e6)) t(fiscal_year, total_budget)""",
     "c_logins": """SELECT event_id, user_id, ts, event_type = 'error' AS failed
