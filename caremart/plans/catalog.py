@@ -722,3 +722,267 @@ def q_import_counts(spark, sf_dir):
     resolved = G.resolve_ids(c.import_batch, c.individuals, c.interventions, c.metrics)
     imported = G.import_outcomes(c.import_batch, c.individuals, c.interventions, c.metrics, existing=_stored(c))
     return G.import_counts(c.import_batch, imported, resolved)
+
+
+# --------------------------------------------------------------------------- updates and appends
+from caremart.operators import updates as U  # noqa: E402
+
+
+def _outcome_slice(c: CareTables) -> DataFrame:
+    return c.outcomes.select("id", "score", "session_date", "quality_rating")
+
+
+@register("upsert_scores", with_views("""SELECT coalesce(t.id, u.id) AS id,
+  CASE WHEN u.id IS NOT NULL THEN u.score ELSE t.score END AS score,
+  CASE WHEN t.id IS NOT NULL THEN t.session_date ELSE u.session_date END AS session_date,
+  CASE WHEN t.id IS NOT NULL THEN t.quality_rating ELSE u.quality_rating END AS quality_rating
+ FROM (SELECT id, score, session_date, quality_rating FROM c_outcomes WHERE session_date < DATE '1999-01-01') t
+ FULL OUTER JOIN (SELECT id, score + 1 AS score, session_date, quality_rating FROM c_outcomes
+                  WHERE session_date >= DATE '1998-07-01') u ON t.id = u.id"""), ["score"], "UPD1")
+def q_upsert_scores(spark, sf_dir):
+    o = _outcome_slice(care(spark, sf_dir))
+    target = o.where(F.col("session_date") < F.lit("1999-01-01").cast("date"))
+    updates = o.where(F.col("session_date") >= F.lit("1998-07-01").cast("date")).withColumn("score",
+                                                                                           F.col("score") + 1)
+    return U.upsert(target, updates, ["id"], ["score"])
+
+
+@register("upsert_budgets", with_views("""SELECT coalesce(t.fiscal_year, u.fiscal_year) AS fiscal_year,
+  CASE WHEN u.fiscal_year IS NOT NULL THEN u.total_budget ELSE t.total_budget END AS total_budget
+ FROM (SELECT * FROM c_budgets WHERE fiscal_year <= 1999) t FULL OUTER JOIN
+  (SELECT CAST(year(cost_date) AS INTEGER) AS fiscal_year,
+          sum(direct_cost + indirect_cost + overhead_cost + material_cost) * 1.1 AS total_budget
+   FROM c_costs WHERE year(cost_date) >= 1998 GROUP BY 1) u ON t.fiscal_year = u.fiscal_year"""),
+          ["total_budget"], "UPD2")
+def q_upsert_budgets(spark, sf_dir):
+    from caremart.operators.finance import row_cost
+    c = care(spark, sf_dir)
+    target = c.budgets.where(F.col("fiscal_year") <= 1999)
+    upd = (c.costs.where(F.year("cost_date") >= 1998).groupBy(F.year("cost_date").cast("int").alias("fiscal_year"))
+           .agg((F.sum(row_cost()) * 1.1).alias("total_budget")))
+    return U.upsert(target, upd, ["fiscal_year"], ["total_budget"])
+
+
+@register("batch_update_quality", with_views("""SELECT o.id, coalesce(u.score, o.score) AS score,
+  o.session_date, coalesce(u.quality_rating, o.quality_rating) AS quality_rating
+ FROM c_outcomes o LEFT JOIN (SELECT id, CAST(NULL AS DOUBLE) AS score, 5 AS quality_rating FROM c_outcomes
+   WHERE individual_id % 5 = 0) u ON o.id = u.id"""), ["score"], "UPD4 DQ6")
+def q_batch_update(spark, sf_dir):
+    c = care(spark, sf_dir)
+    upd = c.outcomes.where(F.col("individual_id") % 5 == 0).select(
+        "id", F.lit(None).cast("double").alias("score"), F.lit(5).alias("quality_rating"))
+    return U.batch_update(_outcome_slice(c), upd, "id", ["score", "quality_rating"])
+
+
+@register("archive_old_records", with_views(f"""SELECT id, session_date,
+  NOT (session_date < {_AS_OF} - 2000) AS active FROM c_outcomes"""), [], "UPD3")
+def q_archive(spark, sf_dir):
+    return U.archive_older_than(care(spark, sf_dir).outcomes.select("id", "session_date"), SESSION_AS_OF, 2000)
+
+
+@register("delete_duplicate_records", with_views("""SELECT id FROM c_outcomes WHERE id NOT IN (
+ SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY individual_id, intervention_id, session_date
+   ORDER BY created_at, id) AS rn FROM c_outcomes) x WHERE rn > 1)"""), [], "UPD5 DQ3")
+def q_delete_duplicates(spark, sf_dir):
+    o = care(spark, sf_dir).outcomes
+    return U.delete_by_key(o, Q.removed_duplicates(o), ["id"]).select("id")
+
+
+@register("append_goals", with_views(f"""SELECT id, individual_id, outcome_metric_id, goal_type,
+  CAST(baseline_value AS DOUBLE) AS baseline_value, CAST(target_value AS DOUBLE) AS target_value, target_date,
+  status FROM c_goals
+ UNION ALL SELECT individual_id * 10 + outcome_metric_id + 100000000000, individual_id, outcome_metric_id,
+  'Improvement', NULL, 30.0, {_AS_OF} + 90, 'active'
+ FROM (SELECT DISTINCT individual_id, outcome_metric_id FROM c_outcomes
+       WHERE session_date >= DATE '2001-01-01' AND outcome_metric_id <= 5) n
+ WHERE NOT EXISTS (SELECT 1 FROM c_goals g WHERE g.individual_id = n.individual_id
+                   AND g.outcome_metric_id = n.outcome_metric_id)"""),
+          ["baseline_value", "target_value"], "SNK7 SET3")
+def q_append_goals(spark, sf_dir):
+    c = care(spark, sf_dir)
+    target = c.goals.select("id", "individual_id", "outcome_metric_id", "goal_type",
+                            F.col("baseline_value").cast("double").alias("baseline_value"),
+                            F.col("target_value").cast("double").alias("target_value"), "target_date", "status")
+    new = (c.outcomes.where((F.col("session_date") >= F.lit("2001-01-01").cast("date"))
+                            & (F.col("outcome_metric_id") <= 5))
+           .select("individual_id", "outcome_metric_id").distinct()
+           .join(c.goals.select("individual_id", "outcome_metric_id"), ["individual_id", "outcome_metric_id"],
+                 "left_anti")
+           .withColumns({"id": F.col("individual_id") * 10 + F.col("outcome_metric_id") + 100_000_000_000,
+                         "goal_type": F.lit("Improvement"), "target_value": F.lit(30.0),
+                         "target_date": F.date_add(F.lit(SESSION_AS_OF), 90), "status": F.lit("active")}))
+    return U.append_rows(target, new)
+
+
+@register("quick_entries", with_views("""SELECT o.id, o.individual_id, o.intervention_id, o.session_date,
+  m.id AS outcome_metric_id, 3 AS quality_rating, 'EMERGENCY ENTRY: ' || coalesce(o.notes, '') AS notes,
+  'attended' AS attendance_status
+ FROM c_outcomes o, (SELECT id FROM c_metrics WHERE active ORDER BY created_at, id LIMIT 1) m
+ WHERE o.attendance_status = 'partial'"""), [], "SNK3")
+def q_quick_entries(spark, sf_dir):
+    c = care(spark, sf_dir)
+    e = c.outcomes.where(F.col("attendance_status") == "partial").select(
+        "id", "individual_id", "intervention_id", "session_date", "notes")
+    return U.quick_entries(e, c.metrics).select("id", "individual_id", "intervention_id", "session_date",
+                                                "outcome_metric_id", "quality_rating", "notes", "attendance_status")
+
+
+@register("audit_quality_changes", with_views("""SELECT sha256('outcome_records|UPDATE|' || id) AS id,
+  'outcome_records' AS table_name, id AS record_id, 'UPDATE' AS action,
+  to_json({'quality_rating': quality_rating}) AS old_values, to_json({'quality_rating': 5}) AS new_values,
+  'batch' AS changed_by, 'quality review' AS change_reason
+ FROM c_outcomes WHERE individual_id % 5 = 0 AND quality_rating IS DISTINCT FROM 5"""), [], "SNK4")
+def q_audit_quality_changes(spark, sf_dir):
+    o = care(spark, sf_dir).outcomes.where((F.col("individual_id") % 5 == 0)
+                                           & ~F.col("quality_rating").eqNullSafe(5))
+    ch = o.select("id", "quality_rating", F.lit(5).alias("new_quality"))
+    a = U.audit_rows(ch.withColumn("_new", F.col("new_quality")), "outcome_records", "UPDATE", "id",
+                     ["quality_rating"], [F.col("new_quality").alias("quality_rating")], "batch", "quality review")
+    return a.drop("timestamp")
+
+
+# --------------------------------------------------------------------------- finance
+from caremart.operators import finance as FN  # noqa: E402
+
+
+@register("budget_status", with_views("""SELECT b.fiscal_year, coalesce(b.total_budget, 0.0) AS total_budget,
+  coalesce(s.spend, 0.0) AS ytd_spending, coalesce(b.total_budget, 0.0) - coalesce(s.spend, 0.0) AS remaining_budget,
+  CASE WHEN coalesce(b.total_budget, 0.0) > 0 THEN coalesce(s.spend, 0.0) / b.total_budget * 100 ELSE 0.0 END
+    AS percent_spent
+ FROM c_budgets b LEFT JOIN (SELECT CAST(year(cost_date) AS INTEGER) AS fiscal_year,
+   sum(direct_cost + indirect_cost + overhead_cost + material_cost) AS spend FROM c_costs GROUP BY 1) s
+ ON b.fiscal_year = s.fiscal_year"""), ["total_budget", "ytd_spending", "remaining_budget", "percent_spent"],
+          "AGG37")
+def q_budget_status(spark, sf_dir):
+    c = care(spark, sf_dir)
+    return FN.budget_status(c.costs, c.budgets)
+
+
+@register("budget_vs_actual", with_views("""SELECT 2000 AS fiscal_year, coalesce(b.annual, 0.0) AS annual_budget,
+  91 AS days_in_range,
+  CASE WHEN coalesce(b.annual, 0.0) > 0 THEN b.annual / 366 * 91 ELSE 0.0 END AS prorated_budget,
+  coalesce(a.actual, 0.0) AS actual_spending,
+  CASE WHEN coalesce(b.annual, 0.0) > 0 THEN b.annual / 366 * 91 ELSE 0.0 END - coalesce(a.actual, 0.0) AS variance
+ FROM (SELECT max(total_budget) AS annual FROM c_budgets WHERE fiscal_year = 2000) b,
+      (SELECT sum(direct_cost + indirect_cost + overhead_cost + material_cost) AS actual FROM c_costs
+       WHERE cost_date BETWEEN DATE '2000-01-01' AND DATE '2000-03-31') a"""),
+          ["annual_budget", "prorated_budget", "actual_spending", "variance"], "AGG38")
+def q_budget_vs_actual(spark, sf_dir):
+    import datetime as dt
+    c = care(spark, sf_dir)
+    return FN.budget_vs_actual(c.costs, c.budgets, dt.date(2000, 1, 1), dt.date(2000, 3, 31))
+
+
+@register("cost_by_intervention", with_views("""SELECT i.name AS intervention, sum(c.direct_cost) AS direct_costs,
+  sum(c.overhead_cost) AS overhead_allocation,
+  sum(coalesce(c.direct_cost, 0) + coalesce(c.indirect_cost, 0) + coalesce(c.overhead_cost, 0)
+      + coalesce(c.material_cost, 0)) AS total_cost
+ FROM c_costs c JOIN c_interventions i ON c.intervention_id = i.id GROUP BY i.name"""),
+          ["direct_costs", "overhead_allocation", "total_cost"], "AGG41")
+def q_cost_by_intervention(spark, sf_dir):
+    c = care(spark, sf_dir)
+    return FN.cost_by_intervention(c.costs, c.interventions)
+
+
+# --------------------------------------------------------------------------- access and security
+from caremart.operators import access as AC  # noqa: E402
+from caremart.sources.adapter import EVENT_AS_OF  # noqa: E402
+
+_EV_AS_OF = f"DATE '{EVENT_AS_OF}'"
+
+
+@register("login_activity", with_views(f"""SELECT CAST(ts AS DATE) AS login_date, count(*) AS login_count,
+  count(DISTINCT user_id) AS unique_users FROM c_logins WHERE NOT failed AND ts >= {_EV_AS_OF} - 30 GROUP BY 1"""),
+          [], "AGG30")
+def q_login_activity(spark, sf_dir):
+    return AC.login_activity(care(spark, sf_dir).logins, EVENT_AS_OF)
+
+
+_LOCK_SQL = """lk AS (SELECT user_id,
+   min(CASE WHEN failed AND run = 3 THEN ts END) AS locked_at,
+   arg_max(run, (ts, event_id)) AS last_run, count(*) AS events
+ FROM (SELECT *, sum(CASE WHEN failed THEN 1 ELSE 0 END) OVER (PARTITION BY user_id, island ORDER BY ts, event_id) AS run
+       FROM (SELECT *, sum(CASE WHEN failed THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id)
+             AS island FROM c_logins) a) b GROUP BY user_id),
+lockouts AS (SELECT lk.user_id, locked_at IS NOT NULL AS account_locked,
+   CAST(CASE WHEN locked_at IS NOT NULL THEN 3 ELSE last_run END AS INTEGER) AS login_attempts, locked_at,
+   (SELECT max(ts) FROM c_logins l WHERE l.user_id = lk.user_id AND NOT l.failed
+      AND (lk.locked_at IS NULL OR l.ts < lk.locked_at)) AS last_login, events FROM lk)"""
+
+
+@register("lockouts", with_views("""SELECT user_id, account_locked, login_attempts,
+  CAST(locked_at AS DATE) AS locked_day, events FROM lockouts""", _LOCK_SQL), [], "LOC1")
+def q_lockouts(spark, sf_dir):
+    lo = AC.lockouts(care(spark, sf_dir).logins)
+    return lo.select("user_id", "account_locked", "login_attempts", F.to_date("locked_at").alias("locked_day"),
+                     "events")
+
+
+@register("security_summary", with_views(f"""SELECT count(*) FILTER (WHERE account_locked) AS locked_accounts,
+  count(*) FILTER (WHERE login_attempts > 0) AS failed_attempts,
+  count(*) FILTER (WHERE password_expires < {_EV_AS_OF}) AS expired_passwords,
+  count(*) FILTER (WHERE last_login < DATE '2024-01-10') AS inactive_users
+ FROM (SELECT l.*, f.first_ts + INTERVAL 21 DAY AS password_expires FROM lockouts l
+       JOIN (SELECT user_id, min(ts) AS first_ts FROM c_logins GROUP BY 1) f ON l.user_id = f.user_id) u""",
+                                           _LOCK_SQL), [], "AGG31")
+def q_security_summary(spark, sf_dir):
+    users = AC.users_from_logins(care(spark, sf_dir).logins)
+    return AC.security_summary(users, EVENT_AS_OF, inactive_days=21)
+
+
+@register("record_growth", with_views("""SELECT month, new_records,
+  avg(new_records) OVER (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW) AS trailing_mean
+ FROM (SELECT CAST(date_trunc('month', created_at) AS DATE) AS month, count(*) AS new_records FROM c_outcomes
+       WHERE created_at >= DATE '2000-08-01' GROUP BY 1) g"""), ["trailing_mean"], "AGG32 WIN9")
+def q_record_growth(spark, sf_dir):
+    import datetime as dt
+    return AC.record_growth(care(spark, sf_dir).outcomes, dt.date(2001, 8, 1))
+
+
+def _alerts(c: CareTables) -> DataFrame:
+    """Alerts derived from the login events: lock-outs, error spikes and a daily notice."""
+    lo = AC.lockouts(c.logins).where(F.col("account_locked"))
+    lock = U.alert_rows(lo, "security", "warning", "Account locked",
+                        F.concat(F.lit("User "), F.col("user_id").cast("string"), F.lit(" locked")),
+                        "locked_at", target_user=F.col("user_id"))
+    daily = c.logins.groupBy(F.to_date("ts").alias("day")).agg(
+        F.count_if(F.col("failed")).alias("errors"), F.count(F.lit(1)).alias("n"))
+    spikes = U.alert_rows(daily.where(F.col("errors") > 70), "quality", "error", "Error spike",
+                          F.concat(F.lit("errors: "), F.col("errors").cast("string")), "day", target_role="Admin")
+    notice = U.alert_rows(daily, "info", "info", "Daily summary",
+                          F.concat(F.lit("events: "), F.col("n").cast("string")), "day")
+    notice = notice.withColumn("is_read", F.dayofmonth("created_at") % 3 == 0)
+    return lock.unionByName(spikes).unionByName(notice)
+
+
+_ALERTS_SQL = """daily AS (SELECT CAST(ts AS DATE) AS day, count(*) FILTER (WHERE failed) AS errors, count(*) AS n
+ FROM c_logins GROUP BY 1),
+alerts AS (
+ SELECT 'security' AS alert_type, 'warning' AS severity, 'Account locked' AS title,
+   'User ' || user_id || ' locked' AS message, CAST(user_id AS VARCHAR) AS target_user,
+   CAST(NULL AS VARCHAR) AS target_role, false AS is_read, locked_at AS created_at,
+   locked_at + INTERVAL 30 DAY AS expires_at FROM lockouts WHERE account_locked
+ UNION ALL SELECT 'quality', 'error', 'Error spike', 'errors: ' || errors, NULL, 'Admin', false,
+   CAST(day AS TIMESTAMP), CAST(day AS TIMESTAMP) + INTERVAL 30 DAY FROM daily WHERE errors > 70
+ UNION ALL SELECT 'info', 'info', 'Daily summary', 'events: ' || n, NULL, NULL, dayofmonth(day) % 3 = 0,
+   CAST(day AS TIMESTAMP), CAST(day AS TIMESTAMP) + INTERVAL 30 DAY FROM daily)"""
+
+
+@register("active_alerts", with_views("""SELECT alert_type, severity, title, message, CAST(created_at AS DATE) AS
+  created_day FROM alerts WHERE (target_user = '8' OR target_role = 'Admin'
+  OR (target_user IS NULL AND target_role IS NULL)) AND NOT is_read AND expires_at > TIMESTAMP '2024-01-20 00:00:00'
+ ORDER BY CASE severity WHEN 'error' THEN 3 WHEN 'warning' THEN 2 WHEN 'info' THEN 1 END DESC NULLS LAST,
+   created_at DESC, title LIMIT 5""", _LOCK_SQL, _ALERTS_SQL), [], "FLT10 SNK5")
+def q_active_alerts(spark, sf_dir):
+    import datetime as dt
+    a = AC.active_alerts(_alerts(care(spark, sf_dir)), "8", "Admin", dt.datetime(2024, 1, 20))
+    return a.select("alert_type", "severity", "title", "message", F.to_date("created_at").alias("created_day"))
+
+
+@register("lockout_alerts", with_views("""SELECT alert_type, severity, title, message, target_user,
+  CAST(created_at AS DATE) AS created_day, CAST(expires_at AS DATE) AS expires_day FROM alerts
+ WHERE alert_type = 'security'""", _LOCK_SQL, _ALERTS_SQL), [], "SNK5")
+def q_lockout_alerts(spark, sf_dir):
+    a = _alerts(care(spark, sf_dir)).where(F.col("alert_type") == "security")
+    return a.select("alert_type", "severity", "title", "message", "target_user",
+                    F.to_date("created_at").alias("created_day"), F.to_date("expires_at").alias("expires_day"))
