@@ -986,3 +986,99 @@ def q_lockout_alerts(spark, sf_dir):
     a = _alerts(care(spark, sf_dir)).where(F.col("alert_type") == "security")
     return a.select("alert_type", "severity", "title", "message", "target_user",
                     F.to_date("created_at").alias("created_day"), F.to_date("expires_at").alias("expires_day"))
+
+
+# --------------------------------------------------------------------------- statistics
+from caremart.operators import stats as ST  # noqa: E402
+
+_MOM = """m AS (SELECT intervention_name AS g, count(normalized_score) AS n, avg(normalized_score) AS mean,
+   var_samp(normalized_score) AS var FROM mart WHERE intervention_name IS NOT NULL AND normalized_score IS NOT NULL
+   GROUP BY 1)"""
+
+
+@register("pairwise_effect_sizes", mart_query("""SELECT a.g AS group_1, b.g AS group_2, a.n AS n_1, b.n AS n_2,
+  (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n))
+    AS t_stat, CAST(a.n + b.n - 2 AS DOUBLE) AS dof,
+  (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) AS effect_size
+ FROM m a JOIN m b ON a.g < b.g WHERE a.n >= 6 AND b.n >= 6""", None, None, _MOM),
+          ["t_stat", "dof", "effect_size"], "STA1 STA4 JN12")
+def q_pairwise_effect_sizes(spark, sf_dir):
+    return ST.effect_sizes(mart(spark, sf_dir))
+
+
+@register("pairwise_significance", None, [], "STA1 STA3 STA5 (p-values: unit goldens)")
+def q_pairwise_significance(spark, sf_dir):
+    return ST.label_significance(ST.pairwise_significance(mart(spark, sf_dir)))
+
+
+@register("significance_counts", None, [], "STA6")
+def q_significance_counts(spark, sf_dir):
+    return ST.significance_counts(ST.pairwise_significance(mart(spark, sf_dir)))
+
+
+_MW = """c AS (SELECT intervention_name AS g, normalized_score AS v, count(*) AS c FROM mart
+   WHERE intervention_name IS NOT NULL AND normalized_score IS NOT NULL GROUP BY 1, 2),
+sz AS (SELECT g, sum(c) AS n FROM c GROUP BY 1)"""
+
+
+@register("mannwhitney_u", mart_query("""SELECT p.g1 AS group_1, p.g2 AS group_2, p.n1 AS n_1, p.n2 AS n_2,
+  u.u1 AS u_stat,
+  (greatest(u.u1, p.n1 * p.n2 - u.u1) - p.n1 * p.n2 / 2.0 - 0.5)
+   / sqrt(p.n1 * p.n2 / 12.0 * ((p.n1 + p.n2 + 1) - t.ties / ((p.n1 + p.n2) * (p.n1 + p.n2 - 1.0)))) AS z
+ FROM (SELECT a.g AS g1, b.g AS g2, CAST(a.n AS DOUBLE) AS n1, CAST(b.n AS DOUBLE) AS n2 FROM sz a JOIN sz b
+       ON a.g < b.g) p
+ JOIN (SELECT a.g AS g1, b.g AS g2, sum(a.c * b.c * CASE WHEN b.v < a.v THEN 1.0 ELSE 0.5 END) AS u1
+       FROM c a JOIN c b ON a.g < b.g AND b.v <= a.v GROUP BY 1, 2) u ON p.g1 = u.g1 AND p.g2 = u.g2
+ JOIN (SELECT g1, g2, sum(power(t, 3) - t) AS ties FROM (
+        SELECT p.g1, p.g2, x.v, sum(x.c) AS t FROM (SELECT a.g AS g1, b.g AS g2 FROM sz a JOIN sz b ON a.g < b.g) p
+        JOIN c x ON x.g = p.g1 OR x.g = p.g2 GROUP BY 1, 2, 3) q GROUP BY 1, 2) t ON p.g1 = t.g1 AND p.g2 = t.g2""",
+                                    None, None, _MW), ["u_stat", "z"], "STA2")
+def q_mannwhitney_u(spark, sf_dir):
+    return ST.mannwhitney_pairs(mart(spark, sf_dir)).drop("p_value")
+
+
+@register("mannwhitney_pvalues", None, [], "STA2 (p-values: unit goldens)")
+def q_mannwhitney_pvalues(spark, sf_dir):
+    return ST.mannwhitney_pairs(mart(spark, sf_dir))
+
+
+CORR_COLS = ["normalized_score", "total_cost", "session_duration", "quality_rating", "improvement_from_baseline"]
+_CORR_SQL = " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS correlation FROM mart"
+                               for a in CORR_COLS for b in CORR_COLS)
+
+
+@register("correlation_matrix", mart_query(_CORR_SQL), ["correlation"], "STA7")
+def q_correlation_matrix(spark, sf_dir):
+    return ST.correlation_matrix(mart(spark, sf_dir), CORR_COLS)
+
+
+_CORR_UP = " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS correlation FROM mart"
+                              for i, a in enumerate(CORR_COLS) for b in CORR_COLS[i + 1:])
+
+
+@register("strong_correlations", mart_query(f"""SELECT var1, var2, correlation,
+  CASE WHEN abs(correlation) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength,
+  CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS direction
+ FROM ({_CORR_UP}) c WHERE abs(correlation) > 0.3"""), ["correlation"], "STA8")
+def q_strong_correlations(spark, sf_dir):
+    """Pairs above |r| = 0.3 (the reference's 0.5 cut leaves no pair on this data)."""
+    return ST.strong_correlations(ST.correlation_matrix(mart(spark, sf_dir), CORR_COLS), CORR_COLS, threshold=0.3)
+
+
+@register("outcome_trend_by_intervention", mart_query("""SELECT intervention_name, count(*) AS n,
+  regr_slope(normalized_score, CAST(session_date - DATE '1970-01-01' AS DOUBLE)) AS slope,
+  regr_intercept(normalized_score, CAST(session_date - DATE '1970-01-01' AS DOUBLE)) AS intercept,
+  regr_r2(normalized_score, CAST(session_date - DATE '1970-01-01' AS DOUBLE)) AS r2
+ FROM mart WHERE normalized_score IS NOT NULL AND session_date IS NOT NULL GROUP BY 1 HAVING count(*) >= 6"""),
+          ["slope", "intercept", "r2"], "STA9")
+def q_outcome_trend(spark, sf_dir):
+    return ST.ols_by(mart(spark, sf_dir), "intervention_name", "normalized_score", "session_date")
+
+
+@register("quality_outcome_fit", mart_query("""SELECT intervention_name, count(*) AS n,
+  regr_slope(normalized_score, quality_rating) AS slope, regr_intercept(normalized_score, quality_rating) AS intercept,
+  regr_r2(normalized_score, quality_rating) AS r2
+ FROM mart WHERE normalized_score IS NOT NULL AND quality_rating IS NOT NULL GROUP BY 1 HAVING count(*) >= 6"""),
+          ["slope", "intercept", "r2"], "STA9")
+def q_quality_outcome_fit(spark, sf_dir):
+    return ST.ols_by(mart(spark, sf_dir), "intervention_name", "normalized_score", "quality_rating")
