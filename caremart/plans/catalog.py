@@ -1082,3 +1082,99 @@ def q_outcome_trend(spark, sf_dir):
           ["slope", "intercept", "r2"], "STA9")
 def q_quality_outcome_fit(spark, sf_dir):
     return ST.ols_by(mart(spark, sf_dir), "intervention_name", "normalized_score", "quality_rating")
+
+
+# --------------------------------------------------------------------------- reports, exports and views
+from caremart.operators import filters as FL  # noqa: E402
+from caremart.plans import reports as RP  # noqa: E402
+from caremart.sources import tables as TB  # noqa: E402
+
+
+@register("executive_recommendations", mart_query("""SELECT
+  arg_max(intervention_name, (efficiency_ratio, intervention_name)) AS expand,
+  arg_min(intervention_name, (efficiency_ratio, intervention_name)) AS review
+ FROM (SELECT intervention_name, avg(improvement_from_baseline) / NULLIF(avg(total_cost), 0) AS efficiency_ratio
+       FROM mart WHERE intervention_name IS NOT NULL GROUP BY 1) a"""), [], "RPT1 AGG17 (D4)")
+def q_executive_recommendations(spark, sf_dir):
+    return RP.executive_recommendations(A.intervention_analysis(mart(spark, sf_dir)))
+
+
+BILLING_MAP = "STANDARD: 97110\nPROMO: 97530\nSMALL: 92507\nLARGE: 97150"
+
+
+@register("billing_export", mart_query("""SELECT m.intervention_name, session_date, anonymous_id, session_duration,
+  total_cost, id, b.billing_code FROM mart m LEFT JOIN (VALUES ('STANDARD', '97110'), ('PROMO', '97530'),
+  ('SMALL', '92507'), ('LARGE', '97150')) b(intervention_name, billing_code) ON m.intervention_name = b.intervention_name"""),
+          ["session_duration", "total_cost"], "SNK6")
+def q_billing_export(spark, sf_dir):
+    return RP.billing_export(mart(spark, sf_dir), BILLING_MAP)
+
+
+@register("low_quality_log", mart_query("""SELECT session_date, anonymous_id, intervention_name, staff_name,
+  quality_rating FROM mart WHERE quality_rating < 3"""), ["quality_rating"], "FLT9 RPT4")
+def q_low_quality_log(spark, sf_dir):
+    return RP.quality_report(mart(spark, sf_dir))["low_quality_log"]
+
+
+@register("service_log", mart_query("""SELECT session_date, anonymous_id, intervention_name, session_duration,
+  staff_name, id FROM mart"""), ["session_duration"], "SRT1 RPT7")
+def q_service_log(spark, sf_dir):
+    return R.service_log(mart(spark, sf_dir))
+
+
+@register("progress_timeline", mart_query("""SELECT anonymous_id, session_date, intervention_name, metric_name,
+  normalized_score, score FROM mart WHERE metric_name IN ('M1', 'M2', 'M5')"""), ["normalized_score", "score"],
+          "WIN11 FLT6 RPT5")
+def q_progress_timeline(spark, sf_dir):
+    return R.progress_timeline(mart(spark, sf_dir), ["M1", "M2", "M5"])
+
+
+@register("support_by_intervention_matrix", mart_query("""SELECT intervention_name,
+  coalesce(bool_or(support_level = 'AFRICA'), false) AS AFRICA, coalesce(bool_or(support_level = 'AMERICA'), false) AS AMERICA,
+  coalesce(bool_or(support_level = 'ASIA'), false) AS ASIA, coalesce(bool_or(support_level = 'EUROPE'), false) AS EUROPE,
+  coalesce(bool_or(support_level = 'MIDDLE EAST'), false) AS "MIDDLE EAST"
+ FROM mart WHERE quality_rating >= 5 AND age_group = '18-30' AND metric_name = 'M1' GROUP BY 1"""), [], "AGG39")
+def q_presence_matrix(spark, sf_dir):
+    m = mart(spark, sf_dir).where((F.col("quality_rating") >= 5) & (F.col("age_group") == "18-30")
+                                  & (F.col("metric_name") == "M1"))
+    return A.presence_matrix(m, "intervention_name", "support_level",
+                             ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
+
+
+@register("individual_picker", with_views("""SELECT id, anonymous_id, age_group, disability_category,
+  anonymous_id || ' - ' || coalesce(age_group, 'Unknown Age') || ', ' || coalesce(disability_category,
+  'Unknown Disability') AS label FROM c_individuals WHERE active"""), [], "SRC4 FLT13")
+def q_individual_picker(spark, sf_dir):
+    ind = TB.active_dim(care(spark, sf_dir).individuals, None, ["admission_date", "id"])
+    return FL.individual_label(ind).select("id", "anonymous_id", "age_group", "disability_category", "label")
+
+
+@register("active_interventions", with_views("""SELECT id, name, cost_per_session, duration_minutes
+ FROM c_interventions WHERE active"""), ["cost_per_session"], "SRC2")
+def q_active_interventions(spark, sf_dir):
+    return TB.active_dim(care(spark, sf_dir).interventions, ["id", "name", "cost_per_session", "duration_minutes"])
+
+
+@register("active_metrics", with_views("""SELECT id, name, category, scale_min, scale_max FROM c_metrics
+ WHERE active"""), ["scale_min", "scale_max"], "SRC3")
+def q_active_metrics(spark, sf_dir):
+    return TB.active_dim(care(spark, sf_dir).metrics, ["id", "name", "category", "scale_min", "scale_max"])
+
+
+@register("staff_directory", with_views("""SELECT id, full_name, role FROM c_staff
+ WHERE role IN ('Staff', 'Supervisor')"""), [], "SRC12 SRC13")
+def q_staff_directory(spark, sf_dir):
+    return TB.staff_directory(care(spark, sf_dir).staff)
+
+
+@register("disability_picker", mart_query("""SELECT DISTINCT disability_category FROM mart
+ WHERE disability_category IS NOT NULL"""), [], "FLT14")
+def q_disability_picker(spark, sf_dir):
+    return FL.distinct_values(mart(spark, sf_dir), "disability_category")
+
+
+@register("note_search", mart_query("""SELECT id, notes, staff_name FROM mart
+ WHERE coalesce(contains(lower(notes), 'noted rf'), false) OR coalesce(contains(lower(staff_name), 'noted rf'), false)"""),
+          [], "FLT4")
+def q_note_search(spark, sf_dir):
+    return FL.search(mart(spark, sf_dir), ["notes", "staff_name"], "Noted RF").select("id", "notes", "staff_name")
