@@ -1178,3 +1178,25 @@ def q_disability_picker(spark, sf_dir):
           [], "FLT4")
 def q_note_search(spark, sf_dir):
     return FL.search(mart(spark, sf_dir), ["notes", "staff_name"], "Noted RF").select("id", "notes", "staff_name")
+
+
+# --------------------------------------------------------------------------- model
+@register("outcome_band_counts", mart_query("""SELECT band, count(*) AS n FROM (SELECT CASE
+  WHEN normalized_score <= -1 THEN NULL WHEN normalized_score <= 4 THEN 'Low'
+  WHEN normalized_score <= 7 THEN 'Medium' WHEN normalized_score <= 11 THEN 'High' END AS band FROM mart
+  WHERE normalized_score IS NOT NULL) b GROUP BY 1"""), [], "ML1 ML2")
+def q_outcome_band_counts(spark, sf_dir):
+    from caremart.plans import model as ML
+    return ML.outcome_band(ML.model_frame(mart(spark, sf_dir))).groupBy("band").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("outcome_model", None, [], "ML3-ML9 (iterative: rows-only)")
+def q_outcome_model(spark, sf_dir):
+    """Train the outcome-band model (reduced tree counts) and report accuracy and top importances."""
+    from caremart.plans import model as ML
+    m = ML.train_outcome_model(mart(spark, sf_dir), trees=(20, 40))
+    if m is None:
+        return spark.createDataFrame([], "metric string, feature string, value double")
+    rows = [("train_accuracy", None, float(m.train_accuracy)), ("test_accuracy", None, float(m.test_accuracy))]
+    rows += [("importance", f, float(v)) for f, v in m.feature_importance]
+    return spark.createDataFrame(rows, "metric string, feature string, value double")
