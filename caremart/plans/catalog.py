@@ -7,6 +7,8 @@ values (``SESSION_AS_OF``, ``EVENT_AS_OF``) so results are reproducible.
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -1200,3 +1202,38 @@ def q_outcome_model(spark, sf_dir):
     rows = [("train_accuracy", None, float(m.train_accuracy)), ("test_accuracy", None, float(m.test_accuracy))]
     rows += [("importance", f, float(v)) for f, v in m.feature_importance]
     return spark.createDataFrame(rows, "metric string, feature string, value double")
+
+
+# --------------------------------------------------------------------------- streaming re-aims
+def _events_stream(spark, sf_dir):
+    """The events table as a file stream (only ``events.parquet`` of the directory is picked up)."""
+    ev = care(spark, sf_dir).raw("events")
+    src = spark.readStream.schema(ev.schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return src.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must be a (session-zone) TIMESTAMP
+
+
+@register("stream_daily_event_counts", with_views("""SELECT CAST(ts AS DATE) AS day, count(*) AS event_count
+ FROM events GROUP BY 1"""), [], "STR3")
+def q_stream_daily_counts(spark, sf_dir):
+    from caremart.streaming import jobs as SJ
+    # update mode: windows still open when the input is drained are reported too
+    out = SJ.run_to_table(SJ.stream_daily_counts(_events_stream(spark, sf_dir)), "daily-counts", "update")
+    return SJ.latest_by_key(out, ["day"]).select("day", "event_count")
+
+
+@register("stream_lockouts", with_views("""SELECT user_id, account_locked, login_attempts, events FROM lockouts""",
+                                        _LOCK_SQL), [], "STR2 (twin of LOC1)")
+def q_stream_lockouts(spark, sf_dir):
+    from caremart.streaming import jobs as SJ
+    logins = (_events_stream(spark, sf_dir).where(F.col("event_type").isin("error", "click", "signup"))
+              .select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed")))
+    out = SJ.run_to_table(SJ.stream_lockouts(logins), "lockouts", output_mode="update")
+    return SJ.latest_by_key(out, ["user_id"]).select("user_id", "account_locked", "login_attempts", "events")
+
+
+@register("stream_dedupe_events", with_views("""SELECT DISTINCT user_id, event_type FROM events"""), [], "STR4")
+def q_stream_dedupe(spark, sf_dir):
+    from caremart.streaming import jobs as SJ
+    out = SJ.run_to_table(SJ.stream_dedupe(_events_stream(spark, sf_dir), ["user_id", "event_type"], "ts",
+                                           "40 days"), "dedupe")
+    return out.select("user_id", "event_type")
