@@ -179,6 +179,12 @@ def prepare_sessions(entries: DataFrame, interventions: DataFrame, history: Data
     return out
 
 
+def session_cost_rows(prepared: DataFrame, session_col: str = "session_key") -> DataFrame:
+    """SNK2: the one cost row a session entry writes (direct cost only, as the reference)."""
+    return prepared.groupBy(session_col, "individual_id", "intervention_id", "session_date").agg(
+        F.max("direct_cost").alias("direct_cost"))
+
+
 def rejected_sessions(entries: DataFrame, as_of: _dt.date, min_notes: int = 10) -> DataFrame:
     """ING9: the entries that fail validation, with their error list."""
     errs = F.filter(F.array(

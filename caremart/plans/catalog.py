@@ -1237,3 +1237,64 @@ def q_stream_dedupe(spark, sf_dir):
     out = SJ.run_to_table(SJ.stream_dedupe(_events_stream(spark, sf_dir), ["user_id", "event_type"], "ts",
                                            "40 days"), "dedupe")
     return out.select("user_id", "event_type")
+
+
+# --------------------------------------------------------------------------- session entry
+_ENTRY_SQL = f"""valid AS (SELECT * FROM c_entries WHERE length(trim(coalesce(notes, ''))) >= 10
+   AND session_date <= {_AS_OF} AND n_lines >= 1),
+base AS (SELECT individual_id, outcome_metric_id, max(CASE WHEN rf = 1 THEN score END) AS first_score FROM (
+   SELECT individual_id, outcome_metric_id, score, row_number() OVER (PARTITION BY individual_id, outcome_metric_id
+     ORDER BY session_date, created_at, id) AS rf FROM c_outcomes) x GROUP BY 1, 2)"""
+
+
+@register("session_entry_rows", with_views("""SELECT v.session_key, v.individual_id, v.intervention_id,
+  s.outcome_metric_id, s.score, coalesce(CAST(b.first_score AS DOUBLE), CAST(s.score AS DOUBLE)) AS baseline_score,
+  coalesce(i.cost_per_session, 50.0) AS direct_cost
+ FROM valid v JOIN c_entry_scores s ON s.session_key = v.session_key
+ LEFT JOIN base b ON b.individual_id = v.individual_id AND b.outcome_metric_id = s.outcome_metric_id
+ LEFT JOIN c_interventions i ON i.id = v.intervention_id""", _ENTRY_SQL),
+          ["score", "baseline_score", "direct_cost"], "ING9 JN4")
+def q_session_entry_rows(spark, sf_dir):
+    c = care(spark, sf_dir)
+    rows = G.prepare_sessions(c.session_entries, c.interventions, c.outcomes, SESSION_AS_OF)
+    return rows.select("session_key", "individual_id", "intervention_id", "outcome_metric_id", "score",
+                       "baseline_score", "direct_cost")
+
+
+@register("session_entry_rejections", with_views(f"""SELECT
+  count(*) FILTER (WHERE length(trim(coalesce(notes, ''))) < 10) AS short_notes,
+  count(*) FILTER (WHERE session_date > {_AS_OF}) AS future_dates,
+  count(*) FILTER (WHERE n_lines < 1) AS no_metric,
+  count(*) FILTER (WHERE length(trim(coalesce(notes, ''))) < 10 OR session_date > {_AS_OF} OR n_lines < 1)
+    AS rejected FROM c_entries"""), [], "ING9")
+def q_session_entry_rejections(spark, sf_dir):
+    c = care(spark, sf_dir)
+    r = G.rejected_sessions(c.session_entries, SESSION_AS_OF)
+    has = lambda s: F.array_contains("errors", s)
+    return r.agg(F.count_if(has("notes shorter than 10 characters")).alias("short_notes"),
+                 F.count_if(has("session date in the future")).alias("future_dates"),
+                 F.count_if(has("no metric scored")).alias("no_metric"),
+                 F.count(F.lit(1)).alias("rejected"))
+
+
+@register("session_cost_rows", with_views("""SELECT v.session_key, v.individual_id, v.intervention_id, v.session_date,
+  coalesce(i.cost_per_session, 50.0) AS direct_cost
+ FROM valid v LEFT JOIN c_interventions i ON i.id = v.intervention_id""", _ENTRY_SQL), ["direct_cost"], "SNK2")
+def q_session_cost_rows(spark, sf_dir):
+    c = care(spark, sf_dir)
+    rows = G.prepare_sessions(c.session_entries, c.interventions, c.outcomes, SESSION_AS_OF)
+    return G.session_cost_rows(rows)
+
+
+@register("stream_import", with_views("""SELECT row_num, individual_id, intervention_id, outcome_metric_id,
+  score_value AS score, session_day AS session_date FROM imported""", _RESOLVED_SQL), ["score"], "STR1 ING7 ING8")
+def q_stream_import(spark, sf_dir):
+    """Write the import batch as CSV files in the shared folder, then import them with a file stream."""
+    from caremart.plans.materialize import stage_path
+    from caremart.streaming import jobs as SJ
+    c = care(spark, sf_dir)
+    in_dir = stage_path(spark, "import-csv")
+    c.import_batch.write.option("header", True).csv(in_dir)
+    out = SJ.stream_import(spark, in_dir, c.individuals, c.interventions, c.metrics, _stored(c))
+    return spark.read.parquet(out).select("row_num", "individual_id", "intervention_id", "outcome_metric_id",
+                                          "score", "session_date")

@@ -72,6 +72,12 @@ CARE_VIEWS = {
   JOIN customer ON o_custkey = c_custkey WHERE l_returnflag = 'R'""",
     "c_import_typed": """SELECT *, TRY_CAST(score AS DOUBLE) AS score_value,
    CAST(try_strptime(session_date, '%Y-%m-%d') AS DATE) AS session_day FROM c_import""",
+    "c_entries": """SELECT o_orderkey AS session_key, o_custkey AS individual_id,
+   (['STANDARD', 'PROMO', 'SMALL', 'LARGE', 'ECONOMY', 'MEDIUM'])[CAST(o_orderkey % 6 + 1 AS INTEGER)] AS intervention_id,
+   CAST(o_orderdate AS DATE) AS session_date, o_orderpriority AS notes,
+   (SELECT count(*) FROM lineitem WHERE l_orderkey = o_orderkey) AS n_lines FROM orders""",
+    "c_entry_scores": """SELECT l_orderkey AS session_key, l_linenumber AS outcome_metric_id, max(l_quantity) AS score
+ FROM lineitem GROUP BY 1, 2""",
     "c_budgets": """SELECT CAST(fiscal_year AS INTEGER) AS fiscal_year, CAST(total_budget AS DOUBLE) AS total_budget
  FROM (VALUES (1995,4e6),(1996,5e6),(1997,5e6),(1998,5e6),(1999,5e6),(2000,5e6),(2001,4e6)) t(fiscal_year, total_budget)""",
     "c_logins": """SELECT event_id, user_id, ts, event_type = 'error' AS failed

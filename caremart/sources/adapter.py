@@ -208,6 +208,24 @@ class CareTables:
             .otherwise(F.col("l_shipdate").cast("date").cast("string")).alias("session_date"),
             (F.lit(30) + F.col("l_partkey") % 31).cast("string").alias("session_duration"))
 
+    @cached_property
+    def session_entries(self) -> DataFrame:
+        """Session entry forms derived from orders: one map of metric -> score per order.
+
+        The intervention cycles through the six names by order key; the notes are
+        the order priority, so short notes and future dates both occur.
+        """
+        o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate", "o_orderpriority")
+        li = (self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
+              .groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "q")))
+                                         .alias("scores")))
+        names = F.array(*[F.lit(r[0]) for r in INTERVENTION_ROWS])
+        return (o.join(li, o.o_orderkey == li.l_orderkey, "left")
+                .select(F.col("o_orderkey").alias("session_key"), F.col("o_custkey").alias("individual_id"),
+                        F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("intervention_id"),
+                        F.col("o_orderdate").cast("date").alias("session_date"),
+                        F.col("o_orderpriority").alias("notes"), "scores"))
+
     @cached_property
     def budgets(self) -> DataFrame:
         return self.spark.createDataFrame(BUDGET_ROWS, "fiscal_year int, total_budget double")
