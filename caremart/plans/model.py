@@ -17,6 +17,7 @@ from pyspark.ml.classification import RandomForestClassifier
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.ml.feature import (OneHotEncoder, StandardScaler, StringIndexer, UnivariateFeatureSelector,
                                 VectorAssembler)
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -139,4 +140,4 @@ def predict(model: OutcomeModel, df: DataFrame, defaults: Mapping[str, object] |
     scored = model.model.transform(out.withColumn("band", F.lit(model.labels[0])))
     lab = F.array(*[F.lit(x) for x in model.labels])
     return scored.withColumns({"predicted_band": lab[F.col("prediction").cast("int")],
-                               "probabilities": F.expr("vector_to_array(probability)")})
+                               "probabilities": vector_to_array(F.col("probability"))})

@@ -1,9 +1,8 @@
 """SRC7-SRC11: CSV batch sources with declared column contracts.
 
-Every cell is read as a string (no schema inference) in PERMISSIVE mode with a
-``_corrupt_record`` column, so malformed lines and bad values become row-level
-validation errors (``operators.ingest``) rather than job failures.  A
-``row_num`` column records file order (file name + line position) for
+Every cell is read as a string (no schema inference) in PERMISSIVE mode, so
+bad values become row-level validation errors (``operators.ingest``) rather
+than job failures.  A ``row_num`` column records file order for
 ``skip_duplicates``.
 """
 
@@ -13,29 +12,30 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from caremart.schemas import (ASSESSMENT_CSV, INDIVIDUALS_CSV, INTERVENTIONS_CSV, OUTCOMES_CSV_OPTIONAL,
                               OUTCOMES_CSV_REQUIRED)
 
 
-def _string_schema(cols: Sequence[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, T.StringType(), True) for c in cols]
-                        + [T.StructField("_corrupt_record", T.StringType(), True)])
+def read_contract_csv(spark: SparkSession, path: str, required: Sequence[str],
+                      optional: Sequence[str] = ()) -> DataFrame:
+    """Read a headered CSV as strings: the header's columns, absent optional ones as NULL, and ``row_num``.
 
-
-def read_contract_csv(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
-    """Read a headered CSV whose columns are ``cols`` (all strings) plus ``row_num`` and ``_corrupt_record``."""
-    df = (spark.read.option("header", True).option("mode", "PERMISSIVE")
-          .option("columnNameOfCorruptRecord", "_corrupt_record").option("enforceSchema", False)
-          .schema(_string_schema(cols)).csv(path))
-    # file order: (file, position inside the split) -> monotonically increasing id keeps it per file
+    No inference: every cell stays a string (PERMISSIVE mode, short lines padded
+    with NULL), so conversion problems surface as ING2 rows.  Absent required
+    columns are left absent for ``ingest.missing_columns`` (ING1) to report.
+    """
+    df = spark.read.option("header", True).option("mode", "PERMISSIVE").option("inferSchema", False).csv(path)
+    for c in optional:
+        if c not in df.columns:
+            df = df.withColumn(c, F.lit(None).cast("string"))
+    # file order: monotonically increasing ids follow file splits and line position
     return df.withColumn("row_num", F.monotonically_increasing_id())
 
 
 def read_outcomes_csv(spark: SparkSession, path: str) -> DataFrame:
     """SRC7: bulk outcome CSV (required + optional columns)."""
-    return read_contract_csv(spark, path, OUTCOMES_CSV_REQUIRED + OUTCOMES_CSV_OPTIONAL)
+    return read_contract_csv(spark, path, OUTCOMES_CSV_REQUIRED, OUTCOMES_CSV_OPTIONAL)
 
 
 def read_individuals_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -50,7 +50,7 @@ def read_interventions_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def read_batch_update_csv(spark: SparkSession, path: str, cols: Sequence[str]) -> DataFrame:
     """SRC10: batch-update CSV keyed by ``record_id`` (feeds ``updates.batch_update``)."""
-    return read_contract_csv(spark, path, ["record_id", *cols])
+    return read_contract_csv(spark, path, ["record_id"], cols)
 
 
 def read_mapped_csv(spark: SparkSession, path: str, mapping: Mapping[str, str]) -> DataFrame:
