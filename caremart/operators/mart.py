@@ -1,8 +1,9 @@
 """MRT1-MRT9: the cleaned, imputed, direction-normalised outcome mart.
 
-One lazy plan: star join -> attended/period/filters -> global medians and modes
-of the *filtered* rows (a one-row frame, broadcast) -> derived columns ->
-second median pass for leftover normalised scores.  Nothing is collected.
+Star join -> attended/period/filters -> global medians and modes of the
+*filtered* rows -> derived columns -> second median pass for leftover
+normalised scores.  The statistics come back to the driver as a handful of
+numbers (never rows) and are applied as literals; the row plan stays lazy.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caremart.functions.columns import clamp, sum_skip_nulls
-from caremart.functions.quantiles import auto_accuracy, medians, modes
+from caremart.functions.quantiles import auto_accuracy, exact_median_values, medians, mode_values, modes
 from caremart.operators.filters import apply_filters, attended, in_period
 
 NUMERIC_IMPUTE = ["cost_per_session", "session_duration", "quality_rating", "direct_cost", "indirect_cost",
@@ -86,17 +87,28 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str] = NUMERIC_COERCE) -> DataF
 
 def impute(df: DataFrame, numeric: Sequence[str] = NUMERIC_IMPUTE,
            categorical: Sequence[str] = CATEGORICAL_IMPUTE, default: str = "Unknown",
-           median_strategy: str = "exact", accuracy: int | None = None) -> DataFrame:
+           median_strategy: str = "exact", accuracy: int | None = None, rows: int | None = None) -> DataFrame:
     """MRT3/MRT4: median fill of numeric columns, mode fill (ties -> smallest) of categoricals.
 
-    The statistics are one row over exactly the rows of ``df`` (so a filtered
-    mart gets its own medians) and are attached by a broadcast of that one row.
+    The statistics are computed over exactly the rows of ``df`` (so a filtered
+    mart gets its own medians).  ``exact`` brings back one number per column
+    (two small jobs, see ``exact_median_values``) and fills with literals, so the
+    row plan stays a single codegen'd projection; other strategies attach a
+    one-row frame by broadcast.
     """
     numeric = [c for c in numeric if c in df.columns]
-    if accuracy is None:
-        accuracy = auto_accuracy(df.count()) if median_strategy == "exact" else 10_000
     categorical = [c for c in categorical if c in df.columns]
-    med = medians(df, numeric, [f"_med_{c}" for c in numeric], median_strategy, accuracy)
+    if median_strategy == "exact":
+        if rows is None:
+            rows = df.count()
+        acc = accuracy or auto_accuracy(rows)
+        meds = exact_median_values(df, numeric, acc, rows)
+        mods = mode_values(df, categorical)
+        fills = {c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, m in zip(numeric, meds)}
+        fills.update({c: F.coalesce(F.col(c), F.lit(m).cast("string"), F.lit(default))
+                      for c, m in zip(categorical, mods)})
+        return df.withColumns(fills)
+    med = medians(df, numeric, [f"_med_{c}" for c in numeric], median_strategy, accuracy or 10_000)
     mod = modes(df, categorical, [f"_mode_{c}" for c in categorical])
     stats = med.crossJoin(mod)  # 1 x 1 row
     fills = {c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in numeric}
@@ -128,10 +140,13 @@ def normalized_score_expr(score: str = "score", lo: str = "scale_min", hi: str =
 
 
 def normalize_score(df: DataFrame, out: str = "normalized_score", median_strategy: str = "exact",
-                    accuracy: int = 10_000) -> DataFrame:
+                    accuracy: int = 10_000, rows: int | None = None) -> DataFrame:
     """MRT7: normalised score; leftover NULLs take the median of the normalised scores."""
     df = df.withColumn(out, normalized_score_expr())
-    med = medians(df, [out], ["_med_norm"], median_strategy, accuracy)
+    if median_strategy == "exact":
+        (m,) = exact_median_values(df, [out], accuracy, rows)
+        return df.withColumn(out, F.coalesce(F.col(out), F.lit(m).cast("double")))
+    med = medians(df, [out], ["_med_norm"], median_strategy, accuracy, rows)
     return (df.crossJoin(F.broadcast(med))
               .withColumn(out, F.coalesce(F.col(out), F.col("_med_norm"))).drop("_med_norm"))
 
@@ -175,10 +190,13 @@ def outcome_mart(tables: Mapping[str, DataFrame], period: tuple | None = None,
     star = coerce_numeric(star)
     if stage is not None:
         star = stage(star, "star")
-    if accuracy is None and median_strategy == "exact":
-        # one cheap count (footer metadata when the star is staged) sizes the sketches
-        accuracy = auto_accuracy(star.count())
-    mart = impute(star, median_strategy=median_strategy, accuracy=accuracy)
+    rows = None
+    if median_strategy == "exact":
+        # one cheap count (footer metadata when the star is staged) sizes the median strategy
+        rows = star.count()
+        accuracy = accuracy or auto_accuracy(rows)
+    mart = impute(star, median_strategy=median_strategy, accuracy=accuracy or 10_000, rows=rows)
     mart = with_variances(with_total_cost(mart))
-    mart = improvement(normalize_score(mart, median_strategy=median_strategy, accuracy=accuracy or 10_000))
+    mart = improvement(normalize_score(mart, median_strategy=median_strategy, accuracy=accuracy or 10_000,
+                                       rows=rows))
     return mart.select(*MART_COLUMNS)

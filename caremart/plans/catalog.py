@@ -8,6 +8,7 @@ values (``SESSION_AS_OF``, ``EVENT_AS_OF``) so results are reproducible.
 from __future__ import annotations
 
 import os
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,8 +22,27 @@ from caremart.plans.registry import register
 from caremart.sources.adapter import CareTables
 
 
+class StoredCareTables(CareTables):
+    """Care tables with the two fact views written once per session as parquet.
+
+    In a care deployment ``outcome_records`` and ``cost_records`` are stored
+    tables; over the driver data they are views (joins and id strings), so they
+    are materialised once in the shared checkpoint folder and scanned after that.
+    """
+
+    @cached_property
+    def outcomes(self) -> DataFrame:
+        return materialized(self.spark, "outcome_records", (self.sf_dir,), lambda: CareTables.outcomes.func(self),
+                            self.sf_dir)
+
+    @cached_property
+    def costs(self) -> DataFrame:
+        return materialized(self.spark, "cost_records", (self.sf_dir,), lambda: CareTables.costs.func(self),
+                            self.sf_dir)
+
+
 def care(spark: SparkSession, sf_dir: str) -> CareTables:
-    return CareTables(spark, sf_dir)
+    return StoredCareTables(spark, sf_dir)
 
 
 def mart(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:

@@ -53,6 +53,27 @@ def _session_id() -> "F.Column":
                        F.col("l_quantity").cast("bigint").cast("string"))
 
 
+def literal_table(spark: SparkSession, rows: list[tuple], columns: list[str]) -> DataFrame:
+    """A small fixed table as an SQL ``VALUES`` relation.
+
+    Unlike a DataFrame built from a Python list (an RDD scan of unknown size),
+    a ``VALUES`` relation carries exact statistics, so Catalyst broadcasts it
+    under the size-checked threshold instead of shuffling the fact side.
+    """
+    def lit(v):
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return "TRUE" if v else "FALSE"
+        if isinstance(v, str):
+            return "'" + v.replace("'", "''") + "'"
+        if isinstance(v, float):
+            return f"CAST({v!r} AS DOUBLE)"
+        return str(v)
+    body = ", ".join("(" + ", ".join(lit(v) for v in r) + ")" for r in rows)
+    return spark.sql(f"SELECT * FROM VALUES {body} AS t({', '.join(columns)})")
+
+
 class CareTables:
     """Lazy care-shaped views over one driver scale-factor directory."""
 
@@ -66,16 +87,17 @@ class CareTables:
     # -- dimensions ---------------------------------------------------------
     @cached_property
     def interventions(self) -> DataFrame:
-        schema = "name string, category string, cost_per_session double, duration_minutes int"
-        df = self.spark.createDataFrame(INTERVENTION_ROWS, schema)
+        df = literal_table(self.spark, INTERVENTION_ROWS, ["name", "category", "cost_per_session", "duration_minutes"])
         return df.select(F.col("name").alias("id"), "*", F.lit(True).alias("active"),
                          F.lit("Moderate").alias("evidence_level"))
 
     @cached_property
     def metrics(self) -> DataFrame:
-        schema = ("id int, name string, category string, scale_min double, scale_max double, "
-                  "higher_is_better boolean")
-        df = self.spark.createDataFrame(METRIC_ROWS, schema)
+        df = literal_table(self.spark, METRIC_ROWS, ["id", "name", "category", "scale_min", "scale_max",
+                                                     "higher_is_better"])
+        df = df.withColumns({"scale_min": F.col("scale_min").cast("double"),
+                             "scale_max": F.col("scale_max").cast("double"),
+                             "category": F.col("category").cast("string")})
         return df.select("*", F.lit(True).alias("active"),
                          F.make_timestamp_ntz(F.lit(2020), F.lit(1), F.col("id"), F.lit(0), F.lit(0),
                                               F.lit(0)).alias("created_at"))
@@ -228,7 +250,7 @@ class CareTables:
 
     @cached_property
     def budgets(self) -> DataFrame:
-        return self.spark.createDataFrame(BUDGET_ROWS, "fiscal_year int, total_budget double")
+        return literal_table(self.spark, [(y, float(b)) for y, b in BUDGET_ROWS], ["fiscal_year", "total_budget"])
 
     @cached_property
     def logins(self) -> DataFrame:
