@@ -21,13 +21,24 @@ def row_cost(parts: Sequence[str] = PARTS, null_as_zero: bool = False):
     return out
 
 
+def fiscal_year(date_col: str, start_month: int = 1) -> "F.Column":
+    """Fiscal year of a date: the calendar year (reference default) or, with a later
+    ``start_month``, the year in which the fiscal year started."""
+    d = F.col(date_col)
+    if start_month == 1:
+        return F.year(d)
+    return F.when(F.month(d) >= start_month, F.year(d)).otherwise(F.year(d) - 1)
+
+
 def budget_status(costs: DataFrame, budgets: DataFrame, year: int | None = None,
-                  null_as_zero: bool = False, date_col: str = "cost_date") -> DataFrame:
-    """AGG37: total budget, spend, remaining and % spent per calendar (fiscal) year.
+                  null_as_zero: bool = False, date_col: str = "cost_date", start_month: int = 1) -> DataFrame:
+    """AGG37: total budget, spend, remaining and % spent per fiscal year.
 
-    ``year=None`` reports every budget year in one pass over the costs.
+    ``year=None`` reports every budget year in one pass over the costs.  The
+    fiscal year is the calendar year unless ``start_month`` says otherwise (D13).
     """
-    c = costs.select(F.year(date_col).alias("fiscal_year"), row_cost(null_as_zero=null_as_zero).alias("_cost"))
+    c = costs.select(fiscal_year(date_col, start_month).alias("fiscal_year"),
+                     row_cost(null_as_zero=null_as_zero).alias("_cost"))
     b = budgets.select(F.col("fiscal_year").cast("int"), F.col("total_budget").cast("double"))
     if year is not None:
         c, b = c.where(F.col("fiscal_year") == year), b.where(F.col("fiscal_year") == year)

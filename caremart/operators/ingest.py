@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caremart.operators.ranking import top_n_per_key
 from caremart.schemas import OUTCOMES_CSV_REQUIRED
 
 # Import defaults for absent optional columns.
@@ -61,9 +62,11 @@ def unknown_reference_report(batch: DataFrame, individuals: DataFrame, intervent
              .select(F.lit("intervention").alias("kind"), "value"),
              unknown_refs(batch, metrics, "metric_name", "name").select(F.lit("metric").alias("kind"), "value")]
     u = parts[0].unionByName(parts[1]).unionByName(parts[2])
-    return u.groupBy("kind").agg(F.count(F.lit(1)).alias("unknown_count"),
-                                 F.array_join(F.slice(F.sort_array(F.collect_set("value")), 1, first_k), ", ")
-                                 .alias("first_values"))
+    counts = u.groupBy("kind").agg(F.count(F.lit(1)).alias("unknown_count"))
+    # only the first k values per kind are gathered (salted top-k, never all unknown values in one task)
+    first = (top_n_per_key(u, ["kind"], [F.asc("value")], first_k).groupBy("kind")
+             .agg(F.array_join(F.sort_array(F.collect_list("value")), ", ").alias("first_values")))
+    return counts.join(first, "kind")
 
 
 def range_violations(batch: DataFrame, metrics: DataFrame, active_only: bool = True) -> DataFrame:

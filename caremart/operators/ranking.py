@@ -12,6 +12,28 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+SALT_BUCKETS = 64
+
+
+def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int,
+                  salt_buckets: int = SALT_BUCKETS, tie: str | None = None, out: str | None = None) -> DataFrame:
+    """The first ``n`` rows per key by ``order``, safe for a key holding a third of all rows.
+
+    Two rounds: rows are spread over ``salt_buckets`` sub-groups of each key by
+    a hash, each sub-group keeps its own first ``n`` (a key's global top n is
+    among them), then one window per key ranks at most ``n * salt_buckets``
+    survivors.  ``out`` names a column holding the final rank (1..n).
+    """
+    keys = list(keys)
+    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
+    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
+    stage1 = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
+              .where(F.col("_r1") <= n).drop("_r1"))
+    w2 = Window.partitionBy(*keys).orderBy(*order)
+    res = stage1.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= n).drop("_salt")
+    return res.withColumnRenamed("_rank", out) if out else res.drop("_rank")
+
+
 def _order(col: str, desc: bool) -> Column:
     return F.desc_nulls_last(col) if desc else F.asc_nulls_last(col)
 
@@ -61,13 +83,17 @@ def recent_vs_early(df: DataFrame, by: str | Sequence[str], order: str = "sessio
     Verdict: improving above +threshold, declining below -threshold, else stable.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    w_new = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(tie))
-    w_old = Window.partitionBy(*keys).orderBy(F.asc(order), F.asc(tie))
-    r = df.select(*keys, value, F.row_number().over(w_new).alias("_rn_new"),
-                  F.row_number().over(w_old).alias("_rn_old"))
-    g = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"),
-                             F.avg(F.when(F.col("_rn_new") <= k, F.col(value))).alias("recent_avg"),
-                             F.avg(F.when(F.col("_rn_old") <= k, F.col(value))).alias("early_avg"))
+    src = df.select(*keys, order, tie, value)
+    # counts by hash aggregate; the k newest / oldest per key by the salted top-n (no whole-key sort)
+    none = F.lit(None).cast("double")
+    allr = src.select(*keys, F.lit(1).alias("_c"), none.alias("_new"), none.alias("_old"))
+    new = top_n_per_key(src, keys, [F.desc(order), F.desc(tie)], k).select(
+        *keys, F.lit(0).alias("_c"), F.col(value).cast("double").alias("_new"), none.alias("_old"))
+    old = top_n_per_key(src, keys, [F.asc(order), F.asc(tie)], k).select(
+        *keys, F.lit(0).alias("_c"), none.alias("_new"), F.col(value).cast("double").alias("_old"))
+    # one aggregate over the union (a NULL key stays its own group, no join needed)
+    g = allr.unionByName(new).unionByName(old).groupBy(*keys).agg(
+        F.sum("_c").alias("n"), F.avg("_new").alias("recent_avg"), F.avg("_old").alias("early_avg"))
     g = g.where(F.col("n") > k).withColumn("trend", F.col("recent_avg") - F.col("early_avg"))
     return g.withColumn("verdict", F.when(F.col("trend") > threshold, "improving")
                         .when(F.col("trend") < -threshold, "declining").otherwise("stable"))
@@ -77,14 +103,13 @@ def recent_activity(df: DataFrame, by: str | Sequence[str] = "staff_id", order:
                     n: int = 10, tie: str = "id") -> DataFrame:
     """WIN6: the latest ``n`` rows per key (per-key top-n; the cap is the feature)."""
     keys = [by] if isinstance(by, str) else list(by)
-    w = Window.partitionBy(*keys).orderBy(F.desc(order), F.desc(tie))
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n).drop("_rn")
+    return top_n_per_key(df, keys, [F.desc(order), F.desc(tie)], n)
 
 
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """WIN7/WIN8: the newest row per key (``row_number() = 1`` with a full ordering)."""
-    w = Window.partitionBy(*keys).orderBy(*[F.desc(c) for c in order])
-    return df.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
+    """WIN7/WIN8: the newest row per key, as a ``max_by`` hash aggregate (partial per task, skew-safe)."""
+    rest = [c for c in df.columns]
+    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select("_r.*"))
 
 
 def trailing_mean(df: DataFrame, order: str, value: str, n: int = 3, out: str | None = None) -> DataFrame:

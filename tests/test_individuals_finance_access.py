@@ -74,3 +74,14 @@ def test_lockout_stream_matches_batch(spark, tmp_path):
     s = SJ.latest_by_key(out, ["user_id"]).collect()[0]
     b = AC.lockouts(_events(spark, "FFSFFFSF")).collect()[0]
     assert (s["account_locked"], s["login_attempts"]) == (b["account_locked"], b["login_attempts"])
+
+
+def test_fiscal_year_start_month(spark):
+    budgets = spark.createDataFrame([(2023, 100.0), (2024, 100.0)], "fiscal_year int, total_budget double")
+    costs = spark.createDataFrame([(dt.date(2024, 3, 1), 10.0, 0.0, 0.0, 0.0), (dt.date(2024, 8, 1), 5.0, 0.0, 0.0, 0.0)],
+                                  "cost_date date, direct_cost double, indirect_cost double, overhead_cost double, "
+                                  "material_cost double")
+    cal = {r["fiscal_year"]: r["ytd_spending"] for r in FN.budget_status(costs, budgets).collect()}
+    assert cal == {2023: 0.0, 2024: 15.0}
+    july = {r["fiscal_year"]: r["ytd_spending"] for r in FN.budget_status(costs, budgets, start_month=7).collect()}
+    assert july == {2023: 10.0, 2024: 5.0}
