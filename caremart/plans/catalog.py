@@ -40,6 +40,12 @@ class StoredCareTables(CareTables):
         return materialized(self.spark, "cost_records", (self.sf_dir,), lambda: CareTables.costs.func(self),
                             self.sf_dir)
 
+    @cached_property
+    def import_batch(self) -> DataFrame:
+        """The incoming CSV batch is a file in a real deployment: written once, then scanned."""
+        return materialized(self.spark, "import_batch", (self.sf_dir,), lambda: CareTables.import_batch.func(self),
+                            self.sf_dir)
+
 
 def care(spark: SparkSession, sf_dir: str) -> CareTables:
     return StoredCareTables(spark, sf_dir)
