@@ -2,7 +2,8 @@
 
 Lock-out detection is a gaps-and-islands computation over each user's event
 sequence: successes start a new island, failures are counted within it, and the
-first island reaching the limit locks the account.
+first island reaching the limit locks the account.  Running counts use
+range-partitioned prefix sums, so one very active user is not one task.
 """
 
 from __future__ import annotations
@@ -12,6 +13,8 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caremart.functions.prefix import prefix_sums
+
 
 def login_activity(logins: DataFrame, as_of: _dt.date, days: int = 30, ts: str = "ts",
                    user: str = "user_id") -> DataFrame:
@@ -28,11 +31,20 @@ def lockouts(events: DataFrame, limit: int = 3, user: str = "user_id", ts: str =
 
     A failure adds one attempt; ``limit`` attempts lock the account and later
     events are ignored; a success before that resets the attempts to 0.
+
+    Gaps and islands without a per-user sort: running counts of successes
+    (island id) and failures come from ``prefix_sums`` (range-partitioned, so a
+    user with a third of the events is split over many tasks); the failures at
+    an island's start come from a hash aggregate; the rest are aggregates.
     """
-    w = Window.partitionBy(user).orderBy(ts, order_tie)
-    e = events.withColumn("_island", F.sum((~F.col("failed")).cast("int")).over(w))
-    wi = Window.partitionBy(user, "_island").orderBy(ts, order_tie)
-    e = e.withColumn("_run", F.sum(F.col("failed").cast("int")).over(wi))
+    e = events.select(user, ts, order_tie, F.col("failed").cast("boolean").alias("failed"),
+                      (~F.col("failed")).cast("long").alias("_succ"), F.col("failed").cast("long").alias("_fail"))
+    e = prefix_sums(e, [user], [ts, order_tie], ["_succ", "_fail"])
+    # an island (>= 1) starts at a success, whose running failure count is the island's minimum
+    base = (e.where(F.col("_succ_cum") > 0).groupBy(user, "_succ_cum")
+            .agg(F.min("_fail_cum").alias("_base")))
+    e = (e.join(base, [user, "_succ_cum"], "left")
+         .withColumn("_run", F.col("_fail_cum") - F.coalesce(F.col("_base"), F.lit(0))))
     hit = F.col("failed") & (F.col("_run") == limit)
     g = e.groupBy(user).agg(
         F.min_by(F.col(ts), F.when(hit, F.struct(ts, order_tie))).alias("locked_at"),

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caremart.functions.columns import clamp, safe_div
+from caremart.functions.prefix import row_index
 
 WHO = "anonymous_id"
 
@@ -79,8 +80,9 @@ def recommendations(eff: DataFrame, by: str = WHO, name: str = "intervention_nam
 def individual_detail(mart: DataFrame, by: str = WHO) -> DataFrame:
     """AGG18/STA10: consistency, monthly trend (slope over session index x 30), duration compliance,
     quality consistency, cost per improvement and ROI % per individual."""
-    w = Window.partitionBy(by).orderBy("session_date", "id")
-    src = mart.where(F.col(by).isNotNull()).withColumn("_idx", (F.row_number().over(w) - 1).cast("double"))
+    # session index per individual without sorting a whole individual in one task
+    src = row_index(mart.where(F.col(by).isNotNull()), [by], ["session_date", "id"], "_idx") \
+        .withColumn("_idx", F.col("_idx").cast("double"))
     g = src.groupBy(by).agg(
         F.avg("normalized_score").alias("_m"), F.stddev_samp("normalized_score").alias("_s"),
         F.regr_slope("normalized_score", "_idx").alias("_slope"),

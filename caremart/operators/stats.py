@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caremart.functions.prefix import prefix_sums
 from caremart.functions.pvalues import normal_pvalue, t_pvalue
 
 
@@ -76,8 +77,8 @@ def mannwhitney_pairs(df: DataFrame, group: str = "intervention_name", value: st
         "g1", "g2", "n_1", "n_2", F.col(value).alias("v"), F.lit(0).cast("long").alias("ca"), F.col("c").alias("cb"))
     per = va.unionByName(vb).groupBy("g1", "g2", "n_1", "n_2", "v").agg(F.sum("ca").alias("ca"),
                                                                         F.sum("cb").alias("cb"))
-    w = Window.partitionBy("g1", "g2").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("cb_lt", F.coalesce(F.sum("cb").over(w), F.lit(0)))
+    # values of group 2 below each value: a skew-safe running sum (exclusive) per pair
+    per = prefix_sums(per, ["g1", "g2"], ["v"], ["cb"]).withColumn("cb_lt", F.col("cb_cum") - F.col("cb"))
     g = per.groupBy("g1", "g2", "n_1", "n_2").agg(
         F.sum(F.col("ca") * (F.col("cb_lt") + 0.5 * F.col("cb"))).alias("u1"),
         F.sum(F.pow(F.col("ca") + F.col("cb"), 3) - (F.col("ca") + F.col("cb"))).alias("ties"))
