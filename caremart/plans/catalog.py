@@ -1087,10 +1087,10 @@ _CORR_UP = " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {
 @register("strong_correlations", mart_query(f"""SELECT var1, var2, correlation,
   CASE WHEN abs(correlation) > 0.7 THEN 'strong' ELSE 'moderate' END AS strength,
   CASE WHEN correlation > 0 THEN 'positive' ELSE 'negative' END AS direction
- FROM ({_CORR_UP}) c WHERE abs(correlation) > 0.3"""), ["correlation"], "STA8")
+ FROM ({_CORR_UP}) c WHERE abs(correlation) > 0.5"""), ["correlation"], "STA8")
 def q_strong_correlations(spark, sf_dir):
-    """Pairs above |r| = 0.3 (the reference's 0.5 cut leaves no pair on this data)."""
-    return ST.strong_correlations(ST.correlation_matrix(mart(spark, sf_dir), CORR_COLS), CORR_COLS, threshold=0.3)
+    """Pairs above |r| = 0.5, strong above 0.7 (the reference's cuts)."""
+    return ST.strong_correlations(ST.correlation_matrix(mart(spark, sf_dir), CORR_COLS), CORR_COLS)
 
 
 @register("outcome_trend_by_intervention", mart_query("""SELECT intervention_name, count(*) AS n,
