@@ -112,9 +112,13 @@ def test_prefix_sums_match_window_with_hot_key(spark):
     from caremart.functions.prefix import prefix_sums, row_index
     rows = [("hot", i, i % 3) for i in range(3000)] + [(f"k{i % 7}", i, 1) for i in range(200)]
     df = spark.createDataFrame(rows, "k string, t long, v long")
-    got = {(r["k"], r["t"]): r["v_cum"] for r in prefix_sums(df, ["k"], ["t"], ["v"], partitions=16).collect()}
+    got = {(r["k"], r["t"]): r["v_cum"] for r in prefix_sums(df, ["k"], ["t"], ["v"], partitions=16,
+                                                              max_key_rows=None).collect()}
+    small = {(r["k"], r["t"]): r["v_cum"] for r in prefix_sums(df, ["k"], ["t"], ["v"]).collect()}
+    assert small == got
     w = Window.partitionBy("k").orderBy("t")
     exp = {(r["k"], r["t"]): r["c"] for r in df.withColumn("c", F.sum("v").over(w)).collect()}
     assert got == exp
-    idx = {(r["k"], r["t"]): r["_idx"] for r in row_index(df, ["k"], ["t"], partitions=8).collect()}
+    idx = {(r["k"], r["t"]): r["_idx"] for r in row_index(df, ["k"], ["t"], partitions=8,
+                                                           max_key_rows=1000).collect()}
     assert idx[("hot", 0)] == 0 and idx[("hot", 2999)] == 2999
