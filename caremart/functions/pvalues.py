@@ -8,11 +8,17 @@ Arrow-batched pandas UDFs that only see one row per pair of groups.
 from __future__ import annotations
 
 import math
+import sys
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+# Python workers may not have this package on their path (nothing is installed on the
+# executors): functions of this module are shipped by value inside the pickled UDF.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 _EPS, _TINY, _MAX_IT = 3e-16, 1e-300, 400
 
 

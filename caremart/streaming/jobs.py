@@ -9,9 +9,11 @@ resumes exactly once; ``trigger(availableNow=True)`` drains what is there and st
 from __future__ import annotations
 
 import os
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,10 @@ from caremart.operators import ingest as G
 from caremart.plans.materialize import stage_path
 
 
+# Python workers may not have this package on their path (nothing is installed on the
+# executors): functions of this module are shipped by value inside the pickled UDF.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 def stream_daily_counts(events: DataFrame, ts: str = "ts", user: str = "user_id", watermark: str = "1 day",
                         where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """STR3: events per day and approximate distinct users, with a watermark for late rows.
