@@ -7,19 +7,28 @@ values (``SESSION_AS_OF``, ``EVENT_AS_OF``) so results are reproducible.
 
 from __future__ import annotations
 
-import os
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caremart.operators import access as AC
 from caremart.operators import aggregates as A
+from caremart.operators import filters as FL
+from caremart.operators import finance as FN
+from caremart.operators import individuals as I
+from caremart.operators import ingest as G
+from caremart.operators import quality as Q
 from caremart.operators import ranking as R
+from caremart.operators import stats as ST
+from caremart.operators import updates as U
 from caremart.operators.mart import outcome_mart
+from caremart.plans import reports as RP
 from caremart.plans.materialize import materialized, write_stage
 from caremart.plans.oracle import mart_query, with_views
 from caremart.plans.registry import register
-from caremart.sources.adapter import CareTables
+from caremart.sources import tables as TB
+from caremart.sources.adapter import CareTables, EVENT_AS_OF, SESSION_AS_OF
 
 
 class StoredCareTables(CareTables):
@@ -425,8 +434,6 @@ def q_top_k(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- individuals, goals, schedules
-from caremart.operators import individuals as I  # noqa: E402
-from caremart.sources.adapter import SESSION_AS_OF  # noqa: E402
 
 _FIRST_LAST = """row_number() OVER (PARTITION BY {k} ORDER BY session_date, id) AS rf,
      row_number() OVER (PARTITION BY {k} ORDER BY session_date DESC, id DESC) AS rl"""
@@ -592,7 +599,6 @@ def q_staff_recent_activity(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- data quality
-from caremart.operators import quality as Q  # noqa: E402
 
 _AS_OF = f"DATE '{SESSION_AS_OF}'"
 
@@ -670,7 +676,6 @@ def q_rule_score(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- bulk import
-from caremart.operators import ingest as G  # noqa: E402
 
 
 @register("import_conversion_errors", with_views("""SELECT row_num,
@@ -753,7 +758,6 @@ def q_import_counts(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- updates and appends
-from caremart.operators import updates as U  # noqa: E402
 
 
 def _outcome_slice(c: CareTables) -> DataFrame:
@@ -870,7 +874,6 @@ def q_audit_quality_changes(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- finance
-from caremart.operators import finance as FN  # noqa: E402
 
 
 @register("budget_status", with_views("""SELECT b.fiscal_year, coalesce(b.total_budget, 0.0) AS total_budget,
@@ -913,8 +916,6 @@ def q_cost_by_intervention(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- access and security
-from caremart.operators import access as AC  # noqa: E402
-from caremart.sources.adapter import EVENT_AS_OF  # noqa: E402
 
 _EV_AS_OF = f"DATE '{EVENT_AS_OF}'"
 
@@ -1017,7 +1018,6 @@ def q_lockout_alerts(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- statistics
-from caremart.operators import stats as ST  # noqa: E402
 
 _MOM = """m AS (SELECT intervention_name AS g, count(normalized_score) AS n, avg(normalized_score) AS mean,
    var_samp(normalized_score) AS var FROM mart WHERE intervention_name IS NOT NULL AND normalized_score IS NOT NULL
@@ -1113,9 +1113,6 @@ def q_quality_outcome_fit(spark, sf_dir):
 
 
 # --------------------------------------------------------------------------- reports, exports and views
-from caremart.operators import filters as FL  # noqa: E402
-from caremart.plans import reports as RP  # noqa: E402
-from caremart.sources import tables as TB  # noqa: E402
 
 
 @register("executive_recommendations", mart_query("""SELECT
