@@ -17,16 +17,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from caremart.session import checkpoint_dir
+from caremart.sources.fs import exists, listing_stamp
 
 _WRITTEN: dict[tuple, str] = {}
 
 
-def _source_stamp(sf_dir: str) -> tuple:
-    """Modification times of the inputs, so a rewritten table invalidates the cache."""
-    try:
-        return tuple(sorted((f, int(os.stat(os.path.join(sf_dir, f)).st_mtime)) for f in os.listdir(sf_dir)))
-    except OSError:
-        return ()
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -44,9 +39,10 @@ def write_stage(df: DataFrame, name: str) -> DataFrame:
 def materialized(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame],
                  sf_dir: str | None = None) -> DataFrame:
     """Build once per session and key, then serve scans of the written table."""
-    full = (spark.sparkContext.applicationId, name, key, _source_stamp(sf_dir) if sf_dir else ())
+    # the input listing (names, sizes, mtimes) is part of the key: a rewritten input rebuilds
+    full = (spark.sparkContext.applicationId, name, key, listing_stamp(spark, sf_dir) if sf_dir else ())
     path = _WRITTEN.get(full)
-    if path is None or not os.path.exists(path):
+    if path is None or not exists(spark, path):
         digest = hashlib.sha1(repr(full).encode()).hexdigest()[:12]
         path = stage_path(spark, f"{name}-{digest}")
         build().write.mode("overwrite").parquet(path)

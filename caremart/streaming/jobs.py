@@ -8,7 +8,6 @@ resumes exactly once; ``trigger(availableNow=True)`` drains what is there and st
 
 from __future__ import annotations
 
-import os
 import sys
 from collections.abc import Callable, Iterator, Sequence
 
@@ -21,6 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from caremart.operators import ingest as G
 from caremart.plans.materialize import stage_path
+from caremart.sources.fs import exists
 
 
 # Python workers may not have this package on their path (nothing is installed on the
@@ -138,7 +138,7 @@ def stream_import(spark: SparkSession, in_dir: str, individuals: DataFrame, inte
     def import_batch(batch: DataFrame, epoch: int) -> None:
         b = batch.withColumn("row_num", F.col("row_num").cast("long"))
         existing = stored.select("individual_id", "intervention_id", "session_date")
-        if os.path.exists(out_dir):
+        if exists(spark, out_dir):
             done = spark.read.parquet(out_dir).select("individual_id", "intervention_id", "session_date")
             existing = existing.unionByName(done)
         rows = G.import_outcomes(b, individuals, interventions, metrics, existing=existing)
