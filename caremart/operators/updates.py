@@ -118,6 +118,18 @@ def quick_entries(entries: DataFrame, metrics: DataFrame) -> DataFrame:
                           "attendance_status": F.lit("attended")}))
 
 
+# Fixed values of the follow-up alert an emergency entry raises.
+EMERGENCY_ALERT = ("data_quality", "warning", "Emergency Entry Requires Review", "Administrator")
+
+
+def emergency_alerts(entries: DataFrame, who: str = "anonymous_id", created_col: str = "session_date") -> DataFrame:
+    """SNK3/SNK5: one follow-up alert per emergency entry, for the administrators."""
+    kind, severity, title, role = EMERGENCY_ALERT
+    msg = F.concat(F.lit("Emergency data entry for "), F.col(who).cast("string"),
+                   F.lit(" needs complete documentation"))
+    return alert_rows(entries, kind, severity, title, msg, created_col, target_role=role)
+
+
 def audit_rows(changes: DataFrame, table: str, action: str, key: str, old_cols: Sequence[str] | None,
                new_cols: Sequence[str] | None, changed_by: str | None = None, reason: str | None = None,
                at=None) -> DataFrame:

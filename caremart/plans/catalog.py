@@ -1321,3 +1321,18 @@ def q_stream_import(spark, sf_dir):
     out = SJ.stream_import(spark, in_dir, c.individuals, c.interventions, c.metrics, _stored(c))
     return spark.read.parquet(out).select("row_num", "individual_id", "intervention_id", "outcome_metric_id",
                                           "score", "session_date")
+
+
+@register("emergency_entry_alerts", with_views("""SELECT 'data_quality' AS alert_type, 'warning' AS severity,
+  'Emergency Entry Requires Review' AS title,
+  'Emergency data entry for ' || p.anonymous_id || ' needs complete documentation' AS message,
+  'Administrator' AS target_role, o.session_date AS created_day, o.session_date + 30 AS expires_day
+ FROM c_outcomes o JOIN c_individuals p ON o.individual_id = p.id WHERE o.attendance_status = 'partial'"""), [],
+          "SNK3 SNK5")
+def q_emergency_entry_alerts(spark, sf_dir):
+    c = care(spark, sf_dir)
+    e = (c.outcomes.where(F.col("attendance_status") == "partial")
+         .join(c.individuals.select(F.col("id").alias("individual_id"), "anonymous_id"), "individual_id"))
+    a = U.emergency_alerts(e)
+    return a.select("alert_type", "severity", "title", "message", "target_role",
+                    F.to_date("created_at").alias("created_day"), F.to_date("expires_at").alias("expires_day"))
