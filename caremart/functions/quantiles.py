@@ -26,6 +26,8 @@ DEFAULT_ACCURACY = 50_000
 # Auto accuracy keeps the gathered bracket near this many values per column.
 BRACKET_TARGET = 1_000_000
 MIN_ACCURACY, MAX_ACCURACY = 1_000, 2_000_000
+# Columns with at most this many values are gathered whole instead of bracketed.
+SMALL_ROWS = 100_000
 
 
 def auto_accuracy(rows: int) -> int:
@@ -55,9 +57,12 @@ def exact_medians(df: DataFrame, cols: Sequence[str], names: Sequence[str] | Non
     sketch = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in idx],
                       *[F.percentile_approx(f"v{i}", probs, accuracy).alias(f"b{i}") for i in idx])
     marked = vals.crossJoin(F.broadcast(sketch))  # the sketch is one row by construction
+    def small(i):
+        return F.col(f"n{i}") <= SMALL_ROWS
     gathered = marked.groupBy(*[f"n{i}" for i in idx]).agg(
-        *[F.count_if(F.col(f"v{i}") < F.col(f"b{i}")[0]).alias(f"lt{i}") for i in idx],
-        *[F.sort_array(F.collect_list(F.when(F.col(f"v{i}").between(F.col(f"b{i}")[0], F.col(f"b{i}")[1]),
+        *[F.count_if(~small(i) & (F.col(f"v{i}") < F.col(f"b{i}")[0])).alias(f"lt{i}") for i in idx],
+        *[F.sort_array(F.collect_list(F.when(small(i) | F.col(f"v{i}").between(F.col(f"b{i}")[0],
+                                                                                F.col(f"b{i}")[1]),
                                              F.col(f"v{i}")))).alias(f"a{i}") for i in idx])
     out = []
     for i in idx:
@@ -108,9 +113,13 @@ def exact_median_values(df: DataFrame, cols: Sequence[str], accuracy: int = DEFA
             n, b = sk[f"n{i}"], sk[f"b{i}"]
             if not n:
                 continue
-            lo, hi = float(b[0]), float(b[1])
             v = F.col(f"v{i}")
             meta[i] = n
+            if n <= SMALL_ROWS:
+                # a small column is gathered whole (a bracket of a few ranks could miss a neighbour)
+                picks += [F.lit(0).cast("long").alias(f"lt{i}"), F.sort_array(F.collect_list(v)).alias(f"a{i}")]
+                continue
+            lo, hi = float(b[0]), float(b[1])
             picks += [F.count_if(v < F.lit(lo)).alias(f"lt{i}"),
                       F.sort_array(F.collect_list(F.when(v.between(F.lit(lo), F.lit(hi)), v))).alias(f"a{i}")]
         if not meta:

@@ -93,7 +93,9 @@ def test_all_null_category_becomes_unknown(spark):
 
 
 @pytest.mark.parametrize("n", [1, 2, 7, 200, 5001])
-def test_exact_medians_match_numpy(spark, n):
+def test_exact_medians_match_numpy(spark, n, monkeypatch):
+    from caremart.functions import quantiles
+    monkeypatch.setattr(quantiles, "SMALL_ROWS", 50)  # exercise the bracket path on small data
     import numpy as np
     rng = np.random.default_rng(n)
     vals = rng.integers(0, 50, n).astype(float)
@@ -102,6 +104,11 @@ def test_exact_medians_match_numpy(spark, n):
     df = spark.createDataFrame(pdf, "a double, b double")
     got = exact_medians(df, ["a", "b"], accuracy=1000).collect()[0]
     assert got["a"] == pytest.approx(float(np.median(vals)))
+    vals_b = [b for _, b in pdf if b is not None]
+    eager = quantiles.exact_median_values(df, ["a", "b"], accuracy=1000)
+    assert eager[0] == pytest.approx(float(np.median(vals)))
+    if vals_b:
+        assert eager[1] == pytest.approx(float(np.median(vals_b)))
     bs = [b for _, b in pdf if b is not None]
     if bs:
         assert got["b"] == pytest.approx(float(np.median(bs)))
@@ -122,3 +129,19 @@ def test_prefix_sums_match_window_with_hot_key(spark):
     idx = {(r["k"], r["t"]): r["_idx"] for r in row_index(df, ["k"], ["t"], partitions=8,
                                                            max_key_rows=1000).collect()}
     assert idx[("hot", 0)] == 0 and idx[("hot", 2999)] == 2999
+
+
+def test_describe_exact_paths_agree(spark):
+    import numpy as np
+    from caremart.operators.aggregates import describe_by
+    rng = np.random.default_rng(7)
+    rows = [("hot", float(x)) for x in rng.normal(size=4001)] + [("b", float(x)) for x in rng.integers(0, 9, 10)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    direct = {r["g"]: r for r in describe_by(df, "g", "v").collect()}
+    bracket = {r["g"]: r for r in describe_by(df, "g", "v", max_exact_group_rows=0,
+                                              small_group_rows=100).collect()}
+    for g in ("hot", "b"):
+        vals = np.array([v for k, v in rows if k == g])
+        for col, p in (("p25", 25), ("p50", 50), ("p75", 75)):
+            assert direct[g][col] == pytest.approx(np.percentile(vals, p))
+            assert bracket[g][col] == pytest.approx(np.percentile(vals, p))
