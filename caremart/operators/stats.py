@@ -115,11 +115,15 @@ def significance_counts(sig: DataFrame, col: str = "significant") -> DataFrame:
 
 
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """STA7: Pearson correlation of every ordered pair of columns, long format (pairwise NULL deletion)."""
+    """STA7: Pearson correlation of every ordered pair of columns, long format (pairwise NULL deletion).
+
+    One pass computes the upper triangle and diagonal; the lower triangle mirrors it.
+    """
     cols = list(cols)
-    aggs = [F.corr(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols)]
+    aggs = [F.corr(a, b).alias(f"c_{i}_{j}") for i, a in enumerate(cols) for j, b in enumerate(cols) if i <= j]
     one = df.agg(*aggs)
-    entries = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"), F.col(f"c_{i}_{j}").alias("correlation"))
+    entries = [F.struct(F.lit(a).alias("var1"), F.lit(b).alias("var2"),
+                        F.col(f"c_{min(i, j)}_{max(i, j)}").alias("correlation"))
                for i, a in enumerate(cols) for j, b in enumerate(cols)]
     return one.select(F.explode(F.array(*entries)).alias("e")).select("e.*")
 
