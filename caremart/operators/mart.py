@@ -39,8 +39,9 @@ def outcome_star(outcomes: DataFrame, interventions: DataFrame, metrics: DataFra
 
     Dimensions are pre-projected so only used columns are scanned.  Join strategy
     is left to Catalyst/AQE: small dimensions broadcast under the size-checked
-    ``autoBroadcastJoinThreshold``; the session-level cost join shuffles on
-    ``session_id`` (both facts hash-partitioned once).
+    ``autoBroadcastJoinThreshold``; the session-level cost join is a sort-merge
+    join on ``session_id`` that needs no exchange when both facts are bucketed
+    by it (``plans.materialize.materialized_bucketed``).
     """
     o = outcomes.select(
         "id", "session_id", "individual_id", "intervention_id", "outcome_metric_id",
@@ -70,11 +71,14 @@ def outcome_star(outcomes: DataFrame, interventions: DataFrame, metrics: DataFra
         c = c.groupBy("_c_sid").agg(*[F.sum(x).alias(x) for x in COST_PARTS])
     elif cost_grain != "row":
         raise ValueError("cost_grain must be 'row' or 'session'")
-    return (o.join(i, o.intervention_id == i._i_id)
+    # The fact-fact join goes first: when both facts are bucketed by session_id it needs
+    # no exchange; the dimension joins (inner, on outcome columns only) follow, so the
+    # result equals the written join order of the reference.
+    return (o.join(c, o.session_id == c._c_sid, "left")
+             .join(i, o.intervention_id == i._i_id)
              .join(m, o.outcome_metric_id == m._m_id)
              .join(p, o.individual_id == p._p_id)
              .join(u, o.staff_id == u._u_id, "left")
-             .join(c, o.session_id == c._c_sid, "left")
              .drop("_i_id", "_m_id", "_p_id", "_u_id", "_c_sid"))
 
 

@@ -24,7 +24,7 @@ from caremart.operators import stats as ST
 from caremart.operators import updates as U
 from caremart.operators.mart import outcome_mart
 from caremart.plans import reports as RP
-from caremart.plans.materialize import materialized, write_stage
+from caremart.plans.materialize import materialized, materialized_bucketed, write_stage
 from caremart.plans.oracle import mart_query, with_views
 from caremart.plans.registry import register
 from caremart.sources import tables as TB
@@ -32,22 +32,24 @@ from caremart.sources.adapter import CareTables, EVENT_AS_OF, SESSION_AS_OF
 
 
 class StoredCareTables(CareTables):
-    """Care tables with the two fact views written once per session as parquet.
+    """Care tables with the two fact views written once per session as bucketed parquet tables.
 
     In a care deployment ``outcome_records`` and ``cost_records`` are stored
     tables; over the driver data they are views (joins and id strings), so they
     are materialised once in the shared checkpoint folder and scanned after that.
     """
 
+    # Both facts are bucketed by session_id with the same bucket count, so the mart's
+    # outcome-cost join reads matching buckets without shuffling either side.
     @cached_property
     def outcomes(self) -> DataFrame:
-        return materialized(self.spark, "outcome_records", (self.sf_dir,), lambda: CareTables.outcomes.func(self),
-                            self.sf_dir)
+        return materialized_bucketed(self.spark, "outcome_records", (self.sf_dir,),
+                                     lambda: CareTables.outcomes.func(self), "session_id", sf_dir=self.sf_dir)
 
     @cached_property
     def costs(self) -> DataFrame:
-        return materialized(self.spark, "cost_records", (self.sf_dir,), lambda: CareTables.costs.func(self),
-                            self.sf_dir)
+        return materialized_bucketed(self.spark, "cost_records", (self.sf_dir,),
+                                     lambda: CareTables.costs.func(self), "session_id", sf_dir=self.sf_dir)
 
     @cached_property
     def import_batch(self) -> DataFrame:

@@ -50,6 +50,28 @@ def materialized(spark: SparkSession, name: str, key: tuple, build: Callable[[],
     return spark.read.parquet(path)
 
 
+def materialized_bucketed(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame],
+                          bucket_col: str, buckets: int | None = None, sf_dir: str | None = None) -> DataFrame:
+    """Like ``materialized`` but written as a table bucketed (and sorted) by ``bucket_col``.
+
+    Two tables bucketed the same way on their join key are joined without a
+    shuffle (sort-merge join over matching buckets).  The files live in the
+    shared checkpoint folder; the table is registered in the session catalog.
+    """
+    full = (spark.sparkContext.applicationId, name, key, listing_stamp(spark, sf_dir) if sf_dir else (),
+            bucket_col, buckets)
+    table = _WRITTEN.get(full)
+    if table is None or not spark.catalog.tableExists(table):
+        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        digest = hashlib.sha1(repr(full).encode()).hexdigest()[:12]
+        table = f"caremart_{name}_{digest}"
+        path = stage_path(spark, f"{name}-{digest}")
+        (build().write.mode("overwrite").bucketBy(n, bucket_col).sortBy(bucket_col)
+         .option("path", path).saveAsTable(table))
+        _WRITTEN[full] = table
+    return spark.table(table)
+
+
 def forget() -> None:
     """Drop the in-process index of written tables (the files stay for the cluster's cleaner)."""
     _WRITTEN.clear()
