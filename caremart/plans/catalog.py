@@ -63,10 +63,15 @@ def care(spark: SparkSession, sf_dir: str) -> CareTables:
 
 
 def mart(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
-    """The outcome mart, written once per session and parameters, then scanned."""
+    """The outcome mart, written once per session and parameters, then scanned.
+
+    It is bucketed by individual, so the individual-level reports (summary,
+    progress, effectiveness, recommendations, detail) aggregate without a shuffle.
+    """
     key = tuple(sorted((k, repr(v)) for k, v in kw.items()))
-    return materialized(spark, "mart", (sf_dir, key),
-                        lambda: outcome_mart(care(spark, sf_dir).tables(), stage=write_stage, **kw), sf_dir)
+    return materialized_bucketed(spark, "mart", (sf_dir, key),
+                                 lambda: outcome_mart(care(spark, sf_dir).tables(), stage=write_stage, **kw),
+                                 "anonymous_id", sf_dir=sf_dir)
 
 
 def _dbl(*names: str) -> list[str]:
