@@ -1,7 +1,7 @@
 """Registry of named queries: a Spark builder and (optionally) its DuckDB oracle per name.
 
-Every double column of a result is snapped to 10 significant digits with
-``floor(x * s + 0.4375) / s``, ``s = 10^(9 - floor(log10|x|))``, on both sides: the same IEEE
+Every double column of a result is snapped to 9 significant digits with
+``floor(x * s + c) / s``, ``s = 10^(8 - floor(log10|x|))``, ``c = sqrt(2) - 1``, on both sides: the same IEEE
 operations in both engines, so equal doubles stay equal (``round()`` differs between
 engines on half-way values), and summation-order noise of large sums is far below
 the last kept digit.
@@ -15,9 +15,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-SIGNIFICANT = 10
-# Offset of the snap: short decimals (sums of 6-7 place values) never sit on its boundary.
-OFFSET = 0.4375
+SIGNIFICANT = 9
+# Offset of the snap (sqrt(2) - 1): its boundary is neither a short decimal nor a dyadic
+# fraction, the values floating-point arithmetic tends to land on exactly.
+OFFSET = 0.41421356237309515
 
 
 @dataclass
@@ -50,7 +51,7 @@ def snap_sql(sql: str, doubles: Sequence[str]) -> str:
     def one(c: str) -> str:
         x = f"CAST({c} AS DOUBLE)"
         sc = f"pow(10.0, {SIGNIFICANT - 1} - floor(log10(abs({x}))))"
-        return f"CASE WHEN {x} = 0 THEN 0.0 ELSE floor({x} * {sc} + {OFFSET}) / {sc} END AS {c}"
+        return f"CASE WHEN {x} = 0 THEN 0.0 ELSE floor({x} * {sc} + CAST({OFFSET!r} AS DOUBLE)) / {sc} END AS {c}"
     rep = ", ".join(one(c) for c in doubles)
     return f"SELECT * REPLACE ({rep}) FROM (\n{sql}\n) q"
 
