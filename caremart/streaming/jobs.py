@@ -81,7 +81,10 @@ def stream_lockouts(logins: DataFrame, limit: int = 3) -> DataFrame:
     """STR2: per-user failed-login state across micro-batches (``applyInPandasWithState``).
 
     Each micro-batch's events of a user are applied in event-time order; the
-    update-mode output is the user's current state.  Batch twin: ``access.lockouts``.
+    update-mode output is the user's current state.  An event that arrives in a
+    later micro-batch than newer events of the same user is applied when it
+    arrives (arrival order across batches), as a login service would.  Batch
+    twin: ``access.lockouts``; the state is one small row per user.
     """
     return (logins.select("user_id", "ts", "event_id", "failed").groupBy("user_id")
             .applyInPandasWithState(_lock_step(limit), LOCK_OUTPUT, LOCK_STATE, "update",
