@@ -7,7 +7,6 @@ the end.
 
 from __future__ import annotations
 
-import datetime as _dt
 from collections.abc import Mapping
 
 from pyspark import StorageLevel
@@ -143,7 +142,3 @@ def billing_export(mart: DataFrame, code_map: str,
     schema = "intervention_name string, billing_code string"
     m = spark.createDataFrame(pairs, schema).dropDuplicates(["intervention_name"])
     return mart.select(*cols, "id").join(F.broadcast(m), "intervention_name", "left")
-
-
-def as_of_today() -> _dt.date:
-    return _dt.date.today()
