@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from caremart.llm import mixing, tokens
+from caremart.llm import chat, fingerprint, html, mixing, tokens
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
     "op2_token_counts": tokens.query,
+    "op3_document_fingerprints": fingerprint.query,
+    "op4_html_extraction": html.query,
+    "op5_chat_formatting": chat.query,
 }
 
 SQL = {
     "op1_source_mixing": mixing.SQL,
+    "op5_chat_formatting": chat.SQL,
 }
