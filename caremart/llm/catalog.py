@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caremart.llm import chat, fingerprint, html, mixing, tokens
+from caremart.llm import chat, decontaminate, fingerprint, html, mixing, tokens, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -10,6 +10,8 @@ QUERIES = {
     "op3_document_fingerprints": fingerprint.query,
     "op4_html_extraction": html.query,
     "op5_chat_formatting": chat.query,
+    "op8_toxicity": toxicity.query,
+    "op10_benchmark_decontamination": decontaminate.query,
 }
 
 SQL = {
