@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caremart.llm import chat, decontaminate, fingerprint, html, mixing, tokens, toxicity
+from caremart.llm import chat, decontaminate, fingerprint, html, mixing, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -10,7 +10,9 @@ QUERIES = {
     "op3_document_fingerprints": fingerprint.query,
     "op4_html_extraction": html.query,
     "op5_chat_formatting": chat.query,
+    "op7_personal_data": pii.query,
     "op8_toxicity": toxicity.query,
+    "op9_quality_classifier": quality.query,
     "op10_benchmark_decontamination": decontaminate.query,
 }
 
