@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from caremart.llm import chat, decontaminate, fingerprint, html, mixing, pii, quality, tokens, toxicity
+from caremart.llm import chat, decontaminate, fingerprint, html, jaccard, mixing, pii, quality, tokens, toxicity
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_document_fingerprints": fingerprint.query,
     "op4_html_extraction": html.query,
     "op5_chat_formatting": chat.query,
+    "op6_ngram_jaccard_join": jaccard.query,
     "op7_personal_data": pii.query,
     "op8_toxicity": toxicity.query,
     "op9_quality_classifier": quality.query,

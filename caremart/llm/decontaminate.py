@@ -27,6 +27,7 @@ from __future__ import annotations
 import sys
 from collections import Counter
 from collections.abc import Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -200,20 +201,53 @@ class Index:
 def find_items(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP,
                shard: int = SHARD) -> DataFrame:
     """``doc_id, item_id, score, question_overlap, answer_overlap`` of every verified item of every document."""
-    spark = docs.sparkSession
     ids = items.schema["item_id"].dataType.simpleString()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {ids}, score double, question_overlap double, answer_overlap double"
+    found = [docs.select("doc_id", "text").mapInArrow(_searcher(index, retrieve, overlap, ids), schema)
+             for index in _indexes(items, shard)]
+    return reduce(DataFrame.unionByName, found)
+
+
+def without_items(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, overlap: float = OVERLAP,
+                  shard: int = SHARD) -> DataFrame:
+    """``docs`` without the documents in which an item is verified; no shuffle."""
+    at = docs.columns.index("text")
+    for index in _indexes(items, shard):
+        docs = docs.mapInArrow(_cleaner(index, at, retrieve, overlap), docs.schema)
+    return docs
+
+
+def _indexes(items: DataFrame, shard: int) -> Iterator:
+    """Broadcast indexes of the items, each of about ``shard`` of them."""
+    spark = items.sparkSession
     rows = items.select("item_id", "text")
     shards = max(1, -(-rows.count() // shard))
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
-    out = None
     for k in range(shards):
         part = rows.filter(F.col("_shard") == k).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part]))
-        found = docs.select("doc_id", "text").mapInArrow(_searcher(index, retrieve, overlap, ids), schema)
-        out = found if out is None else out.unionByName(found)
-    return out
+        yield spark.sparkContext.broadcast(Index([(r["item_id"], r["text"]) for r in part]))
+
+
+def _batch_hits(index: Index, texts: Sequence[str | None], retrieve: float, overlap: float) -> Iterator[tuple]:
+    if not index.items:
+        return
+    for first, chunk in text_chunks(texts):
+        buf, starts = joined(chunk)
+        ws, we = word_spans(buf, NOT_ALNUM)
+        words = span_hashes(LOWER[buf], ws, we)
+        for d, *rest in index.hits(words, np.append(np.searchsorted(ws, starts), len(ws)), retrieve, overlap):
+            yield (first + d, *rest)
+
+
+def _cleaner(shared, at: int, retrieve: float, overlap: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[h[0] for h in _batch_hits(shared.value, batch.column(at).to_pylist(), retrieve, overlap)]] = False
+            yield batch.filter(pa.array(clean))
+
+    return run
 
 
 def _searcher(shared, retrieve: float, overlap: float, ids: str):
@@ -222,15 +256,8 @@ def _searcher(shared, retrieve: float, overlap: float, ids: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
-            found = []
-            if index.items:
-                for first, chunk in text_chunks(batch.column(1).to_pylist()):
-                    buf, starts = joined(chunk)
-                    ws, we = word_spans(buf, NOT_ALNUM)
-                    words = span_hashes(LOWER[buf], ws, we)
-                    cuts = np.append(np.searchsorted(ws, starts), len(ws))
-                    for d, item, *rest in index.hits(words, cuts, retrieve, overlap):
-                        found.append((first + d, index.items[item][0], *rest))
+            found = [(d, index.items[item][0], *rest) for d, item, *rest in
+                     _batch_hits(index, batch.column(1).to_pylist(), retrieve, overlap)]
             d, i, s, q, a = zip(*found) if found else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array(d, pa.int64())), pa.array(i, types[ids]), pa.array(s, pa.float64()),
