@@ -197,6 +197,9 @@ LABELLED_BLOCKS = (
     ((12, 0.9, 10, 0.8, 14, 1, 0, 0, 0, 0, 0), 0), ((30, 0.8, 20, 0.9, 25, 0.7, 0, 0, 0, 0, 0), 0),
     ((4, 0, 1, 1, 3, 1, 0, 0, 0, 0, 0), 0), ((5, 0, 2, 1, 0, 0, 0, 0, 0, 0, 0), 0),
     ((3, 0, 0, 0, 2, 1, 0, 0, 0, 1, 0), 0), ((6, 0.5, 3, 1, 4, 1, 0, 0, 0, 0, 1), 0),
+    ((1, 1, 1, 1, 50, 0, 0, 0, 0, 0, 1), 0), ((2, 1, 2, 1, 80, 0, 0, 0, 0, 0, 1), 0),
+    ((3, 1, 0, 0, 60, 0, 0, 0, 0, 0, 0), 0), ((13, 0.9, 4, 1, 40, 0, 0, 0, 0, 0, 0), 0),
+    ((2, 1, 45, 0, 50, 0, 0, 0, 0, 0, 0), 0), ((1, 1, 40, 0, 1, 1, 0, 0, 0, 0, 1), 0),
     ((3, 1, 60, 0, 3, 1, 0, 0, 0, 0, 0), 0), ((4, 0, 30, 0, 0, 0, 0, 0, 0, 0, 0), 0),
     ((5, 0, 3, 0, 4, 0, 0, 0, 0, 0, 0), 0), ((2, 0, 4, 0, 3, 0, 0, 0, 0, 0, 1), 0),
 ) + tuple(  # the same places with other lengths: beside the article, in a marked element, and in the article
