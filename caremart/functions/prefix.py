@@ -18,30 +18,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-# A key with at most this many rows is summed by a plain window (one task per key is fine).
-MAX_KEY_ROWS = 2_000_000
-
-
-def largest_key(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the most frequent key (one hash aggregate with partial aggregation)."""
-    top = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0]
-    return int(top or 0)
-
-
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-                partitions: int | None = None, suffix: str = "_cum",
-                max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+                partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
     """Add ``<col><suffix>`` = inclusive running sum of each column per key in ``order`` (ties broken by order).
 
-    ``order`` must make rows unique within a key for a deterministic result.  The
-    largest key is counted first: when it has at most ``max_key_rows`` rows a
-    plain key-partitioned window is used; beyond that (a hot key) the
-    range-partitioned path.  ``max_key_rows=None`` forces the range path.
+    ``order`` must make rows unique within a key for a deterministic result.
     """
     keys, order, cols = list(keys), list(order), list(cols)
-    if max_key_rows is not None and largest_key(df, keys) <= max_key_rows:
-        w = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-        return df.withColumns({f"{c}{suffix}": F.sum(c).over(w) for c in cols})
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
@@ -49,21 +32,22 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
     # written once (shared checkpoint folder) and both branches below read the same ids.
     from caremart.plans.materialize import write_stage
     r = write_stage(r, "prefix")
-    w_local = (Window.partitionBy("_pid", *keys).orderBy(*order)
+    # one struct of the keys: a NULL key equals itself in it, so its rows stay together and join
+    r = r.withColumn("_key", F.struct(*keys))
+    w_local = (Window.partitionBy("_pid", "_key").orderBy(*order)
                .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     r = r.withColumns({f"_loc_{c}": F.sum(c).over(w_local) for c in cols})
-    tot = r.groupBy("_pid", *keys).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
-    w_off = Window.partitionBy(*keys).orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    off = tot.select("_pid", *keys, *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}")
-                                      for c in cols])
-    j = r.join(off, ["_pid", *keys])
+    tot = r.groupBy("_pid", "_key").agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+    w_off = Window.partitionBy("_key").orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    off = tot.select("_pid", "_key", *[F.coalesce(F.sum(f"_tot_{c}").over(w_off), F.lit(0)).alias(f"_off_{c}")
+                                       for c in cols])
+    j = r.join(off, ["_pid", "_key"])
     out = j.withColumns({f"{c}{suffix}": F.col(f"_loc_{c}") + F.col(f"_off_{c}") for c in cols})
-    return out.drop("_pid", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
+    return out.drop("_pid", "_key", *[f"_loc_{c}" for c in cols], *[f"_off_{c}" for c in cols])
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_idx",
-              partitions: int | None = None, max_key_rows: int | None = MAX_KEY_ROWS) -> DataFrame:
+              partitions: int | None = None) -> DataFrame:
     """0-based position of each row within its key in ``order`` (skew-safe ``row_number() - 1``)."""
-    r = prefix_sums(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], partitions,
-                    max_key_rows=max_key_rows)
+    r = prefix_sums(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], partitions)
     return r.withColumn(out, F.col("_one_cum") - 1).drop("_one", "_one_cum")

@@ -1,187 +1,113 @@
-"""Global medians and modes as one-row DataFrames, computed without a single hot task.
-
-Spark's exact ``median`` keeps a value -> count map of every distinct value and
-merges it in one final task; for continuous columns at scale that map is as large
-as the data.  ``exact_medians`` instead
-
-1. sketches each column with ``percentile_approx`` (bounded memory, rank error
-   <= n / accuracy) and takes a bracket a few error widths around the middle,
-2. counts the rows below the bracket (a plain global count),
-3. gathers only the rows inside the bracket (about 8 n / accuracy values per
-   column, a proven bound) in the same aggregate and picks the two middle order
-   statistics from the sorted bracket.
-
-The result is exact: if the sketch guarantee were ever violated the plan raises
-instead of returning a wrong value.  Everything stays lazy and in Catalyst.
+"""Exact quantiles per group by histogram refinement, and modes.
+
+Spark's exact ``median`` merges a value -> count map of every distinct value in
+one task, and a gathered bracket of ties is as large as the column.  Here every
+wanted rank keeps an interval of values that holds it, at first the group's
+minimum and maximum.  One pass counts the values of the open intervals in
+``BINS`` equal bins (a hash aggregate with map-side combine, so ties and hot
+groups cost one row per bin and task) and narrows each interval to the smallest
+and largest value of its rank's bin; an interval of one value is done.  Every
+pass separates at least the ends of an interval, and shrinks it ``BINS`` times
+where values are spread, so two or three passes are usual.  No values are
+gathered, the only window runs over at most ``BINS`` bins of an interval, and
+there is one path for all sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-DEFAULT_ACCURACY = 50_000
-# Auto accuracy keeps the gathered bracket near this many values per column.
-BRACKET_TARGET = 1_000_000
-MIN_ACCURACY, MAX_ACCURACY = 1_000, 2_000_000
-# Columns with at most this many values are gathered whole instead of bracketed.
-SMALL_ROWS = 100_000
-
-
-def auto_accuracy(rows: int) -> int:
-    """Sketch accuracy so that ~8 rows/accuracy bracket values stay near ``BRACKET_TARGET``."""
-    return int(min(MAX_ACCURACY, max(MIN_ACCURACY, -(-8 * rows // BRACKET_TARGET))))
-
-
-def _bracket_probs(accuracy: int) -> tuple[float, float]:
-    eps = 1.0 / accuracy
-    return max(0.0, 0.5 - 4 * eps), min(1.0, 0.5 + 4 * eps)
+from caremart.plans.materialize import write_stage
+
+BINS = 1 << 14
+
+
+def _ranked(df: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
+    """``keys, _p, _frac, _x, _y``: the two order statistics around every probability of every group."""
+    wanted = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(p)).alias("p"))
+                                 for i, p in enumerate(probs)]))
+    ends = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_lo"), F.max("_v").alias("_hi"))
+    ranks = ends.withColumn("_w", wanted).withColumn("_pos", (F.col("_n") - 1) * F.col("_w.p"))
+    ranks = ranks.select(*keys, F.col("_w.i").alias("_p"), (F.col("_pos") - F.floor("_pos")).alias("_frac"), "_lo", "_hi",
+                         F.explode(F.array(F.struct(F.lit(0).alias("s"), F.floor("_pos").alias("r")),
+                                           F.struct(F.lit(1).alias("s"), F.ceil("_pos").alias("r")))).alias("_t"))
+    state = write_stage(ranks.select(*keys, "_p", "_frac", F.col("_t.s").alias("_side"), F.col("_t.r").alias("_rank"),
+                                     F.lit(0).cast("long").alias("_below"), "_lo", "_hi"), "quantile-ranks")
+    interval = [*keys, "_lo", "_hi"]
+    while not (open_ := state.filter("_lo < _hi")).isEmpty():
+        spans = open_.select(*interval).distinct()
+        values = df.join(spans, keys) if keys else df.crossJoin(F.broadcast(spans))  # at most two per probability
+        # halves, so that the width of the widest interval does not overflow
+        part = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
+        bins = (values.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
+                .groupBy(*interval, F.least(F.floor(part * BINS), F.lit(BINS - 1)).alias("_bin"))
+                .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bin_lo"), F.max("_v").alias("_bin_hi")))
+        upto = F.sum("_c").over(Window.partitionBy(*interval).orderBy("_bin"))
+        bins = bins.withColumn("_upto", upto)
+        here = F.col("_rank") - F.col("_below")
+        found = (open_.join(bins, interval).filter((here >= F.col("_upto") - F.col("_c")) & (here < F.col("_upto")))
+                 .select(*keys, "_p", "_frac", "_side", "_rank", (F.col("_below") + F.col("_upto") - F.col("_c"))
+                         .alias("_below"), F.col("_bin_lo").alias("_lo"), F.col("_bin_hi").alias("_hi")))
+        state = write_stage(state.filter("_lo = _hi").unionByName(found), "quantile-ranks")
+    return state.groupBy(*keys, "_p").agg(F.max("_frac").alias("_frac"), F.max(F.when(F.col("_side") == 0, F.col("_lo")))
+                                          .alias("_x"), F.max(F.when(F.col("_side") == 1, F.col("_lo"))).alias("_y"))
+
+
+def exact_quantiles(df: DataFrame, keys: Sequence[str], col: str, probs: Sequence[float],
+                    names: Sequence[str]) -> DataFrame:
+    """``keys`` and one column per probability: exact, linearly interpolated quantiles of every group.
+
+    NULL and NaN values are ignored; a group without values has no row.  NULL
+    keys form no group.
+    """
+    keys = list(keys)
+    v = F.col(col).cast("double")
+    src = df.select(*keys, v.alias("_v")).filter(F.col("_v").isNotNull() & ~F.isnan("_v"))
+    for k in keys:
+        src = src.filter(F.col(k).isNotNull())
+    at = _ranked(src, keys, probs).withColumn("_q", F.when(F.col("_x") == F.col("_y"), F.col("_x")).otherwise(
+        F.col("_x") * (1 - F.col("_frac")) + F.col("_y") * F.col("_frac")))
+    return at.groupBy(*keys).agg(*[F.max(F.when(F.col("_p") == i, F.col("_q"))).alias(n) for i, n in enumerate(names)])
 
 
-def exact_medians(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None,
-                  accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
-    """One row with the exact (interpolated, as ``median``) median of each column.
+def exact_median_values(df: DataFrame, cols: Sequence[str]) -> list[float | None]:
+    """Exact medians of several columns as driver-side numbers; None for a column without values.
 
-    NULLs are ignored; a column with no values yields NULL.  Two passes: a
-    bounded sketch, then one aggregate that counts the rows below the bracket
-    and gathers the bracket rows (at most ~8 n / accuracy values per column).
-    """
-    names = list(names or cols)
-    vals = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    lo_p, hi_p = _bracket_probs(accuracy)
-    probs = F.array(F.lit(lo_p), F.lit(hi_p))
-    idx = range(len(cols))
-
-    sketch = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in idx],
-                      *[F.percentile_approx(f"v{i}", probs, accuracy).alias(f"b{i}") for i in idx])
-    marked = vals.crossJoin(F.broadcast(sketch))  # the sketch is one row by construction
-    def small(i):
-        return F.col(f"n{i}") <= SMALL_ROWS
-    gathered = marked.groupBy(*[f"n{i}" for i in idx]).agg(
-        *[F.count_if(~small(i) & (F.col(f"v{i}") < F.col(f"b{i}")[0])).alias(f"lt{i}") for i in idx],
-        *[F.sort_array(F.collect_list(F.when(small(i) | F.col(f"v{i}").between(F.col(f"b{i}")[0],
-                                                                                F.col(f"b{i}")[1]),
-                                             F.col(f"v{i}")))).alias(f"a{i}") for i in idx])
-    out = []
-    for i in idx:
-        n, lt, arr = F.col(f"n{i}"), F.col(f"lt{i}"), F.col(f"a{i}")
-        r1 = (F.floor((n - 1) / 2) - lt + 1).cast("int")
-        r2 = (F.floor(n / 2) - lt + 1).cast("int")
-        ok = (r1 >= 1) & (r2 <= F.size(arr))
-        med = (F.element_at(arr, r1) + F.element_at(arr, r2)) / 2
-        out.append(F.when(n == 0, F.lit(None).cast("double")).when(ok, med)
-                   .otherwise(F.raise_error(F.lit("exact median: bracket missed the middle rank")).cast("double"))
-                   .alias(names[i]))
-    # an empty input gives no group: fall back to the sketch row (all counts 0)
-    empty = sketch.select(*[F.lit(None).cast("double").alias(n) for n in names])
-    res = gathered.select(*out)
-    return res.unionByName(empty).agg(*[F.max(n).alias(n) for n in names])
-
-
-def exact_median_values(df: DataFrame, cols: Sequence[str], accuracy: int = DEFAULT_ACCURACY,
-                        rows: int | None = None) -> list[float | None]:
-    """Exact medians as driver-side numbers, in two small jobs over ``df``.
-
-    Job 1 returns one row: per column the non-null count and a bracket of two
-    sketch quantiles around the middle.  Job 2 counts the values below each
-    bracket and gathers the bracket values (at most ~8 n / accuracy per column),
-    and picks the middle order statistics inside Spark; only the medians come
-    back.  A bracket that misses the middle ranks is widened and retried, so the
-    answer is always exact.  With a counted bound ``rows <= DIRECT_MAX_ROWS``
-    a single ``median`` aggregate is used instead.
+    All columns are read in the same passes, as (column, value) rows.
     """
     cols = list(cols)
     if not cols:
         return []
-    vals = df.select(*[F.col(c).cast("double").alias(f"v{i}") for i, c in enumerate(cols)])
-    if rows is not None and rows <= DIRECT_MAX_ROWS:
-        r = vals.agg(*[F.median(f"v{i}").alias(f"m{i}") for i in range(len(cols))]).collect()[0]
-        return [r[f"m{i}"] for i in range(len(cols))]
-    out: list[float | None] = [None] * len(cols)
-    todo = list(range(len(cols)))
-    margin = 4
-    while todo:
-        eps = 1.0 / accuracy
-        lo_p, hi_p = max(0.0, 0.5 - margin * eps), min(1.0, 0.5 + margin * eps)
-        probs = F.array(F.lit(lo_p), F.lit(hi_p))
-        sk = vals.agg(*[F.count(f"v{i}").alias(f"n{i}") for i in todo],
-                      *[F.percentile_approx(f"v{i}", probs, accuracy).alias(f"b{i}") for i in todo]).collect()[0]
-        picks, meta = [], {}
-        for i in todo:
-            n, b = sk[f"n{i}"], sk[f"b{i}"]
-            if not n:
-                continue
-            v = F.col(f"v{i}")
-            meta[i] = n
-            if n <= SMALL_ROWS:
-                # a small column is gathered whole (a bracket of a few ranks could miss a neighbour)
-                picks += [F.lit(0).cast("long").alias(f"lt{i}"), F.sort_array(F.collect_list(v)).alias(f"a{i}")]
-                continue
-            lo, hi = float(b[0]), float(b[1])
-            picks += [F.count_if(v < F.lit(lo)).alias(f"lt{i}"),
-                      F.sort_array(F.collect_list(F.when(v.between(F.lit(lo), F.lit(hi)), v))).alias(f"a{i}")]
-        if not meta:
-            break
-        sel = []
-        for i, n in meta.items():
-            arr, lt = F.col(f"a{i}"), F.col(f"lt{i}")
-            r1, r2 = F.lit((n - 1) // 2) - lt + 1, F.lit(n // 2) - lt + 1
-            ok = (r1 >= 1) & (r2 <= F.size(arr))
-            sel += [ok.alias(f"ok{i}"),
-                    F.when(ok, (F.element_at(arr, r1.cast("int")) + F.element_at(arr, r2.cast("int"))) / 2)
-                    .alias(f"m{i}")]
-        res = vals.agg(*picks).select(*sel).collect()[0]
-        todo = [i for i in meta if not res[f"ok{i}"]]
-        for i in meta:
-            if res[f"ok{i}"]:
-                out[i] = res[f"m{i}"]
-        margin *= 4  # only if a bracket missed (the sketch bound makes this rare)
-    return out
+    rows = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("k"), F.col(c).cast("double").alias("v"))
+                                         for i, c in enumerate(cols)])).alias("e")).select("e.k", "e.v")
+    found = {r["k"]: r["m"] for r in exact_quantiles(rows, ["k"], "v", [0.5], ["m"]).collect()}
+    return [found.get(i) for i in range(len(cols))]
 
 
-def mode_values(df: DataFrame, cols: Sequence[str]) -> list[str | None]:
-    """Modes (ties -> smallest value) as driver-side strings, in one job (see ``modes``)."""
-    cols = list(cols)
-    if not cols:
-        return []
-    r = modes(df, cols, [f"m{i}" for i in range(len(cols))]).collect()[0]
-    return [r[f"m{i}"] for i in range(len(cols))]
+def exact_medians(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
+    """One row with the exact (interpolated) median of each column."""
+    values = exact_median_values(df, cols)
+    return df.sparkSession.range(1).select(*[F.lit(v).cast("double").alias(n) for v, n in zip(values, names or cols)])
 
 
 def approx_medians(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None,
-                   accuracy: int = DEFAULT_ACCURACY) -> DataFrame:
+                   accuracy: int = 10_000) -> DataFrame:
     """One row with ``percentile_approx(c, 0.5)`` per column (bounded sketch, not interpolated)."""
     names = list(names or cols)
     return df.agg(*[F.percentile_approx(F.col(c).cast("double"), 0.5, accuracy).cast("double").alias(n)
                     for c, n in zip(cols, names)])
 
 
-def spark_medians(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:
-    """One row with Spark's exact ``median`` per column (value map in one task: small inputs only)."""
-    names = list(names or cols)
-    return df.agg(*[F.median(F.col(c).cast("double")).alias(n) for c, n in zip(cols, names)])
-
-
-# Up to this many rows (a counted bound) Spark's one-pass exact ``median`` could be used
-# (it holds that many values in its final task).  Measured at 0.5M rows x 9 columns the
-# two-job bracket is already faster (2.8 s vs 4.1 s), so the direct path is off by default.
-DIRECT_MAX_ROWS = 0
-
-
-def medians(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None,
-            strategy: str = "exact", accuracy: int = DEFAULT_ACCURACY, rows: int | None = None) -> DataFrame:
-    """One-row medians.  ``exact`` takes one pass when ``rows`` (a count of ``df``) is small, else the bracket."""
-    if strategy == "exact":
-        if rows is not None and rows <= DIRECT_MAX_ROWS:
-            return spark_medians(df, cols, names)
-        return exact_medians(df, cols, names, accuracy)
-    if strategy == "approx":
-        return approx_medians(df, cols, names, accuracy)
-    if strategy == "spark":
-        return spark_medians(df, cols, names)
-    raise ValueError(f"unknown median strategy {strategy!r}")
+def mode_values(df: DataFrame, cols: Sequence[str]) -> list[str | None]:
+    """Modes (ties -> smallest value) as driver-side strings, in one job (see ``modes``)."""
+    cols = list(cols)
+    if not cols:
+        return []
+    r = modes(df, cols, [f"m{i}" for i in range(len(cols))]).collect()[0]
+    return [r[f"m{i}"] for i in range(len(cols))]
 
 
 def modes(df: DataFrame, cols: Sequence[str], names: Sequence[str] | None = None) -> DataFrame:

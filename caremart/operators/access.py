@@ -2,8 +2,8 @@
 
 Lock-out detection is a gaps-and-islands computation over each user's event
 sequence: successes start a new island, failures are counted within it, and the
-first island reaching the limit locks the account.  Running counts use
-range-partitioned prefix sums, so one very active user is not one task.
+first island reaching the limit locks the account.  Events are range-partitioned
+by user and time, so one very active user is not one task.
 """
 
 from __future__ import annotations
@@ -13,7 +13,7 @@ import datetime as _dt
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from caremart.functions.prefix import prefix_sums
+from caremart.plans.materialize import write_stage
 
 
 def login_activity(logins: DataFrame, as_of: _dt.date, days: int = 30, ts: str = "ts",
@@ -32,32 +32,50 @@ def lockouts(events: DataFrame, limit: int = 3, user: str = "user_id", ts: str =
     A failure adds one attempt; ``limit`` attempts lock the account and later
     events are ignored; a success before that resets the attempts to 0.
 
-    Gaps and islands without a per-user sort: running counts of successes
-    (island id) and failures come from ``prefix_sums`` (range-partitioned, so a
-    user with a third of the events is split over many tasks); the failures at
-    an island's start come from a hash aggregate; the rest are aggregates.
+    Gaps and islands in one pass, without a per-user sort: events are range-
+    partitioned by (user, time), so a user with a third of the events is split over
+    many tasks.  Failures since the last success and the time of that success are
+    running values inside a partition; what earlier partitions of the user hand on
+    (a small row per user and partition) is added to the events before the
+    partition's first success.  One hash aggregate then takes the first event that
+    reaches the limit.
     """
-    e = events.select(user, ts, order_tie, F.col("failed").cast("boolean").alias("failed"),
-                      (~F.col("failed")).cast("long").alias("_succ"), F.col("failed").cast("long").alias("_fail"))
-    e = prefix_sums(e, [user], [ts, order_tie], ["_succ", "_fail"])
-    # an island (>= 1) starts at a success, whose running failure count is the island's minimum
-    base = (e.where(F.col("_succ_cum") > 0).groupBy(user, "_succ_cum")
-            .agg(F.min("_fail_cum").alias("_base")))
-    e = (e.join(base, [user, "_succ_cum"], "left")
-         .withColumn("_run", F.col("_fail_cum") - F.coalesce(F.col("_base"), F.lit(0))))
-    hit = F.col("failed") & (F.col("_run") == limit)
+    e = events.select(user, ts, order_tie, F.col("failed").cast("boolean").alias("failed"))
+    n = int(events.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    e = write_stage(e.repartitionByRange(n, user, ts, order_tie).withColumn("_pid", F.spark_partition_id()), "lockouts")
+    upto = (Window.partitionBy("_pid", user).orderBy(ts, order_tie)
+            .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    e = e.withColumn("_fails", F.sum(F.col("failed").cast("long")).over(upto)).withColumns({
+        "_at_success": F.max(F.when(~F.col("failed"), F.col("_fails"))).over(upto),
+        "_success": F.max(F.when(~F.col("failed"), F.col(ts))).over(upto)})
+    parts = e.groupBy("_pid", user).agg(F.max("_fails").alias("_total"), F.max("_at_success").alias("_base"),
+                                        F.max("_success").alias("_seen"))
+    in_order = Window.partitionBy(user).orderBy("_pid")
+    before = in_order.rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_sum", F.sum("_total").over(in_order))
+    # failures of all partitions up to the last success in an earlier one
+    parts = parts.withColumns({
+        "_carry": F.coalesce(F.col("_sum") - F.col("_total") - F.coalesce(F.max(
+            F.when(F.col("_base").isNotNull(), F.col("_sum") - F.col("_total") + F.col("_base"))).over(before), F.lit(0)),
+            F.lit(0)),
+        "_seen_before": F.max("_seen").over(before)})
+    end = parts.withColumn("_end", F.when(F.col("_base").isNotNull(), F.col("_total") - F.col("_base"))
+                           .otherwise(F.col("_carry") + F.col("_total")))
+    end = end.groupBy(user).agg(F.max_by("_end", "_pid").alias("_last_run"))
+    e = e.join(parts.select("_pid", user, "_carry", "_seen_before"), ["_pid", user])
+    run = F.col("_fails") + F.when(F.col("_at_success").isNotNull(), -F.col("_at_success")).otherwise(F.col("_carry"))
+    hit = F.col("failed") & (run == limit)
+    never = F.lit("0001-01-01 00:00:00").cast(events.schema[ts].dataType)
+    # the last success only moves on, so the smallest one of all hits belongs to the first
     g = e.groupBy(user).agg(
-        F.min_by(F.col(ts), F.when(hit, F.struct(ts, order_tie))).alias("locked_at"),
-        F.max_by("_run", F.struct(ts, order_tie)).alias("_last_run"),
-        F.count(F.lit(1)).alias("events"))
-    # last success before the lock (or ever, if never locked)
-    s = (e.join(g.select(user, "locked_at"), user)
-         .where(~F.col("failed") & (F.col("locked_at").isNull() | (F.col(ts) < F.col("locked_at"))))
-         .groupBy(user).agg(F.max(ts).alias("last_login")))
-    return (g.join(s, user, "left")
-            .select(user, F.col("locked_at").isNotNull().alias("account_locked"),
-                    F.when(F.col("locked_at").isNotNull(), F.lit(limit)).otherwise(F.col("_last_run"))
-                    .cast("int").alias("login_attempts"), "locked_at", "last_login", "events"))
+        F.min(F.when(hit, F.col(ts))).alias("locked_at"),
+        F.min(F.when(hit, F.coalesce(F.col("_success"), F.col("_seen_before"), never))).alias("_login"),
+        F.max(F.when(~F.col("failed"), F.col(ts))).alias("_last_success"), F.count(F.lit(1)).alias("events"))
+    locked = F.col("locked_at").isNotNull()
+    return (g.join(end, user).select(
+        user, locked.alias("account_locked"),
+        F.when(locked, F.lit(limit)).otherwise(F.col("_last_run")).cast("int").alias("login_attempts"), "locked_at",
+        F.when(locked, F.nullif(F.col("_login"), never)).otherwise(F.col("_last_success")).alias("last_login"), "events"))
 
 
 def users_from_logins(logins: DataFrame, limit: int = 3, password_days: int = 21) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caremart.functions.columns import rounded, safe_div
+from caremart.functions.quantiles import exact_quantiles
 
 
 def _nonnull_keys(df: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -188,84 +189,26 @@ def intervention_profiles(mart: DataFrame, by: str = "intervention_name") -> Dat
     return g.withColumn("consistency", consistency)
 
 
-# Groups up to this many rows (a counted bound) use Spark's exact per-group ``percentile``.
-EXACT_GROUP_ROWS = 2_000_000
-BROADCAST_GROUPS = 100_000
-SMALL_GROUP_ROWS = 100_000
-
-
-def _bracket_quantiles(src: DataFrame, keys: list[str], col: str, probs: list[float], largest: int,
-                       small_group_rows: int | None = None) -> DataFrame:
-    """Exact interpolated quantiles per group without holding a hot group's values in one task.
-
-    A per-group sketch brackets each wanted rank; one aggregate counts the values
-    below each bracket and gathers only the bracket values (partial aggregation
-    keeps them bounded); the order statistics are then picked and interpolated.
-    A bracket that misses its rank raises instead of returning a wrong value.
-    """
-    from caremart.functions.quantiles import auto_accuracy
-    from caremart.plans.materialize import write_stage
-    acc = auto_accuracy(largest)
-    eps = 4.0 / acc
-    edges = [x for p in probs for x in (max(0.0, p - eps), min(1.0, p + eps))]
-    v = F.col(col).cast("double")
-    sk = src.where(v.isNotNull()).groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.percentile_approx(v, F.array(*[F.lit(e) for e in edges]), acc).alias("_b"))
-    sk = write_stage(sk, "quantile-sketch")
-    side = F.broadcast(sk) if sk.count() <= BROADCAST_GROUPS else sk
-    j = src.where(v.isNotNull()).join(side, keys) if keys else src.where(v.isNotNull()).crossJoin(side)
-    # small groups gather all their values (a bracket of a few ranks could miss an interpolation neighbour)
-    small = F.col("_n") <= (SMALL_GROUP_ROWS if small_group_rows is None else small_group_rows)
-    aggs = []
-    for i in range(len(probs)):
-        lo_b, hi_b = F.col("_b")[2 * i], F.col("_b")[2 * i + 1]
-        aggs += [F.count_if(~small & (v < lo_b)).alias(f"_lt{i}"),
-                 F.sort_array(F.collect_list(F.when(small | v.between(lo_b, hi_b), v))).alias(f"_a{i}")]
-    g = j.groupBy(*keys, "_n", "_b").agg(*aggs)
-    outs = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * p
-        lo, hi = F.floor(pos), F.ceil(pos)
-        frac = pos - lo
-        arr, lt = F.col(f"_a{i}"), F.col(f"_lt{i}")
-        i_lo, i_hi = (lo - lt + 1).cast("int"), (hi - lt + 1).cast("int")
-        ok = (i_lo >= 1) & (i_hi <= F.size(arr))
-        x_lo, x_hi = F.element_at(arr, i_lo), F.element_at(arr, i_hi)
-        outs.append(F.when(ok, x_lo + frac * (x_hi - x_lo))
-                    .otherwise(F.raise_error(F.lit("quantile bracket missed its rank")).cast("double"))
-                    .alias(f"_q{i}"))
-    return g.select(*keys, *outs)
-
-
 def describe_by(df: DataFrame, by: str | Sequence[str] | None, col: str, approx: bool = False,
-                accuracy: int = 10_000, max_exact_group_rows: int = EXACT_GROUP_ROWS,
-                small_group_rows: int | None = None) -> DataFrame:
+                accuracy: int = 10_000) -> DataFrame:
     """AGG13: count, mean, std, min, quartiles (linear interpolation), max per group.
 
-    Exact by default: the largest group is counted first; groups within
-    ``max_exact_group_rows`` use Spark's per-group ``percentile``, larger (hot)
-    groups the bracketed exact path.  ``approx=True`` uses bounded sketches.
+    Quartiles are exact (``functions.quantiles.exact_quantiles``, one path for all
+    group sizes); ``approx=True`` uses bounded sketches.
     """
     keys = [by] if isinstance(by, str) else list(by or [])
-    probs = [0.25, 0.5, 0.75]
+    probs, names = [0.25, 0.5, 0.75], ["p25", "p50", "p75"]
     src = _nonnull_keys(df, keys)
     grouped = src.groupBy(*keys) if keys else src.groupBy()
     base = grouped.agg(F.count(col).alias("count"), F.avg(col).alias("mean"), F.stddev_samp(col).alias("std"),
                        F.min(col).cast("double").alias("min"), F.max(col).cast("double").alias("max"))
     if approx:
         qs = grouped.agg(F.percentile_approx(F.col(col).cast("double"), probs, accuracy).alias("_q"))
-        qs = qs.select(*keys, *[F.col("_q")[i].cast("double").alias(f"_q{i}") for i in range(3)])
+        qs = qs.select(*keys, *[F.col("_q")[i].cast("double").alias(n) for i, n in enumerate(names)])
     else:
-        from caremart.functions.prefix import largest_key
-        largest = largest_key(src, keys) if keys else src.count()
-        if largest <= max_exact_group_rows:
-            qs = grouped.agg(F.percentile(F.col(col).cast("double"), probs).alias("_q"))
-            qs = qs.select(*keys, *[F.col("_q")[i].cast("double").alias(f"_q{i}") for i in range(3)])
-        else:
-            qs = _bracket_quantiles(src, keys, col, probs, largest, small_group_rows)
-    j = base.join(qs, keys, "left") if keys else base.crossJoin(qs)
-    return j.select(*keys, "count", "mean", "std", "min", F.col("_q0").alias("p25"), F.col("_q1").alias("p50"),
-                    F.col("_q2").alias("p75"), "max")
+        qs = exact_quantiles(src, keys, col, probs, names)
+    j = base.join(qs, keys, "left") if keys else base.crossJoin(qs)  # one row x one row without keys
+    return j.select(*keys, "count", "mean", "std", "min", *names, "max")
 
 
 def histogram(df: DataFrame, col: str, bins: int = 20, by: str | None = None) -> DataFrame:
@@ -370,9 +313,15 @@ def notes_compliance(mart: DataFrame, min_len: int = 10) -> DataFrame:
 def presence_matrix(df: DataFrame, row: str, col: str, values: Sequence[str] | None = None) -> DataFrame:
     """AGG39: row key x column key pivot, True where a pair occurs, False elsewhere.
 
-    Pass ``values`` (the column keys) to avoid the extra distinct job pivot runs.
+    Pass ``values`` (the column keys) to avoid the extra distinct job pivot runs;
+    a key of the data that is not listed raises, it does not vanish.
     """
-    p = df.groupBy(row).pivot(col, list(values) if values is not None else None).agg(F.bool_or(F.lit(True)))
+    src = df
+    if values is not None:
+        known = F.col(col).isin(list(values)) | F.col(col).isNull()
+        message = F.concat(F.lit(f"presence_matrix: unlisted {col} "), F.col(col).cast("string"))
+        src = df.withColumn(col, F.when(known, F.col(col)).otherwise(F.raise_error(message)))
+    p = src.groupBy(row).pivot(col, list(values) if values is not None else None).agg(F.bool_or(F.lit(True)))
     return p.fillna(False, subset=[c for c in p.columns if c != row])
 
 

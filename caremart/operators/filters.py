@@ -37,11 +37,6 @@ def in_period(df: DataFrame, start=None, end=None, col: str = "session_date") ->
     return df
 
 
-def last_days(as_of: _dt.date, days: int) -> tuple[_dt.date, _dt.date]:
-    """Period presets of the reference (30, 90, 365 or 30*n days up to ``as_of``)."""
-    return as_of - _dt.timedelta(days=days), as_of
-
-
 def apply_filters(df: DataFrame, filters: Mapping[str, object] | None,
                   columns: Mapping[str, str] = FILTER_COLUMNS) -> DataFrame:
     """FLT3/FLT5/FLT6: equality (or ``isin`` for lists); None / "All" means no filter."""

@@ -9,12 +9,15 @@ import resolves names to ids with joins (no per-row lookups) and applies
 from __future__ import annotations
 
 import datetime as _dt
+import uuid
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from caremart.operators.ranking import top_n_per_key
+from caremart.operators.updates import audit_rows
+from caremart.plans.materialize import write_stage
 from caremart.schemas import OUTCOMES_CSV_REQUIRED
 
 # Import defaults for absent optional columns.
@@ -36,10 +39,14 @@ def typed(batch: DataFrame) -> DataFrame:
 
 
 def conversion_errors(batch: DataFrame) -> DataFrame:
-    """ING2: rows whose score or date does not convert (row-level; the reference fails the whole file)."""
+    """ING2: rows whose score or date does not convert (row-level; the reference fails the whole file).
+
+    A blank is not a conversion error; blank scores are range errors (ING4).
+    """
     t = typed(batch)
-    bad_score = F.col("score").isNotNull() & F.col("score_value").isNull()
-    bad_date = F.col("session_date").isNotNull() & F.col("session_day").isNull()
+    blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    bad_score = ~blank("score") & F.col("score_value").isNull()
+    bad_date = ~blank("session_date") & F.col("session_day").isNull()
     return (t.where(bad_score | bad_date)
             .select("row_num", F.when(bad_score, F.col("score")).alias("bad_score"),
                     F.when(bad_date, F.col("session_date")).alias("bad_date")))
@@ -56,12 +63,18 @@ def unknown_refs(batch: DataFrame, dim: DataFrame, batch_col: str, dim_col: str,
 def unknown_reference_report(batch: DataFrame, individuals: DataFrame, interventions: DataFrame,
                              metrics: DataFrame, first_k: int = 5) -> DataFrame:
     """ING3/SRT2: per reference kind the number of unknown values and the first ``first_k`` (sorted)."""
-    parts = [unknown_refs(batch, individuals, "individual_anonymous_id", "anonymous_id")
-             .select(F.lit("individual").alias("kind"), "value"),
-             unknown_refs(batch, interventions, "intervention_name", "name")
-             .select(F.lit("intervention").alias("kind"), "value"),
-             unknown_refs(batch, metrics, "metric_name", "name").select(F.lit("metric").alias("kind"), "value")]
-    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    # one pass over the batch: distinct (kind, value), then one anti join with the known names of all kinds
+    refs = {"individual": ("individual_anonymous_id", individuals, "anonymous_id"),
+            "intervention": ("intervention_name", interventions, "name"), "metric": ("metric_name", metrics, "name")}
+    values = batch.select(F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(c).alias("value"))
+                                              for k, (c, _, _) in refs.items()])).alias("r")).select("r.*")
+    known = None
+    for k, (_, dim, name) in refs.items():
+        d = dim.where(F.col("active")) if "active" in dim.columns else dim
+        d = d.select(F.lit(k).alias("kind"), F.col(name).cast("string").alias("value"))
+        known = d if known is None else known.unionByName(d)
+    u = values.where(F.col("value").isNotNull()).distinct().join(known, ["kind", "value"], "left_anti")
+    u = write_stage(u, "unknown-references")
     counts = u.groupBy("kind").agg(F.count(F.lit(1)).alias("unknown_count"))
     # only the first k values per kind are gathered (salted top-k, never all unknown values in one task)
     first = (top_n_per_key(u, ["kind"], [F.asc("value")], first_k).groupBy("kind")
@@ -70,12 +83,13 @@ def unknown_reference_report(batch: DataFrame, individuals: DataFrame, intervent
 
 
 def range_violations(batch: DataFrame, metrics: DataFrame, active_only: bool = True) -> DataFrame:
-    """JN11/ING4: one row per batch row whose score lies outside its (active) metric's scale."""
+    """JN11/ING4: one row per batch row whose score is blank or outside its (active) metric's scale."""
     m = metrics.where(F.col("active")) if active_only and "active" in metrics.columns else metrics
     m = m.select(F.col("name").alias("metric_name"), F.col("scale_min").cast("double").alias("scale_min"),
                  F.col("scale_max").cast("double").alias("scale_max"))
     t = typed(batch).join(m, "metric_name")
-    return (t.where(~F.col("score_value").between(F.col("scale_min"), F.col("scale_max")))
+    blank = F.coalesce(F.trim(F.col("score")) == "", F.lit(True))
+    return (t.where(blank | ~F.col("score_value").between(F.col("scale_min"), F.col("scale_max")))
             .select("row_num", "metric_name", F.col("score_value").alias("score"), "scale_min", "scale_max"))
 
 
@@ -97,8 +111,8 @@ def resolve_ids(batch: DataFrame, individuals: DataFrame, interventions: DataFra
     """
     def dim(df, name_col, out):
         d = df.where(F.col("active")) if active_only and "active" in df.columns else df
-        return d.select(F.col(name_col).cast("string").alias(f"_{out}_name"), F.col("id").alias(out)) \
-                .dropDuplicates([f"_{out}_name"])
+        # a name that several rows share resolves to its smallest id
+        return d.groupBy(F.col(name_col).cast("string").alias(f"_{out}_name")).agg(F.min("id").alias(out))
     p, i, m = dim(individuals, "anonymous_id", "individual_id"), dim(interventions, "name", "intervention_id"), \
         dim(metrics, "name", "outcome_metric_id")
     return (typed(batch).where(F.col("score_value").isNotNull() & F.col("session_day").isNotNull())
@@ -110,29 +124,34 @@ def resolve_ids(batch: DataFrame, individuals: DataFrame, interventions: DataFra
 
 def import_outcomes(batch: DataFrame, individuals: DataFrame, interventions: DataFrame, metrics: DataFrame,
                     existing: DataFrame | None = None, skip_duplicates: bool = True,
-                    recorded_by: str | None = None) -> DataFrame:
+                    recorded_by: str | None = None, batch_id: str | None = None) -> DataFrame:
     """ING7/ING8/JN10: the outcome rows an import inserts.
 
     With ``skip_duplicates`` a row is skipped when (individual, intervention,
     date) is already stored or an earlier row of the batch (by ``row_num``)
-    with that key is imported.  Ids are deterministic hashes of the batch row.
+    with that key is imported.  ``row_num`` may be a number or a sortable row key
+    (``sources.csv``).  Ids hash ``batch_id`` and the row, so rows of different
+    imports never share an id or a session; without a ``batch_id`` each call takes a
+    fresh one.
     """
+    batch_id = batch_id or uuid.uuid4().hex
     r = resolve_ids(batch, individuals, interventions, metrics)
     keys = ["individual_id", "intervention_id", "session_day"]
     if skip_duplicates:
         if existing is not None:
             stored = existing.select("individual_id", "intervention_id", F.col("session_date").alias("session_day"))
             r = r.join(stored, keys, "left_anti")
-        # first row of each key in file order: hash aggregate, then an equi semi join
-        first = r.groupBy(*keys).agg(F.min("row_num").alias("row_num"))
-        r = r.join(first, keys + ["row_num"], "left_semi")
+        # first row of each key in file order, limited to one per key and task before the shuffle
+        w = Window.partitionBy(*keys).orderBy("row_num")
+        r = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     def opt(c, default, dtype):
         v = F.col(c) if c in batch.columns else F.lit(None)
         return F.coalesce(v.cast(dtype), F.lit(default).cast(dtype))
-    rid = F.sha2(F.concat_ws("|", F.lit("import"), F.col("row_num").cast("string")), 256)
+    def fresh(kind):
+        return F.sha2(F.concat_ws("|", F.lit(kind), F.lit(batch_id), F.col("row_num").cast("string")), 256)
     return r.select(
-        rid.alias("id"), "row_num", "individual_id", "intervention_id", "outcome_metric_id",
-        F.sha2(F.concat_ws("|", F.lit("session"), F.col("row_num").cast("string")), 256).alias("session_id"),
+        fresh("import").alias("id"), "row_num", "individual_id", "intervention_id", "outcome_metric_id",
+        fresh("session").alias("session_id"),
         F.col("score_value").alias("score"), F.col("session_day").alias("session_date"),
         opt("session_duration", IMPORT_DEFAULTS["session_duration"], "int").alias("session_duration"),
         opt("attendance_status", IMPORT_DEFAULTS["attendance_status"], "string").alias("attendance_status"),
@@ -188,6 +207,37 @@ def session_cost_rows(prepared: DataFrame, session_col: str = "session_key") ->
         F.max("direct_cost").alias("direct_cost"))
 
 
+def stored_session(prepared: DataFrame, recorded_by: str, at: _dt.datetime, session_col: str = "session_key",
+                   rating: int = IMPORT_DEFAULTS["quality_rating"],
+                   duration: int = IMPORT_DEFAULTS["session_duration"]) -> dict[str, DataFrame]:
+    """SNK2: the rows that storing session entries appends: ``outcomes``, ``costs`` and ``audit``.
+
+    One outcome row per metric; the rows of a session share its session id.  Notes
+    are trimmed; columns the entry lacks take the given defaults.  Ids hash the
+    session key (and metric), so storing an entry again gives the same ids.
+    """
+    def opt(c, default, dtype):
+        v = F.col(c) if c in prepared.columns else F.lit(None)
+        return F.coalesce(v.cast(dtype), F.lit(default).cast(dtype)).alias(c)
+    def fresh(kind, *cols):
+        return F.sha2(F.concat_ws("|", F.lit(kind), *[F.col(c).cast("string") for c in cols]), 256)
+    sid = fresh("session", session_col)
+    outcomes = prepared.select(
+        fresh("outcome", session_col, "outcome_metric_id").alias("id"), sid.alias("session_id"), "individual_id",
+        "intervention_id", "outcome_metric_id", F.col("score").cast("double").alias("score"), "baseline_score",
+        "session_date", opt("session_duration", duration, "int"), opt("attendance_status", "attended", "string"),
+        opt("quality_rating", rating, "int"), F.trim("notes").alias("notes"), F.lit(recorded_by).alias("recorded_by"),
+        F.lit(at).cast("timestamp_ntz").alias("created_at"))
+    costs = session_cost_rows(prepared, session_col).select(
+        fresh("cost", session_col).alias("id"), sid.alias("session_id"), "individual_id", "intervention_id",
+        "direct_cost", F.col("session_date").alias("cost_date"))
+    sessions = prepared.groupBy(session_col, "individual_id", "intervention_id", "session_date").agg(
+        F.count(F.lit(1)).alias("metrics")).withColumn("session_id", sid)
+    audit = audit_rows(sessions, "outcome_records", "INSERT", "session_id", None,
+                       ["individual_id", "intervention_id", "metrics"], recorded_by, "session entry", at)
+    return {"outcomes": outcomes, "costs": costs, "audit": audit}
+
+
 def rejected_sessions(entries: DataFrame, as_of: _dt.date, min_notes: int = 10) -> DataFrame:
     """ING9: the entries that fail validation, with their error list."""
     errs = F.filter(F.array(

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from caremart.functions.columns import clamp, sum_skip_nulls
-from caremart.functions.quantiles import auto_accuracy, exact_median_values, medians, mode_values, modes
+from caremart.functions.quantiles import approx_medians, exact_median_values, mode_values
 from caremart.operators.filters import apply_filters, attended, in_period
 
 NUMERIC_IMPUTE = ["cost_per_session", "session_duration", "quality_rating", "direct_cost", "indirect_cost",
@@ -49,7 +49,8 @@ def outcome_star(outcomes: DataFrame, interventions: DataFrame, metrics: DataFra
         _opt(outcomes, "target_score", dtype="double"), "session_date",
         _opt(outcomes, "session_duration", dtype="double"), "attendance_status",
         _opt(outcomes, "staff_id", dtype="string"), _opt(outcomes, "notes"),
-        _opt(outcomes, "quality_rating", dtype="double"), _opt(outcomes, "created_at", dtype="timestamp_ntz"))
+        _opt(outcomes, "quality_rating", dtype="double"), _opt(outcomes, "created_at", dtype="timestamp_ntz"),
+        _opt(outcomes, "recorded_by"))
     i = interventions.select(
         F.col("id").alias("_i_id"), F.col("name").alias("intervention_name"),
         _opt(interventions, "category", "intervention_category"),
@@ -60,10 +61,12 @@ def outcome_star(outcomes: DataFrame, interventions: DataFrame, metrics: DataFra
         F.col("id").alias("_m_id"), F.col("name").alias("metric_name"),
         _opt(metrics, "category", "metric_category"),
         _opt(metrics, "scale_min", dtype="double"), _opt(metrics, "scale_max", dtype="double"),
-        _opt(metrics, "higher_is_better", dtype="boolean"))
+        _opt(metrics, "higher_is_better", dtype="boolean"),
+        _opt(metrics, "clinical_significance_threshold", dtype="double"), _opt(metrics, "unit_of_measure"))
     p = individuals.select(
         F.col("id").alias("_p_id"), "anonymous_id", _opt(individuals, "age_group"),
-        _opt(individuals, "disability_category"), _opt(individuals, "support_level"))
+        _opt(individuals, "disability_category"), _opt(individuals, "support_level"),
+        _opt(individuals, "gender"), _opt(individuals, "disability_severity"), _opt(individuals, "funding_source"))
     u = staff.select(F.col("id").alias("_u_id"), F.col("full_name").alias("staff_name"))
     c = costs.select(F.col("session_id").alias("_c_sid"), *[_opt(costs, x, dtype="double") for x in COST_PARTS])
     if cost_grain == "session":
@@ -91,34 +94,30 @@ def coerce_numeric(df: DataFrame, cols: Sequence[str] = NUMERIC_COERCE) -> DataF
 
 def impute(df: DataFrame, numeric: Sequence[str] = NUMERIC_IMPUTE,
            categorical: Sequence[str] = CATEGORICAL_IMPUTE, default: str = "Unknown",
-           median_strategy: str = "exact", accuracy: int | None = None, rows: int | None = None) -> DataFrame:
+           median_strategy: str = "exact") -> DataFrame:
     """MRT3/MRT4: median fill of numeric columns, mode fill (ties -> smallest) of categoricals.
 
     The statistics are computed over exactly the rows of ``df`` (so a filtered
-    mart gets its own medians).  ``exact`` brings back one number per column
-    (two small jobs, see ``exact_median_values``) and fills with literals, so the
-    row plan stays a single codegen'd projection; other strategies attach a
-    one-row frame by broadcast.
+    mart gets its own medians).  They come back as one number per column and fill
+    as literals, so the row plan stays a single codegen'd projection.
+    ``median_strategy="approx"`` takes bounded sketches instead of exact medians.
     """
     numeric = [c for c in numeric if c in df.columns]
     categorical = [c for c in categorical if c in df.columns]
-    if median_strategy == "exact":
-        if rows is None:
-            rows = df.count()
-        acc = accuracy or auto_accuracy(rows)
-        meds = exact_median_values(df, numeric, acc, rows)
-        mods = mode_values(df, categorical)
-        fills = {c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, m in zip(numeric, meds)}
-        fills.update({c: F.coalesce(F.col(c), F.lit(m).cast("string"), F.lit(default))
-                      for c, m in zip(categorical, mods)})
-        return df.withColumns(fills)
-    med = medians(df, numeric, [f"_med_{c}" for c in numeric], median_strategy, accuracy or 10_000)
-    mod = modes(df, categorical, [f"_mode_{c}" for c in categorical])
-    stats = med.crossJoin(mod)  # 1 x 1 row
-    fills = {c: F.coalesce(F.col(c), F.col(f"_med_{c}")) for c in numeric}
-    fills.update({c: F.coalesce(F.col(c), F.col(f"_mode_{c}"), F.lit(default)) for c in categorical})
-    return (df.crossJoin(F.broadcast(stats)).withColumns(fills)
-              .drop(*[f"_med_{c}" for c in numeric], *[f"_mode_{c}" for c in categorical]))
+    meds = _median_values(df, numeric, median_strategy)
+    mods = mode_values(df, categorical)
+    fills = {c: F.coalesce(F.col(c), F.lit(m).cast("double")) for c, m in zip(numeric, meds)}
+    fills.update({c: F.coalesce(F.col(c), F.lit(m).cast("string"), F.lit(default))
+                  for c, m in zip(categorical, mods)})
+    return df.withColumns(fills)
+
+
+def _median_values(df: DataFrame, cols: Sequence[str], strategy: str) -> list[float | None]:
+    if strategy == "exact":
+        return exact_median_values(df, cols)
+    if strategy == "approx":
+        return list(approx_medians(df, cols, [f"m{i}" for i in range(len(cols))]).collect()[0])
+    raise ValueError(f"unknown median strategy {strategy!r}")
 
 
 def with_total_cost(df: DataFrame, parts: Sequence[str] = COST_PARTS, out: str = "total_cost") -> DataFrame:
@@ -143,16 +142,11 @@ def normalized_score_expr(score: str = "score", lo: str = "scale_min", hi: str =
     return clamp(raw, 0.0, 10.0)
 
 
-def normalize_score(df: DataFrame, out: str = "normalized_score", median_strategy: str = "exact",
-                    accuracy: int = 10_000, rows: int | None = None) -> DataFrame:
+def normalize_score(df: DataFrame, out: str = "normalized_score", median_strategy: str = "exact") -> DataFrame:
     """MRT7: normalised score; leftover NULLs take the median of the normalised scores."""
     df = df.withColumn(out, normalized_score_expr())
-    if median_strategy == "exact":
-        (m,) = exact_median_values(df, [out], accuracy, rows)
-        return df.withColumn(out, F.coalesce(F.col(out), F.lit(m).cast("double")))
-    med = medians(df, [out], ["_med_norm"], median_strategy, accuracy, rows)
-    return (df.crossJoin(F.broadcast(med))
-              .withColumn(out, F.coalesce(F.col(out), F.col("_med_norm"))).drop("_med_norm"))
+    (m,) = _median_values(df, [out], median_strategy)
+    return df.withColumn(out, F.coalesce(F.col(out), F.lit(m).cast("double")))
 
 
 def improvement(df: DataFrame, out: str = "improvement_from_baseline") -> DataFrame:
@@ -167,7 +161,9 @@ MART_COLUMNS = [
     "attendance_status", "staff_id", "notes", "created_at", "score", "baseline_score", "target_score",
     "session_duration", "quality_rating", "intervention_name", "intervention_category", "cost_per_session",
     "planned_duration", "evidence_level", "metric_name", "metric_category", "scale_min", "scale_max",
-    "higher_is_better", "anonymous_id", "age_group", "disability_category", "support_level", "staff_name",
+    "higher_is_better", "clinical_significance_threshold", "unit_of_measure", "anonymous_id", "age_group",
+    "disability_category", "support_level", "gender", "disability_severity", "funding_source", "staff_name",
+    "recorded_by",
     "direct_cost", "indirect_cost", "overhead_cost", "material_cost", "total_cost", "cost_variance",
     "duration_variance", "normalized_score", "improvement_from_baseline",
 ]
@@ -175,7 +171,7 @@ MART_COLUMNS = [
 
 def outcome_mart(tables: Mapping[str, DataFrame], period: tuple | None = None,
                  filters: Mapping[str, object] | None = None, cost_grain: str = "row",
-                 median_strategy: str = "exact", accuracy: int | None = None,
+                 median_strategy: str = "exact",
                  stage: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """MRT9: the whole mart for an optional period and optional equality filters.
 
@@ -194,13 +190,6 @@ def outcome_mart(tables: Mapping[str, DataFrame], period: tuple | None = None,
     star = coerce_numeric(star)
     if stage is not None:
         star = stage(star, "star")
-    rows = None
-    if median_strategy == "exact":
-        # one cheap count (footer metadata when the star is staged) sizes the median strategy
-        rows = star.count()
-        accuracy = accuracy or auto_accuracy(rows)
-    mart = impute(star, median_strategy=median_strategy, accuracy=accuracy or 10_000, rows=rows)
-    mart = with_variances(with_total_cost(mart))
-    mart = improvement(normalize_score(mart, median_strategy=median_strategy, accuracy=accuracy or 10_000,
-                                       rows=rows))
+    mart = with_variances(with_total_cost(impute(star, median_strategy=median_strategy)))
+    mart = improvement(normalize_score(mart, median_strategy=median_strategy))
     return mart.select(*MART_COLUMNS)

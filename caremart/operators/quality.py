@@ -10,7 +10,7 @@ from __future__ import annotations
 import datetime as _dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 DUP_KEYS = ("individual_id", "intervention_id", "session_date")
@@ -48,24 +48,21 @@ def dedupe_keep_first(records: DataFrame, keys: Sequence[str] = DUP_KEYS,
                       order: Sequence[str] = ("created_at", "id")) -> DataFrame:
     """DQ3: keep the first row of each duplicate key by ``order`` (idempotent).
 
-    ``min_by`` over the whole row is a hash aggregate with partial aggregation:
-    no sort of a hot key's rows in one task.
+    Spark limits ``row_number() <= 1`` before the shuffle, so a hot key sends one
+    row per task, and only the selected columns are read.
     """
-    cols = records.columns
-    first = records.groupBy(*keys).agg(F.min_by(F.struct(*cols), F.struct(*order)).alias("_r"))
-    return first.select("_r.*")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    return records.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
 
 
 def removed_duplicates(records: DataFrame, keys: Sequence[str] = DUP_KEYS,
                        order: Sequence[str] = ("created_at", "id"), id_col: str = "id") -> DataFrame:
-    """DQ3/UPD5: ids that a keep-first merge deletes."""
-    keep = dedupe_keep_first(records.select(*keys, *order) if id_col in order else
-                             records.select(*keys, *order, id_col), keys, order).select(id_col)
-    return records.join(keep, id_col, "left_anti")
+    """DQ3/UPD5: ids that a keep-first merge deletes (for logs; to delete them, keep ``dedupe_keep_first``)."""
+    return records.select(id_col).join(dedupe_keep_first(records, keys, order).select(id_col), id_col, "left_anti")
 
 
 def invalid_scores(records: DataFrame, metrics: DataFrame, individuals: DataFrame, interventions: DataFrame,
-                   n: int | None = 20) -> DataFrame:
+                   n: int | None = None) -> DataFrame:
     """JN5/DQ4: out-of-scale scores with names (4-way join + range predicate); ordered by id."""
     s = _scaled(records, metrics).where(_invalid(records))
     p = individuals.select(F.col("id").alias("_pid"), "anonymous_id")
@@ -76,7 +73,7 @@ def invalid_scores(records: DataFrame, metrics: DataFrame, individuals: DataFram
     return out.limit(n) if n else out
 
 
-def future_list(records: DataFrame, as_of: _dt.date, n: int | None = 20) -> DataFrame:
+def future_list(records: DataFrame, as_of: _dt.date, n: int | None = None) -> DataFrame:
     """DQ5: future-dated records, ordered by id."""
     out = (records.where(F.col("session_date") > F.lit(as_of))
            .select("id", "individual_id", "intervention_id", "session_date").orderBy("id"))

@@ -11,6 +11,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from caremart.plans.materialize import write_stage
+
 
 SALT_BUCKETS = 64
 
@@ -19,18 +21,12 @@ def top_n_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n
                   salt_buckets: int = SALT_BUCKETS, tie: str | None = None, out: str | None = None) -> DataFrame:
     """The first ``n`` rows per key by ``order``, safe for a key holding a third of all rows.
 
-    Two rounds: rows are spread over ``salt_buckets`` sub-groups of each key by
-    a hash, each sub-group keeps its own first ``n`` (a key's global top n is
-    among them), then one window per key ranks at most ``n * salt_buckets``
-    survivors.  ``out`` names a column holding the final rank (1..n).
+    Spark limits ``row_number() <= n`` before the shuffle (each task keeps its own
+    first ``n`` of a key), so a hot key sends ``n`` rows per task to its window.
+    ``out`` names a column holding the final rank (1..n).
     """
-    keys = list(keys)
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in df.columns]), F.lit(salt_buckets))
-    w1 = Window.partitionBy(*keys, "_salt").orderBy(*order)
-    stage1 = (df.withColumn("_salt", salt).withColumn("_r1", F.row_number().over(w1))
-              .where(F.col("_r1") <= n).drop("_r1"))
-    w2 = Window.partitionBy(*keys).orderBy(*order)
-    res = stage1.withColumn("_rank", F.row_number().over(w2)).where(F.col("_rank") <= n).drop("_salt")
+    w = Window.partitionBy(*keys).orderBy(*order)
+    res = df.withColumn("_rank", F.row_number().over(w)).where(F.col("_rank") <= n)
     return res.withColumnRenamed("_rank", out) if out else res.drop("_rank")
 
 
@@ -65,16 +61,6 @@ def top_bottom(df: DataFrame, col: str, name: str = "intervention_name", top: in
                                  lambda s: s[name]), ", ").alias("bottom_performers"))
 
 
-def first_last(df: DataFrame, by: str | Sequence[str], order: str, value: str,
-               tie: str | None = "id") -> DataFrame:
-    """WIN4: first and last ``value`` per key by ``order`` (ties by ``tie``), and the change."""
-    keys = [by] if isinstance(by, str) else list(by)
-    ordering = F.struct(order, tie) if tie else F.col(order)
-    g = df.groupBy(*keys).agg(F.min_by(value, ordering).alias("first_value"),
-                              F.max_by(value, ordering).alias("last_value"))
-    return g.withColumn("change", F.col("last_value") - F.col("first_value"))
-
-
 def recent_vs_early(df: DataFrame, by: str | Sequence[str], order: str = "session_date",
                     value: str = "normalized_score", k: int = 10, threshold: float = 0.5,
                     tie: str = "id") -> DataFrame:
@@ -83,8 +69,9 @@ def recent_vs_early(df: DataFrame, by: str | Sequence[str], order: str = "sessio
     Verdict: improving above +threshold, declining below -threshold, else stable.
     """
     keys = [by] if isinstance(by, str) else list(by)
-    src = df.select(*keys, order, tie, value)
-    # counts by hash aggregate; the k newest / oldest per key by the salted top-n (no whole-key sort)
+    # the pruned projection is written once: the counts and the two top-k lists scan it
+    src = write_stage(df.select(*keys, order, tie, value), "recent-vs-early")
+    # the k newest and the k oldest per key; each top-k is limited before its shuffle
     none = F.lit(None).cast("double")
     allr = src.select(*keys, F.lit(1).alias("_c"), none.alias("_new"), none.alias("_old"))
     new = top_n_per_key(src, keys, [F.desc(order), F.desc(tie)], k).select(
@@ -106,18 +93,6 @@ def recent_activity(df: DataFrame, by: str | Sequence[str] = "staff_id", order:
     return top_n_per_key(df, keys, [F.desc(order), F.desc(tie)], n)
 
 
-def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """WIN7/WIN8: the newest row per key, as a ``max_by`` hash aggregate (partial per task, skew-safe)."""
-    rest = [c for c in df.columns]
-    return (df.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_r")).select("_r.*"))
-
-
-def trailing_mean(df: DataFrame, order: str, value: str, n: int = 3, out: str | None = None) -> DataFrame:
-    """WIN9 (series form): mean of the current and previous n-1 rows of an aggregated series."""
-    w = Window.orderBy(order).rowsBetween(-(n - 1), 0)
-    return df.withColumn(out or f"trailing_{n}", F.avg(value).over(w))
-
-
 def progress_timeline(mart: DataFrame, metrics: Sequence[str] | None = None,
                       cols: Sequence[str] = ("anonymous_id", "session_date", "intervention_name", "metric_name",
                                              "normalized_score", "score")) -> DataFrame:
@@ -127,7 +102,8 @@ def progress_timeline(mart: DataFrame, metrics: Sequence[str] | None = None,
 
 
 def service_log(mart: DataFrame, cols: Sequence[str] = ("session_date", "anonymous_id", "intervention_name",
-                                                        "session_duration", "staff_name", "id"),
+                                                        "session_duration", "staff_name", "recorded_by",
+                                                        "created_at", "id"),
                 ascending: bool = True) -> DataFrame:
     """SRT1: the service delivery log ordered by date (then id, for a total order)."""
     o = F.asc("session_date") if ascending else F.desc("session_date")

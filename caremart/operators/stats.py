@@ -2,8 +2,8 @@
 
 Data-sized work stays in Catalyst: each group is reduced to sufficient
 statistics (n, mean, variance) or to (value, count) pairs before any pairing,
-so pairs are formed between k aggregated groups, never between rows.  Only the
-p-values (one row per pair) go through an Arrow pandas UDF.
+so pairs are formed between k aggregated groups, never between rows.  P-values
+are column expressions.
 """
 
 from __future__ import annotations
@@ -24,11 +24,14 @@ def group_moments(df: DataFrame, group: str, value: str) -> DataFrame:
 
 
 def _pairs(m: DataFrame, group: str, min_n: int) -> DataFrame:
-    """Unordered pairs (a < b) of aggregated groups with n >= ``min_n`` (k rows, k(k-1)/2 pairs)."""
+    """Unordered pairs (a < b) of aggregated groups with n >= ``min_n`` (k rows, k(k-1)/2 pairs).
+
+    The pairs are the feature.  Catalyst chooses the side to broadcast by its size.
+    """
     m = m.where(F.col("n") >= min_n)
     a = m.select(*[F.col(c).alias(f"{c}_1") for c in m.columns])
     b = m.select(*[F.col(c).alias(f"{c}_2") for c in m.columns])
-    return a.join(F.broadcast(b), F.col(f"{group}_1") < F.col(f"{group}_2"))  # k aggregated rows per side
+    return a.join(b, F.col(f"{group}_1") < F.col(f"{group}_2"))  # k aggregated rows per side
 
 
 def effect_sizes(df: DataFrame, group: str = "intervention_name", value: str = "normalized_score",
@@ -87,7 +90,8 @@ def mannwhitney_pairs(df: DataFrame, group: str = "intervention_name", value: st
     mu = n1 * n2 / 2
     sigma = F.sqrt(n1 * n2 / 12 * ((n + 1) - F.col("ties") / (n * (n - 1))))
     u = F.greatest(F.col("u1"), n1 * n2 - F.col("u1"))
-    z = F.try_divide(u - mu - 0.5, sigma)
+    # the continuity correction stops at the mean: two like samples have z = 0 and p = 1
+    z = F.try_divide(F.greatest(u - mu - 0.5, F.lit(0.0)), sigma)
     return g.select(F.col("g1").alias("group_1"), F.col("g2").alias("group_2"), "n_1", "n_2",
                     F.col("u1").alias("u_stat"), z.alias("z"), normal_pvalue(z).alias("p_value"))
 
@@ -98,13 +102,17 @@ EFFECT_LABELS = [(0.8, "Large"), (0.5, "Medium"), (0.2, "Small")]
 
 def label_significance(df: DataFrame, p: str = "p_value", d: str = "effect_size",
                        sig: str = "significant") -> DataFrame:
-    """STA5: p-value text (4 decimals or '< 0.001'), effect magnitude label and a yes/no symbol."""
+    """STA5: p-value text (4 decimals or '< 0.001'), effect magnitude label and a yes/no symbol.
+
+    A test without a p-value or effect (constant groups) has no text and no label.
+    """
     ad = F.abs(F.col(d))
-    mag = F.when(ad > EFFECT_LABELS[0][0], EFFECT_LABELS[0][1])
-    for cut, name in EFFECT_LABELS[1:]:
+    mag = F.when(ad.isNull() | F.isnan(ad), F.lit(None).cast("string"))
+    for cut, name in EFFECT_LABELS:
         mag = mag.when(ad > cut, name)
     mag = mag.otherwise("Negligible")
-    txt = F.when(F.col(p) >= 0.001, F.format_number(F.col(p), 4)).otherwise(F.lit("< 0.001"))
+    txt = (F.when(F.col(p).isNull() | F.isnan(F.col(p)), F.lit(None).cast("string"))
+           .when(F.col(p) >= 0.001, F.format_number(F.col(p), 4)).otherwise(F.lit("< 0.001")))
     return df.withColumns({"p_value_formatted": txt, "effect_size_interpretation": mag,
                            "significant_symbol": F.when(F.col(sig), "✓").otherwise("✗")})
 

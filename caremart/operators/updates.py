@@ -2,8 +2,7 @@
 
 Plain parquet tables have no MERGE, so each write operator returns the new
 table as a DataFrame (a join rewrite); writing it to a fresh path and swapping
-is the caller's business (``write_table``).  All joins are equi joins on the
-key, shuffled once per side.
+is the caller's business.  All joins are equi joins on the key.
 """
 
 from __future__ import annotations
@@ -22,25 +21,20 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
 
     New keys take every column the update carries.  ``updates`` rows must be
     unique per key (dedupe first with ``dedupe_keep_first``).  Idempotent.
+
+    Existing rows are a left join, for which a small update is broadcast and the
+    target is not shuffled; new rows are an anti join against the target's keys.
     """
     keys = list(keys)
     set_cols = list(set_cols) if set_cols is not None else [c for c in updates.columns if c not in keys]
-    t = target.withColumn("_t_hit", F.lit(True))
-    u = (updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in updates.columns if c not in keys])
+    u = (updates.select(*keys, *[F.col(c).alias(f"_u_{c}") for c in set_cols])
          .withColumn("_u_hit", F.lit(True)))
-    j = t.join(u, keys, "full_outer")
-    out = []
-    for c in target.columns:
-        has_u = c in updates.columns
-        if c in keys:
-            out.append(F.col(c))
-        elif c in set_cols and has_u:
-            out.append(F.when(F.col("_u_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c))
-        elif has_u:
-            out.append(F.when(F.col("_t_hit"), F.col(c)).otherwise(F.col(f"_u_{c}")).alias(c))
-        else:
-            out.append(F.col(c))
-    return j.select(*out)
+    old = target.join(u, keys, "left").select(*[
+        F.when(F.col("_u_hit"), F.col(f"_u_{c}")).otherwise(F.col(c)).alias(c)
+        if c in set_cols and c not in keys else F.col(c) for c in target.columns])
+    new = updates.join(target.select(*keys), keys, "left_anti").select(*[
+        F.col(c) if c in updates.columns else F.lit(None).cast(t).alias(c) for c, t in target.dtypes])
+    return old.unionByName(new)
 
 
 def batch_update(target: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
@@ -96,14 +90,6 @@ def append_rows(target: DataFrame, new: DataFrame, defaults: Mapping[str, object
     return target.unionByName(conform(n, target.schema, defaults))
 
 
-def write_table(df: DataFrame, path: str, mode: str = "append", partition_by: Sequence[str] | None = None) -> None:
-    """SNK2: persist rows as parquet (append or overwrite), optionally partitioned."""
-    w = df.write.mode(mode)
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
-
-
 # Fixed values of the emergency quick entry.
 EMERGENCY_PREFIX = "EMERGENCY ENTRY: "
 EMERGENCY_RATING = 3
@@ -133,13 +119,19 @@ def emergency_alerts(entries: DataFrame, who: str = "anonymous_id", created_col:
 def audit_rows(changes: DataFrame, table: str, action: str, key: str, old_cols: Sequence[str] | None,
                new_cols: Sequence[str] | None, changed_by: str | None = None, reason: str | None = None,
                at=None) -> DataFrame:
-    """SNK4: audit-log rows with JSON old/new values (``to_json`` of a struct; NULL when not given)."""
+    """SNK4: audit-log rows with JSON old/new values (``to_json`` of a struct; NULL when not given).
+
+    The id hashes table, action, key, time and both values, so several changes of
+    one record have different ids, and a retried task gives the same one.
+    """
     def js(cols):
         # keep NULL fields, as json.dumps does
         return F.to_json(F.struct(*cols), {"ignoreNullFields": "false"}) if cols else F.lit(None).cast("string")
     ts = F.lit(at).cast("timestamp_ntz") if at is not None else F.localtimestamp()
+    payload = [F.coalesce(js(c), F.lit("")) for c in (old_cols, new_cols)]
     return changes.select(
-        F.sha2(F.concat_ws("|", F.lit(table), F.lit(action), F.col(key).cast("string")), 256).alias("id"),
+        F.sha2(F.concat_ws("|", F.lit(table), F.lit(action), F.col(key).cast("string"),
+                           F.date_format(ts, "yyyy-MM-dd HH:mm:ss.SSSSSS"), *payload), 256).alias("id"),
         F.lit(table).alias("table_name"), F.col(key).cast("string").alias("record_id"), F.lit(action).alias("action"),
         js(old_cols).alias("old_values"), js(new_cols).alias("new_values"),
         F.lit(changed_by).cast("string").alias("changed_by"), F.lit(reason).cast("string").alias("change_reason"),

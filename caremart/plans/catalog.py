@@ -12,6 +12,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from caremart.functions.quantiles import exact_quantiles
+from caremart.functions.pvalues import normal_pvalue_sql, t_pvalue_sql
 from caremart.operators import access as AC
 from caremart.operators import aggregates as A
 from caremart.operators import filters as FL
@@ -24,9 +26,11 @@ from caremart.operators import stats as ST
 from caremart.operators import updates as U
 from caremart.operators.mart import outcome_mart
 from caremart.plans import reports as RP
-from caremart.plans.materialize import materialized, materialized_bucketed, write_stage
+from caremart.plans.materialize import materialized, materialized_bucketed, stage_path, write_stage
 from caremart.plans.oracle import mart_query, with_views
-from caremart.plans.registry import register
+from caremart.plans.registry import REGISTRY, register
+from caremart.schemas import INDIVIDUALS_CSV, INTERVENTIONS_CSV, OUTCOMES_CSV_REQUIRED
+from caremart.sources import csv as CSV
 from caremart.sources import tables as TB
 from caremart.sources.adapter import CareTables, EVENT_AS_OF, SESSION_AS_OF
 
@@ -44,12 +48,23 @@ class StoredCareTables(CareTables):
     @cached_property
     def outcomes(self) -> DataFrame:
         return materialized_bucketed(self.spark, "outcome_records", (self.sf_dir,),
-                                     lambda: CareTables.outcomes.func(self), "session_id", sf_dir=self.sf_dir)
+                                     lambda: CareTables.outcomes.func(self), "session_id", self.sf_dir, ["lineitem"])
 
     @cached_property
     def costs(self) -> DataFrame:
         return materialized_bucketed(self.spark, "cost_records", (self.sf_dir,),
-                                     lambda: CareTables.costs.func(self), "session_id", sf_dir=self.sf_dir)
+                                     lambda: CareTables.costs.func(self), "session_id", self.sf_dir, ["lineitem"])
+
+    # the two dimensions that are derived from larger tables; a handful of rows each
+    @cached_property
+    def interventions(self) -> DataFrame:
+        return materialized(self.spark, "interventions", (self.sf_dir,),
+                            lambda: CareTables.interventions.func(self).coalesce(1), self.sf_dir)
+
+    @cached_property
+    def metrics(self) -> DataFrame:
+        return materialized(self.spark, "metrics", (self.sf_dir,),
+                            lambda: CareTables.metrics.func(self).coalesce(1), self.sf_dir)
 
     @cached_property
     def import_batch(self) -> DataFrame:
@@ -65,13 +80,12 @@ def care(spark: SparkSession, sf_dir: str) -> CareTables:
 def mart(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """The outcome mart, written once per session and parameters, then scanned.
 
-    It is bucketed by individual, so the individual-level reports (summary,
-    progress, effectiveness, recommendations, detail) aggregate without a shuffle.
+    It is a plain table: a bucket of one individual's rows would be one task, while
+    partial aggregation before the shuffle leaves one row per individual and task.
     """
     key = tuple(sorted((k, repr(v)) for k, v in kw.items()))
-    return materialized_bucketed(spark, "mart", (sf_dir, key),
-                                 lambda: outcome_mart(care(spark, sf_dir).tables(), stage=write_stage, **kw),
-                                 "anonymous_id", sf_dir=sf_dir)
+    return materialized(spark, "mart", (sf_dir, key),
+                        lambda: outcome_mart(care(spark, sf_dir).tables(), stage=write_stage, **kw), sf_dir)
 
 
 def _dbl(*names: str) -> list[str]:
@@ -83,13 +97,15 @@ MART_OUT = ["id", "session_id", "individual_id", "intervention_id", "outcome_met
             "attendance_status", "staff_id", "notes", "score", "baseline_score", "target_score", "session_duration",
             "quality_rating", "intervention_name", "intervention_category", "cost_per_session", "planned_duration",
             "evidence_level", "metric_name", "metric_category", "scale_min", "scale_max", "higher_is_better",
+            "clinical_significance_threshold", "unit_of_measure", "gender", "disability_severity", "funding_source",
+            "recorded_by", "created_at",
             "anonymous_id", "age_group", "disability_category", "support_level", "staff_name", "direct_cost",
             "indirect_cost", "overhead_cost", "material_cost", "total_cost", "cost_variance", "duration_variance",
             "normalized_score", "improvement_from_baseline"]
 MART_DOUBLES = ["score", "baseline_score", "target_score", "session_duration", "quality_rating", "cost_per_session",
                 "planned_duration", "scale_min", "scale_max", "direct_cost", "indirect_cost", "overhead_cost",
                 "material_cost", "total_cost", "cost_variance", "duration_variance", "normalized_score",
-                "improvement_from_baseline"]
+                "improvement_from_baseline", "clinical_significance_threshold"]
 
 
 @register("outcome_mart", mart_query(f"SELECT {', '.join(MART_OUT)} FROM mart"), MART_DOUBLES,
@@ -315,6 +331,20 @@ def q_describe(spark, sf_dir):
     return A.describe_by(mart(spark, sf_dir), "intervention_name", "normalized_score")
 
 
+@register("tied_medians", """SELECT l_returnflag, median(CASE WHEN l_linenumber <= 5 THEN 0.0 ELSE l_quantity END)
+  AS tied_median, quantile_cont(CASE WHEN l_linenumber <= 5 THEN 0.0 ELSE l_quantity END, 0.9) AS tied_p90,
+  median(l_extendedprice) AS price_median FROM lineitem GROUP BY 1""",
+          ["tied_median", "tied_p90", "price_median"], "MRT3 AGG13 (a column of ties)")
+def q_tied_medians(spark, sf_dir):
+    """Exact quantiles of a column that is mostly one value, and of one with few ties."""
+    li = care(spark, sf_dir).raw("lineitem").select(
+        "l_returnflag", F.when(F.col("l_linenumber") <= 5, 0.0).otherwise(F.col("l_quantity")).alias("tied"),
+        "l_extendedprice")
+    tied = exact_quantiles(li, ["l_returnflag"], "tied", [0.5, 0.9], ["tied_median", "tied_p90"])
+    price = exact_quantiles(li, ["l_returnflag"], "l_extendedprice", [0.5], ["price_median"])
+    return tied.join(price, "l_returnflag")
+
+
 def _hist_sql(col: str, bins: int) -> str:
     return f"""SELECT bin, lo + bin * (hi - lo) / {bins} AS bin_start,
   CASE WHEN bin = {bins - 1} THEN hi ELSE lo + (bin + 1) * (hi - lo) / {bins} END AS bin_end, count(*) AS count
@@ -349,10 +379,13 @@ def q_cost_summary(spark, sf_dir):
     return A.cost_summary(mart(spark, sf_dir))
 
 
-@register("cost_share", mart_query("""SELECT intervention_name, total_cost,
+COST_SHARE_SQL = mart_query("""SELECT intervention_name, total_cost,
   total_cost / NULLIF(sum(total_cost) OVER (), 0) AS share
  FROM (SELECT intervention_name, sum(total_cost) AS total_cost FROM mart WHERE intervention_name IS NOT NULL
-       GROUP BY 1) g"""), ["total_cost", "share"], "AGG22 WIN10")
+       GROUP BY 1) g""")
+
+
+@register("cost_share", COST_SHARE_SQL, ["total_cost", "share"], "AGG22 WIN10")
 def q_cost_share(spark, sf_dir):
     return A.cost_share(mart(spark, sf_dir))
 
@@ -662,10 +695,9 @@ def q_days_since_valid(spark, sf_dir):
   coalesce({_AS_OF} - max(session_date), 999) AS days_since_last,
   CASE WHEN coalesce({_AS_OF} - max(session_date), 999) > 7 THEN 'warning'
        WHEN coalesce({_AS_OF} - max(session_date), 999) > 3 THEN 'info' ELSE 'ok' END AS level
- FROM c_outcomes WHERE session_date <= DATE '1999-06-01'"""), [], "AGG34")
+ FROM c_outcomes"""), [], "AGG34")
 def q_freshness(spark, sf_dir):
-    o = care(spark, sf_dir).outcomes.where(F.col("session_date") <= F.lit("1999-06-01").cast("date"))
-    return Q.freshness(o, SESSION_AS_OF)
+    return Q.freshness(care(spark, sf_dir).outcomes, SESSION_AS_OF)
 
 
 @register("rule_score_documents", with_views("""SELECT doc_id, s AS rule_score,
@@ -753,6 +785,17 @@ def q_import_outcomes(spark, sf_dir):
                       "session_duration", "attendance_status", "quality_rating", "notes")
 
 
+@register("import_ids_unique", with_views("""SELECT 2 * count(*) AS rows, 2 * count(*) AS ids,
+  2 * count(*) AS sessions FROM imported""", _RESOLVED_SQL), [], "ING7")
+def q_import_ids_unique(spark, sf_dir):
+    """One batch imported from two files: no id and no session is shared."""
+    c = care(spark, sf_dir)
+    one, two = (G.import_outcomes(c.import_batch, c.individuals, c.interventions, c.metrics, existing=_stored(c),
+                                  batch_id=b) for b in ("first file", "second file"))
+    return one.unionByName(two).agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"),
+                                    F.count_distinct("session_id").alias("sessions"))
+
+
 @register("import_counts", with_views("""SELECT (SELECT count(*) FROM c_import) AS batch_rows,
   (SELECT count(*) FROM imported) AS imported,
   (SELECT count(*) FROM resolved) - (SELECT count(*) FROM imported) AS skipped,
@@ -764,6 +807,73 @@ def q_import_counts(spark, sf_dir):
     return G.import_counts(c.import_batch, imported, resolved)
 
 
+# --------------------------------------------------------------------------- CSV sources, by a round trip
+def _csv(spark, df: DataFrame, name: str) -> str:
+    """The table written as CSV files in the shared folder."""
+    path = stage_path(spark, f"csv-{name}")
+    df.write.option("header", True).csv(path)
+    return path
+
+
+@register("csv_outcomes", with_views("""SELECT individual_anonymous_id, intervention_name, metric_name, score,
+  session_date, session_duration, CAST(NULL AS VARCHAR) AS notes FROM c_import"""), [], "SRC7 ING1")
+def q_csv_outcomes(spark, sf_dir):
+    batch = CSV.read_outcomes_csv(spark, _csv(spark, care(spark, sf_dir).import_batch.drop("row_num"), "outcomes"))
+    assert not G.missing_columns(batch)
+    return batch.select("individual_anonymous_id", "intervention_name", "metric_name", "score", "session_date",
+                        "session_duration", "notes")
+
+
+@register("csv_individuals", with_views("""SELECT anonymous_id, age_group, gender, disability_category,
+  CAST(admission_date AS VARCHAR) AS admission_date FROM c_individuals"""), [], "SRC8")
+def q_csv_individuals(spark, sf_dir):
+    ind = care(spark, sf_dir).individuals.select(*INDIVIDUALS_CSV)
+    return CSV.read_individuals_csv(spark, _csv(spark, ind, "individuals")).drop("row_num")
+
+
+@register("csv_interventions", with_views("""SELECT name, category, cost_per_session,
+  duration_minutes FROM c_interventions"""), ["cost_per_session"], "SRC9")
+def q_csv_interventions(spark, sf_dir):
+    itv = care(spark, sf_dir).interventions.select(*INTERVENTIONS_CSV)
+    back = CSV.read_interventions_csv(spark, _csv(spark, itv, "interventions"))
+    return back.select("name", "category", F.col("cost_per_session").cast("double").alias("cost_per_session"),
+                       F.col("duration_minutes").cast("int").alias("duration_minutes"))
+
+
+@register("csv_batch_update", with_views("""SELECT id, score,
+  CASE WHEN attendance_status = 'partial' THEN 5 ELSE quality_rating END AS quality_rating FROM c_outcomes"""),
+          ["score"], "SRC10 UPD4")
+def q_csv_batch_update(spark, sf_dir):
+    o = care(spark, sf_dir).outcomes
+    upd = o.where(F.col("attendance_status") == "partial").select(F.col("id").alias("record_id"),
+                                                                  F.lit("5").alias("quality_rating"))
+    back = CSV.read_batch_update_csv(spark, _csv(spark, upd, "update"), ["quality_rating", "score"])
+    return U.batch_update(o.select("id", "score", "quality_rating"), back.withColumnRenamed("record_id", "id"), "id",
+                          ["score", "quality_rating"])
+
+
+@register("csv_mapped_assessments", with_views("""SELECT individual_anonymous_id, session_date AS assessment_date,
+  metric_name, score FROM c_import"""), [], "SRC11")
+def q_csv_mapped(spark, sf_dir):
+    tool = care(spark, sf_dir).import_batch.select(
+        F.col("individual_anonymous_id").alias("individual id"), F.col("session_date").alias("date"),
+        F.col("metric_name").alias("scale"), F.col("score").alias("raw value"))
+    return CSV.read_mapped_csv(spark, _csv(spark, tool, "tool"), {
+        "individual_anonymous_id": "individual id", "assessment_date": "date", "metric_name": "scale",
+        "score": "raw value"}).drop("row_num")
+
+
+@register("csv_first_rows_win", with_views("""SELECT individual_id, intervention_id, session_day AS session_date,
+  score_value AS score FROM imported""", _RESOLVED_SQL), ["score"], "SRC7 ING8 (file order over several files)")
+def q_csv_first_rows_win(spark, sf_dir):
+    """Files in row order, read and imported: the first row of a key, over all files, is the one kept."""
+    c = care(spark, sf_dir)
+    path = _csv(spark, c.import_batch.orderBy("row_num").drop("row_num"), "ordered")
+    out = G.import_outcomes(CSV.read_outcomes_csv(spark, path), c.individuals, c.interventions, c.metrics,
+                            existing=_stored(c))
+    return out.select("individual_id", "intervention_id", "session_date", "score")
+
+
 # --------------------------------------------------------------------------- updates and appends
 
 
@@ -805,10 +915,10 @@ def q_upsert_budgets(spark, sf_dir):
 @register("batch_update_quality", with_views("""SELECT o.id, coalesce(u.score, o.score) AS score,
   o.session_date, coalesce(u.quality_rating, o.quality_rating) AS quality_rating
  FROM c_outcomes o LEFT JOIN (SELECT id, CAST(NULL AS DOUBLE) AS score, 5 AS quality_rating FROM c_outcomes
-   WHERE individual_id % 5 = 0) u ON o.id = u.id"""), ["score"], "UPD4 DQ6")
+   WHERE attendance_status = 'partial') u ON o.id = u.id"""), ["score"], "UPD4 DQ6")
 def q_batch_update(spark, sf_dir):
     c = care(spark, sf_dir)
-    upd = c.outcomes.where(F.col("individual_id") % 5 == 0).select(
+    upd = c.outcomes.where(F.col("attendance_status") == "partial").select(
         "id", F.lit(None).cast("double").alias("score"), F.lit(5).alias("quality_rating"))
     return U.batch_update(_outcome_slice(c), upd, "id", ["score", "quality_rating"])
 
@@ -823,8 +933,15 @@ def q_archive(spark, sf_dir):
  SELECT id FROM (SELECT id, row_number() OVER (PARTITION BY individual_id, intervention_id, session_date
    ORDER BY created_at, id) AS rn FROM c_outcomes) x WHERE rn > 1)"""), [], "UPD5 DQ3")
 def q_delete_duplicates(spark, sf_dir):
+    # deleting all but the first of each key is keeping the first
+    return Q.dedupe_keep_first(care(spark, sf_dir).outcomes).select("id")
+
+
+@register("delete_absent_sessions", with_views("""SELECT id FROM c_outcomes WHERE session_id NOT IN (
+ SELECT session_id FROM c_outcomes WHERE attendance_status = 'absent')"""), [], "UPD5")
+def q_delete_absent(spark, sf_dir):
     o = care(spark, sf_dir).outcomes
-    return U.delete_by_key(o, Q.removed_duplicates(o), ["id"]).select("id")
+    return U.delete_by_key(o, o.where(F.col("attendance_status") == "absent"), ["session_id"]).select("id")
 
 
 @register("append_goals", with_views(f"""SELECT id, individual_id, outcome_metric_id, goal_type,
@@ -866,18 +983,34 @@ def q_quick_entries(spark, sf_dir):
                                                 "outcome_metric_id", "quality_rating", "notes", "attendance_status")
 
 
-@register("audit_quality_changes", with_views("""SELECT sha256('outcome_records|UPDATE|' || id) AS id,
+AUDIT_AT = "2001-01-01 12:00:00.000000"
+
+
+@register("audit_quality_changes", with_views(f"""SELECT sha256('outcome_records|UPDATE|' || id || '|{AUDIT_AT}|'
+   || to_json({{'quality_rating': quality_rating}}) || '|' || to_json({{'quality_rating': 5}})) AS id,
   'outcome_records' AS table_name, id AS record_id, 'UPDATE' AS action,
-  to_json({'quality_rating': quality_rating}) AS old_values, to_json({'quality_rating': 5}) AS new_values,
-  'batch' AS changed_by, 'quality review' AS change_reason
- FROM c_outcomes WHERE individual_id % 5 = 0 AND quality_rating IS DISTINCT FROM 5"""), [], "SNK4")
+  to_json({{'quality_rating': quality_rating}}) AS old_values, to_json({{'quality_rating': 5}}) AS new_values,
+  'batch' AS changed_by, 'quality review' AS change_reason, '{AUDIT_AT}' AS changed_at
+ FROM c_outcomes WHERE attendance_status = 'partial' AND quality_rating IS DISTINCT FROM 5"""), [], "SNK4")
 def q_audit_quality_changes(spark, sf_dir):
-    o = care(spark, sf_dir).outcomes.where((F.col("individual_id") % 5 == 0)
+    a = _quality_audit(spark, sf_dir, AUDIT_AT)
+    return a.withColumn("changed_at", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss.SSSSSS")).drop("timestamp")
+
+
+def _quality_audit(spark, sf_dir, at: str) -> DataFrame:
+    o = care(spark, sf_dir).outcomes.where((F.col("attendance_status") == "partial")
                                            & ~F.col("quality_rating").eqNullSafe(5))
     ch = o.select("id", "quality_rating", F.lit(5).alias("new_quality"))
-    a = U.audit_rows(ch.withColumn("_new", F.col("new_quality")), "outcome_records", "UPDATE", "id",
-                     ["quality_rating"], [F.col("new_quality").alias("quality_rating")], "batch", "quality review")
-    return a.drop("timestamp")
+    return U.audit_rows(ch, "outcome_records", "UPDATE", "id", ["quality_rating"],
+                        [F.col("new_quality").alias("quality_rating")], "batch", "quality review", at)
+
+
+@register("audit_ids_unique", with_views("""SELECT 2 * count(*) AS rows, 2 * count(*) AS ids FROM c_outcomes
+ WHERE attendance_status = 'partial' AND quality_rating IS DISTINCT FROM 5"""), [], "SNK4")
+def q_audit_ids_unique(spark, sf_dir):
+    """The same records are changed twice, at two times: every change has its own id."""
+    both = _quality_audit(spark, sf_dir, AUDIT_AT).unionByName(_quality_audit(spark, sf_dir, "2001-01-02 12:00:00"))
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_distinct("id").alias("ids"))
 
 
 # --------------------------------------------------------------------------- finance
@@ -946,12 +1079,19 @@ lockouts AS (SELECT lk.user_id, locked_at IS NOT NULL AS account_locked,
       AND (lk.locked_at IS NULL OR l.ts < lk.locked_at)) AS last_login, events FROM lk)"""
 
 
-@register("lockouts", with_views("""SELECT user_id, account_locked, login_attempts,
-  CAST(locked_at AS DATE) AS locked_day, events FROM lockouts""", _LOCK_SQL), [], "LOC1")
+_LOCK_OUT = """SELECT user_id, account_locked, login_attempts, events,
+  strftime(locked_at, '%Y-%m-%d %H:%M:%S.%f') AS locked_at, strftime(last_login, '%Y-%m-%d %H:%M:%S.%f') AS last_login
+ FROM lockouts"""
+
+
+def _lock_columns(lo: DataFrame) -> DataFrame:
+    text = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss.SSSSSS").alias(c)
+    return lo.select("user_id", "account_locked", "login_attempts", "events", text("locked_at"), text("last_login"))
+
+
+@register("lockouts", with_views(_LOCK_OUT, _LOCK_SQL), [], "LOC1")
 def q_lockouts(spark, sf_dir):
-    lo = AC.lockouts(care(spark, sf_dir).logins)
-    return lo.select("user_id", "account_locked", "login_attempts", F.to_date("locked_at").alias("locked_day"),
-                     "events")
+    return _lock_columns(AC.lockouts(care(spark, sf_dir).logins))
 
 
 @register("security_summary", with_views(f"""SELECT count(*) FILTER (WHERE account_locked) AS locked_accounts,
@@ -1041,12 +1181,29 @@ def q_pairwise_effect_sizes(spark, sf_dir):
     return ST.effect_sizes(mart(spark, sf_dir))
 
 
-@register("pairwise_significance", None, [], "STA1 STA3 STA5 (p-values: unit goldens)")
+_SIGNIFICANCE = f"""effects AS (SELECT a.g AS group_1, b.g AS group_2, a.n AS n_1, b.n AS n_2,
+  (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n))
+    AS t_stat, CAST(a.n + b.n - 2 AS DOUBLE) AS dof,
+  (a.mean - b.mean) / sqrt(((a.n - 1) * a.var + (b.n - 1) * b.var) / (a.n + b.n - 2)) AS effect_size
+ FROM m a JOIN m b ON a.g < b.g WHERE a.n >= 6 AND b.n >= 6),
+tests AS (SELECT *, {t_pvalue_sql('t_stat', 'dof')} AS p_value FROM effects)"""
+
+
+@register("pairwise_significance", mart_query("""SELECT *, coalesce(p_value < 0.05, false) AS significant,
+  CASE WHEN p_value IS NULL THEN NULL WHEN p_value >= 0.001 THEN format('{:.4f}', p_value) ELSE '< 0.001' END
+    AS p_value_formatted,
+  CASE WHEN effect_size IS NULL THEN NULL WHEN abs(effect_size) > 0.8 THEN 'Large'
+       WHEN abs(effect_size) > 0.5 THEN 'Medium' WHEN abs(effect_size) > 0.2 THEN 'Small' ELSE 'Negligible' END
+    AS effect_size_interpretation,
+  CASE WHEN coalesce(p_value < 0.05, false) THEN '✓' ELSE '✗' END AS significant_symbol FROM tests""",
+                                              None, None, _MOM, _SIGNIFICANCE),
+          ["t_stat", "dof", "effect_size", "p_value"], "STA1 STA3 STA5")
 def q_pairwise_significance(spark, sf_dir):
     return ST.label_significance(ST.pairwise_significance(mart(spark, sf_dir)))
 
 
-@register("significance_counts", None, [], "STA6")
+@register("significance_counts", mart_query("""SELECT count(*) FILTER (WHERE p_value < 0.05) AS significant_pairs,
+  count(*) AS total_pairs FROM tests""", None, None, _MOM, _SIGNIFICANCE), [], "STA6")
 def q_significance_counts(spark, sf_dir):
     return ST.significance_counts(ST.pairwise_significance(mart(spark, sf_dir)))
 
@@ -1056,9 +1213,8 @@ _MW = """c AS (SELECT intervention_name AS g, normalized_score AS v, count(*) AS
 sz AS (SELECT g, sum(c) AS n FROM c GROUP BY 1)"""
 
 
-@register("mannwhitney_u", mart_query("""SELECT p.g1 AS group_1, p.g2 AS group_2, p.n1 AS n_1, p.n2 AS n_2,
-  u.u1 AS u_stat,
-  (greatest(u.u1, p.n1 * p.n2 - u.u1) - p.n1 * p.n2 / 2.0 - 0.5)
+_MW_U = """u_tests AS (SELECT p.g1 AS group_1, p.g2 AS group_2, p.n1 AS n_1, p.n2 AS n_2, u.u1 AS u_stat,
+  greatest(greatest(u.u1, p.n1 * p.n2 - u.u1) - p.n1 * p.n2 / 2.0 - 0.5, 0.0)
    / sqrt(p.n1 * p.n2 / 12.0 * ((p.n1 + p.n2 + 1) - t.ties / ((p.n1 + p.n2) * (p.n1 + p.n2 - 1.0)))) AS z
  FROM (SELECT a.g AS g1, b.g AS g2, CAST(a.n AS DOUBLE) AS n1, CAST(b.n AS DOUBLE) AS n2 FROM sz a JOIN sz b
        ON a.g < b.g) p
@@ -1066,13 +1222,16 @@ sz AS (SELECT g, sum(c) AS n FROM c GROUP BY 1)"""
        FROM c a JOIN c b ON a.g < b.g AND b.v <= a.v GROUP BY 1, 2) u ON p.g1 = u.g1 AND p.g2 = u.g2
  JOIN (SELECT g1, g2, sum(power(t, 3) - t) AS ties FROM (
         SELECT p.g1, p.g2, x.v, sum(x.c) AS t FROM (SELECT a.g AS g1, b.g AS g2 FROM sz a JOIN sz b ON a.g < b.g) p
-        JOIN c x ON x.g = p.g1 OR x.g = p.g2 GROUP BY 1, 2, 3) q GROUP BY 1, 2) t ON p.g1 = t.g1 AND p.g2 = t.g2""",
-                                    None, None, _MW), ["u_stat", "z"], "STA2")
+        JOIN c x ON x.g = p.g1 OR x.g = p.g2 GROUP BY 1, 2, 3) q GROUP BY 1, 2) t ON p.g1 = t.g1 AND p.g2 = t.g2)"""
+
+
+@register("mannwhitney_u", mart_query("SELECT * FROM u_tests", None, None, _MW, _MW_U), ["u_stat", "z"], "STA2")
 def q_mannwhitney_u(spark, sf_dir):
     return ST.mannwhitney_pairs(mart(spark, sf_dir)).drop("p_value")
 
 
-@register("mannwhitney_pvalues", None, [], "STA2 (p-values: unit goldens)")
+@register("mannwhitney_pvalues", mart_query(f"SELECT *, {normal_pvalue_sql('z')} AS p_value FROM u_tests",
+                                            None, None, _MW, _MW_U), ["u_stat", "z", "p_value"], "STA2")
 def q_mannwhitney_pvalues(spark, sf_dir):
     return ST.mannwhitney_pairs(mart(spark, sf_dir))
 
@@ -1131,6 +1290,53 @@ def q_executive_recommendations(spark, sf_dir):
     return RP.executive_recommendations(A.intervention_analysis(mart(spark, sf_dir)))
 
 
+def _section(report: str, section: str, twin: str | None = None, sql: str | None = None, doubles=(), ids: str = ""):
+    """Register one section of a report; ``twin`` names the query whose SQL it shares."""
+    def q(spark, sf_dir):
+        kw = {"goals": care(spark, sf_dir).goals} if report == "Regulatory Compliance" else {}
+        if report == "Quality Assurance":
+            kw = {"records": care(spark, sf_dir).outcomes}
+        return RP.run_report(report, mart(spark, sf_dir), **kw)[section]
+    q.__name__ = f"q_{ids.lower()}_{section}"
+    name = f"report_{report.split()[0].lower()}_{section}"
+    register(name, sql, doubles, ids)(q)
+    if twin:
+        REGISTRY[name].sql, REGISTRY[name].doubles = REGISTRY[twin].sql, REGISTRY[twin].doubles
+
+
+for _report, _section_name, _twin, _ids in (
+        ("Executive Summary", "kpis", "executive_kpis", "RPT1"), ("Executive Summary", "trend", "monthly_trend", "RPT1"),
+        ("Executive Summary", "performance_summary", "top_bottom_efficiency", "RPT1"),
+        ("Executive Summary", "recommendations", "executive_recommendations", "RPT1"),
+        ("Intervention Effectiveness", "ranking", "intervention_efficiency_ranking", "RPT2"),
+        ("Cost Analysis", "summary", "cost_summary", "RPT3"), ("Cost Analysis", "cost_share", "cost_share", "RPT3"),
+        ("Quality Assurance", "quality_metrics", "quality_metrics", "RPT4"),
+        ("Quality Assurance", "quality_by_staff", "quality_by_staff", "RPT4"),
+        ("Quality Assurance", "rating_histogram", "quality_histogram", "RPT4"),
+        ("Staff Performance", "leaderboard", "staff_analysis", "RPT6"),
+        ("Regulatory Compliance", "service_summary", "service_summary", "RPT7"),
+        ("Regulatory Compliance", "goal_compliance", "goal_compliance", "RPT7"),
+        ("Regulatory Compliance", "notes_compliance", "notes_compliance", "RPT7")):
+    _section(_report, _section_name, _twin, ids=_ids)
+
+_section("Intervention Effectiveness", "significant_pairs", None, mart_query(
+    """SELECT *, true AS significant, CASE WHEN p_value >= 0.001 THEN format('{:.4f}', p_value) ELSE '< 0.001' END
+  AS p_value_formatted, CASE WHEN abs(effect_size) > 0.8 THEN 'Large' WHEN abs(effect_size) > 0.5 THEN 'Medium'
+  WHEN abs(effect_size) > 0.2 THEN 'Small' ELSE 'Negligible' END AS effect_size_interpretation,
+  '✓' AS significant_symbol FROM tests WHERE p_value < 0.05""", None, None, _MOM, _SIGNIFICANCE),
+         ["t_stat", "dof", "effect_size", "p_value"], "RPT2")
+
+
+@register("report_csv_round_trip", COST_SHARE_SQL, ["total_cost", "share"], "SNK1 RPT3")
+def q_report_csv(spark, sf_dir):
+    """A report written as CSV, one folder for each section, and one section read back."""
+    path = stage_path(spark, "report")
+    RP.write_report_csv(RP.run_report("Cost Analysis", mart(spark, sf_dir)), path)
+    back = spark.read.option("header", True).csv(f"{path}/cost_share")
+    return back.select("intervention_name", F.col("total_cost").cast("double").alias("total_cost"),
+                       F.col("share").cast("double").alias("share"))
+
+
 BILLING_MAP = "STANDARD: 97110\nPROMO: 97530\nSMALL: 92507\nLARGE: 97150"
 
 
@@ -1149,7 +1355,7 @@ def q_low_quality_log(spark, sf_dir):
 
 
 @register("service_log", mart_query("""SELECT session_date, anonymous_id, intervention_name, session_duration,
-  staff_name, id FROM mart"""), ["session_duration"], "SRT1 RPT7")
+  staff_name, recorded_by, created_at, id FROM mart"""), ["session_duration"], "SRT1 RPT7")
 def q_service_log(spark, sf_dir):
     return R.service_log(mart(spark, sf_dir))
 
@@ -1165,17 +1371,22 @@ def q_progress_timeline(spark, sf_dir):
   coalesce(bool_or(support_level = 'AFRICA'), false) AS AFRICA, coalesce(bool_or(support_level = 'AMERICA'), false) AS AMERICA,
   coalesce(bool_or(support_level = 'ASIA'), false) AS ASIA, coalesce(bool_or(support_level = 'EUROPE'), false) AS EUROPE,
   coalesce(bool_or(support_level = 'MIDDLE EAST'), false) AS "MIDDLE EAST"
- FROM mart WHERE quality_rating >= 5 AND age_group = '18-30' AND metric_name = 'M1' GROUP BY 1"""), [], "AGG39")
+ FROM mart GROUP BY 1"""), [], "AGG39")
 def q_presence_matrix(spark, sf_dir):
-    m = mart(spark, sf_dir).where((F.col("quality_rating") >= 5) & (F.col("age_group") == "18-30")
-                                  & (F.col("metric_name") == "M1"))
-    return A.presence_matrix(m, "intervention_name", "support_level",
+    return A.presence_matrix(mart(spark, sf_dir), "intervention_name", "support_level",
                              ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"])
 
 
+@register("staff_by_metric_matrix", mart_query("""SELECT staff_name, """ + ", ".join(
+    f"coalesce(bool_or(metric_name = 'M{k}'), false) AS M{k}" for k in range(1, 8)) + """
+ FROM mart GROUP BY 1"""), [], "AGG39 (column keys found in the data)")
+def q_staff_metric_matrix(spark, sf_dir):
+    return A.presence_matrix(mart(spark, sf_dir), "staff_name", "metric_name")
+
+
 @register("individual_picker", with_views("""SELECT id, anonymous_id, age_group, disability_category,
   anonymous_id || ' - ' || coalesce(age_group, 'Unknown Age') || ', ' || coalesce(disability_category,
-  'Unknown Disability') AS label FROM c_individuals WHERE active"""), [], "SRC4 FLT13")
+  'Unknown Disability') || coalesce(' (' || disability_severity || ')', '') AS label FROM c_individuals WHERE active"""), [], "SRC4 FLT13")
 def q_individual_picker(spark, sf_dir):
     ind = TB.active_dim(care(spark, sf_dir).individuals, None, ["admission_date", "id"])
     return FL.individual_label(ind).select("id", "anonymous_id", "age_group", "disability_category", "label")
@@ -1199,6 +1410,19 @@ def q_staff_directory(spark, sf_dir):
     return TB.staff_directory(care(spark, sf_dir).staff)
 
 
+@register("user_list", with_views("SELECT id, full_name, role FROM c_staff"), [], "SRC13")
+def q_user_list(spark, sf_dir):
+    return TB.user_directory(care(spark, sf_dir).staff, ["id", "full_name", "role"])
+
+
+@register("supervisor_sessions", mart_query("""SELECT m.id, m.staff_name FROM mart m
+ JOIN c_staff s ON m.staff_id = s.id WHERE s.role = 'Supervisor'"""), [], "FLT5")
+def q_supervisor_sessions(spark, sf_dir):
+    staff = care(spark, sf_dir).staff.select(F.col("id").alias("staff_id"), "role")
+    m = mart(spark, sf_dir).join(staff, "staff_id")
+    return FL.apply_filters(m, {"role": "Supervisor"}).select("id", "staff_name")
+
+
 @register("disability_picker", mart_query("""SELECT DISTINCT disability_category FROM mart
  WHERE disability_category IS NOT NULL"""), [], "FLT14")
 def q_disability_picker(spark, sf_dir):
@@ -1224,9 +1448,9 @@ def q_outcome_band_counts(spark, sf_dir):
 
 @register("outcome_model", None, [], "ML3-ML9 (iterative: rows-only)")
 def q_outcome_model(spark, sf_dir):
-    """Train the outcome-band model (reduced tree counts) and report accuracy and top importances."""
+    """Train the outcome-band model and report accuracy and top importances."""
     from caremart.plans import model as ML
-    m = ML.train_outcome_model(mart(spark, sf_dir), trees=(20, 40))
+    m = ML.train_outcome_model(mart(spark, sf_dir))
     if m is None:
         return spark.createDataFrame([], "metric string, feature string, value double")
     rows = [("train_accuracy", None, float(m.train_accuracy)), ("test_accuracy", None, float(m.test_accuracy))]
@@ -1251,14 +1475,17 @@ def q_stream_daily_counts(spark, sf_dir):
     return SJ.latest_by_key(out, ["day"]).select("day", "event_count")
 
 
-@register("stream_lockouts", with_views("""SELECT user_id, account_locked, login_attempts, events FROM lockouts""",
-                                        _LOCK_SQL), [], "STR2 (twin of LOC1)")
+@register("stream_lockouts", with_views(_LOCK_OUT, _LOCK_SQL), [], "STR2 (twin of LOC1, in two micro-batches)")
 def q_stream_lockouts(spark, sf_dir):
+    """The login events arrive in two runs of the stream, first half of the month first."""
     from caremart.streaming import jobs as SJ
-    logins = (_events_stream(spark, sf_dir).where(F.col("event_type").isin("error", "click", "signup"))
-              .select("event_id", "user_id", "ts", (F.col("event_type") == "error").alias("failed")))
-    out = SJ.run_to_table(SJ.stream_lockouts(logins), "lockouts", output_mode="update")
-    return SJ.latest_by_key(out, ["user_id"]).select("user_id", "account_locked", "login_attempts", "events")
+    logins = care(spark, sf_dir).logins.withColumn("ts", F.col("ts").cast("timestamp"))
+    in_dir, out_dir = stage_path(spark, "login-files"), stage_path(spark, "stream-lockouts")
+    half = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
+    for part in (logins.where(half), logins.where(~half)):
+        part.write.mode("append").parquet(in_dir)
+        SJ.stream_lockouts(spark.readStream.schema(logins.schema).parquet(in_dir), out_dir=out_dir)
+    return _lock_columns(spark.read.parquet(SJ.latest_epoch(spark, out_dir, 1 << 20)))
 
 
 @register("stream_dedupe_events", with_views("""SELECT DISTINCT user_id, event_type FROM events"""), [], "STR4")
@@ -1307,6 +1534,47 @@ def q_session_entry_rejections(spark, sf_dir):
                  F.count(F.lit(1)).alias("rejected"))
 
 
+SESSION_AT = "2001-01-01 09:30:00.000000"
+
+
+def _stored_session(spark, sf_dir):
+    import datetime as dt
+    c = care(spark, sf_dir)
+    rows = G.prepare_sessions(c.session_entries, c.interventions, c.outcomes, SESSION_AS_OF)
+    return G.stored_session(rows, "staff 1", dt.datetime.fromisoformat(SESSION_AT))
+
+
+@register("session_outcome_rows", with_views(f"""SELECT
+  sha256('outcome|' || v.session_key || '|' || s.outcome_metric_id) AS id,
+  sha256('session|' || v.session_key) AS session_id, v.individual_id, v.intervention_id, s.outcome_metric_id,
+  CAST(s.score AS DOUBLE) AS score, coalesce(CAST(b.first_score AS DOUBLE), CAST(s.score AS DOUBLE)) AS baseline_score,
+  v.session_date, 45 AS session_duration, 'attended' AS attendance_status, 4 AS quality_rating, trim(v.notes) AS notes,
+  'staff 1' AS recorded_by, '{SESSION_AT}' AS created_at
+ FROM valid v JOIN c_entry_scores s ON s.session_key = v.session_key
+ LEFT JOIN base b ON b.individual_id = v.individual_id AND b.outcome_metric_id = s.outcome_metric_id""", _ENTRY_SQL),
+          ["score", "baseline_score"], "SNK2 ING9")
+def q_session_outcome_rows(spark, sf_dir):
+    return _stored_session(spark, sf_dir)["outcomes"].withColumn(
+        "created_at", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss.SSSSSS"))
+
+
+@register("session_audit_rows", with_views("""SELECT sha256('session|' || v.session_key) AS record_id,
+  'INSERT' AS action, to_json({'individual_id': v.individual_id, 'intervention_id': v.intervention_id,
+   'metrics': v.n_scores}) AS new_values, 'staff 1' AS changed_by
+ FROM (SELECT v.*, (SELECT count(*) FROM c_entry_scores s WHERE s.session_key = v.session_key) AS n_scores
+       FROM valid v) v""", _ENTRY_SQL), [], "SNK2 SNK4")
+def q_session_audit_rows(spark, sf_dir):
+    return _stored_session(spark, sf_dir)["audit"].select("record_id", "action", "new_values", "changed_by")
+
+
+@register("session_stored_costs", with_views("""SELECT sha256('cost|' || v.session_key) AS id,
+  sha256('session|' || v.session_key) AS session_id, v.individual_id, v.intervention_id,
+  coalesce(i.cost_per_session, 50.0) AS direct_cost, v.session_date AS cost_date
+ FROM valid v LEFT JOIN c_interventions i ON i.id = v.intervention_id""", _ENTRY_SQL), ["direct_cost"], "SNK2")
+def q_session_stored_costs(spark, sf_dir):
+    return _stored_session(spark, sf_dir)["costs"]
+
+
 @register("session_cost_rows", with_views("""SELECT v.session_key, v.individual_id, v.intervention_id, v.session_date,
   coalesce(i.cost_per_session, 50.0) AS direct_cost
  FROM valid v LEFT JOIN c_interventions i ON i.id = v.intervention_id""", _ENTRY_SQL), ["direct_cost"], "SNK2")
@@ -1316,18 +1584,16 @@ def q_session_cost_rows(spark, sf_dir):
     return G.session_cost_rows(rows)
 
 
-@register("stream_import", with_views("""SELECT row_num, individual_id, intervention_id, outcome_metric_id,
+@register("stream_import", with_views("""SELECT individual_id, intervention_id, outcome_metric_id,
   score_value AS score, session_day AS session_date FROM imported""", _RESOLVED_SQL), ["score"], "STR1 ING7 ING8")
 def q_stream_import(spark, sf_dir):
-    """Write the import batch as CSV files in the shared folder, then import them with a file stream."""
-    from caremart.plans.materialize import stage_path
+    """Contract CSV files (no row numbers, in row order) in the shared folder, imported by a file stream."""
     from caremart.streaming import jobs as SJ
     c = care(spark, sf_dir)
-    in_dir = stage_path(spark, "import-csv")
-    c.import_batch.write.option("header", True).csv(in_dir)
+    in_dir = _csv(spark, c.import_batch.orderBy("row_num").select(*OUTCOMES_CSV_REQUIRED), "stream")
     out = SJ.stream_import(spark, in_dir, c.individuals, c.interventions, c.metrics, _stored(c))
-    return spark.read.parquet(out).select("row_num", "individual_id", "intervention_id", "outcome_metric_id",
-                                          "score", "session_date")
+    return spark.read.parquet(out).select("individual_id", "intervention_id", "outcome_metric_id", "score",
+                                          "session_date")
 
 
 @register("emergency_entry_alerts", with_views("""SELECT 'data_quality' AS alert_type, 'warning' AS severity,

@@ -12,16 +12,16 @@ from __future__ import annotations
 import hashlib
 import os
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
 from caremart.session import checkpoint_dir
-from caremart.sources.fs import exists, listing_stamp
+from caremart.sources.fs import exists, listing_stamp, total_bytes
 
 _WRITTEN: dict[tuple, str] = {}
-
-
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+BUCKET_BYTES = 64 << 20  # input bytes for each bucket of a stored fact
 
 
 def stage_path(spark: SparkSession, name: str) -> str:
@@ -29,10 +29,18 @@ def stage_path(spark: SparkSession, name: str) -> str:
 
 
 def write_stage(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as parquet in the shared folder and return a scan of it."""
+    """Write ``df`` as parquet in the shared folder and return a scan of it.
+
+    The written files replace the plan, so the shuffle files of the write go when it ends.
+    """
     spark = df.sparkSession
     path = stage_path(spark, name)
-    df.write.mode("overwrite").parquet(path)
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.mode("overwrite").parquet(path)
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
     return spark.read.parquet(path)
 
 
@@ -51,27 +59,25 @@ def materialized(spark: SparkSession, name: str, key: tuple, build: Callable[[],
 
 
 def materialized_bucketed(spark: SparkSession, name: str, key: tuple, build: Callable[[], DataFrame],
-                          bucket_col: str, buckets: int | None = None, sf_dir: str | None = None) -> DataFrame:
+                          bucket_col: str, sf_dir: str, inputs: Sequence[str]) -> DataFrame:
     """Like ``materialized`` but written as a table bucketed (and sorted) by ``bucket_col``.
 
     Two tables bucketed the same way on their join key are joined without a
-    shuffle (sort-merge join over matching buckets).  The files live in the
-    shared checkpoint folder; the table is registered in the session catalog.
+    shuffle (sort-merge join over matching buckets).  The bucket count follows the
+    bytes of the ``inputs`` tables (equal for tables with equal inputs), and rows
+    are dealt by the key before the write, so that each bucket is one file.  The
+    files live in the shared checkpoint folder; the table is registered in the
+    session catalog.
     """
-    full = (spark.sparkContext.applicationId, name, key, listing_stamp(spark, sf_dir) if sf_dir else (),
-            bucket_col, buckets)
+    full = (spark.sparkContext.applicationId, name, key, listing_stamp(spark, sf_dir), bucket_col)
     table = _WRITTEN.get(full)
     if table is None or not spark.catalog.tableExists(table):
-        n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+        size = sum(total_bytes(spark, f"{sf_dir}/{t}.parquet") for t in inputs)
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // BUCKET_BYTES))
         digest = hashlib.sha1(repr(full).encode()).hexdigest()[:12]
         table = f"caremart_{name}_{digest}"
         path = stage_path(spark, f"{name}-{digest}")
-        (build().write.mode("overwrite").bucketBy(n, bucket_col).sortBy(bucket_col)
+        (build().repartition(n, bucket_col).write.mode("overwrite").bucketBy(n, bucket_col).sortBy(bucket_col)
          .option("path", path).saveAsTable(table))
         _WRITTEN[full] = table
     return spark.table(table)
-
-
-def forget() -> None:
-    """Drop the in-process index of written tables (the files stay for the cluster's cleaner)."""
-    _WRITTEN.clear()

@@ -22,6 +22,9 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from caremart.functions.quantiles import exact_quantiles
+from caremart.plans.materialize import write_stage
+
 NUMERIC = ["cost_per_session", "session_duration", "quality_rating"]
 CATEGORICAL = ["intervention_name", "intervention_category", "metric_name", "age_group", "disability_category",
                "support_level"]
@@ -33,7 +36,8 @@ MIN_ROWS = 100
 
 def model_frame(mart: DataFrame) -> DataFrame:
     """ML1/FLT11: the modelling columns, rows with a normalised score only."""
-    return mart.select(*NUMERIC, *CATEGORICAL, "score", "normalized_score").dropna(subset=["normalized_score"])
+    ids = ["id"] if "id" in mart.columns else []
+    return mart.select(*ids, *NUMERIC, *CATEGORICAL, "score", "normalized_score").dropna(subset=["normalized_score"])
 
 
 def outcome_band(df: DataFrame, col: str = "normalized_score", out: str = "band") -> DataFrame:
@@ -47,15 +51,19 @@ def outcome_band(df: DataFrame, col: str = "normalized_score", out: str = "band"
 
 def stratified_split(df: DataFrame, label: str = "band", test_fraction: float = 0.3, seed: int = 42,
                      key: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
-    """ML4: reproducible split, ~``test_fraction`` of every label in the test side.
+    """ML4: reproducible split with ``test_fraction`` of every label, to one row, in the test side.
 
-    Each row draws a uniform number from a seeded hash of its key columns, so the
-    split is a per-row filter (no sort of a label's rows in one task).
+    Each row draws a number from a seeded hash of its key (``id``, else all columns);
+    the exact quantile of these numbers within each label is the cut, so no label's
+    rows are sorted in one task.
     """
-    cols = list(key) if key else [c for c in df.columns if c != label]
-    u = (F.abs(F.xxhash64(F.lit(seed), F.col(label), *[F.col(c) for c in cols])) % 1_000_000) / 1_000_000.0
+    cols = list(key) if key else ["id"] if "id" in df.columns else [c for c in df.columns if c != label]
+    u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), F.lit(1 << 52)).cast("double")
     marked = df.withColumn("_u", u)
-    return (marked.where(F.col("_u") >= test_fraction).drop("_u"), marked.where(F.col("_u") < test_fraction).drop("_u"))
+    cuts = exact_quantiles(marked, [label], "_u", [test_fraction], ["_cut"])  # one row per label
+    marked = marked.join(cuts, label)
+    return (marked.where(F.col("_u") >= F.col("_cut")).drop("_u", "_cut").select(*df.columns),
+            marked.where(F.col("_u") < F.col("_cut")).drop("_u", "_cut").select(*df.columns))
 
 
 def feature_stages(categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC) -> list:
@@ -77,15 +85,24 @@ class OutcomeModel:
     feature_importance: list[tuple[str, float]]
     labels: list[str]
     best_params: dict
+    defaults: dict
 
 
 def train_outcome_model(mart: DataFrame, k_values: Sequence[int] = (20, 30), trees: Sequence[int] = (100, 150),
                         depths: Sequence[int] = (3, 4), folds: int = 3, seed: int = 42,
-                        parallelism: int = 4) -> OutcomeModel | None:
-    """ML5-ML7: select k best (ANOVA F), scale, random forest; grid search by 3-fold CV on accuracy."""
+                        parallelism: int = 4, max_rows: int = 20_000) -> OutcomeModel | None:
+    """ML5-ML7: select k best (ANOVA F), scale, random forest; grid search by 3-fold CV on accuracy.
+
+    The fit takes at most ``max_rows`` labelled rows, those first by a hash of the
+    row; the frame is written once for all fits.  ``defaults`` of the model are the
+    first values (by id) of its rows.
+    """
     frame = outcome_band(model_frame(mart)).dropna(subset=["band"])
-    if frame.limit(MIN_ROWS).count() < MIN_ROWS:
+    cols = ["id"] if "id" in frame.columns else frame.columns
+    frame = write_stage(frame.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(max_rows), "model-frame")
+    if frame.count() < MIN_ROWS:
         return None
+    first = frame.orderBy(*cols).first()
     label_idx = StringIndexer(inputCol="band", outputCol="label", stringOrderType="alphabetAsc")
     selector = UnivariateFeatureSelector(featuresCol="raw_features", outputCol="selected", labelCol="label",
                                          selectionMode="numTopFeatures")
@@ -96,14 +113,15 @@ def train_outcome_model(mart: DataFrame, k_values: Sequence[int] = (20, 30), tre
     grid = (ParamGridBuilder().addGrid(selector.selectionThreshold, [float(k) for k in k_values])
             .addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths)).build())
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
-    train, test = stratified_split(frame, "band", 0.3, seed)
+    train, test = (write_stage(x, "model-split") for x in stratified_split(frame, "band", 0.3, seed))
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, seed=seed,
                         parallelism=parallelism)
     best = cv.fit(train).bestModel
     tr_acc, te_acc = ev.evaluate(best.transform(train)), ev.evaluate(best.transform(test))
     return OutcomeModel(best, tr_acc, te_acc, feature_importance(best, train), list(best.stages[0].labels),
                         {"k": best.stages[-3].getSelectionThreshold(), "numTrees": best.stages[-1].getNumTrees,
-                         "maxDepth": best.stages[-1].getOrDefault("maxDepth")})
+                         "maxDepth": best.stages[-1].getOrDefault("maxDepth")},
+                        {c: first[c] for c in (*NUMERIC, *CATEGORICAL)})
 
 
 def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 10) -> list[tuple[str, float]]:
@@ -123,19 +141,19 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 10) -
 def predict(model: OutcomeModel, df: DataFrame, defaults: Mapping[str, object] | None = None) -> DataFrame:
     """ML8/ML9: class and per-class probabilities for new sessions.
 
-    Missing numeric inputs become 0 (or ``defaults``); categorical values the model
-    never saw map to the dropped baseline level, i.e. an all-zero one-hot block.
+    Missing inputs and categorical values the model never saw take ``defaults``, else
+    the first values of the training rows, as the reference does.
     """
-    defaults = dict(defaults or {})
+    defaults = model.defaults | dict(defaults or {})
     out = df
     for c in NUMERIC:
         v = F.col(c).cast("double") if c in df.columns else F.lit(None).cast("double")
-        out = out.withColumn(c, F.coalesce(v, F.lit(float(defaults.get(c, 0.0)))))
+        out = out.withColumn(c, F.coalesce(v, F.lit(float(defaults.get(c) or 0.0))))
     indexers = [s for s in model.model.stages if isinstance(s, type(model.model.stages[1]))][1:]
     for c, ix in zip(CATEGORICAL, indexers):
         labels = list(ix.labels)
-        base = min(labels)
-        v = F.col(c).cast("string") if c in df.columns else F.lit(defaults.get(c, base))
+        base = defaults.get(c) if defaults.get(c) in labels else min(labels)
+        v = F.col(c).cast("string") if c in df.columns else F.lit(base)
         out = out.withColumn(c, F.when(v.isin(labels), v).otherwise(F.lit(base)))
     scored = model.model.transform(out.withColumn("band", F.lit(model.labels[0])))
     lab = F.array(*[F.lit(x) for x in model.labels])

@@ -8,22 +8,24 @@ DuckDB next to the Spark queries).  The view definitions mirror
 from __future__ import annotations
 
 CARE_VIEWS = {
-    "c_interventions": """SELECT name AS id, name, category, CAST(cost_per_session AS DOUBLE) AS cost_per_session,
-   CAST(duration_minutes AS INTEGER) AS duration_minutes, TRUE AS active, 'Moderate' AS evidence_level
- FROM (VALUES ('STANDARD','Therapy',85.0,45),('PROMO','Therapy',90.0,60),('SMALL','Creative',65.0,60),
-  ('LARGE','Behavioral',35.0,90),('ECONOMY','Life Skills',60.0,120),('MEDIUM','Recreation',45.0,75))
-  t(name, category, cost_per_session, duration_minutes)""",
+    "c_interventions": """SELECT p_type AS id, p_type AS name, 'Category ' || (count(*) % 3) AS category,
+   CAST(20 + sum(p_size) % 80 AS DOUBLE) AS cost_per_session, CAST(30 + 15 * (sum(p_size) % 7) AS INTEGER)
+   AS duration_minutes, TRUE AS active, 'Moderate' AS evidence_level FROM part GROUP BY p_type""",
     "c_metrics": """SELECT CAST(id AS INTEGER) AS id, name, category, CAST(scale_min AS DOUBLE) AS scale_min,
    CAST(scale_max AS DOUBLE) AS scale_max, higher_is_better, TRUE AS active,
+   CAST(id * 0.5 AS DOUBLE) AS clinical_significance_threshold, 'unit ' || id AS unit_of_measure,
    make_timestamp(2020, 1, CAST(id AS BIGINT), 0, 0, 0) AS created_at
  FROM (VALUES (1,'M1','Behavioral',0.0,50.0,true),(2,'M2','Behavioral',0.0,50.0,false),
   (3,'M3',NULL,1.0,45.0,true),(4,'M4','Social',5.0,50.0,false),(5,'M5','Cognitive',0.0,100.0,true),
   (6,'M6','Social',10.0,10.0,true),(7,'M7','Cognitive',NULL,NULL,true))
-  t(id, name, category, scale_min, scale_max, higher_is_better)""",
+  t(id, name, category, scale_min, scale_max, higher_is_better) WHERE id IN (SELECT l_linenumber FROM lineitem)""",
     "c_individuals": """SELECT c_custkey AS id, c_name AS anonymous_id,
    CASE c_custkey % 4 WHEN 0 THEN '18-30' WHEN 1 THEN '31-45' WHEN 2 THEN '46-60' ELSE '60+' END AS age_group,
    NULLIF(c_mktsegment, 'FURNITURE') AS disability_category, r_name AS support_level,
-   DATE '2000-01-01' + CAST(c_custkey % 365 AS INTEGER) AS admission_date, TRUE AS active
+   DATE '2000-01-01' + CAST(c_custkey % 365 AS INTEGER) AS admission_date,
+   CASE c_custkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'F' ELSE 'M' END AS gender,
+   CASE WHEN c_custkey % 6 = 0 THEN NULL WHEN c_custkey % 2 = 0 THEN 'Mild' ELSE 'Severe' END AS disability_severity,
+   c_mktsegment AS funding_source, TRUE AS active
  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey""",
     "c_staff": """SELECT s_suppkey AS id, s_name AS full_name,
    CASE WHEN s_suppkey % 10 = 0 THEN 'Supervisor' ELSE 'Staff' END AS role FROM supplier""",
@@ -41,7 +43,7 @@ CARE_VIEWS = {
    NULLIF(CAST(1 + (l_orderkey + l_partkey) % 5 AS INTEGER), 1) AS quality_rating,
    CASE l_orderkey % 3 WHEN 0 THEN NULL WHEN 1 THEN 'ok ' || l_returnflag
         ELSE 'progress noted ' || l_returnflag || l_linestatus END AS notes,
-   o_orderdate AS created_at
+   o_orderdate AS created_at, 'recorder ' || (l_suppkey % 50) AS recorded_by
  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN part ON l_partkey = p_partkey""",
     "c_costs": """SELECT
    concat_ws('-', l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_shipdate AS DATE),
@@ -57,7 +59,7 @@ CARE_VIEWS = {
    CASE WHEN m.higher_is_better THEN 40.0 ELSE 10.0 END AS target_value,
    DATE '2001-01-01' + CAST(c_custkey % 180 AS INTEGER) AS target_date, 1 + c_custkey % 3 AS priority_level,
    CASE WHEN c_custkey % 4 = 0 THEN 'closed' ELSE 'active' END AS status
- FROM customer, c_metrics m WHERE c_custkey % 5 = 0 AND m.id <= 5""",
+ FROM customer, c_metrics m WHERE m.id <= 5""",
     "c_schedules": """SELECT id, individual_id, outcome_metric_id,
    (['Weekly', 'Bi-Weekly', 'Monthly', 'Quarterly'])[CAST(id % 4 + 1 AS INTEGER)] AS frequency,
    target_date - 60 AS start_date FROM c_goals""",
@@ -99,7 +101,11 @@ STAR_COLUMNS = [
     ("intervention_category", "i.category"), ("cost_per_session", "i.cost_per_session"),
     ("planned_duration", "CAST(i.duration_minutes AS DOUBLE)"), ("evidence_level", "i.evidence_level"),
     ("metric_name", "m.name"), ("metric_category", "m.category"), ("scale_min", "m.scale_min"),
-    ("scale_max", "m.scale_max"), ("higher_is_better", "m.higher_is_better"),
+    ("scale_max", "m.scale_max"),
+    ("higher_is_better", "m.higher_is_better"),
+    ("clinical_significance_threshold", "m.clinical_significance_threshold"), ("unit_of_measure", "m.unit_of_measure"),
+    ("gender", "p.gender"), ("disability_severity", "p.disability_severity"), ("funding_source", "p.funding_source"),
+    ("recorded_by", "o.recorded_by"),
     ("anonymous_id", "p.anonymous_id"), ("age_group", "p.age_group"),
     ("disability_category", "p.disability_category"), ("support_level", "p.support_level"),
     ("staff_name", "u.full_name"), ("direct_cost", "CAST(c.direct_cost AS DOUBLE)"),

@@ -1,15 +1,13 @@
 """RPT1-RPT7, SNK1, SNK6: report assembly and exports.
 
 A report is an ordered ``{section: DataFrame}``; charts of the reference are
-their data frames.  Report runs persist the mart they share and release it at
-the end.
+their data frames, and every section is a lazy frame over the written mart.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,30 +86,21 @@ REPORTS = {"Executive Summary": executive_report, "Intervention Effectiveness":
 
 
 def run_report(name: str, mart: DataFrame, **kwargs) -> dict[str, DataFrame]:
-    """Build a named report.  The shared mart is persisted (memory and disk, recomputable) for the run."""
+    """Build a named report; its sections are lazy frames over the (written) mart."""
     return REPORTS[name](mart, **kwargs)
 
 
-def materialize_report(report: Mapping[str, DataFrame], mart: DataFrame) -> dict[str, list]:
-    """Evaluate every section once over a persisted mart and unpersist it (small results only)."""
-    mart.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        return {k: v.collect() for k, v in report.items()}
-    finally:
-        mart.unpersist()
+def write_report_csv(report: Mapping[str, DataFrame], path: str, single_file: bool = False) -> list[str]:
+    """SNK1: write every section of the report as UTF-8 CSV with a header (no index), each in its own folder.
 
-
-def write_report_csv(report: Mapping[str, DataFrame], path: str, single_file: bool = False) -> str | None:
-    """SNK1: write the report's first section as UTF-8 CSV with a header (no index).
-
-    ``single_file=True`` coalesces to one part file, for small reports only.
+    Sections may be as large as the facts (logs), so they are written by their
+    tasks and never collected.  ``single_file=True`` coalesces to one part file, for
+    small reports only.
     """
-    if not report:
-        return None
-    name, df = next(iter(report.items()))
-    out = df.coalesce(1) if single_file else df
-    out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
-    return name
+    for name, df in report.items():
+        out = df.coalesce(1) if single_file else df
+        out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(f"{path}/{name}")
+    return list(report)
 
 
 def parse_code_map(text: str) -> list[tuple[str, str]]:
@@ -125,20 +114,15 @@ def parse_code_map(text: str) -> list[tuple[str, str]]:
     return pairs
 
 
-MAX_CODE_MAP_ROWS = 100_000
-
-
 def billing_export(mart: DataFrame, code_map: str,
                    cols=("session_date", "anonymous_id", "intervention_name", "session_duration", "total_cost")
                    ) -> DataFrame:
     """SNK6: sessions with the billing code of their intervention (NULL when unmapped).
 
-    The map comes from user text; its row count is checked before it is broadcast.
+    The map comes from user text; Catalyst broadcasts it when its size allows.
     """
     pairs = parse_code_map(code_map)
-    if len(pairs) > MAX_CODE_MAP_ROWS:
-        raise ValueError("billing code map too large to broadcast")
     spark = mart.sparkSession
     schema = "intervention_name string, billing_code string"
     m = spark.createDataFrame(pairs, schema).dropDuplicates(["intervention_name"])
-    return mart.select(*cols, "id").join(F.broadcast(m), "intervention_name", "left")
+    return mart.select(*cols, "id").join(m, "intervention_name", "left")

@@ -18,15 +18,9 @@ from pyspark.sql import types as T
 
 from caremart.sources.tables import load_table
 
-# Fixed values of the fixture mapping (must equal the oracle's VALUES lists).
-INTERVENTION_ROWS = [
-    ("STANDARD", "Therapy", 85.0, 45),
-    ("PROMO", "Therapy", 90.0, 60),
-    ("SMALL", "Creative", 65.0, 60),
-    ("LARGE", "Behavioral", 35.0, 90),
-    ("ECONOMY", "Life Skills", 60.0, 120),
-    ("MEDIUM", "Recreation", 45.0, 75),
-]
+# Fixed values of the fixture mapping (must equal the oracle's): the order in which session entries cycle
+# through the part types.
+ENTRY_TYPES = ["STANDARD", "PROMO", "SMALL", "LARGE", "ECONOMY", "MEDIUM"]
 # id, name, category, scale_min, scale_max, higher_is_better
 # 6 has a degenerate scale, 7 a null scale; 3 has a null category.
 METRIC_ROWS = [
@@ -87,18 +81,26 @@ class CareTables:
     # -- dimensions ---------------------------------------------------------
     @cached_property
     def interventions(self) -> DataFrame:
-        df = literal_table(self.spark, INTERVENTION_ROWS, ["name", "category", "cost_per_session", "duration_minutes"])
-        return df.select(F.col("name").alias("id"), "*", F.lit(True).alias("active"),
-                         F.lit("Moderate").alias("evidence_level"))
+        """One intervention per part type; price, duration and category from the type's sizes and count."""
+        t = self.raw("part").groupBy("p_type").agg(F.sum("p_size").alias("_size"), F.count(F.lit(1)).alias("_n"))
+        return t.select(F.col("p_type").alias("id"), F.col("p_type").alias("name"),
+                        F.concat(F.lit("Category "), (F.col("_n") % 3).cast("string")).alias("category"),
+                        (20 + F.col("_size") % 80).cast("double").alias("cost_per_session"),
+                        (30 + 15 * (F.col("_size") % 7)).cast("int").alias("duration_minutes"),
+                        F.lit(True).alias("active"), F.lit("Moderate").alias("evidence_level"))
 
     @cached_property
     def metrics(self) -> DataFrame:
+        """One metric per line number that occurs, with the fixed scale of its number."""
         df = literal_table(self.spark, METRIC_ROWS, ["id", "name", "category", "scale_min", "scale_max",
                                                      "higher_is_better"])
-        df = df.withColumns({"scale_min": F.col("scale_min").cast("double"),
-                             "scale_max": F.col("scale_max").cast("double"),
-                             "category": F.col("category").cast("string")})
+        seen = self.raw("lineitem").select(F.col("l_linenumber").cast("int").alias("id")).distinct()
+        df = df.join(seen, "id").withColumns({"scale_min": F.col("scale_min").cast("double"),
+                                              "scale_max": F.col("scale_max").cast("double"),
+                                              "category": F.col("category").cast("string")})
         return df.select("*", F.lit(True).alias("active"),
+                         (F.col("id") * 0.5).cast("double").alias("clinical_significance_threshold"),
+                         F.concat(F.lit("unit "), F.col("id").cast("string")).alias("unit_of_measure"),
                          F.make_timestamp_ntz(F.lit(2020), F.lit(1), F.col("id"), F.lit(0), F.lit(0),
                                               F.lit(0)).alias("created_at"))
 
@@ -116,7 +118,11 @@ class CareTables:
                         F.col("r_name").alias("support_level"),
                         F.date_add(F.lit(_dt.date(2000, 1, 1)), (F.col("c_custkey") % 365).cast("int"))
                         .alias("admission_date"),
-                        F.lit(True).alias("active")))
+                        F.when(F.col("c_custkey") % 3 == 0, F.lit(None).cast("string"))
+                        .when(F.col("c_custkey") % 3 == 1, "F").otherwise("M").alias("gender"),
+                        F.when(F.col("c_custkey") % 6 == 0, F.lit(None).cast("string"))
+                        .when(F.col("c_custkey") % 2 == 0, "Mild").otherwise("Severe").alias("disability_severity"),
+                        F.col("c_mktsegment").alias("funding_source"), F.lit(True).alias("active")))
 
     @cached_property
     def staff(self) -> DataFrame:
@@ -155,6 +161,7 @@ class CareTables:
             .alias("quality_rating"),
             notes.alias("notes"),
             F.col("o_orderdate").alias("created_at"),
+            F.concat(F.lit("recorder "), (F.col("l_suppkey") % 50).cast("string")).alias("recorded_by"),
         )
 
     @cached_property
@@ -176,7 +183,7 @@ class CareTables:
 
     @cached_property
     def goals(self) -> DataFrame:
-        c = self.raw("customer").select("c_custkey").where(F.col("c_custkey") % 5 == 0)
+        c = self.raw("customer").select("c_custkey")
         # one goal per customer for metrics 1..5: a fixed explode, no join needed
         hib_by_metric = F.create_map(*[x for r in METRIC_ROWS if r[0] <= 5 for x in (F.lit(r[0]), F.lit(r[5]))])
         j = (c.select("c_custkey", F.explode(F.array(*[F.lit(r[0]) for r in METRIC_ROWS if r[0] <= 5])).alias("id"))
@@ -232,7 +239,7 @@ class CareTables:
 
     @cached_property
     def session_entries(self) -> DataFrame:
-        """Session entry forms derived from orders: one map of metric -> score per order.
+        """Session entry forms derived from orders: one map of metric -> score per order (one entry per line number).
 
         The intervention cycles through the six names by order key; the notes are
         the order priority, so short notes and future dates both occur.
@@ -241,7 +248,7 @@ class CareTables:
         li = (self.raw("lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max("l_quantity").alias("q"))
               .groupBy("l_orderkey").agg(F.map_from_entries(F.collect_list(F.struct("l_linenumber", "q")))
                                          .alias("scores")))
-        names = F.array(*[F.lit(r[0]) for r in INTERVENTION_ROWS])
+        names = F.array(*[F.lit(t) for t in ENTRY_TYPES])
         return (o.join(li, o.o_orderkey == li.l_orderkey, "left")
                 .select(F.col("o_orderkey").alias("session_key"), F.col("o_custkey").alias("individual_id"),
                         F.element_at(names, (F.col("o_orderkey") % 6 + 1).cast("int")).alias("intervention_id"),

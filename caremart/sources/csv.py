@@ -3,7 +3,8 @@
 Every cell is read as a string (no schema inference) in PERMISSIVE mode, so
 bad values become row-level validation errors (``operators.ingest``) rather
 than job failures.  A ``row_num`` column records file order for
-``skip_duplicates``.
+``skip_duplicates``: a string key of file, block and row that sorts as the rows
+stand in their files, over any number of files, and names each row once.
 """
 
 from __future__ import annotations
@@ -29,8 +30,19 @@ def read_contract_csv(spark: SparkSession, path: str, required: Sequence[str],
     for c in optional:
         if c not in df.columns:
             df = df.withColumn(c, F.lit(None).cast("string"))
-    # file order: monotonically increasing ids follow file splits and line position
-    return df.withColumn("row_num", F.monotonically_increasing_id())
+    return df.select(*[F.col(f"`{c}`") for c in df.columns], file_order().alias("row_num"))
+
+
+def file_order():
+    """A sortable key of a row's place: file path, block start and row within the split.
+
+    Splits of one file never interleave: a split starts at its block, and rows within a
+    task are numbered in reading order.
+    """
+    row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return F.concat_ws("#", F.col("_metadata.file_path"),
+                       F.lpad(F.col("_metadata.file_block_start").cast("string"), 20, "0"),
+                       F.lpad(row.cast("string"), 12, "0"))
 
 
 def read_outcomes_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -60,8 +72,8 @@ def read_mapped_csv(spark: SparkSession, path: str, mapping: Mapping[str, str])
     """
     src = (spark.read.option("header", True).option("mode", "PERMISSIVE")
            .option("inferSchema", False).csv(path))
-    return src.select(*[F.col(f"`{s}`").cast("string").alias(t) for t, s in mapping.items()]) \
-        .withColumn("row_num", F.monotonically_increasing_id())
+    return src.select(*[F.col(f"`{s}`").cast("string").alias(t) for t, s in mapping.items()],
+                      file_order().alias("row_num"))
 
 
 ASSESSMENT_COLUMNS = ASSESSMENT_CSV

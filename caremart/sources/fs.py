@@ -16,10 +16,21 @@ def exists(spark: SparkSession, path: str) -> bool:
     return bool(fs.exists(p))
 
 
-def listing_stamp(spark: SparkSession, path: str) -> tuple:
-    """(name, length, modification time) of the entries under ``path``; empty when it is missing."""
+def _files(spark: SparkSession, path: str) -> list:
     fs, p = _fs_and_path(spark, path)
     if not fs.exists(p):
-        return ()
-    return tuple(sorted((s.getPath().getName(), int(s.getLen()), int(s.getModificationTime()))
-                        for s in fs.listStatus(p)))
+        return []
+    found, entries = [], fs.listFiles(p, True)
+    while entries.hasNext():
+        found.append(entries.next())
+    return found
+
+
+def listing_stamp(spark: SparkSession, path: str) -> tuple:
+    """(path, length, modification time) of all files under ``path``, in its folders too; empty when it is missing."""
+    return tuple(sorted((s.getPath().toString(), int(s.getLen()), int(s.getModificationTime()))
+                        for s in _files(spark, path)))
+
+
+def total_bytes(spark: SparkSession, path: str) -> int:
+    return sum(int(s.getLen()) for s in _files(spark, path))

@@ -8,25 +8,19 @@ resumes exactly once; ``trigger(availableNow=True)`` drains what is there and st
 
 from __future__ import annotations
 
-import sys
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 
-import pandas as pd
-from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from caremart.operators import access as AC
 from caremart.operators import ingest as G
 from caremart.plans.materialize import stage_path
+from caremart.schemas import OUTCOMES_CSV_REQUIRED
 from caremart.sources.fs import exists
 
 
-# Python workers may not have this package on their path (nothing is installed on the
-# executors): functions of this module are shipped by value inside the pickled UDF.
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
-
 def stream_daily_counts(events: DataFrame, ts: str = "ts", user: str = "user_id", watermark: str = "1 day",
                         where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """STR3: events per day and approximate distinct users, with a watermark for late rows.
@@ -46,49 +40,78 @@ def stream_dedupe(df: DataFrame, keys: Sequence[str], ts: str, watermark: str =
     return df.withWatermark(ts, watermark).dropDuplicatesWithinWatermark(list(keys))
 
 
-LOCK_OUTPUT = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("login_attempts", T.IntegerType()),
-                            T.StructField("account_locked", T.BooleanType()),
-                            T.StructField("locked_at", T.TimestampType()),
-                            T.StructField("last_login", T.TimestampType()),
-                            T.StructField("events", T.LongType())])
-LOCK_STATE = T.StructType([T.StructField("attempts", T.IntegerType()), T.StructField("locked", T.BooleanType()),
+LOCK_STATE = T.StructType([T.StructField("user_id", T.LongType()), T.StructField("account_locked", T.BooleanType()),
+                           T.StructField("login_attempts", T.IntegerType()),
                            T.StructField("locked_at", T.TimestampType()),
-                           T.StructField("last_login", T.TimestampType()),
-                           T.StructField("events", T.LongType())])
-
-
-def _lock_step(limit: int):
-    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        attempts, locked, locked_at, last_login, n = (state.get if state.exists else (0, False, None, None, 0))
-        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["ts", "event_id"], kind="mergesort")
-        for ts, failed in zip(pdf["ts"], pdf["failed"]):
-            n += 1
-            if locked:
-                continue
-            if failed:
-                attempts += 1
-                if attempts >= limit:
-                    locked, locked_at = True, ts
-            else:
-                attempts, last_login = 0, ts
-        state.update((int(attempts), bool(locked), locked_at, last_login, int(n)))
-        yield pd.DataFrame({"user_id": [key[0]], "login_attempts": [attempts], "account_locked": [locked],
-                            "locked_at": [locked_at], "last_login": [last_login], "events": [n]})
-    return step
-
-
-def stream_lockouts(logins: DataFrame, limit: int = 3) -> DataFrame:
-    """STR2: per-user failed-login state across micro-batches (``applyInPandasWithState``).
-
-    Each micro-batch's events of a user are applied in event-time order; the
-    update-mode output is the user's current state.  An event that arrives in a
-    later micro-batch than newer events of the same user is applied when it
-    arrives (arrival order across batches), as a login service would.  Batch
-    twin: ``access.lockouts``; the state is one small row per user.
+                           T.StructField("last_login", T.TimestampType()), T.StructField("events", T.LongType())])
+EARLIEST = "0001-01-01 00:00:00"
+
+
+def advance_lockouts(state: DataFrame, logins: DataFrame, limit: int = 3) -> DataFrame:
+    """The lock-out state after a batch of login events, from the state before it.
+
+    An account's failed attempts so far (fewer than ``limit``) go before its new
+    events, and ``access.lockouts`` does the rest, so a user with a third of a batch
+    is split over tasks; locked accounts only count their events.
+    """
+    state = state.select(*[F.col(f.name) for f in LOCK_STATE.fields])
+    early = F.lit(EARLIEST).cast("timestamp")
+    seeds = (state.where(~F.col("account_locked") & (F.col("login_attempts") > 0))
+             .select("user_id", early.alias("ts"), F.explode(F.sequence(
+                 F.lit(-limit).cast("long"), F.col("login_attempts") - limit - 1)).alias("event_id"),
+                 F.lit(True).alias("failed")))
+    new = AC.lockouts(seeds.unionByName(logins.select("user_id", "ts", "event_id", "failed")), limit)
+    old = state.select(*[F.col(f.name).alias(f"_{f.name}") for f in LOCK_STATE.fields])
+    j = old.join(new, old["_user_id"] == new["user_id"], "full_outer")
+    was = F.coalesce(F.col("_account_locked"), F.lit(False))
+    keep = was | F.col("user_id").isNull()
+    seeded = F.when(~was, F.coalesce(F.col("_login_attempts"), F.lit(0))).otherwise(0)
+    pick = lambda c: F.when(keep, F.col(f"_{c}")).otherwise(F.col(c)).alias(c)
+    return j.select(
+        F.coalesce("user_id", "_user_id").alias("user_id"), pick("account_locked"), pick("login_attempts"),
+        pick("locked_at"), F.when(keep, F.col("_last_login")).otherwise(F.coalesce("last_login", "_last_login"))
+        .alias("last_login"),
+        (F.coalesce("_events", F.lit(0)) + F.when(F.col("user_id").isNull(), 0).otherwise(F.col("events") - seeded))
+        .cast("long").alias("events"))
+
+
+def stream_lockouts(logins: DataFrame, limit: int = 3, out_dir: str | None = None, checkpoint: str | None = None) -> str:
+    """STR2: per-user failed-login state across micro-batches; returns the folder of the states.
+
+    Each micro-batch writes the whole state (one row per user) to ``epoch=<n>``,
+    computed from the state of the epoch before, so a repeated micro-batch overwrites
+    its own result.  Within a micro-batch events apply in event-time order; an event
+    that arrives in a later micro-batch than newer ones applies when it arrives, as a
+    login service would.  Batch twin: ``access.lockouts``.
     """
-    return (logins.select("user_id", "ts", "event_id", "failed").groupBy("user_id")
-            .applyInPandasWithState(_lock_step(limit), LOCK_OUTPUT, LOCK_STATE, "update",
-                                    GroupStateTimeout.NoTimeout))
+    spark = logins.sparkSession
+    out_dir = out_dir or stage_path(spark, "stream-lockouts")
+
+    def advance(batch: DataFrame, epoch: int) -> None:
+        before = latest_epoch(spark, out_dir, epoch)
+        state = spark.read.parquet(before) if before else spark.createDataFrame([], LOCK_STATE)
+        advance_lockouts(state, batch, limit).write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+
+    _drain(logins.writeStream.foreachBatch(advance).option("checkpointLocation", checkpoint or out_dir + "-checkpoint"))
+    return out_dir
+
+
+def latest_epoch(spark: SparkSession, out_dir: str, before: int) -> str | None:
+    """The newest ``epoch=<n>`` folder with n < ``before``."""
+    for n in range(before - 1, -1, -1):
+        if exists(spark, f"{out_dir}/epoch={n}"):
+            return f"{out_dir}/epoch={n}"
+    return None
+
+
+def _drain(writer) -> int:
+    """Run a stream over what is there; the number of the next epoch."""
+    q = writer.trigger(availableNow=True).start()
+    q.awaitTermination()
+    if q.exception() is not None:
+        raise RuntimeError(str(q.exception()))
+    done = [p["batchId"] for p in q.recentProgress]
+    return max(done, default=-1) + 1
 
 
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", checkpoint: str | None = None,
@@ -102,18 +125,14 @@ def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", chec
     sink = sink or stage_path(spark, f"stream-{name}")
     checkpoint = checkpoint or sink + "-checkpoint"
     if output_mode == "append":
-        q = (stream.writeStream.format(fmt).option("path", sink).option("checkpointLocation", checkpoint)
-             .outputMode("append").trigger(availableNow=True).start())
+        w = (stream.writeStream.format(fmt).option("path", sink).option("checkpointLocation", checkpoint)
+             .outputMode("append"))
     else:
         def write(batch: DataFrame, epoch: int) -> None:
             batch.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(sink)
-        q = (stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
-             .outputMode(output_mode).trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
-    out = spark.read.parquet(sink)
-    return out
+        w = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode(output_mode)
+    _drain(w)
+    return spark.read.parquet(sink)
 
 
 def latest_by_key(df: DataFrame, keys: Sequence[str], order: str = "_epoch") -> DataFrame:
@@ -124,32 +143,44 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: str = "_epoch") ->
 
 def stream_import(spark: SparkSession, in_dir: str, individuals: DataFrame, interventions: DataFrame,
                   metrics: DataFrame, stored: DataFrame, out_dir: str | None = None,
-                  checkpoint: str | None = None, csv_columns: Sequence[str] | None = None) -> str:
-    """STR1: import every CSV batch arriving in ``in_dir`` (file ``readStream`` + ``foreachBatch``).
-
-    Each micro-batch is validated and imported with ``operators.ingest``;
-    ``skip_duplicates`` sees the stored records and everything imported by
-    earlier micro-batches (the output table).  Returns the output path.
+                  checkpoint: str | None = None, csv_columns: Sequence[str] = tuple(OUTCOMES_CSV_REQUIRED),
+                  max_files: int = 1000) -> str:
+    """STR1: import every CSV file arriving in ``in_dir`` (file ``readStream`` + ``foreachBatch``).
+
+    Files carry the contract's columns (name optional ones in ``csv_columns``); a
+    file with another header fails the stream.  Each micro-batch is validated and
+    imported with ``operators.ingest``; ``skip_duplicates`` sees the stored records
+    and the keys of earlier micro-batches, of which only the months that the batch
+    touches are read.  A repeated micro-batch overwrites its own rows.  Returns the
+    output path.
     """
-    cols = list(csv_columns or ["row_num", "individual_anonymous_id", "intervention_name", "metric_name", "score",
-                                "session_date", "session_duration"])
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_columns])
     out_dir = out_dir or stage_path(spark, "stream-import")
-    checkpoint = checkpoint or out_dir + "-checkpoint"
-    src = spark.readStream.schema(schema).option("header", True).csv(in_dir)
+    keys_dir = out_dir + "-keys"
+    src = (spark.readStream.schema(schema).option("header", True).option("enforceSchema", False)
+           .option("maxFilesPerTrigger", max_files).csv(in_dir)
+           .select("*", F.col("_metadata.file_path").alias("_file"),
+                   F.col("_metadata.file_block_start").alias("_block")))
+    month = F.date_format(F.trunc("session_date", "month"), "yyyy-MM")
 
     def import_batch(batch: DataFrame, epoch: int) -> None:
-        b = batch.withColumn("row_num", F.col("row_num").cast("long"))
-        existing = stored.select("individual_id", "intervention_id", "session_date")
-        if exists(spark, out_dir):
-            done = spark.read.parquet(out_dir).select("individual_id", "intervention_id", "session_date")
-            existing = existing.unionByName(done)
-        rows = G.import_outcomes(b, individuals, interventions, metrics, existing=existing)
-        rows.withColumn("_epoch", F.lit(epoch)).write.mode("append").parquet(out_dir)
-
-    q = (src.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint)
-         .trigger(availableNow=True).start())
-    q.awaitTermination()
-    if q.exception() is not None:
-        raise RuntimeError(str(q.exception()))
+        row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("string")
+        b = batch.withColumn("row_num", F.concat_ws("#", "_file", F.lpad(F.col("_block").cast("string"), 20, "0"),
+                                                    F.lpad(row, 12, "0"))).persist()
+        try:
+            days = G.typed(b).select(F.col("session_day").alias("session_date")).where("session_date IS NOT NULL")
+            months = [r["m"] for r in days.select(month.alias("m")).distinct().collect()]  # bounded by the calendar
+            cols = ["individual_id", "intervention_id", "session_date"]
+            existing = stored.select(*cols).where(month.isin(months))
+            if exists(spark, keys_dir):
+                done = spark.read.parquet(keys_dir).where((F.col("epoch") < epoch) & F.col("month").isin(months))
+                existing = existing.unionByName(done.select(*cols))
+            rows = G.import_outcomes(b, individuals, interventions, metrics, existing=existing, batch_id="stream")
+            rows.write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
+            new = spark.read.parquet(f"{out_dir}/epoch={epoch}").select(*cols, month.alias("month"))
+            new.write.mode("overwrite").partitionBy("month").parquet(f"{keys_dir}/epoch={epoch}")
+        finally:
+            b.unpersist()
+
+    _drain(src.writeStream.foreachBatch(import_batch).option("checkpointLocation", checkpoint or out_dir + "-checkpoint"))
     return out_dir

@@ -4,20 +4,43 @@ import math
 
 import pytest
 
-from caremart.functions.pvalues import betainc, normal_two_sided, t_two_sided
+from pyspark.sql import functions as F
+
+from caremart.functions.pvalues import normal_pvalue, t_pvalue
 from caremart.operators import stats as ST
 
 
-def test_t_pvalue_goldens():
-    assert t_two_sided(2.0, 10) == pytest.approx(0.0733880347, abs=1e-9)
-    assert t_two_sided(0.0, 5) == pytest.approx(1.0)
-    assert t_two_sided(2.228138852, 10) == pytest.approx(0.05, abs=1e-8)
-    assert t_two_sided(1.959963985, 1e7) == pytest.approx(0.05, abs=1e-6)
+def p_values(spark, rows, normal=False):
+    df = spark.createDataFrame(rows, "t double, dof double")
+    p = normal_pvalue(F.col("t")) if normal else t_pvalue(F.col("t"), F.col("dof"))
+    return [r["p"] for r in df.select(p.alias("p")).collect()]
+
+
+def test_t_pvalue_goldens(spark):
+    nan, inf = float("nan"), float("inf")
+    got = p_values(spark, [(2.0, 10.0), (0.0, 5.0), (2.228138852, 10.0), (1.959963985, 1e7), (-5.0, 1.0), (50.0, 2.0),
+                           (None, 3.0), (nan, 3.0), (1.0, 0.0), (inf, 3.0)])
+    want = [0.0733880347, 1.0, 0.05, 0.05, 1 - 2 / math.pi * math.atan(5), 1 - 50 / math.sqrt(2502), None, None, None,
+            0.0]
+    for g, w in zip(got, want):
+        assert g == w if w is None else g == pytest.approx(w, abs=1e-6)
 
 
-def test_normal_and_beta():
-    assert normal_two_sided(1.959963985) == pytest.approx(0.05, abs=1e-9)
-    assert betainc(2.0, 3.0, 0.4) == pytest.approx(0.5248, abs=1e-12)
+def test_normal_goldens(spark):
+    zs = [0.0, 0.5, -1.959963985, 6.0, 30.0]
+    for z, p in zip(zs, p_values(spark, [(z, None) for z in zs], normal=True)):
+        assert p == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), rel=1e-9)
+
+
+def test_equal_samples_and_constant_groups(spark):
+    same = spark.createDataFrame([(g, float(v)) for g in "ab" for v in range(8)], "g string, v double")
+    r = ST.mannwhitney_pairs(same, "g", "v").collect()[0]
+    assert (r["z"], r["p_value"]) == (0.0, 1.0)
+    assert ST.pairwise_significance(same, "g", "v").collect()[0]["p_value"] == pytest.approx(1.0)
+    flat = spark.createDataFrame([(g, 3.0) for g in "ab" for _ in range(8)], "g string, v double")
+    r = ST.label_significance(ST.pairwise_significance(flat, "g", "v")).collect()[0]
+    assert r["p_value"] is None and r["p_value_formatted"] is None and r["effect_size_interpretation"] is None
+    assert r["significant"] is False
 
 
 def test_ttest_and_cohens_d(spark):
@@ -28,7 +51,6 @@ def test_ttest_and_cohens_d(spark):
     # pooled variance = (3.5*5 + 14*5)/10 = 8.75; t = -3.5 / sqrt(8.75/3)
     assert r["t_stat"] == pytest.approx(-3.5 / math.sqrt(8.75 / 3))
     assert r["effect_size"] == pytest.approx(-3.5 / math.sqrt(8.75))
-    assert r["p_value"] == pytest.approx(t_two_sided(r["t_stat"], 10))
     assert r["p_value"] == pytest.approx(0.06757, abs=1e-4)
     assert r["significant"] is False
 
