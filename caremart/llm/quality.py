@@ -256,24 +256,46 @@ def _lang():
     return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
 
 
-def judge(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
-    """All columns of ``docs`` plus ``perplexity, threshold, keep``."""
-    extra = ("perplexity", "threshold", "keep")
-    docs = docs.select(*[c for c in docs.columns if c not in extra])
-    trusted = trusted_ids(labels).filter(~_held_out(F.col("_trusted")))
-    model = train(docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted")).select("text"))
-    scored = perplexity(docs, model)
-    slim = write_stage(perplexity(docs.select("doc_id", "lang", "text"), model).drop("text"), "perplexity")
-    limits = thresholds(slim, labels, **settings).collect()  # one row for each language
+ADDED = ("perplexity", "threshold", "keep")
+
+
+def _trained(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The model of the trusted documents' texts.
+
+    Labels grow with the documents, so the two always meet in a shuffle join.
+    """
+    trusted = trusted_ids(labels).filter(~_held_out(F.col("_trusted"))).hint("merge")
+    return train(docs.select("doc_id", "text").join(trusted, F.col("doc_id") == F.col("_trusted")).select("text"))
+
+
+def _judged(scored: DataFrame, limits: list) -> DataFrame:
+    """Adds each row's threshold and decision; ``limits`` is one row for each language."""
     table = F.create_map(*[F.lit(x) for r in limits for x in (r["_lang"], float(r["threshold"]))]) if limits else None
     limit = F.coalesce(table[_lang()], table[F.lit("~")]) if limits else F.lit(None).cast("double")
     return scored.withColumn("threshold", limit).withColumn(
         "keep", F.coalesce(F.col("perplexity") <= F.col("threshold"), F.lit(True)))
 
 
+def judge(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """All columns of ``docs`` plus ``perplexity, threshold, keep``; the texts are scored where they stand."""
+    docs = docs.select(*[c for c in docs.columns if c not in ADDED])
+    model = _trained(docs, labels)
+    held = trusted_ids(labels).filter(_held_out(F.col("_trusted")))
+    sample = docs.select("doc_id", "lang", "text").filter(_held_out(F.col("doc_id"))).join(
+        held.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left_semi")
+    limits = thresholds(write_stage(perplexity(sample, model).drop("text"), "held-out"), labels, **settings).collect()
+    return _judged(perplexity(docs, model), limits)
+
+
+def judged_ids(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
+    """``doc_id, lang, perplexity, threshold, keep`` of every row, with every text scored once."""
+    slim = docs.select("doc_id", "lang", "text")
+    scored = write_stage(perplexity(slim, _trained(slim, labels)).drop("text"), "perplexity")
+    return _judged(scored, thresholds(scored, labels, **settings).collect())
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
-    return judge(docs, read_table(spark, sf_dir, "labels")).drop("text")
+    return judged_ids(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
