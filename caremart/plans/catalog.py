@@ -1485,7 +1485,7 @@ def q_stream_lockouts(spark, sf_dir):
     for part in (logins.where(half), logins.where(~half)):
         part.write.mode("append").parquet(in_dir)
         SJ.stream_lockouts(spark.readStream.schema(logins.schema).parquet(in_dir), out_dir=out_dir)
-    return _lock_columns(spark.read.parquet(SJ.latest_epoch(spark, out_dir, 1 << 20)))
+    return _lock_columns(spark.read.parquet(SJ.latest_epoch(spark, out_dir)))
 
 
 @register("stream_dedupe_events", with_views("""SELECT DISTINCT user_id, event_type FROM events"""), [], "STR4")

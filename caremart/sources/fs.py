@@ -32,5 +32,11 @@ def listing_stamp(spark: SparkSession, path: str) -> tuple:
                         for s in _files(spark, path)))
 
 
+def child_names(spark: SparkSession, path: str) -> list[str]:
+    """Names of the entries of a folder; empty when it is missing."""
+    fs, p = _fs_and_path(spark, path)
+    return [s.getPath().getName() for s in fs.listStatus(p)] if fs.exists(p) else []
+
+
 def total_bytes(spark: SparkSession, path: str) -> int:
     return sum(int(s.getLen()) for s in _files(spark, path))

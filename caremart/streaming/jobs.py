@@ -18,7 +18,7 @@ from caremart.operators import access as AC
 from caremart.operators import ingest as G
 from caremart.plans.materialize import stage_path
 from caremart.schemas import OUTCOMES_CSV_REQUIRED
-from caremart.sources.fs import exists
+from caremart.sources.fs import child_names, exists
 
 
 def stream_daily_counts(events: DataFrame, ts: str = "ts", user: str = "user_id", watermark: str = "1 day",
@@ -96,22 +96,19 @@ def stream_lockouts(logins: DataFrame, limit: int = 3, out_dir: str | None = Non
     return out_dir
 
 
-def latest_epoch(spark: SparkSession, out_dir: str, before: int) -> str | None:
-    """The newest ``epoch=<n>`` folder with n < ``before``."""
-    for n in range(before - 1, -1, -1):
-        if exists(spark, f"{out_dir}/epoch={n}"):
-            return f"{out_dir}/epoch={n}"
-    return None
+def latest_epoch(spark: SparkSession, out_dir: str, before: int | None = None) -> str | None:
+    """The newest ``epoch=<n>`` folder, or the newest with n < ``before``."""
+    epochs = [int(c.partition("=")[2]) for c in child_names(spark, out_dir) if c.startswith("epoch=")]
+    newest = max((n for n in epochs if before is None or n < before), default=None)
+    return None if newest is None else f"{out_dir}/epoch={newest}"
 
 
-def _drain(writer) -> int:
-    """Run a stream over what is there; the number of the next epoch."""
+def _drain(writer) -> None:
+    """Run a stream over what is there."""
     q = writer.trigger(availableNow=True).start()
     q.awaitTermination()
     if q.exception() is not None:
         raise RuntimeError(str(q.exception()))
-    done = [p["batchId"] for p in q.recentProgress]
-    return max(done, default=-1) + 1
 
 
 def run_to_table(stream: DataFrame, name: str, output_mode: str = "append", checkpoint: str | None = None,

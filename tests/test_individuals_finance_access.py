@@ -69,9 +69,8 @@ def test_lockout_stream_matches_batch(spark, tmp_path):
     src_dir = str(tmp_path / "in")
     ev.write.parquet(src_dir)
     stream = spark.readStream.schema(ev.schema).parquet(src_dir)
-    out = SJ.run_to_table(SJ.stream_lockouts(stream), "t-lock", "update", sink=str(tmp_path / "out"),
-                          checkpoint=str(tmp_path / "ck"))
-    s = SJ.latest_by_key(out, ["user_id"]).collect()[0]
+    out = SJ.stream_lockouts(stream, out_dir=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
+    s = spark.read.parquet(SJ.latest_epoch(spark, out)).collect()[0]
     b = AC.lockouts(_events(spark, "FFSFFFSF")).collect()[0]
     assert (s["account_locked"], s["login_attempts"]) == (b["account_locked"], b["login_attempts"])
 

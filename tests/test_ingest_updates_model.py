@@ -56,8 +56,8 @@ def test_band_edges(spark):
 def test_report_csv_round_trip(spark, tmp_path):
     df = spark.createDataFrame([("a", 1.5)], "intervention_name string, cost_per_outcome_point double")
     path = str(tmp_path / "rep")
-    assert RP.write_report_csv({"cost_efficiency": df}, path, single_file=True) == "cost_efficiency"
-    back = spark.read.option("header", True).csv(path).collect()
+    assert RP.write_report_csv({"cost_efficiency": df, "other": df}, path, single_file=True) == ["cost_efficiency", "other"]
+    back = spark.read.option("header", True).csv(path + "/cost_efficiency").collect()
     assert back[0]["intervention_name"] == "a" and back[0]["cost_per_outcome_point"] == "1.5"
     assert RP.parse_code_map("A: 1\nbad line\nB: 2") == [("A", "1"), ("B", "2")]
 
@@ -96,13 +96,63 @@ def test_reports_and_prediction(spark):
             kw = {"goals": care(spark, sf).goals}
         rep = RP.run_report(name, m, **kw)
         assert rep and all(hasattr(v, "columns") for v in rep.values())
-    res = RP.materialize_report(RP.run_report("Executive Summary", m), m)
-    assert res["kpis"][0]["total_sessions"] > 0
+    assert RP.run_report("Executive Summary", m)["kpis"].first()["total_sessions"] > 0
     model = ML.train_outcome_model(m, k_values=(20,), trees=(5,), depths=(3,), folds=2)
     assert model is not None and 0.0 <= model.test_accuracy <= 1.0 and model.feature_importance
-    new = spark.createDataFrame([("STANDARD", "Therapy", "M1", "18-30", "never seen", "AFRICA")],
+    train, test = ML.stratified_split(ML.outcome_band(ML.model_frame(m)).dropna(subset=["band"]))
+    sizes = {side: {r["band"]: r["count"] for r in part.groupBy("band").count().collect()}
+             for side, part in (("train", train), ("test", test))}
+    for band, n in sizes["train"].items():
+        assert abs(sizes["test"][band] - 0.3 * (n + sizes["test"][band])) <= 1
+    new = spark.createDataFrame([("STANDARD", "Category 1", "M1", "18-30", "never seen", "AFRICA")],
                                 "intervention_name string, intervention_category string, metric_name string, "
                                 "age_group string, disability_category string, support_level string")
     pred = ML.predict(model, new).collect()[0]
     assert pred["predicted_band"] in ("Low", "Medium", "High")
     assert abs(sum(pred["probabilities"]) - 1.0) < 1e-6
+
+
+def test_two_files_keep_their_order_and_ids(spark, tmp_path):
+    from caremart.sources import csv as CSV
+    header = "individual_anonymous_id,intervention_name,metric_name,score,session_date\n"
+    (tmp_path / "a.csv").write_text(header + "A1,Art,Mood,1,2020-01-01\n")
+    (tmp_path / "b.csv").write_text(header + "A1,Art,Mood,2,2020-01-01\n" + "".join(
+        f"A1,Art,Mood,{i % 10},2021-01-{i % 28 + 1:02d}\n" for i in range(2000)))
+    ind, itv, met = _dims(spark)
+    batch = CSV.read_outcomes_csv(spark, str(tmp_path))
+    assert batch.select("row_num").distinct().count() == 2002
+    out = G.import_outcomes(batch, ind, itv, met).where("session_date = '2020-01-01'").collect()
+    assert [r["score"] for r in out] == [1.0]
+    twice = [G.import_outcomes(batch, ind, itv, met, skip_duplicates=False) for _ in range(2)]
+    both = twice[0].unionByName(twice[1])
+    assert both.select("id").distinct().count() == both.select("session_id").distinct().count() == both.count() == 4004
+
+
+def test_blank_scores_are_range_errors(spark):
+    _, _, met = _dims(spark)
+    batch = spark.createDataFrame([(1, "Mood", "", "2020-01-01"), (2, "Mood", None, "2020-01-01"),
+                                   (3, "Mood", "x", ""), (4, "Mood", "5", None)],
+                                  "row_num long, metric_name string, score string, session_date string")
+    assert sorted(r["row_num"] for r in G.range_violations(batch, met).collect()) == [1, 2]
+    assert [r["row_num"] for r in G.conversion_errors(batch).collect()] == [3]
+
+
+def test_audit_ids_differ_by_time_and_value(spark):
+    ch = spark.createDataFrame([("r1", 1, 2), ("r1", 2, 3)], "k string, old int, new int")
+    rows = [U.audit_rows(ch, "t", "UPDATE", "k", ["old"], ["new"], at=at) for at in ("2020-01-01 00:00:00",
+                                                                                    "2020-01-02 00:00:00")]
+    assert rows[0].unionByName(rows[1]).select("id").distinct().count() == 4
+
+
+def test_upsert_inserts_partial_rows(spark):
+    t = spark.createDataFrame([("a", 1.0, "x"), (None, 9.0, "n")], "id string, v double, keep string")
+    u = spark.createDataFrame([("c", 3.0)], "id string, v double")
+    assert {tuple(r) for r in U.upsert(t, u, ["id"]).collect()} == {("a", 1.0, "x"), (None, 9.0, "n"), ("c", 3.0, None)}
+
+
+def test_presence_matrix_raises_on_unlisted_keys(spark):
+    from caremart.operators.aggregates import presence_matrix
+    df = spark.createDataFrame([("r", "A"), ("r", "B"), ("s", "C")], "row string, col string")
+    assert sorted(presence_matrix(df, "row", "col").columns) == ["A", "B", "C", "row"]
+    with pytest.raises(Exception, match="unlisted"):
+        presence_matrix(df, "row", "col", ["A"]).collect()

@@ -39,20 +39,65 @@ def test_stream_import_matches_batch(spark, tmp_path):
                                 "scale_max double, active boolean")
     stored = spark.createDataFrame([("i1", "t1", dt.date(2020, 1, 3))], "individual_id string, "
                                    "intervention_id string, session_date date")
-    batch = spark.createDataFrame([("1", "A1", "Art", "Mood", "5", "2020-01-01", "45"),
-                                   ("2", "A1", "Art", "Mood", "6", "2020-01-01", "45"),
-                                   ("3", "A1", "Art", "Mood", "7", "2020-01-03", "45"),
-                                   ("4", "A1", "Art", "Mood", "8", "2020-01-04", "45")],
-                                  "row_num string, individual_anonymous_id string, intervention_name string, "
-                                  "metric_name string, score string, session_date string, session_duration string")
-    in_dir = str(tmp_path / "csv")
-    batch.write.option("header", True).csv(in_dir)
-    out = SJ.stream_import(spark, in_dir, ind, itv, met, stored, out_dir=str(tmp_path / "out"),
-                           checkpoint=str(tmp_path / "ck"))
-    got = sorted(r["row_num"] for r in spark.read.parquet(out).collect())
-    exp = sorted(r["row_num"] for r in G.import_outcomes(batch.withColumn("row_num", F.col("row_num").cast("long")),
-                                                         ind, itv, met, existing=stored).collect())
-    assert got == exp == [1, 4]
+    cols = ("individual_anonymous_id string, intervention_name string, metric_name string, score string, "
+            "session_date string")
+    days = ["2020-01-01", "2020-01-01", "2020-01-03", "2020-01-04"]
+    batch = spark.createDataFrame([("A1", "Art", "Mood", str(5 + i), d) for i, d in enumerate(days)], cols)
+    in_dir, out_dir = str(tmp_path / "csv"), str(tmp_path / "out")
+    batch.coalesce(1).write.option("header", True).csv(in_dir)
+    out = SJ.stream_import(spark, in_dir, ind, itv, met, stored, out_dir=out_dir)
+    got = sorted((str(r["session_date"]), r["score"]) for r in spark.read.parquet(out).collect())
+    assert got == [("2020-01-01", 5.0), ("2020-01-04", 8.0)]
+    # a later file: a key of the first micro-batch, and a new one
+    later = spark.createDataFrame([("A1", "Art", "Mood", "1", "2020-01-04"), ("A1", "Art", "Mood", "2", "2020-02-01")], cols)
+    later.coalesce(1).write.mode("append").option("header", True).csv(in_dir)
+    SJ.stream_import(spark, in_dir, ind, itv, met, stored, out_dir=out_dir)
+    rows = spark.read.parquet(out).collect()
+    assert sorted(r["score"] for r in rows) == [2.0, 5.0, 8.0] and len({r["id"] for r in rows}) == 3
+
+
+def test_stream_import_refuses_another_header(spark, tmp_path):
+    from caremart.streaming import jobs as SJ
+    (tmp_path / "bad").mkdir()
+    (tmp_path / "bad" / "x.csv").write_text("who,what,which,score,session_date\nA1,Art,Mood,1,2020-01-01\n")
+    dim = spark.createDataFrame([("i", "n", "n", True)], "id string, anonymous_id string, name string, active boolean")
+    met = dim.selectExpr("id", "name", "0.0D AS scale_min", "1.0D AS scale_max", "active")
+    stored = spark.createDataFrame([], "individual_id string, intervention_id string, session_date date")
+    with pytest.raises(Exception):
+        SJ.stream_import(spark, str(tmp_path / "bad"), dim, dim, met, stored, out_dir=str(tmp_path / "o"))
+
+
+def brute_lockouts(events, limit=3):
+    out = {}
+    for user, ts, _, failed in sorted(events, key=lambda e: (e[0], e[1], e[2])):
+        attempts, locked_at, last, n = out.get(user, (0, None, None, 0))
+        if locked_at is None:
+            if failed:
+                attempts += 1
+                locked_at = ts if attempts >= limit else None
+            else:
+                attempts, last = 0, ts
+        out[user] = (attempts, locked_at, last, n + 1)
+    return out
+
+
+def test_lockouts_with_a_hot_user_and_in_batches(spark):
+    import random
+    from caremart.operators import access as AC
+    from caremart.streaming import jobs as SJ
+    rnd = random.Random(3)
+    base = dt.datetime(2024, 1, 1)
+    events = [(1 if rnd.random() < 0.4 else rnd.randrange(2, 40), base + dt.timedelta(minutes=rnd.randrange(3000)), i,
+               rnd.random() < 0.35) for i in range(1500)]
+    cols = "user_id long, ts timestamp, event_id long, failed boolean"
+    full = spark.createDataFrame(events, cols).repartition(6)
+    read = lambda df: {r["user_id"]: (r["login_attempts"], r["locked_at"], r["last_login"], r["events"])
+                       for r in df.collect()}
+    want = brute_lockouts(events)
+    assert read(AC.lockouts(full)) == want
+    cut = base + dt.timedelta(minutes=900)
+    state = SJ.advance_lockouts(spark.createDataFrame([], SJ.LOCK_STATE), full.where(F.col("ts") < F.lit(cut)))
+    assert read(SJ.advance_lockouts(state, full.where(F.col("ts") >= F.lit(cut)))) == want
 
 
 @pytest.fixture(scope="module")
@@ -70,3 +115,13 @@ def test_mart_properties(small_mart):
     q = A.effectiveness_quadrants(small_mart)
     assert q.count() == small_mart.select("intervention_name").distinct().count()
     assert {x["quadrant"] for x in q.collect()} <= set(A.QUADRANTS)
+
+
+def test_one_individual_with_a_third_of_the_rows(spark, small_mart):
+    """Individual reports aggregate before the shuffle, so a hot individual is not one task's rows."""
+    from caremart.operators import individuals as I
+    hot = small_mart.withColumn("anonymous_id", F.when(F.xxhash64("id") % 3 == 0, "hot").otherwise(F.col("anonymous_id")))
+    got = {r["anonymous_id"]: r["total_sessions"] for r in I.individual_summary(hot).collect()}
+    assert got["hot"] == hot.where("anonymous_id = 'hot'").count() > 0.25 * hot.count()
+    plan = I.individual_effectiveness(small_mart)._jdf.queryExecution().executedPlan().toString()
+    assert "partial_avg" in plan and "Exchange hashpartitioning(anonymous_id" in plan
