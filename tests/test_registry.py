@@ -5,7 +5,8 @@ import pytest
 import __spark_entry__ as E
 from caremart.plans.registry import REGISTRY
 
-EAGER = {"outcome_model", "stream_daily_event_counts", "stream_lockouts", "stream_dedupe_events", "stream_import"}
+EAGER = {"outcome_model", "stream_daily_event_counts", "stream_lockouts", "stream_dedupe_events", "stream_import",
+         "csv_first_rows_win", "csv_outcomes", "csv_individuals", "csv_interventions", "csv_mapped_assessments"}
 
 
 def test_registry_shape():
