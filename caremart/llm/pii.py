@@ -275,9 +275,13 @@ def spans_text(spans: str | Column) -> Column:
 
 
 def masked_text(text: str = "text", spans: str = "all_spans") -> Column:
-    """The text with each span, or run of overlapping spans, replaced by its kind in capitals and brackets."""
+    """The text with each span, or run of overlapping spans, replaced by its kind in capitals and brackets.
+
+    A run takes the kind of the longest span at its start.
+    """
     t = F.col(text)
-    in_order = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"], s["end"], s["kind"].alias("kind"))))
+    in_order = F.array_sort(F.transform(spans, lambda s: F.struct(
+        s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
     def add(acc, s):
         fresh = s["start"] >= acc["at"]
