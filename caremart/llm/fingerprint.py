@@ -146,7 +146,7 @@ def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), "doc_id",
                        F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds, firsts = _ranges(rows.select("_id"), parts or 2 * shuffle)
+    bounds, firsts = _ranges(rows.select("_id"), parts or 8 * shuffle)
     rows = rows.withColumn("_range", _range_of(bounds)).withColumn("_look", F.lit(False))
     if firsts:
         # range k is followed by the first row of the next range in use; the last one by the first row of all
