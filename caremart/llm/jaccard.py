@@ -4,11 +4,11 @@ Every text is the set of its distinct word shingles (64-bit hashes).  Texts with
 works on classes.  Two classes are linked when ``100 * |intersection| >= percent * |union|``.
 
 1. Shingles are dealt by their hash into buckets, as packed arrays of one row for each chunk of texts and bucket.
-   A bucket finds the shingles that at least two classes share and returns them with their document frequency.
+   A bucket finds the shingles that at least two classes share.
    Shingles in a large share of the texts of some chunk (``FREQUENT``) would be a hot bucket: they are found first,
    are few whatever the size of the corpus, and go straight to their classes, dealt by class.
 2. A class whose own shingles (shared with no other class) are more than ``100 - percent`` in a hundred can have no
-   link; it is left out, and frequencies are counted again among the rest.
+   link; it is left out, and frequencies are counted among the rest.
 3. A global token order puts own shingles first.  Linked classes must share a shingle within the first
    ``n - ceil(percent / 100 * n) + 1`` of each, under every such order.  The order by frequency makes the candidates;
    they must also fit by size and by the positions of the shared shingle (what can still follow), and share a prefix
@@ -44,9 +44,10 @@ from caremart.llm.common import (LOWER, SPACES, joined, mix64, read_table, span_
 from caremart.plans.materialize import write_stage
 
 SIZE, PERCENT = 3, 90
-BUCKET_TOKENS = 2_000_000
+BUCKET_TOKENS, LEAST_BUCKETS = 4_000_000, 64
+LOW = (1 << 48) - 1  # bits of a shingle's hash that are sent; the bucket holds up to 15 more
 FREQUENT, FEW = 128, 8  # a shingle in 1 / FREQUENT of a chunk's texts, and FEW at least, may be frequent
-CHUNK = 8 << 20
+CHUNK = 4 << 20
 
 
 def shingle_sets(texts: list, size: int = SIZE) -> Iterator[np.ndarray]:
@@ -119,10 +120,13 @@ def _dealt(docs: DataFrame, size: int, buckets: int, frequent: np.ndarray) -> Da
         tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
         owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
         ka, kb = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
-        bucket = (tokens % np.uint64(buckets)).astype(np.int64)
+        bucket = ((tokens >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+        low = tokens & np.uint64(LOW)
+        tokens = low | (bucket % (1 << 15) << 48).astype(np.uint64)  # the shingle's name from here on
         if len(often) and len(tokens):
-            at = np.minimum(np.searchsorted(often, tokens), len(often) - 1)
-            hot = often[at] == tokens
+            full = np.concatenate(sets)
+            at = np.minimum(np.searchsorted(often, full), len(often) - 1)
+            hot = often[at] == full
             bucket[hot] = buckets + ka[owner[hot]] % buckets
         order = np.lexsort((owner, bucket))
         tokens, owner, bucket = tokens[order], owner[order], bucket[order]
@@ -132,7 +136,7 @@ def _dealt(docs: DataFrame, size: int, buckets: int, frequent: np.ndarray) -> Da
             heads = a + np.flatnonzero(np.diff(owner[a:b], prepend=-1))
             runs = np.diff(np.append(heads, b)).astype(np.uint32)
             rows.append((int(bucket[a]), ka[owner[heads]].tobytes(), kb[owner[heads]].tobytes(), runs.tobytes(),
-                         tokens[a:b].tobytes()))
+                         (tokens[a:b] if bucket[a] >= buckets else _six(tokens[a:b])).tobytes()))
         columns = list(zip(*rows)) if rows else [()] * 5
         return pa.RecordBatch.from_arrays(
             [pa.array(columns[0], pa.int64()), *[pa.array(c, pa.binary()) for c in columns[1:]]],
@@ -158,15 +162,28 @@ def _dealt(docs: DataFrame, size: int, buckets: int, frequent: np.ndarray) -> Da
     return docs.select("text").mapInArrow(run, "bucket long, ka binary, kb binary, runs binary, tokens binary")
 
 
+def _six(tokens: np.ndarray) -> np.ndarray:
+    """The low six bytes of each token."""
+    return np.ascontiguousarray(tokens.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6])
+
+
+def _tokens(raw: bytes, bucket: int, buckets: int) -> np.ndarray:
+    if bucket >= buckets:
+        return np.frombuffer(raw, np.uint64)
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view("<u8").ravel() | np.uint64(bucket % (1 << 15) << 48)
+
+
 def _shared_tokens(buckets: int):
-    """Of one bucket: for every class its shingles that another class has too, with their frequencies."""
+    """Of one bucket: for every class its shingles that another class has too; frequent ones are taken as shared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts, bucket = [], 0
         for batch in batches:
             for b, *raw in zip(*(c.to_pylist() for c in batch.columns)):
                 bucket = b
                 ka, kb = (np.frombuffer(x, np.int64) for x in raw[:2])
-                parts.append((ka, kb, np.frombuffer(raw[2], np.uint32), np.frombuffer(raw[3], np.uint64)))
+                parts.append((ka, kb, np.frombuffer(raw[2], np.uint32), _tokens(raw[3], b, buckets)))
         ka, kb, runs, tokens = (np.concatenate(x) for x in zip(*parts))
         order = np.lexsort((kb, ka))  # number the classes
         new = (np.diff(ka[order], prepend=0) != 0) | (np.diff(kb[order], prepend=0) != 0)
@@ -180,18 +197,16 @@ def _shared_tokens(buckets: int):
         once = (np.diff(tokens, prepend=tokens[:1]) != 0) | (np.diff(owner, prepend=-1) != 0)  # a class from many tasks
         tokens, owner = tokens[once], owner[once]
         heads = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        df = np.repeat(np.diff(np.append(heads, len(tokens))), np.diff(np.append(heads, len(tokens))))
-        if bucket >= buckets:
-            df = np.full(len(tokens), np.iinfo(np.int32).max)  # frequent: after all others
-        keep = df > 1
-        tokens, owner, df = tokens[keep], owner[keep], df[keep].astype(np.int32)
+        sizes = np.diff(np.append(heads, len(tokens)))
+        keep = np.repeat(sizes, sizes) > (0 if bucket >= buckets else 1)
+        tokens, owner = tokens[keep], owner[keep]
         order = np.argsort(owner, kind="stable")
-        tokens, owner, df = tokens[order].view(np.int64), owner[order], df[order]
+        tokens, owner = tokens[order].view(np.int64), owner[order]
         heads = np.flatnonzero(np.diff(owner, prepend=-1))
         offsets = pa.array(np.append(heads, len(owner)), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [pa.array(ka[owner[heads]]), pa.array(kb[owner[heads]]), pa.ListArray.from_arrays(offsets, pa.array(tokens)),
-             pa.ListArray.from_arrays(offsets, pa.array(df))], names=["ka", "kb", "tokens", "dfs"])
+            [pa.array(ka[owner[heads]]), pa.array(kb[owner[heads]]), pa.ListArray.from_arrays(offsets, pa.array(tokens))],
+            names=["ka", "kb", "tokens"])
 
     return run
 
@@ -282,16 +297,14 @@ def link_components(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -
     often = (rows.filter("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c"))
              .filter(F.col("c") >= max(FEW, total["sets"] // (2 * FREQUENT))).select("token").toArrow())
     frequent = np.sort(np.asarray(often.column(0), np.int64).view(np.uint64))
-    least = max(64, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    buckets = max(least, (total["tokens"] or 0) // BUCKET_TOKENS)
+    buckets = max(LEAST_BUCKETS, (total["tokens"] or 0) // BUCKET_TOKENS)
     found = _dealt(docs, size, buckets, frequent).groupBy("bucket").applyInArrow(
-        _shared_tokens(buckets), "ka long, kb long, tokens array<long>, dfs array<int>")
-    found = (found.groupBy("ka", "kb").agg(F.flatten(F.collect_list("tokens")).alias("tokens"),
-                                           F.flatten(F.collect_list("dfs")).alias("dfs"))
+        _shared_tokens(buckets), "ka long, kb long, tokens array<long>")
+    found = (found.groupBy("ka", "kb").agg(F.flatten(F.collect_list("tokens")).alias("tokens"))
              .join(classes, ["ka", "kb"]).filter(F.size("tokens") * 100 >= F.col("n") * percent))
-    found = write_stage(found.select("cid", "n", F.arrays_zip("tokens", "dfs").alias("t")), "shared-tokens")
-    # count again among the classes that are left; a frequent shingle stays after all others
-    flat = found.select("cid", F.explode("t").alias("t")).select("cid", F.col("t.tokens").alias("token"), F.col("t.dfs").alias("df"))
+    found = write_stage(found.select("cid", "n", "tokens"), "shared-tokens")
+    # frequencies are counted among the classes that are left
+    flat = found.select("cid", F.explode("tokens").alias("token"))
     again = flat.groupBy("token").agg(F.count(F.lit(1)).alias("c")).filter("c > 1")
     kept = (flat.join(again, "token").groupBy("cid").agg(F.transform(F.sort_array(F.collect_list(
         F.struct("c", "token"))), lambda t: t["token"]).alias("tokens"))
