@@ -130,6 +130,8 @@ def fit(row: np.ndarray, feature: np.ndarray, label: np.ndarray, kinds: Sequence
         return w
     swaps = _swaps(kinds)
     often = _association(feature, label[row], positive, n) >= clear
+    # an identity term acts through its word alone, so that the swap of the word is the whole change
+    often[text_features([t for kind in kinds for t in kind])[1]] = False
     often[list(swaps)] = True
     row, feature = row[often[feature]], feature[often[feature]]
     used, x = np.unique(feature, return_inverse=True)
