@@ -189,7 +189,8 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = THRESHOLD) ->
         for batch in batches:
             row, feature = text_features(batch.column(1).to_pylist())
             z = np.bincount(row, weights=w[feature], minlength=batch.num_rows) + w[-1]
-            p = 1 / (1 + np.exp(-np.clip(z, -700, 700)))
+            with np.errstate(over="ignore"):  # the bias of an untrained model gives exactly 0
+                p = 1 / (1 + np.exp(-np.clip(z, -1000, 700)))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(p, pa.float64()), pa.array((p >= threshold).astype(np.int32), pa.int32())],
                 names=["doc_id", "score", "predicted"])
