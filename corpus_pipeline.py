@@ -4,7 +4,8 @@ Every stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``docs``;
 mix.  Between stages the documents are written to the shared checkpoint folder and read again.
 
 1. quality_classifier: documents that the Kneser-Ney classifier rejects go.
-2. ngram_jaccard_join: one document of each group of near copies stays, that with the smallest id.
+2. ngram_jaccard_join: one document of each group of near copies (``NEAR``: shingles of five words, Jaccard 0.8 or
+   more) stays, that with the smallest id.  The query op6 keeps its own three words and 90 %.
 3. benchmark_decontamination: documents that hold a verified benchmark item go.
 4. personal_data: every span of personal data is replaced by its kind, and n_chars follows.
 5. source_mixing: each document is emitted as often as the mix to target weights takes it (one row for each copy).
@@ -19,13 +20,15 @@ from caremart.llm import decontaminate, jaccard, mixing, pii, quality
 from caremart.llm.common import read_table
 from caremart.plans.materialize import write_stage
 
+NEAR = {"percent": 80, "size": 5}
+
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality.judge(docs, read_table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return jaccard.keep_one(docs)
+    return jaccard.keep_one(docs, **NEAR)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

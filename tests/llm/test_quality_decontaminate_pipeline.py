@@ -1,5 +1,6 @@
 import math
 import random
+import re
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -225,6 +226,34 @@ def test_pipeline_stages_against_their_operators(spark):
     assert set(copies) <= left and max(copies.values()) <= 3
 
 
+def test_pipeline_joins_near_copies_of_five_words_and_four_fifths(spark, documents):
+    rnd = random.Random(12)
+    base = [f"w{rnd.randrange(10 ** 6)}" for _ in range(60)]
+    edited = [*base[:30], "edit", *base[31:]]
+    longer = [*base[:15], "edit", *base[16:58], "words", "end"]
+    docs = documents.unionByName(spark.createDataFrame(
+        [(10 ** 9 + i, " ".join(t), "en", "a", 0) for i, t in enumerate((base, edited, longer))],
+        "doc_id long, text string, lang string, source string, n_chars long").selectExpr(
+            *[f"cast({f.name} as {f.dataType.simpleString()}) as {f.name}" for f in documents.schema]))
+    rows = [(r["doc_id"], r["text"]) for r in docs.collect()]
+    sets = []
+    for _, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i:i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    group = {d: {d} for d, _ in rows}
+    for i, a in enumerate(sets):
+        for j in range(i):
+            both = len(a & sets[j])
+            if both and 10 * both >= 8 * (len(a) + len(sets[j]) - both):
+                x, y = group[rows[i][0]], group[rows[j][0]]
+                if x is not y:
+                    x |= y
+                    group.update(dict.fromkeys(y, x))
+    kept = {r["doc_id"] for r in dict(corpus_pipeline.STAGES)["ngram_jaccard_join"](spark, docs, SF).collect()}
+    assert kept == {min(g) for g in group.values()}
+    assert kept < {r["doc_id"] for r in jaccard.keep_one(docs).collect()}  # 3 words and 90 % leave some of them
+
+
 def test_registration(spark):
     names = {n.split("_")[0] for n in entry.queries()}
     assert {f"op{i}" for i in range(1, 11)} | {"pipeline"} <= names
