@@ -10,7 +10,10 @@ Pages are independent, so the work is one Arrow map over the pages, without a sh
 
 Defined cases: a null or empty html has the empty text; a tag or comment cut off at the page's end is dropped;
 character references are decoded as HTML5 does; repeated rows are separate pages; an empty table gives an empty
-result; other columns are not read.  Scripts, styles, templates and other elements that show no text have no blocks.
+result; other columns are not read.  Scripts, styles, templates and other elements that show no text have no blocks;
+without its end tag a script or style hides the rest of the page, any other such element only its own tag, and
+self-closed ``svg`` and ``math`` are empty.  A head ends at its end tag, at the body or at the first element that is
+none of a head's.
 """
 
 from __future__ import annotations
@@ -39,9 +42,11 @@ class Block(NamedTuple):
     item: int
 
 
-UNSEEN = "script|style|template|noscript|svg|math|iframe|object|canvas|textarea|select|title|head"
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{UNSEEN})\b(?:\"[^\"]*\"|'[^']*'|[^>\"'])*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-                   r"|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
+UNSEEN = "script|style|template|noscript|title|svg|math|iframe|object|canvas|textarea|select"
+RAW = re.compile(rf"(?:{UNSEEN})\b", re.I)
+RAW_END = {raw: re.compile(rf"</{raw}\s*>", re.I) for raw in UNSEEN.split("|")}
+HEAD_TAGS = frozenset("html head meta link base basefont bgsound script style template noscript title".split())
+TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(?P<close>/?)(?P<tag>[a-z][a-z0-9:-]*)(?P<attrs>(?:\"[^\"]*\"|'[^']*'|[^>\"'])*)>"
                    r"|<[!?/][^>]*(?:>|\Z)|<[a-z][^>]*(?:>|\Z)|[^<]+|<", re.S | re.I)
 BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -96,6 +101,9 @@ def blocks(html: str | None) -> list[Block]:
     stack: list[tuple[str, int, int, int]] = []  # tag, and how many open elements are article, aside, hidden
     pieces: list[tuple[str, bool]] = []
     links = 0
+    html, pos = html or "", 0
+    head: list[tuple[str, bool]] | None = None  # the text of an open head element
+    endless: set[str] = set()  # unseen elements whose end tag does not follow any more
 
     def end_block() -> None:
         if not pieces:
@@ -110,15 +118,35 @@ def blocks(html: str | None) -> list[Block]:
                              int(any(re.fullmatch("h[1-6]", t) for t in tags)), int("li" in tags)))
         pieces.clear()
 
-    for m in TOKEN.finditer(html or ""):
+    while pos < len(html):
+        m = TOKEN.match(html, pos)
+        pos = m.end()
         token, tag = m[0], m["tag"]
         if tag is None:
             if token[0] != "<" or token == "<":
-                pieces.append((token, links > 0))
-            elif m["raw"]:
-                pieces.append((" ", False))
+                (pieces if head is None else head).append((token, links > 0))
             continue
         tag = tag.lower()
+        raw = None if m["close"] else RAW.match(tag)
+        if tag == "head" and not m["close"]:
+            head = [] if head is None else head
+            pieces.append((" ", False))
+        elif head is not None and (tag in ("head", "body", "html") if m["close"] else
+                                   (raw[0] if raw else tag) not in HEAD_TAGS):
+            head = None
+        if raw:
+            pieces.append((" ", False))
+            raw = raw[0]
+            if raw in endless or raw in ("svg", "math") and m["attrs"].endswith("/"):
+                continue
+            end = RAW_END[raw].search(html, pos)
+            if end:
+                pos = end.end()
+            elif raw in ("script", "style"):
+                pos = len(html)
+            else:
+                endless.add(raw)
+            continue
         if tag in BLOCK_TAGS:
             end_block()
         if tag == "a":
@@ -137,6 +165,7 @@ def blocks(html: str | None) -> list[Block]:
             _, a, b, h = stack[-1] if stack else ("", 0, 0, 0)
             article, aside, hidden = _place(tag, m["attrs"], a > 0)
             stack.append((tag, a + article, b + aside, h + hidden))
+    pieces += head or []  # neither an end tag nor an element ended the head: its text is the page's
     end_block()
     return out
 

@@ -126,3 +126,16 @@ def test_odd_pages(spark):
     assert got[:3] == [(1, ""), (2, ""), (None, "x")] and got[3] == got[4]
     assert got[5] == (4, " ".join("a" * 20_000))
     assert html.extract(pages.filter("false")).collect() == []
+
+
+def test_left_out_end_tags_and_self_closed_elements():
+    want = "Hello world text of the page"
+    body = f"<article><p>{want}</p></article>"
+    for start in ("<html><head><title>x</title><body>", "<html><head><meta charset=a><title>x</title>",
+                  "<html><head><title>x</title><script>if (a < '<p>') b()</script><body>",
+                  "<html><head><title>x</title></head><body><svg viewBox='0'/><math />",
+                  "<body><svg>", "<body><select>", "<iframe src=a>" * 3, "<head><svg>"):
+        assert html.main_text(start + body, TREE) == want
+        assert html.main_text(start + body + "</body></html>", TREE) == want
+    assert [b.text for b in html.blocks("<head><title>x</title><link>shown without a body")] == ["shown without a body"]
+    assert html.main_text(f"<head>no text</head>{body}<script>var a = '<p>b</p>'", TREE) == want
