@@ -2,11 +2,12 @@
 
 For every participant of a conversation the whole dialogue is rendered once with that speaker as the assistant and
 all others as named users; the mask holds the code-point spans of the speaker's own words, the only ones to
-learn from.  Roles in ``SYSTEM_ROLES`` take no part: their turns head every rendering as system turns.
+learn from.  Roles in ``SYSTEM_ROLES`` take no part: their turns stand where they fall, under the system head.
 
 A conversation may hold a third of all rows, so it is never gathered whole: turns get their rank in the
 conversation from range-partitioned running sums, and each record holds ``turns`` consecutive turns (``part``
-counts them).  Conversations of up to ``turns`` turns have one record for each participant.
+counts them).  Conversations of up to ``turns`` turns have one record for each participant.  Parts share nothing: a
+system turn stands only in the part it falls in, and later parts have neither it nor earlier turns.
 
 Defined cases: a null role is the participant ``unknown``; a null text is empty (its turn stays, with an empty span
 left out of the mask); turns with the same number are ordered by role, then text, and null numbers come first; repeated
