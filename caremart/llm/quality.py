@@ -182,7 +182,7 @@ def _shard_column(shards: int):
 
 
 def shards_of_model(model: DataFrame, order: int = ORDER, size: int = SHARD) -> list[Shard]:
-    """The model in shards of about ``size`` rows; only one at a time passes through the driver."""
+    """The model in shards of about ``size`` rows; all of them pass through the driver and are held there together."""
     total = model.count()
     shards = max(1, -(-total // size))
     logp_at, logb_at = _shard_column(shards)
