@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from caremart.llm import chat, decontaminate, fingerprint, html, jaccard, mixing, pii, quality, tokens, toxicity
+from caremart.llm import (chat, collocations, decontaminate, fingerprint, html, jaccard, mixing, negatives, packing, pii,
+                          quality, tokens, toxicity)
 
 QUERIES = {
     "op1_source_mixing": mixing.query,
@@ -15,9 +16,14 @@ QUERIES = {
     "op8_toxicity": toxicity.query,
     "op9_quality_classifier": quality.query,
     "op10_benchmark_decontamination": decontaminate.query,
+    "op11_packing": packing.query,
+    "op12_hard_negatives": negatives.query,
+    "op13_phrase_collocations": collocations.query,
 }
 
 SQL = {
     "op1_source_mixing": mixing.SQL,
     "op5_chat_formatting": chat.SQL,
+    "op12_hard_negatives": negatives.SQL,
+    "op13_phrase_collocations": collocations.SQL,
 }
