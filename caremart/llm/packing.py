@@ -16,9 +16,9 @@ The offsets are joined to the documents on the task's number: Spark broadcasts t
 ``spark.sql.autoBroadcastJoinThreshold``; beyond it each task's documents meet their offset in a shuffle.  No text or
 id is gathered: ``sequences`` groups at most ``SIZE`` ids.
 
-Texts are encoded a word at a time: the tokeniser drops white space and never makes a token across it, so the ids of a
-text are those of its words, and a word that recurs in a task is encoded once.  Tokenisers for which that does not
-hold are not offered here.
+Texts are encoded by their distinct words: a tokeniser with word ends drops white space and never makes a token across
+it, so the ids of a text are those of its words, and a word that recurs in a task is encoded once (``WordEncoder``).
+Tokenisers without word ends are refused.
 
 Defined cases: a null or empty text, or one of white space, has only the end id; a null id is kept; repeated rows are
 separate documents; the strings of special tokens inside texts are encoded as the library does by default; an empty
@@ -27,12 +27,14 @@ table gives an empty result; other columns are not read, so their names cannot c
 
 from __future__ import annotations
 
+import json
 import sys
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -43,20 +45,139 @@ from caremart.plans.materialize import write_stage
 TOKENIZER = "word_bpe_49k.json"
 SIZE = 2048
 END = 1
-KNOWN = 300_000  # distinct words whose ids a task holds
-CALL = 4_000  # new words of an encoding call
+KNOWN = 300_000  # distinct words whose ids a task holds from one slice to the next
+CALL, LINE = 32_000, 32  # new words of an encoding call, and of one of its strings
+SLICE = 4 << 20  # bytes of text that are encoded together
 WIDTHS = (np.dtype("<u2"), np.dtype("<u4"))
+PLACE = np.int32  # of an id in a slice; Arrow holds at most 2^31 bytes of text in a batch
+SMALL = np.arange(256, dtype=np.uint8)
+SMALL[65:91] += 32
+SMALL[0x0A] = 0x20
+LETTER, MARK = np.zeros(256, bool), np.zeros(256, bool)
+LETTER[97:123] = True
+MARK[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and b != 0x27]] = True
 
 
-def _encoder(path: str):
-    """``(width of an id, list of words -> list of their packed ids)`` of a tokeniser file."""
-    from tokenizers import Tokenizer
-    t = Tokenizer.from_file(path)
-    t.no_truncation()
-    t.no_padding()
-    width = WIDTHS[t.get_vocab_size() > 1 << 16]
-    encode = getattr(t, "encode_batch_fast", t.encode_batch)
-    return width, lambda words: [np.array(e.ids, width).tobytes() for e in encode(words, add_special_tokens=False)]
+class WordEncoder:
+    """The ids of whole texts, put together from the ids of their distinct words.
+
+    Words of plain small letters, which normalising leaves alone, go to the bare merges; all others take the whole way.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Split
+        self.full = Tokenizer.from_file(path)
+        self.full.no_truncation()
+        self.full.no_padding()
+        settings = json.loads(self.full.to_str())
+        steps = (settings["normalizer"] or {}).get("normalizers", [])
+        if not settings["model"].get("end_of_word_suffix") or "Lowercase" not in [x["type"] for x in steps]:
+            raise ValueError("packing splits texts at spaces; this tokeniser has no word ends or keeps case")
+        suffix = settings["model"]["end_of_word_suffix"]
+        settings.update(normalizer=None, added_tokens=[])
+        self.bare = Tokenizer.from_str(json.dumps(settings))
+        self.bare.pre_tokenizer = Split(" ", "removed")
+        level = ByteLevel(add_prefix_space=False, use_regex=False)
+        self.spelling = str.maketrans({c: level.pre_tokenize_str(c)[0][0] for c in map(chr, range(0xDF, 0x100))})
+        vocabulary = self.full.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for w, i in vocabulary.items() if w.endswith(suffix)]] = True
+        self.width = WIDTHS[len(self.ends) > 1 << 16]
+        self.known: dict[str, bytes] = {}
+
+    def _whole(self, texts: list[str]) -> Iterator[bytes]:
+        encode = getattr(self.full, "encode_batch_fast", self.full.encode_batch)
+        for k in range(0, len(texts), CALL):
+            for e in encode(texts[k:k + CALL], add_special_tokens=False):
+                yield np.array(e.ids, self.width).tobytes()
+
+    def _letters(self, words: list[str]) -> Iterator[bytes]:
+        """The ids of words of small letters, some words in one string; each ends with a token of a word's end."""
+        encode = getattr(self.bare, "encode_batch_fast", self.bare.encode_batch)
+        size = self.width.itemsize
+        for k in range(0, len(words), CALL):
+            part = words[k:k + CALL]
+            lines = [" ".join(part[i:i + LINE]) for i in range(0, len(part), LINE)]
+            lines = [x if x.isascii() else x.translate(self.spelling) for x in lines]
+            ids = np.array([i for e in encode(lines, add_special_tokens=False) for i in e.ids], self.width)
+            data, cuts = ids.tobytes(), ((np.flatnonzero(self.ends[ids]) + 1) * size).tolist()
+            yield from (data[a:b] for a, b in zip([0, *cuts], cuts))
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        """The packed ids of each word."""
+        known = self.known
+        if len(known) > KNOWN:
+            known.clear()
+        found = [known.get(w) for w in words]
+        at = [i for i, p in enumerate(found) if p is None]
+        new = pa.array([words[i] for i in at], pa.string())
+        plain = pc.match_substring_regex(new, "^[a-z]+$")
+        letters = pc.and_not(pc.match_substring_regex(new, "^[a-z\u00df-\u00f6\u00f8-\u00ff]+$"), plain)
+        for encode, mask in ((self._letters, plain), (self._letters, letters),
+                             (self._whole, pc.invert(pc.or_(plain, letters)))):
+            part = new.filter(mask).to_pylist()
+            known.update(zip(part, encode(part), strict=True))
+        for i in at:
+            found[i] = known[words[i]]
+        return found
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
+        """The number of ids of each text, with the end id, and all ids one after the other."""
+        texts = texts.fill_null("")
+        # strings of special tokens are found in the text as it stands: such texts are encoded whole
+        special = pc.match_substring(texts, "<|")
+        split = pc.split_pattern(separated(pc.if_else(special, "", texts)), " ")
+        coded = split.flatten().dictionary_encode()
+        packed = self._ids(coded.dictionary.to_pylist())
+        pool = np.frombuffer(b"".join(packed), self.width)
+        size = np.array([len(p) for p in packed], np.int64) // self.width.itemsize
+        first = np.cumsum(size) - size
+        at = coded.indices.to_numpy()
+        n = size[at]
+        upto = np.concatenate(([0], np.cumsum(n)))
+        stream = pool[np.arange(upto[-1], dtype=PLACE) + np.repeat((first[at] - upto[:-1]).astype(PLACE), n)]
+        cuts = upto[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        rows = np.flatnonzero(special.to_numpy(zero_copy_only=False))
+        if len(rows):
+            whole = [np.frombuffer(p, self.width) for p in self._whole(texts.take(pa.array(rows)).to_pylist())]
+            stream = np.insert(stream, np.repeat(cuts[rows], [len(w) for w in whole]), np.concatenate(whole))
+            longer = np.zeros(len(cuts), np.int64)
+            longer[rows + 1] = [len(w) for w in whole]
+            cuts = cuts + np.cumsum(longer)
+        return np.diff(cuts) + 1, np.insert(stream, cuts[1:], end)
+
+
+def separated(texts: pa.Array) -> pa.Array:
+    """The texts with small letters A-Z and U+00C0-U+00DE, line breaks as spaces, and a space between letter and mark.
+
+    None of it changes the ids: letters are made small anyway, and a mark after a letter starts a new token.
+    """
+    offsets = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset:texts.offset + len(texts) + 1].astype(np.int64)
+    data = texts.buffers()[2]
+    buf = np.frombuffer(data, np.uint8)[offsets[0]:offsets[-1]] if data else np.zeros(0, np.uint8)
+    offsets = offsets - offsets[0]
+    low = SMALL[buf]
+    if len(low) > 1:
+        latin = np.zeros(len(low), bool)  # the second byte of a letter from U+00C0 to U+00FF
+        latin[1:] = (low[:-1] == 0xC3) & ~np.isin(low[1:], (0x97, 0xB7))
+        low[latin & (low < 0x9F)] += 0x20
+        gaps = np.flatnonzero((LETTER[low[:-1]] | latin[:-1]) & MARK[low[1:]]) + 1
+        low = np.insert(low, gaps, 0x20)
+        offsets = offsets + np.searchsorted(gaps, offsets)
+    return pa.Array.from_buffers(pa.string(), len(texts), [None, pa.py_buffer(offsets.astype(np.int32)),
+                                                           pa.py_buffer(np.ascontiguousarray(low))])
+
+
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with about ``SLICE`` bytes of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    row = 0
+    while row < len(texts):
+        before = int(size[row - 1]) if row else 0
+        end = max(row + 1, int(np.searchsorted(size, before + SLICE, "right")))
+        yield row, end
+        row = end
 
 
 def token_stream(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, path: str | None = None) -> DataFrame:
@@ -71,24 +192,19 @@ def token_stream(docs: DataFrame, tokenizer: str = TOKENIZER, end: int = END, pa
         import public_tokenizers
         from pyspark import TaskContext
         part = TaskContext.get().partitionId()
-        width, encode = _encoder(path or public_tokenizers.path(tokenizer))
-        last = np.array([end], width).tobytes()
-        known: dict[str, bytes] = {}
+        encoder = WordEncoder(path or public_tokenizers.path(tokenizer))
         place = 0
         for batch in batches:
-            split = [(t or "").replace("\n", " ").split(" ") for t in batch.column(1).to_pylist()]
-            if len(known) > KNOWN:
-                known.clear()
-            new = list(set().union(*split) - known.keys()) if split else []
-            for k in range(0, len(new), CALL):
-                known.update(zip(new[k:k + CALL], encode(new[k:k + CALL])))
-            packed = [b"".join([known[w] for w in words]) + last for words in split]
-            tokens = np.array([len(p) // width.itemsize for p in packed], np.int64)
-            places = place + np.cumsum(tokens) - tokens
-            place += int(tokens.sum())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.full(len(packed), part, np.int32)), pa.array(places), pa.array(tokens),
-                 pa.array(packed, pa.binary())], names=["doc_id", "part", "place", "tokens", "ids"])
+            for a, b in _slices(batch.column(1)):
+                tokens, ids = encoder.encode(batch.column(1).slice(a, b - a), end)
+                upto = np.concatenate(([0], np.cumsum(tokens)))
+                packed = pa.Array.from_buffers(pa.binary(), b - a, [None, pa.py_buffer(
+                    (upto * encoder.width.itemsize).astype(np.int32)), pa.py_buffer(np.ascontiguousarray(ids))])
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).slice(a, b - a), pa.array(np.full(b - a, part, np.int32)),
+                     pa.array(place + upto[:-1]), pa.array(tokens), packed],
+                    names=["doc_id", "part", "place", "tokens", "ids"])
+                place += int(upto[-1])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text").mapInArrow(
