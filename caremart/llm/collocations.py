@@ -6,15 +6,15 @@ cannot go on.  Windows are counted whole (inside the tasks, then by a shuffle),
 columns sums them to the counts of every shorter prefix.  No n-gram of another length is ever emitted.
 
 A window goes on as long as its phrase can still reach ``least`` occurrences (the count of a phrase is at most that of
-its words and of its word pairs), which keeps the windows few:
+its words and of the pairs and triples in it), which keeps the windows few:
 
 1. words are counted, as strings, in each language: these are the counts of single words and the sizes ``n``;
-2. pairs of neighbouring frequent words are counted by a 64-bit hash;
-3. windows end before a word that is not frequent, and between words whose pair is not.
+2. pairs and triples of neighbouring frequent words are counted by a 64-bit hash;
+3. windows end before a word that is not frequent, and where a pair or triple would not be.
 
-The frequent words and pairs reach the tasks as two bitmaps of ``BITS`` bits each, 4 MB whatever the corpus.  A false
-positive of a bitmap, or two pairs of one hash, only leave a longer window: every count that is kept is exact, since a
-phrase with ``least`` occurrences is never cut.
+The frequent words, and the pairs and triples, reach the tasks as two bitmaps of ``BITS`` bits each, 4 MB whatever the
+corpus.  A false positive of a bitmap, or two triples of one hash, only leave a longer window: every count that is kept
+is exact, since a phrase with ``least`` occurrences is never cut.
 
 Scores join the counts of a phrase's two parts, for each cut, as rows (nothing is broadcast by hand); products are
 decimals of up to 38 digits.  Languages may be hot: all counts are summed in the tasks first, and the ranking keeps at
@@ -45,8 +45,8 @@ LONGEST = 5
 LEAST = 100
 TOP = 2000
 BITS = 1 << 25
-COUNTED = 500_000  # distinct words, or windows, that a task holds before it hands them on
-PAIRS = 4_000_000  # pair hashes that a task holds before it counts them
+COUNTED = 300_000  # distinct words, or windows, that a task holds before it hands them on
+HASHES = 4_000_000  # hashes of pairs and triples that a task holds before it counts them
 
 # lower-case A-Z, a line break for every end of a piece, a space for a tab
 PLAIN = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\x0a\x0b\x0c\x0d\x09", bytes(range(97, 123)) + b"\n" * 10 + b" ")
@@ -105,9 +105,11 @@ def _hashes(texts: list[str | None], langs: list[str]) -> Iterator[tuple]:
         yield (buf, ws, we, mix64(span_hashes(buf, ws, we) + seeds[doc - first]), np.cumsum(buf == 0x0A)[ws], doc)
 
 
-def _pairs(words: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The hash of each word and the next one, and whether both stand in one piece."""
-    return mix64(words[:-1] * np.uint64(3) + words[1:]), piece[:-1] == piece[1:]
+def _pairs(words: np.ndarray, known: np.ndarray, piece: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of each word, the hashes of the pair and of the triple that it begins, and whether these are of known words."""
+    pair = mix64(words[:-1] * np.uint64(3) + words[1:])
+    is_pair = (piece[:-1] == piece[1:]) & known[:-1] & known[1:]
+    return pair, is_pair, mix64(pair[:-1] * np.uint64(5) + words[2:]), is_pair[:-1] & is_pair[1:]
 
 
 def _bit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
@@ -135,7 +137,7 @@ def _frequent_words(words: DataFrame, least: int) -> np.ndarray:
     return _bitmap(words.filter(F.col("c") >= least).select("lang", "w1").mapInArrow(run, "h long"))
 
 
-def _frequent_pairs(docs: DataFrame, frequent, least: int) -> np.ndarray:
+def _frequent_runs(docs: DataFrame, frequent, least: int) -> np.ndarray:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
 
@@ -146,11 +148,10 @@ def _frequent_pairs(docs: DataFrame, frequent, least: int) -> np.ndarray:
 
         for batch in batches:
             for _, _, _, words, piece, _ in _hashes(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
-                known = _bit(frequent.value, words)
-                pairs, same = _pairs(words, piece)
-                held.append(pairs[same & known[:-1] & known[1:]])
-                size += len(held[-1])
-            if size > PAIRS:
+                pair, is_pair, triple, is_triple = _pairs(words, _bit(frequent.value, words), piece)
+                held += [pair[is_pair], triple[is_triple]]
+                size += len(held[-1]) + len(held[-2])
+            if size > HASHES:
                 yield count()
                 size = 0
         if size:
@@ -167,14 +168,16 @@ def _windows(docs: DataFrame, frequent, pairs) -> DataFrame:
         for batch in batches:
             langs = batch.column(0).to_pylist()
             for buf, ws, we, words, piece, doc in _hashes(batch.column(1).to_pylist(), langs):
-                known = _bit(frequent.value, words)
-                both, same = _pairs(words, piece)
-                goes_on = np.zeros(len(words) + LONGEST, bool)  # whether the next word belongs to the window
-                goes_on[:len(both)] = same & known[:-1] & known[1:] & _bit(pairs.value, both)
-                at = np.flatnonzero(goes_on)
-                lead = [goes_on[at]]
-                for k in range(1, LONGEST - 1):
-                    lead.append(lead[-1] & goes_on[at + k])
+                pair, is_pair, triple, is_triple = _pairs(words, _bit(frequent.value, words), piece)
+                is_pair[is_pair] = _bit(pairs.value, pair[is_pair])
+                is_triple[is_triple] = _bit(pairs.value, triple[is_triple])
+                at = np.flatnonzero(is_pair)
+                # the window takes in one more word while the triples, and so the pairs, within it are frequent
+                three = np.zeros(len(words) + LONGEST, bool)
+                three[:len(triple)] = is_triple & is_pair[:-1] & is_pair[1:]
+                lead = [np.ones(len(at), bool)]
+                for k in range(LONGEST - 2):
+                    lead.append(lead[-1] & three[at + k])
                 length = 1 + np.sum(lead, axis=0)
                 text = buf.tobytes()
                 spans = list(zip(ws.tolist(), we.tolist()))
@@ -200,7 +203,7 @@ def phrase_counts(docs: DataFrame, least: int = LEAST) -> tuple[DataFrame, DataF
     words = write_stage(word_counts(docs), "phrase-words")
     sizes = words.groupBy("lang").agg(F.sum("c").alias("n"))
     frequent = sc.broadcast(_frequent_words(words, least))
-    pairs = sc.broadcast(_frequent_pairs(docs, frequent, least))
+    pairs = sc.broadcast(_frequent_runs(docs, frequent, least))
     windows = write_stage(_windows(docs, frequent, pairs), "phrase-windows")
     # every prefix of a window, by its number of words; a prefix that reaches into the padding is no phrase
     depth = sum((F.grouping(w).cast("int") for w in WORDS), F.lit(0))

@@ -196,7 +196,7 @@ def test_collocations_odd_and_empty(spark, odd_documents, empty_documents, monke
     want = phrases([(r["text"], r["lang"]) for r in docs.collect()], 2, 500)
     assert found_phrases(collocations.collocations(docs, 2, 500)) == want and len(want) > 500
     monkeypatch.setattr(collocations, "COUNTED", 10)  # tasks hand on what they hold again and again
-    monkeypatch.setattr(collocations, "PAIRS", 10)
+    monkeypatch.setattr(collocations, "HASHES", 10)
     assert found_phrases(collocations.collocations(docs, 2, 500)) == want
     assert collocations.collocations(empty_documents).collect() == []
 
