@@ -122,6 +122,38 @@ def resolve_ids(batch: DataFrame, individuals: DataFrame, interventions: DataFra
             .drop("_individual_id_name", "_intervention_id_name", "_outcome_metric_id_name"))
 
 
+# Why a row of a batch cannot be imported, in the order in which they are listed.
+REJECT_REASONS = ("score does not convert", "date does not convert", "score is missing", "date is missing",
+                  "unknown individual", "unknown intervention", "unknown metric", "score is out of range")
+
+
+def judged_rows(batch: DataFrame, individuals: DataFrame, interventions: DataFrame, metrics: DataFrame,
+                check_scale: bool = True, active_only: bool = True) -> DataFrame:
+    """ING2-ING4 for each row: the ``typed`` batch with its ids and ``reasons``, the list of what is wrong with it.
+
+    Rows without reasons can be imported.  A name that several (active) rows share
+    resolves to its smallest id, and to that row's scale.
+    """
+    def dim(df, name_col, out, *more):
+        d = df.where(F.col("active")) if active_only and "active" in df.columns else df
+        return d.groupBy(F.col(name_col).cast("string").alias(f"_{out}")).agg(
+            F.min("id").alias(out), *[F.min_by(F.col(c).cast("double"), "id").alias(f"_{c}") for c in more])
+    j = typed(batch)
+    for name, d, col, out, more in (
+            ("individual_anonymous_id", individuals, "anonymous_id", "individual_id", ()),
+            ("intervention_name", interventions, "name", "intervention_id", ()),
+            ("metric_name", metrics, "name", "outcome_metric_id", ("scale_min", "scale_max") if check_scale else ())):
+        j = j.join(dim(d, col, out, *more), F.col(name) == F.col(f"_{out}"), "left").drop(f"_{out}")
+    blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
+    score, day = F.col("score_value"), F.col("session_day")
+    scale = score.between(F.col("_scale_min"), F.col("_scale_max")) if check_scale else F.lit(True)
+    wrong = (~blank("score") & score.isNull(), ~blank("session_date") & day.isNull(), blank("score"),
+             blank("session_date"), F.col("individual_id").isNull(), F.col("intervention_id").isNull(),
+             F.col("outcome_metric_id").isNull(), score.isNotNull() & ~scale)
+    reasons = F.array_compact(F.array(*[F.when(w, F.lit(r)) for w, r in zip(wrong, REJECT_REASONS)]))
+    return j.withColumn("reasons", reasons).drop("_scale_min", "_scale_max")
+
+
 def import_outcomes(batch: DataFrame, individuals: DataFrame, interventions: DataFrame, metrics: DataFrame,
                     existing: DataFrame | None = None, skip_duplicates: bool = True,
                     recorded_by: str | None = None, batch_id: str | None = None) -> DataFrame:
@@ -134,8 +166,15 @@ def import_outcomes(batch: DataFrame, individuals: DataFrame, interventions: Dat
     imports never share an id or a session; without a ``batch_id`` each call takes a
     fresh one.
     """
+    return new_rows(resolve_ids(batch, individuals, interventions, metrics), existing, skip_duplicates, recorded_by,
+                    batch_id)
+
+
+def new_rows(resolved: DataFrame, existing: DataFrame | None = None, skip_duplicates: bool = True,
+             recorded_by: str | None = None, batch_id: str | None = None) -> DataFrame:
+    """ING7/ING8: the outcome rows that resolved batch rows insert (see ``import_outcomes``)."""
     batch_id = batch_id or uuid.uuid4().hex
-    r = resolve_ids(batch, individuals, interventions, metrics)
+    r = resolved
     keys = ["individual_id", "intervention_id", "session_day"]
     if skip_duplicates:
         if existing is not None:
@@ -145,7 +184,7 @@ def import_outcomes(batch: DataFrame, individuals: DataFrame, interventions: Dat
         w = Window.partitionBy(*keys).orderBy("row_num")
         r = r.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") == 1).drop("_rn")
     def opt(c, default, dtype):
-        v = F.col(c) if c in batch.columns else F.lit(None)
+        v = F.col(c) if c in resolved.columns else F.lit(None)
         return F.coalesce(v.cast(dtype), F.lit(default).cast(dtype))
     def fresh(kind):
         return F.sha2(F.concat_ws("|", F.lit(kind), F.lit(batch_id), F.col("row_num").cast("string")), 256)

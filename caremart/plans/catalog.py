@@ -811,10 +811,20 @@ def q_import_counts(spark, sf_dir):
 def _csv(spark, df: DataFrame, name: str) -> str:
     """The table written as CSV files in the shared folder."""
     path = stage_path(spark, f"csv-{name}")
-    df.write.option("header", True).csv(path)
+    CSV.write_csv(df, path)
     return path
 
 
+@register("csv_cells_round_trip", with_views("""SELECT CAST(doc_id AS VARCHAR) AS doc_id, text,
+  source || ', "' || coalesce(lang, '') || '"' AS note FROM documents"""), [], "SRC7 SNK1")
+def q_csv_cells(spark, sf_dir):
+    """Texts with quotes, commas and line breaks, written to CSV files and read back."""
+    docs = care(spark, sf_dir).raw("documents")
+    note = F.concat("source", F.lit(', "'), F.coalesce("lang", F.lit("")), F.lit('"'))
+    path = _csv(spark, docs.select("doc_id", "text", note.alias("note")), "cells")
+    return CSV.read_contract_csv(spark, path, ["doc_id", "text", "note"]).drop("row_num")
+
+
 @register("csv_outcomes", with_views("""SELECT individual_anonymous_id, intervention_name, metric_name, score,
   session_date, session_duration, CAST(NULL AS VARCHAR) AS notes FROM c_import"""), [], "SRC7 ING1")
 def q_csv_outcomes(spark, sf_dir):
@@ -950,7 +960,7 @@ def q_delete_absent(spark, sf_dir):
  UNION ALL SELECT individual_id * 10 + outcome_metric_id + 100000000000, individual_id, outcome_metric_id,
   'Improvement', NULL, 30.0, {_AS_OF} + 90, 'active'
  FROM (SELECT DISTINCT individual_id, outcome_metric_id FROM c_outcomes
-       WHERE session_date >= DATE '2001-01-01' AND outcome_metric_id <= 5) n
+       WHERE session_date >= DATE '2001-01-01') n
  WHERE NOT EXISTS (SELECT 1 FROM c_goals g WHERE g.individual_id = n.individual_id
                    AND g.outcome_metric_id = n.outcome_metric_id)"""),
           ["baseline_value", "target_value"], "SNK7 SET3")
@@ -959,8 +969,7 @@ def q_append_goals(spark, sf_dir):
     target = c.goals.select("id", "individual_id", "outcome_metric_id", "goal_type",
                             F.col("baseline_value").cast("double").alias("baseline_value"),
                             F.col("target_value").cast("double").alias("target_value"), "target_date", "status")
-    new = (c.outcomes.where((F.col("session_date") >= F.lit("2001-01-01").cast("date"))
-                            & (F.col("outcome_metric_id") <= 5))
+    new = (c.outcomes.where(F.col("session_date") >= F.lit("2001-01-01").cast("date"))
            .select("individual_id", "outcome_metric_id").distinct()
            .join(c.goals.select("individual_id", "outcome_metric_id"), ["individual_id", "outcome_metric_id"],
                  "left_anti")
@@ -1332,7 +1341,7 @@ def q_report_csv(spark, sf_dir):
     """A report written as CSV, one folder for each section, and one section read back."""
     path = stage_path(spark, "report")
     RP.write_report_csv(RP.run_report("Cost Analysis", mart(spark, sf_dir)), path)
-    back = spark.read.option("header", True).csv(f"{path}/cost_share")
+    back = spark.read.options(**CSV.QUOTING).csv(f"{path}/cost_share")
     return back.select("intervention_name", F.col("total_cost").cast("double").alias("total_cost"),
                        F.col("share").cast("double").alias("share"))
 
@@ -1466,26 +1475,38 @@ def _events_stream(spark, sf_dir):
     return src.withColumn("ts", F.col("ts").cast("timestamp"))  # event time must be a (session-zone) TIMESTAMP
 
 
-@register("stream_daily_event_counts", with_views("""SELECT CAST(ts AS DATE) AS day, count(*) AS event_count
- FROM events GROUP BY 1"""), [], "STR3")
+def _arrivals(df: DataFrame, ts: str, name: str, days: tuple[int, ...] = (7, 13, 19, 25)):
+    """The rows as files that arrive in a folder in five parts, by the day of the month; yields after each arrival."""
+    in_dir = stage_path(df.sparkSession, name)
+    day = F.dayofmonth(ts)
+    for low, high in zip((0, *days), (*days, 31)):
+        df.where((day > low) & (day <= high)).write.mode("append").parquet(in_dir)
+        yield in_dir
+
+
+@register("stream_daily_event_counts", with_views("""SELECT CAST(ts AS DATE) AS day, count(*) AS event_count,
+  count(DISTINCT user_id) AS unique_users FROM events GROUP BY 1
+ HAVING CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY"""), [], "STR3")
 def q_stream_daily_counts(spark, sf_dir):
+    """The days that the watermark (one day) has closed, from events that arrive in five runs of the stream."""
     from caremart.streaming import jobs as SJ
-    # update mode: windows still open when the input is drained are reported too
-    out = SJ.run_to_table(SJ.stream_daily_counts(_events_stream(spark, sf_dir)), "daily-counts", "update")
-    return SJ.latest_by_key(out, ["day"]).select("day", "event_count")
+    events = care(spark, sf_dir).raw("events").withColumn("ts", F.col("ts").cast("timestamp"))
+    sink = stage_path(spark, "stream-daily-counts")
+    for in_dir in _arrivals(events, "ts", "event-files"):
+        stream = spark.readStream.schema(events.schema).parquet(in_dir)
+        out = SJ.run_to_table(SJ.stream_daily_counts(stream), "daily-counts", sink=sink)
+    return out
 
 
-@register("stream_lockouts", with_views(_LOCK_OUT, _LOCK_SQL), [], "STR2 (twin of LOC1, in two micro-batches)")
+@register("stream_lockouts", with_views(_LOCK_OUT, _LOCK_SQL), [], "STR2 (twin of LOC1, in five runs)")
 def q_stream_lockouts(spark, sf_dir):
-    """The login events arrive in two runs of the stream, first half of the month first."""
+    """The login events arrive in five runs of the stream, in order of the month."""
     from caremart.streaming import jobs as SJ
     logins = care(spark, sf_dir).logins.withColumn("ts", F.col("ts").cast("timestamp"))
-    in_dir, out_dir = stage_path(spark, "login-files"), stage_path(spark, "stream-lockouts")
-    half = F.col("ts") < F.lit("2024-01-16").cast("timestamp")
-    for part in (logins.where(half), logins.where(~half)):
-        part.write.mode("append").parquet(in_dir)
+    out_dir = stage_path(spark, "stream-lockouts")
+    for in_dir in _arrivals(logins, "ts", "login-files"):
         SJ.stream_lockouts(spark.readStream.schema(logins.schema).parquet(in_dir), out_dir=out_dir)
-    return _lock_columns(spark.read.parquet(SJ.latest_epoch(spark, out_dir)))
+    return _lock_columns(SJ.lockout_state(spark, out_dir))
 
 
 @register("stream_dedupe_events", with_views("""SELECT DISTINCT user_id, event_type FROM events"""), [], "STR4")
@@ -1596,6 +1617,42 @@ def q_stream_import(spark, sf_dir):
                                           "session_date")
 
 
+_JUDGED_SQL = """judged AS (SELECT t.*, p.id AS individual_id, i.id AS intervention_id,
+  CASE WHEN score IS NOT NULL AND score_value IS NULL THEN 'score does not convert; ' ELSE '' END
+  || CASE WHEN session_date IS NOT NULL AND session_day IS NULL THEN 'date does not convert; ' ELSE '' END
+  || CASE WHEN p.id IS NULL THEN 'unknown individual; ' ELSE '' END
+  || CASE WHEN i.id IS NULL THEN 'unknown intervention; ' ELSE '' END
+  || CASE WHEN m.id IS NULL THEN 'unknown metric; ' ELSE '' END
+  || CASE WHEN score_value NOT BETWEEN m.scale_min AND m.scale_max THEN 'score is out of range; ' ELSE '' END AS reasons
+ FROM c_import_typed t LEFT JOIN (SELECT * FROM c_individuals WHERE active) p ON t.individual_anonymous_id = p.anonymous_id
+ LEFT JOIN (SELECT * FROM c_interventions WHERE active) i ON t.intervention_name = i.name
+ LEFT JOIN (SELECT * FROM c_metrics WHERE active) m ON t.metric_name = m.name),
+fresh AS (SELECT * FROM judged r WHERE reasons = '' AND NOT EXISTS (SELECT 1 FROM c_outcomes o
+  WHERE o.session_date < DATE '1998-01-01' AND o.individual_id = r.individual_id AND o.intervention_id = r.intervention_id
+    AND o.session_date = r.session_day)),
+imported AS (SELECT DISTINCT individual_id, intervention_id, session_day FROM fresh)"""
+
+
+@register("stream_import_outcomes", with_views("""SELECT 'rejected' AS outcome, reasons, count(*) AS rows FROM judged
+ WHERE reasons <> '' GROUP BY reasons
+ UNION ALL SELECT 'imported', '', count(*) FROM imported
+ UNION ALL SELECT 'skipped', 'already imported; ', (SELECT count(*) FROM judged WHERE reasons = '')
+   - (SELECT count(*) FROM imported)
+ UNION ALL SELECT 'read', '', count(*) FROM c_import""", _JUDGED_SQL), [], "STR1 ING2-ING4 ING7 ING8")
+def q_stream_import_outcomes(spark, sf_dir):
+    """What became of every row of the arriving files, a few files to a micro-batch, by outcome and reasons."""
+    from caremart.streaming import jobs as SJ
+    c = care(spark, sf_dir)
+    rows = c.import_batch.select(*OUTCOMES_CSV_REQUIRED)
+    in_dir = _csv(spark, rows, "stream")
+    out = SJ.stream_import(spark, in_dir, c.individuals, c.interventions, c.metrics, _stored(c), max_files=2, validate=True)
+    left = spark.read.parquet(SJ.rejects_of(out)).withColumn("reasons", F.concat(F.array_join("reasons", "; "), F.lit("; ")))
+    n = F.count(F.lit(1)).alias("rows")
+    count = lambda df, outcome: df.agg(n).select(F.lit(outcome).alias("outcome"), F.lit("").alias("reasons"), "rows")
+    return (left.groupBy("outcome", "reasons").agg(n).unionByName(count(spark.read.parquet(out), "imported"))
+            .unionByName(count(rows, "read")))
+
+
 @register("emergency_entry_alerts", with_views("""SELECT 'data_quality' AS alert_type, 'warning' AS severity,
   'Emergency Entry Requires Review' AS title,
   'Emergency data entry for ' || p.anonymous_id || ' needs complete documentation' AS message,

@@ -15,6 +15,7 @@ from caremart.operators import aggregates as A
 from caremart.operators import ranking as R
 from caremart.operators import stats as ST
 from caremart.operators.filters import low_quality_log
+from caremart.sources.csv import write_csv
 
 
 def executive_recommendations(analysis: DataFrame, name: str = "intervention_name",
@@ -93,13 +94,15 @@ def run_report(name: str, mart: DataFrame, **kwargs) -> dict[str, DataFrame]:
 def write_report_csv(report: Mapping[str, DataFrame], path: str, single_file: bool = False) -> list[str]:
     """SNK1: write every section of the report as UTF-8 CSV with a header (no index), each in its own folder.
 
+    Quotes are doubled, and cells with quotes, commas or line breaks quoted (RFC 4180).
+
     Sections may be as large as the facts (logs), so they are written by their
     tasks and never collected.  ``single_file=True`` coalesces to one part file, for
     small reports only.
     """
     for name, df in report.items():
         out = df.coalesce(1) if single_file else df
-        out.write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(f"{path}/{name}")
+        write_csv(out, f"{path}/{name}", "overwrite")
     return list(report)
 
 

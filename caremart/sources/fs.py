@@ -40,3 +40,18 @@ def child_names(spark: SparkSession, path: str) -> list[str]:
 
 def total_bytes(spark: SparkSession, path: str) -> int:
     return sum(int(s.getLen()) for s in _files(spark, path))
+
+
+def rename(spark: SparkSession, source: str, target: str) -> None:
+    """Put a written folder in place of another one."""
+    fs, p = _fs_and_path(spark, source)
+    _, q = _fs_and_path(spark, target)
+    fs.delete(q, True)
+    if not fs.rename(p, q):
+        raise OSError(f"cannot rename {source} to {target}")
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder; a missing one is fine."""
+    fs, p = _fs_and_path(spark, path)
+    fs.delete(p, True)
