@@ -19,12 +19,16 @@ from pyspark.sql import functions as F
 
 
 def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols: Sequence[str],
-                partitions: int | None = None, suffix: str = "_cum") -> DataFrame:
+                partitions: int | None = None, suffix: str = "_cum", keep: Sequence[str] | None = None) -> DataFrame:
     """Add ``<col><suffix>`` = inclusive running sum of each column per key in ``order`` (ties broken by order).
 
-    ``order`` must make rows unique within a key for a deterministic result.
+    ``order`` must make rows unique within a key for a deterministic result.  All rows are
+    shuffled and written once: ``keep`` names the columns that go along beside keys,
+    order and sums (all of them, if it is not given).
     """
     keys, order, cols = list(keys), list(order), list(cols)
+    if keep is not None:
+        df = df.select(*dict.fromkeys([*keys, *order, *cols, *keep]))
     spark = df.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     r = df.repartitionByRange(n, *keys, *order).withColumn("_pid", F.spark_partition_id())
@@ -47,7 +51,7 @@ def prefix_sums(df: DataFrame, keys: Sequence[str], order: Sequence[str], cols:
 
 
 def row_index(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str = "_idx",
-              partitions: int | None = None) -> DataFrame:
-    """0-based position of each row within its key in ``order`` (skew-safe ``row_number() - 1``)."""
-    r = prefix_sums(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], partitions)
+              partitions: int | None = None, keep: Sequence[str] | None = None) -> DataFrame:
+    """0-based position of each row within its key in ``order`` (skew-safe ``row_number() - 1``); see ``prefix_sums``."""
+    r = prefix_sums(df.withColumn("_one", F.lit(1)), keys, order, ["_one"], partitions, keep=keep)
     return r.withColumn(out, F.col("_one_cum") - 1).drop("_one", "_one_cum")

@@ -3,26 +3,44 @@
 Spark's exact ``median`` merges a value -> count map of every distinct value in
 one task, and a gathered bracket of ties is as large as the column.  Here every
 wanted rank keeps an interval of values that holds it, at first the group's
-minimum and maximum.  One pass counts the values of the open intervals in
-``BINS`` equal bins (a hash aggregate with map-side combine, so ties and hot
-groups cost one row per bin and task) and narrows each interval to the smallest
-and largest value of its rank's bin; an interval of one value is done.  Every
-pass separates at least the ends of an interval, and shrinks it ``BINS`` times
-where values are spread, so two or three passes are usual.  No values are
-gathered, the only window runs over at most ``BINS`` bins of an interval, and
-there is one path for all sizes.
+minimum and maximum.  One pass counts the values of the open intervals in bins (a
+hash aggregate with map-side combine, so ties and hot groups cost one row per bin
+and task) and narrows each interval to the smallest and largest value of its rank's
+bin; an interval of one value is done.  A bin is one of ``BINS`` equal parts of the
+interval and one power of two: both grow with the value, so there are at most
+``BINS`` plus about 4,300 bins, and after the first pass an interval lies between
+two neighbouring powers of two, infinities apart.  Each further pass takes 14 of the
+52 bits between them, so ``PASSES`` passes end every column, whatever its values;
+one or two are usual.  No values are gathered, the only window runs over the bins of
+an interval, and there is one path for all sizes.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caremart.plans.materialize import write_stage
 
 BINS = 1 << 14
+PASSES = 5
+
+
+def _power(v: Column) -> Column:
+    """The power of two below a value's size, with its sign: it never falls where values grow."""
+    size = F.when(F.abs(v) == float("inf"), 3000).otherwise(F.floor(F.log2(F.abs(v))) + 1100)
+    return F.when(v == 0, 0).otherwise(F.signum(v) * size).cast("int")
+
+
+def _part(v: Column, lo: Column, hi: Column) -> Column:
+    """The equal part of an interval that a value lies in; an infinite interval is not parted."""
+    # halves of large ends, so that the width does not overflow; whole small ends, so that it does not vanish
+    size, whole = F.greatest(F.abs(lo), F.abs(hi)), (v - lo) / (hi - lo)
+    share = F.when(size < 1e300, whole).otherwise((v / 2 - lo / 2) / (hi / 2 - lo / 2))
+    part = F.least(F.floor(share * BINS), F.lit(BINS - 1))
+    return F.when(size < float("inf"), part).otherwise(0).cast("int")
 
 
 def _ranked(df: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame:
@@ -40,10 +58,8 @@ def _ranked(df: DataFrame, keys: list[str], probs: Sequence[float]) -> DataFrame
     while not (open_ := state.filter("_lo < _hi")).isEmpty():
         spans = open_.select(*interval).distinct()
         values = df.join(spans, keys) if keys else df.crossJoin(F.broadcast(spans))  # at most two per probability
-        # halves, so that the width of the widest interval does not overflow
-        part = (F.col("_v") / 2 - F.col("_lo") / 2) / (F.col("_hi") / 2 - F.col("_lo") / 2)
-        bins = (values.filter(F.col("_v").between(F.col("_lo"), F.col("_hi")))
-                .groupBy(*interval, F.least(F.floor(part * BINS), F.lit(BINS - 1)).alias("_bin"))
+        v, lo, hi = F.col("_v"), F.col("_lo"), F.col("_hi")
+        bins = (values.filter(v.between(lo, hi)).groupBy(*interval, F.struct(_part(v, lo, hi), _power(v)).alias("_bin"))
                 .agg(F.count(F.lit(1)).alias("_c"), F.min("_v").alias("_bin_lo"), F.max("_v").alias("_bin_hi")))
         upto = F.sum("_c").over(Window.partitionBy(*interval).orderBy("_bin"))
         bins = bins.withColumn("_upto", upto)

@@ -81,8 +81,9 @@ def individual_detail(mart: DataFrame, by: str = WHO) -> DataFrame:
     """AGG18/STA10: consistency, monthly trend (slope over session index x 30), duration compliance,
     quality consistency, cost per improvement and ROI % per individual."""
     # session index per individual without sorting a whole individual in one task
-    src = row_index(mart.where(F.col(by).isNotNull()), [by], ["session_date", "id"], "_idx") \
-        .withColumn("_idx", F.col("_idx").cast("double"))
+    src = row_index(mart.where(F.col(by).isNotNull()), [by], ["session_date", "id"], "_idx",
+                    keep=["normalized_score", "session_duration", "planned_duration", "quality_rating", "total_cost",
+                          "improvement_from_baseline"]).withColumn("_idx", F.col("_idx").cast("double"))
     g = src.groupBy(by).agg(
         F.avg("normalized_score").alias("_m"), F.stddev_samp("normalized_score").alias("_s"),
         F.regr_slope("normalized_score", "_idx").alias("_slope"),

@@ -112,6 +112,35 @@ def test_exact_medians_match_numpy(spark, n, monkeypatch):
     assert len(one) == 1 and list(one[0]) == got
 
 
+def test_quantiles_of_any_doubles_end_in_few_passes(spark, monkeypatch):
+    """Infinities, spreads of 300 decades, subnormals, neighbouring doubles and ties."""
+    import math
+    import random
+    from caremart.functions import quantiles
+    inf, rnd = float("inf"), random.Random(1)
+    groups = {"infinite": [3.0, 2.0, 1.0, -inf], "both": [inf, -inf, 0.0, 5.0, inf], "all": [inf] * 3,
+              "wide": [10.0 ** e for e in range(-150, 141, 10)], "signed": [s * 10.0 ** e for e in range(-300, 301, 7) for s in (1, -1)],
+              "tiny": [5e-324 * k for k in range(9)], "near": [1.0 + k * 2.0 ** -52 for k in range(40)] + [1e300, -1e300],
+              "random": [rnd.gauss(0, 1) * 10 ** rnd.randrange(-9, 9) for _ in range(301)], "ties": [2.5] * 50 + [-0.0, 0.0, 7.0]}
+    rows = [(g, x) for g, xs in groups.items() for x in xs] + [("none", float("nan")), ("none", None)]
+    passes = []
+    write = quantiles.write_stage
+    monkeypatch.setattr(quantiles, "write_stage", lambda df, name: passes.append(name) or write(df, name))
+    got = {r["g"]: (r["a"], r["m"]) for r in quantiles.exact_quantiles(
+        spark.createDataFrame(rows, "g string, x double"), ["g"], "x", [0.25, 0.5], ["a", "m"]).collect()}
+    assert len(passes) - 1 <= quantiles.PASSES
+
+    def quantile(xs, p):
+        xs, at = sorted(xs), (len(xs) - 1) * p
+        lo, hi = xs[math.floor(at)], xs[math.ceil(at)]
+        return lo if lo == hi else lo * (1 - at % 1) + hi * (at % 1)
+    assert got.keys() == groups.keys()
+    for g, xs in groups.items():
+        for p, q in zip((0.25, 0.5), got[g]):
+            want = quantile(xs, p)
+            assert q == want or (math.isnan(q) and math.isnan(want)), (g, p)
+
+
 def test_quantiles_collect_no_values(spark):
     """A column of ties is counted, not gathered: no collect_list, and two passes are enough."""
     import inspect
