@@ -33,6 +33,8 @@ from caremart.llm.common import read_table
 KINDS = ("email", "ip", "card", "phone")
 ACCEPT = 0.9
 CONTEXT = 24  # characters before a candidate that a labeler reads
+BLOCK = 200  # array entries that are added up by copying
+CHUNK = 4096  # code points of a long text that are counted through at once
 
 STRICT = {
     "email": r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
@@ -69,21 +71,51 @@ BEFORE_NO = r"(?i)version|\bv\.?$|isbn|issn|order|invoice|\bno\.?|nr\.?|number o
 LABELERS = ("rule", "shape", "check", "gazetteer", "before", "touch")
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is evaluated once, however often the body names it, also inside its lambdas."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _running(values: Column, add, start: Column, levels: int = 1) -> Column:
+    """What ``add`` makes of all earlier values, for each value of an array.
+
+    Arrays grow by copying, so values are added up inside blocks of ``BLOCK``, and so are the blocks' own results (with
+    more ``levels``, in blocks again): 300,000 values take a few seconds.
+    """
+    def inside(block: Column) -> Column:
+        kind = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+        return F.aggregate(block, kind, lambda acc, x: F.struct(
+            add(acc["at"], x).alias("at"), F.concat(acc["out"], F.array(acc["at"])).alias("out")))
+    if levels == 0:
+        return inside(values)["out"]
+
+    def from_blocks(all_values: Column) -> Column:
+        cuts = F.sequence(F.lit(0), F.floor(F.greatest(F.size(all_values) - 1, F.lit(0)) / BLOCK).cast("int"))
+        blocks = F.transform(cuts, lambda i: inside(F.slice(all_values, i * BLOCK + 1, BLOCK)))
+        return _let(blocks, lambda bs: F.flatten(F.zip_with(
+            bs, _running(F.transform(bs, lambda b: b["at"]), add, start, levels - 1),
+            lambda b, before: F.transform(b["out"], lambda x: add(before, x)))))
+    return _let(values, from_blocks)
+
+
 def _spans(text: Column, pattern: str, needs: str) -> Column:
     """The leftmost non-overlapping matches as structs of start, end, match, the text before and after."""
-    gaps = F.split(text, pattern, -1)
-    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m, i: F.struct(
-        m.alias("m"), F.get(gaps, i).alias("gap"), F.left(F.get(gaps, i + 1), F.lit(1)).alias("next")))
     empty = F.array().cast("array<struct<start:int,end:int,m:string,before:string,next:string>>")
 
-    def add(acc, x):
-        start = acc["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        span = F.struct(start.alias("start"), end.alias("end"), x["m"].alias("m"),
-                        F.right(x["gap"], F.lit(CONTEXT)).alias("before"), x["next"].alias("next"))
-        return F.struct(end.alias("at"), F.concat(acc["spans"], F.array(span)).alias("spans"))
+    def placed(found: Column, gaps: Column) -> Column:
+        parts = F.transform(found, lambda m, i: F.struct(
+            m.alias("m"), F.length(m).alias("n"), F.get(gaps, i).alias("gap"),
+            F.left(F.get(gaps, i + 1), F.lit(1)).alias("next")))
+
+        def with_starts(xs: Column) -> Column:
+            before = _running(F.transform(xs, lambda x: F.length(x["gap"]) + x["n"]), lambda a, x: a + x, F.lit(0))
+            return F.zip_with(xs, before, lambda x, at: F.struct(
+                (at + F.length(x["gap"])).alias("start"), (at + F.length(x["gap"]) + x["n"]).alias("end"), x["m"].alias("m"),
+                F.right(x["gap"], F.lit(CONTEXT)).alias("before"), x["next"].alias("next")))
+        return _let(parts, with_starts)
 
-    spans = F.aggregate(found, F.struct(F.lit(0).alias("at"), empty.alias("spans")), add, lambda acc: acc["spans"])
+    spans = _let(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+                 lambda found: _let(F.split(text, pattern, -1), lambda gaps: placed(found, gaps)))
     return F.when(text.rlike(needs), spans).otherwise(empty)
 
 
@@ -277,21 +309,31 @@ def spans_text(spans: str | Column) -> Column:
 def masked_text(text: str = "text", spans: str = "all_spans") -> Column:
     """The text with each span, or run of overlapping spans, replaced by its kind in capitals and brackets.
 
-    A run takes the kind of the longest span at its start.
+    A run takes the kind of the longest span at its start.  The text is cut into chunks of ``CHUNK`` code points, so
+    that no place is counted from the text's start.
     """
     t = F.col(text)
     in_order = F.array_sort(F.transform(spans, lambda s: F.struct(
         s["start"].alias("start"), (-s["end"]).alias("last"), s["end"].alias("end"), s["kind"].alias("kind"))))
-
-    def add(acc, s):
-        fresh = s["start"] >= acc["at"]
-        return F.struct(
-            F.greatest(acc["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(acc["out"], F.substring(t, acc["at"] + 1, s["start"] - acc["at"]), F.lit("["),
-                                   F.upper(s["kind"]), F.lit("]"))).otherwise(acc["out"]).alias("out"))
-
-    done = F.aggregate(in_order, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add,
-                       lambda acc: F.concat(acc["out"], F.substring(t, acc["at"] + 1, F.length(t))))
+    place = lambda at: F.floor(at / CHUNK).cast("int")
+
+    def cut(chunks: Column, a: Column, b: Column) -> Column:
+        """The code points from a to b."""
+        one = F.substring(F.get(chunks, place(a)), a % CHUNK + 1, b - a)
+        more = F.concat(F.substring(F.get(chunks, place(a)), a % CHUNK + 1, F.lit(CHUNK)),
+                        F.array_join(F.slice(chunks, place(a) + 2, place(b) - place(a) - 1), ""),
+                        F.coalesce(F.left(F.get(chunks, place(b)), b % CHUNK), F.lit("")))
+        return F.when(b <= a, "").when(place(a) == place(b), one).otherwise(more)
+
+    def masked(chunks: Column, sorted_spans: Column) -> Column:
+        upto = _running(F.transform(sorted_spans, lambda s: s["end"]), lambda a, x: F.greatest(a, x), F.lit(0))
+        pieces = F.zip_with(sorted_spans, upto, lambda s, at: F.when(s["start"] >= at, F.concat(
+            cut(chunks, at, s["start"]), F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
+        return F.concat(F.array_join(pieces, ""), cut(chunks, F.array_max(F.transform(sorted_spans, lambda s: s["end"])),
+                                                      F.length(t)))
+
+    done = _let(F.regexp_extract_all(t, F.lit(f"(?s).{{1,{CHUNK}}}"), F.lit(0)),
+                lambda chunks: _let(in_order, lambda xs: masked(chunks, xs)))
     return F.when(F.size(spans) > 0, done).otherwise(t)
 
 

@@ -62,6 +62,42 @@ def test_base_spans_of_random_texts(spark, texts):
     check(rows, spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
 
 
+def masked(text, spans):
+    """The runs of overlapping spans replaced by the kind of the longest one at their start."""
+    out, at = [], 0
+    for kind, a, b in sorted(spans, key=lambda s: (s[1], -s[2], s[0])):
+        if a >= at:
+            out += [text[at:a], f"[{kind.upper()}]"]
+        at = max(at, b)
+    return "".join(out) + text[at:]
+
+
+def test_masked_text_against_python(spark):
+    long = "x é\U0001f600 " * 3000
+    rows = list(enumerate([*ODD, long + "a@b.de" + long + "1.2.3.4 +49 30 123456789" + long, "a@b.de", "1.2.3.4" * 2, "", None,
+                           "é" * 4096 + "1.2.3.4", "é" * 4095 + " a@b.de " + "z" * 4090 + " 1.2.3.4", long]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find_spans(docs).withColumn("masked", pii.masked_text()).collect():
+        want = masked(r["text"], [tuple(s) for s in r["all_spans"]]) if r["text"] is not None else None
+        assert r["masked"] == want
+
+
+def test_many_spans_in_one_text_take_linear_time(spark):
+    """Twice the matches take about twice the time, for the spans and for the mask."""
+    import time
+
+    def seconds(n):
+        text = " ".join(f"10.{i % 250}.{i % 7}.1 n{i}; 4111 1111 1111 1111; x{i}@y.org" for i in range(n))
+        docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+        start = time.time()
+        r = pii.find_spans(docs).withColumn("masked", pii.masked_text()).collect()[0]
+        assert len(r["base_spans"]) == 3 * n and r["masked"].count("[CARD]") == r["masked"].count("[EMAIL]") == n
+        return time.time() - start
+    seconds(1000)  # compiled
+    few, many = seconds(10_000), seconds(40_000)
+    assert many < 8 * few + 5  # quadratic time would be 16 times as much
+
+
 def test_query_columns(spark):
     got = pii.query(spark, SF).collect()
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}

@@ -204,7 +204,7 @@ def test_pipeline_stages_against_their_operators(spark):
     assert {r["doc_id"] for r in kept.select("doc_id").collect()} == {d for d, k in judged.items() if k}
 
     unique = steps[names[1]](spark, kept, sf).cache()
-    comps = jaccard.link_components(kept).groupBy("component_id").agg(F.min("doc_id").alias("d")).collect()
+    comps = jaccard.link_components(kept, **corpus_pipeline.NEAR).groupBy("component_id").agg(F.min("doc_id").alias("d")).collect()
     assert {r["doc_id"] for r in unique.select("doc_id").collect()} == {r["d"] for r in comps}
 
     clean = steps[names[2]](spark, unique, sf).cache()
