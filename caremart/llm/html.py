@@ -1,10 +1,14 @@
 """Operator 4: main text of web pages from flat text blocks.
 
 A page is read once into flat blocks: a block ends at every block-level tag, and holds its words, the share of them
-inside links (link density), and what the open tags say about its place (inside an article or main element; inside
-a menu, header, footer, sidebar, form, notice, advert or comment list; a heading; a list item).  A decision tree over a
-block's own and its two neighbours' word counts and link densities and these marks says which blocks are main text.
-The tree (Gini, grown until pure) is trained on ``LABELLED_BLOCKS``, a small table made by hand.
+inside links (link density), and what the open tags say about its place: inside an article or main element; beside the
+text by its element or role (menu, header, footer, aside, form, dialog); among comments by a class; beside the text by
+a class; a heading; a list item.  A decision tree over a block's own and its two neighbours' word counts and link
+densities and these marks says which blocks are main text.  A class never decides for all it holds: where no block of
+the page lies in an article free of such classes, blocks in one count by their words and links.  Classes are read as
+whole tokens; those that name a state or a topic (``has-sidebar``, ``tag-legal``) say nothing.
+The tree (Gini, grown until pure) is trained on ``LABELLED_BLOCKS``, a small table made by hand of blocks of pages with
+and without an article element.
 
 Pages are independent, so the work is one Arrow map over the pages, without a shuffle.
 
@@ -20,6 +24,7 @@ from __future__ import annotations
 
 import re
 import sys
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from html import unescape
 from typing import NamedTuple
@@ -40,6 +45,8 @@ class Block(NamedTuple):
     aside: int
     heading: int
     item: int
+    comment: int
+    marked: int
 
 
 UNSEEN = "script|style|template|noscript|title|svg|math|iframe|object|canvas|textarea|select"
@@ -52,6 +59,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog dir div dl dt fieldset figcaption "
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section summary "
     "table tbody td tfoot th thead tr ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 ARTICLE_TAGS = frozenset(["article", "main"])
 ASIDE_TAGS = frozenset(["nav", "footer", "aside", "form", "header", "menu", "button", "dialog", "fieldset"])
@@ -61,44 +69,66 @@ ARTICLE_WORDS = frozenset("article content post entry story articlebody".split()
 ASIDE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation "
     "menu menubar breadcrumb breadcrumbs header masthead topbar footer sidebar side aside widget widgets related "
-    "recommended share sharing social comment comments respond reply replies disqus cookie cookies consent gdpr "
+    "recommended share sharing social cookie cookies consent gdpr "
     "notice notices alert popup modal overlay newsletter subscribe signup login search form toc pagination pager "
-    "copyright legal disclaimer tags skip teaser outbrain taboola".split())
+    "copyright legal disclaimer tags skip teaser outbrain taboola werbung anzeige anzeigen publicite publicidad anuncio".split())
+COMMENT_WORDS = frozenset(
+    "comment comments respond reply replies disqus kommentar kommentare leserkommentare commentaire commentaires comentario "
+    "comentarios".split())
+#: A class that starts so names a state, a topic or a number of the page, not a place in it.
+STATE_WORDS = frozenset("has no not with without is category tag topic type status format postid author lang".split())
 SPACES = re.compile(r"\s+")
 ATTRIBUTE = re.compile(r"([a-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 HIDDEN = re.compile(r"\bhidden\b|display\s*:\s*none", re.I)
 
 
-def _place(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool]:
-    """Whether an opened element starts an article, starts something beside it, or is hidden."""
+def _class_place(value: str) -> tuple[bool, bool, bool]:
+    """Whether a class or id names an article, something beside it, or comments."""
+    article = marked = comment = False
+    for token in value.split():
+        words = [w for w in re.split(r"[^a-z]+", re.sub("([a-z])([A-Z])", r"\1-\2", token).lower()) if w]
+        if len(words) > 1 and words[0] in STATE_WORDS:
+            continue
+        if not COMMENT_WORDS.isdisjoint(words):
+            comment = True
+        elif not ASIDE_WORDS.isdisjoint(words):
+            marked = True
+        elif not ARTICLE_WORDS.isdisjoint(words):
+            article = True
+    return article and not marked and not comment, marked, comment
+
+
+def _place(tag: str, attrs: str, in_article: bool) -> tuple[bool, bool, bool, bool, bool]:
+    """Whether an opened element starts an article, something beside it, is hidden, holds comments, has such a class."""
     article, aside = tag in ARTICLE_TAGS, tag in ASIDE_TAGS
     if tag == "header" and in_article:
         aside = False  # an article's own header holds its title
-    hidden = False
+    hidden = comment = marked = False
     if attrs:
         for name, a, b, c in ATTRIBUTE.findall(attrs):
-            name, value = name.lower(), (a or b or c).lower()
+            name, value = name.lower(), a or b or c
             if name in ("class", "id") and tag not in ("body", "html", "a", "p", "span"):
-                words = set(re.split(r"[^a-z]+", value))
-                if words & ASIDE_WORDS:
-                    aside = True
-                elif words & ARTICLE_WORDS:
-                    article = True
+                is_article, is_marked, is_comment = _class_place(value)
+                article, marked, comment = article or is_article, marked or is_marked, comment or is_comment
             elif name == "role":
-                aside = aside or value in ASIDE_ROLES
-                article = article or value in ("main", "article")
+                aside = aside or value.lower() in ASIDE_ROLES
+                article = article or value.lower() in ("main", "article")
             elif name == "itemprop":
-                article = article or value == "articlebody"
+                article = article or value.lower() == "articlebody"
+                comment = comment or value.lower() == "comment"
             elif name == "style" and HIDDEN.search(value):
                 hidden = True
         hidden = hidden or re.search(r"(?:^|\s)hidden(?:\s|$|=)", attrs, re.I) is not None
-    return article, aside, hidden
+    return article, aside, hidden, comment, marked
 
 
 def blocks(html: str | None) -> list[Block]:
     """The flat text blocks of a page in order; blocks without words are left out."""
     out: list[Block] = []
-    stack: list[tuple[str, int, int, int]] = []  # tag, and how many open elements are article, aside, hidden
+    # tag, and how many open elements are article, beside, hidden, comments, marked by a class, headings, list items
+    stack: list[tuple] = []
+    ground = ("", 0, 0, 0, 0, 0, 0, 0)
+    opened: Counter = Counter()  # the open elements of each tag
     pieces: list[tuple[str, bool]] = []
     links = 0
     html, pos = html or "", 0
@@ -109,13 +139,12 @@ def blocks(html: str | None) -> list[Block]:
         if not pieces:
             return
         text = SPACES.sub(" ", unescape("".join(p for p, _ in pieces))).strip()
-        if text and not (stack and stack[-1][3]):
+        _, article, aside, hidden, comment, marked, heading, item = stack[-1] if stack else ground
+        if text and not hidden:
             n = len(text.split(" "))
             linked = sum(len(unescape(p).split()) for p, in_link in pieces if in_link)
-            tags = [s[0] for s in stack]
-            out.append(Block(text, n, min(1.0, linked / n), int(bool(stack and stack[-1][1])),
-                             int(bool(stack and stack[-1][2])),
-                             int(any(re.fullmatch("h[1-6]", t) for t in tags)), int("li" in tags)))
+            out.append(Block(text, n, min(1.0, linked / n), int(article > 0), int(aside > 0), int(heading > 0), int(item > 0),
+                             int(comment > 0), int(marked > 0)))
         pieces.clear()
 
     while pos < len(html):
@@ -154,38 +183,40 @@ def blocks(html: str | None) -> list[Block]:
         if tag in VOID_TAGS:
             continue
         if m["close"]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            while opened[tag]:  # the nearest open element of the tag ends, and all that is open in it
+                closed = stack.pop()[0]
+                opened[closed] -= 1
+                if closed == tag:
+                    break
         elif tag in BLOCK_TAGS and not m["attrs"].endswith("/"):
-            if tag == "p" and stack and stack[-1][0] == "p":
-                stack.pop()  # an open paragraph ends where the next begins
-            if tag == "li" and stack and stack[-1][0] == "li":
-                stack.pop()
-            _, a, b, h = stack[-1] if stack else ("", 0, 0, 0)
-            article, aside, hidden = _place(tag, m["attrs"], a > 0)
-            stack.append((tag, a + article, b + aside, h + hidden))
+            if tag in ("p", "li") and stack and stack[-1][0] == tag:
+                stack.pop()  # an open paragraph or item ends where the next begins
+                opened[tag] -= 1
+            above = stack[-1] if stack else ground
+            new = (*_place(tag, m["attrs"], above[1] > 0), tag in HEADINGS, tag == "li")
+            stack.append((tag, *[n + x for n, x in zip(above[1:], new)]))
+            opened[tag] += 1
     pieces += head or []  # neither an end tag nor an element ended the head: its text is the page's
     end_block()
     return out
 
 
 FEATURES = ("words", "links", "words before", "links before", "words after", "links after", "article on page",
-            "in article", "beside", "heading", "list item")
+            "in article", "beside", "heading", "list item", "comments", "class beside")
 
 
 def features(page: Sequence[Block]) -> np.ndarray:
     """One row of ``FEATURES`` for each block; beyond the page's ends stand blocks of no words and no links."""
     own = np.array([[b.words, b.links] for b in page], float).reshape(-1, 2)
     edge = np.zeros((1, 2))
-    marks = np.array([[b.article, b.aside, b.heading, b.item] for b in page], float).reshape(-1, 4)
-    there = np.full((len(page), 1), float(any(b.article and not b.aside for b in page)))
+    marks = np.array([[b.article, b.aside, b.heading, b.item, b.comment, b.marked] for b in page], float).reshape(-1, 6)
+    there = np.full((len(page), 1), float(any(b.article and not b.aside and not b.comment and not b.marked for b in page)))
     return np.hstack([own, np.vstack([edge, own[:-1]])[:len(page)], np.vstack([own[1:], edge])[:len(page)], there, marks])
 
 
-# words, links, words before, links before, words after, links after, article on page, in article, beside, heading,
-# list item -> main text
-LABELLED_BLOCKS = (
+# words, links, words before, links before, words after, links after, article (free of classes beside it) on page, in
+# article, beside, heading, list item -> main text
+PLAIN_BLOCKS = (
     # an article element marks its text, however short or linked a block of it is
     ((8, 0, 0, 0, 40, 0, 1, 1, 0, 1, 0), 1), ((3, 0, 0, 0, 90, 0, 1, 1, 0, 1, 0), 1),
     ((120, 0, 8, 0, 60, 0, 1, 1, 0, 0, 0), 1), ((45, 0.05, 120, 0, 30, 0, 1, 1, 0, 0, 0), 1),
@@ -231,11 +262,66 @@ LABELLED_BLOCKS = (
     ((2, 1, 45, 0, 50, 0, 0, 0, 0, 0, 0), 0), ((1, 1, 40, 0, 1, 1, 0, 0, 0, 0, 1), 0),
     ((3, 1, 60, 0, 3, 1, 0, 0, 0, 0, 0), 0), ((4, 0, 30, 0, 0, 0, 0, 0, 0, 0, 0), 0),
     ((5, 0, 3, 0, 4, 0, 0, 0, 0, 0, 0), 0), ((2, 0, 4, 0, 3, 0, 0, 0, 0, 0, 1), 0),
-) + tuple(  # the same places with other lengths: beside the article, in a marked element, and in the article
-    ((words, 0, before, 0, after, 0, there, inside, beside, 0, 0), label)
-    for there, inside, beside, label in ((1, 0, 0, 0), (1, 0, 1, 0), (0, 0, 1, 0), (1, 1, 0, 1))
-    for words, before, after in ((2, 30, 30), (11, 0, 24), (18, 60, 0), (24, 4, 15), (28, 25, 60), (55, 40, 23),
-                                 (104, 0, 90), (160, 70, 5)))
+)
+
+# the same columns, then: among comments, beside by a class -> main text
+MARKED_BLOCKS = (
+    # comments are none, wherever they stand and however long they are
+    ((30, 0, 8, 0, 40, 0, 1, 1, 0, 0, 0, 1, 0), 0), ((90, 0, 30, 0, 70, 0, 1, 0, 0, 0, 0, 1, 0), 0),
+    ((150, 0, 60, 0, 80, 0, 0, 0, 0, 0, 0, 1, 0), 0), ((25, 0, 90, 0, 30, 0, 0, 1, 0, 0, 1, 1, 0), 0),
+    ((2, 0, 40, 0, 30, 0, 1, 1, 0, 1, 0, 1, 0), 0), ((60, 0, 3, 0, 50, 0, 0, 1, 0, 0, 0, 1, 1), 0),
+    ((45, 0, 20, 0, 45, 0, 1, 0, 0, 0, 1, 1, 0), 0), ((70, 0.1, 40, 0, 90, 0, 0, 0, 0, 0, 0, 1, 0), 0),
+    # beside by a class on a page with an article free of such classes: adverts, teasers and lists, in the article too
+    ((19, 0, 40, 0, 35, 0, 1, 1, 0, 0, 0, 0, 1), 0), ((8, 0, 60, 0, 70, 0, 1, 0, 0, 0, 0, 0, 1), 0),
+    ((45, 0, 90, 0, 60, 0, 1, 1, 0, 0, 0, 0, 1), 0), ((120, 0, 40, 0, 30, 0, 1, 0, 0, 0, 0, 0, 1), 0),
+    ((4, 1, 3, 1, 5, 1, 1, 1, 0, 0, 1, 0, 1), 0), ((6, 0, 20, 0, 40, 0, 1, 0, 0, 1, 0, 0, 1), 0),
+    ((75, 0, 70, 0, 80, 0, 1, 1, 0, 0, 0, 0, 1), 0),
+    # an article inside an element whose class misleads, on a page without another: its text is the main text
+    ((8, 0, 3, 1, 50, 0, 0, 1, 0, 1, 0, 0, 1), 1), ((60, 0, 8, 0, 45, 0, 0, 1, 0, 0, 0, 0, 1), 1),
+    ((19, 0, 2, 0, 15, 0, 0, 1, 0, 0, 0, 0, 1), 1), ((110, 0.1, 50, 0, 70, 0, 0, 1, 0, 0, 0, 0, 1), 1),
+    ((4, 0, 40, 0, 60, 0, 0, 1, 0, 0, 0, 0, 1), 1), ((25, 0, 60, 0, 0, 0, 0, 1, 0, 0, 0, 0, 1), 1),
+    ((30, 0, 0, 0, 6, 0, 0, 1, 0, 0, 1, 0, 1), 1), ((12, 0, 18, 0, 20, 0, 0, 1, 0, 0, 0, 0, 1), 1),
+    ((3, 1, 2, 1, 4, 1, 0, 1, 0, 0, 1, 0, 1), 0), ((2, 1, 5, 1, 3, 1, 0, 1, 0, 0, 0, 0, 1), 0),
+    ((6, 0.9, 8, 1, 7, 0.8, 0, 1, 0, 0, 1, 0, 1), 0), ((14, 0.8, 4, 1, 9, 1, 0, 1, 0, 0, 0, 0, 1), 0),
+    # no article at all: long text among long text stands against its class, notices and lists do not
+    ((80, 0, 60, 0, 90, 0, 0, 0, 0, 0, 0, 0, 1), 1), ((120, 0.05, 45, 0, 70, 0, 0, 0, 0, 0, 0, 0, 1), 1),
+    ((65, 0, 50, 0, 110, 0, 0, 0, 0, 0, 0, 0, 1), 1), ((150, 0, 90, 0, 60, 0, 0, 0, 0, 0, 0, 0, 1), 1),
+    ((19, 0, 40, 0, 60, 0, 0, 0, 0, 0, 0, 0, 1), 0), ((35, 0, 60, 0, 80, 0, 0, 0, 0, 0, 0, 0, 1), 0),
+    ((8, 0, 2, 1, 5, 0, 0, 0, 0, 0, 0, 0, 1), 0), ((70, 0, 3, 1, 4, 1, 0, 0, 0, 0, 0, 0, 1), 0),
+    ((12, 0, 9, 0, 10, 0, 0, 0, 0, 1, 0, 0, 1), 0), ((25, 0.6, 30, 0.5, 20, 0.4, 0, 0, 0, 0, 0, 0, 1), 0),
+    ((5, 1, 4, 1, 6, 1, 0, 0, 0, 0, 1, 0, 1), 0), ((90, 0, 12, 0, 8, 0, 0, 0, 0, 0, 0, 0, 1), 0),
+)
+
+
+def _more_blocks() -> Iterator[tuple[tuple, int]]:
+    """The same places with other lengths, labelled by the same rules, so that the tree's cuts lie between them."""
+    neighbours = ((0, 0), (2, 1), (4, 1), (4, 0), (12, 0), (25, 0), (60, 0))  # words and links
+    # article on page, in article, beside, heading, list item, comments, class beside
+    outside, inside, loose, head, misled, classed = (
+        (1, 0, 0, 0, 0, 0, 0), (1, 1, 0, 0, 0, 0, 0), (0, 0, 0, 0, 0, 0, 0), (0, 0, 0, 1, 0, 0, 0), (0, 1, 0, 0, 0, 0, 1),
+        (0, 0, 0, 0, 0, 0, 1))
+    never = ((0, 0, 1, 0, 0, 0, 0), (1, 1, 1, 0, 0, 0, 0), (0, 0, 0, 0, 0, 1, 0), (1, 1, 0, 0, 0, 1, 0), (1, 1, 0, 0, 0, 0, 1),
+             (1, 0, 0, 0, 0, 0, 1))
+    for words in (1, 3, 5, 8, 11, 16, 24, 40, 70, 130):
+        for before in neighbours:
+            for after in neighbours:
+                # neighbours without many links, and the longer of them
+                left, right = (w if links < 0.5 else 0 for w, links in (before, after))
+                longer = max(left, right)
+                for links in (0, 0.7):
+                    text = links < 0.5
+                    row = (words, links, *before, *after)
+                    yield (*row, *inside), 1
+                    yield (*row, *outside), 0
+                    yield (*row, *loose), int(text and (words >= 12 or min(left, right) >= 4 and longer >= 12 or longer >= 60))
+                    yield (*row, *head), int(text and right >= 4)
+                    yield (*row, *misled), int(text)
+                    yield (*row, *classed), int(text and words >= 60 and longer >= 25)
+                    for place in never:
+                        yield (*row, *place), 0
+
+
+LABELLED_BLOCKS = tuple(((*row, 0, 0), label) for row, label in PLAIN_BLOCKS) + MARKED_BLOCKS + tuple(_more_blocks())
 
 
 def train_tree(table: Sequence = LABELLED_BLOCKS) -> tuple:

@@ -1,6 +1,7 @@
 import hashlib
 import html as std_html
 import re
+from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -110,6 +111,46 @@ def test_pages_without_an_article_element():
     assert text(body) == re.sub(r"\s+", " ", f"{P * 5}").strip()
 
 
+def test_misleading_classes_lose_no_text():
+    want = f"Title {P.strip()} Short."
+    inner = f"<h1>Title</h1><p>{P}</p><p>Short.</p>"
+    menu, foot = '<nav><a href="/">Home</a></nav>', f"<footer>{P}</footer>"
+    for page in (f'<div class="content has-sidebar"><article>{inner}</article></div>', f'<main class="main no-sidebar">{inner}</main>',
+                 f'<article class="post hentry category-social tag-legal">{inner}</article>',
+                 f'<div id="page" class="with-footer"><main>{inner}</main></div>',
+                 f'<div class="sidebar-left"><article>{inner}</article></div>',  # the page's only article, in a wrapper named so
+                 f'<article>{inner}</article><div class="related"><article><p>{P}</p></article></div>'):
+        assert text(menu + page + foot) == want
+    for name in ("comments", "kommentare", "commentaires", "comentarios"):
+        assert text(f'{menu}<article>{inner}<div class="{name}"><p>{P}</p></div></article>{foot}') == want
+    long = re.sub(r"\s+", " ", P * 4).strip()
+    assert text(f'{menu}<div class="widget"><p>{long}</p><p>{long}</p></div>{foot}') == f"{long} {long}"
+    assert text(f'{menu}<p>{long}</p><p>{long}</p><div class="cookie-banner">{P}</div>{foot}') == f"{long} {long}"
+
+
+def test_pages_without_their_article_tags(spark):
+    """Word counts and link densities find what the article elements held."""
+    held = lost = added = 0
+    for r in spark.read.parquet(f"{SF}/pages.parquet").collect():
+        whole = html.main_text(r["html"], TREE).split()
+        bare = html.main_text(re.sub("</?article>", "", r["html"]), TREE).split()
+        held += len(whole)
+        common = sum((Counter(whole) & Counter(bare)).values())
+        lost += len(whole) - common
+        added += len(bare) - common
+    assert held > 90_000 // 5 and lost <= 0.05 * held and added <= 0.05 * held
+
+
+def test_deep_and_unclosed_elements_end_soon():
+    import time
+    start = time.time()
+    n = 50_000
+    assert len(html.blocks("<div>a" * n)) == n
+    assert len(html.blocks("<div>a" * n + "</section></span></p></h1>" * n)) == n
+    assert len(html.blocks("<div><ul><li>a" * n + "</div>" * n)) == n
+    assert time.time() - start < 30
+
+
 def test_inline_marks_hidden_parts_and_cut_off_pages():
     assert text("<article><p>wo<b>r</b>d <i>two</i><br>three</p></article>") == "word two three"
     assert text('<article><p>seen</p><div style="display: none">gone</div><!-- no --></article>') == "seen"
