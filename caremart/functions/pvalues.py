@@ -1,4 +1,4 @@
-"""Two-sided p-values for t and normal statistics as column expressions.
+"""P-values for t, normal (two-sided) and F statistics as column expressions.
 
 The tail of a density g beyond t is integrated by the double-exponential rule
 ``x = t + c * exp(pi/2 * sinh(kh))`` on fixed nodes, and divided by the same
@@ -49,6 +49,13 @@ def normal_pvalue(z: Column) -> Column:
     return F.when(z.isNull() | F.isnan(z), F.lit(None).cast("double")).otherwise(p)
 
 
+def f_pvalue(f: Column, between: int, within: Column) -> Column:
+    """P(F >= f) with ``between`` and ``within`` degrees of freedom; NULL without a statistic."""
+    g = lambda x: (between / 2 - 1) * F.log(x) - (between + within) / 2 * F.log1p(between * x / within)
+    p = F.when(f == float("inf"), F.lit(0.0)).otherwise(_clipped(_tail(f, g) / _tail(F.lit(0.0), g)))
+    return F.when(f.isNull() | F.isnan(f) | ~(within > 0), F.lit(None).cast("double")).otherwise(p)
+
+
 def _tail_sql(t: str, log_density) -> str:
     nodes = ", ".join(f"{{'u': {u!r}::DOUBLE, 'w': {w!r}::DOUBLE}}" for u, w in NODES)
     x = f"({t} + 1.0 / (1.0 + {t}) * n.u)"
@@ -70,3 +77,12 @@ def normal_pvalue_sql(z: str) -> str:
         return f"-{x} * {x} / 2"
     return (f"CASE WHEN {z} IS NULL OR isnan({z}) THEN NULL WHEN isinf({z}) THEN 0.0 "
             f"ELSE least(1.0, {_tail_sql(f'abs({z})', g)} / {_tail_sql('0.0', g)}) END")
+
+
+def f_pvalue_sql(f: str, between: int, within: str) -> str:
+    """SQL of ``f_pvalue``; ``f`` and ``within`` are column names."""
+    def g(x):
+        y = f"({between} * {x} / {within})"
+        return f"{between / 2 - 1!r} * ln({x}) - ({between} + {within}) / 2 * 2 * atanh({y} / (2 + {y}))"
+    return (f"CASE WHEN {f} IS NULL OR isnan({f}) OR NOT {within} > 0 THEN NULL WHEN isinf({f}) THEN 0.0 "
+            f"ELSE least(1.0, {_tail_sql(f, g)} / {_tail_sql('0.0', g)}) END")

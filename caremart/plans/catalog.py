@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caremart.functions.quantiles import exact_quantiles
-from caremart.functions.pvalues import normal_pvalue_sql, t_pvalue_sql
+from caremart.functions.pvalues import f_pvalue_sql, normal_pvalue_sql, t_pvalue_sql
 from caremart.operators import access as AC
 from caremart.operators import aggregates as A
 from caremart.operators import filters as FL
@@ -1467,6 +1467,61 @@ def q_outcome_model(spark, sf_dir):
     return spark.createDataFrame(rows, "metric string, feature string, value double")
 
 
+_BAND_SQL = """banded AS (SELECT * FROM (SELECT *, CASE WHEN normalized_score <= -1 THEN NULL
+  WHEN normalized_score <= 4 THEN 'Low' WHEN normalized_score <= 7 THEN 'Medium' WHEN normalized_score <= 11 THEN 'High'
+  END AS band FROM mart WHERE normalized_score IS NOT NULL) b WHERE band IS NOT NULL)"""
+_MODEL_NUMERIC = ("cost_per_session", "session_duration", "quality_rating")
+_MODEL_CATEGORICAL = ("intervention_name", "intervention_category", "metric_name", "age_group", "disability_category",
+                      "support_level")
+_ANOVA_SQL = f"""sizes AS (SELECT band, count(*) AS n FROM banded GROUP BY band),
+lv AS ({" UNION ALL ".join(f"SELECT '{c}' AS col, CAST({c} AS VARCHAR) AS lev, band, count(*) AS one FROM banded WHERE {c} IS NOT NULL GROUP BY ALL" for c in _MODEL_CATEGORICAL)}),
+used AS (SELECT * FROM lv WHERE lev <> (SELECT min(lev) FROM lv x WHERE x.col = lv.col)),
+each AS (
+ {" UNION ALL ".join(f"SELECT '{c}' AS feature, count({c}) AS c, sum({c}::DOUBLE) AS s, sum({c}::DOUBLE * {c}::DOUBLE) AS q FROM banded GROUP BY band" for c in _MODEL_NUMERIC)}
+ UNION ALL SELECT g.col || '_' || g.lev, z.n, coalesce(u.one, 0)::DOUBLE, coalesce(u.one, 0)::DOUBLE
+ FROM (SELECT DISTINCT col, lev FROM used) g CROSS JOIN sizes z
+ LEFT JOIN used u ON u.col = g.col AND u.lev = g.lev AND u.band = z.band),
+total AS (SELECT feature, count(*) AS k, sum(c)::DOUBLE AS n, sum(s) AS s, sum(q) AS q, sum(s * s / c) AS b
+ FROM each WHERE c > 0 GROUP BY feature),
+scored AS (SELECT feature, n - k AS within, CASE WHEN q - s * s / n > 1e-12 * q AND k > 1
+  THEN ((b - s * s / n) / (k - 1)) / ((q - b) / (n - k)) END AS f_score, k FROM total)"""
+
+
+@register("model_feature_scores", mart_query(f"""SELECT feature, f_score, {f_pvalue_sql('f_score', 2, 'within')} AS p_value,
+  f_score IS NOT NULL AND row_number() OVER (ORDER BY f_score DESC NULLS LAST, feature) <= 20 AS chosen FROM scored""",
+                                             None, None, _BAND_SQL, _ANOVA_SQL), ["f_score", "p_value"], "ML5")
+def q_model_feature_scores(spark, sf_dir):
+    """ANOVA F of every feature between the three outcome bands, and the twenty best."""
+    from caremart.plans import model as ML
+    frame = ML.outcome_band(ML.model_frame(mart(spark, sf_dir)))
+    return ML.k_best(ML.anova_scores(frame), 20)
+
+
+@register("model_folds", mart_query("""SELECT band, count(*) AS rows, CAST(3 AS BIGINT) AS folds, true AS even
+ FROM banded GROUP BY band""", None, None, _BAND_SQL), [], "ML4 ML5")
+def q_model_folds(spark, sf_dir):
+    """The stratified folds of all labelled rows: in each band three folds that differ by one row at most."""
+    from caremart.plans import model as ML
+    frame = ML.outcome_band(ML.model_frame(mart(spark, sf_dir))).dropna(subset=["band"])
+    sizes = ML.stratified_folds(frame, 3).groupBy("band", "fold").agg(F.count(F.lit(1)).alias("n"))
+    return sizes.groupBy("band").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("folds"),
+                                     (F.max("n") - F.min("n") <= 1).alias("even"))
+
+
+@register("outcome_predictions", mart_query("""SELECT count(*) AS rows, count(*) AS same_band,
+  count(*) AS same_probabilities FROM mart"""), [], "ML8 ML9 (the fitted model as columns against the ML pipeline)")
+def q_outcome_predictions(spark, sf_dir):
+    """Every row of the mart scored by the compiled columns of a fitted model, and how often its pipeline agrees."""
+    from caremart.plans import model as ML
+    m = mart(spark, sf_dir)
+    model = ML.train_outcome_model(m, k_values=(20,), trees=(20,), depths=(4,), folds=2)
+    both = ML.compiled(model).score(ML.predict(model, m).select(
+        *m.columns, F.col("predicted_band").alias("_band"), F.col("probabilities").alias("_shares")))
+    near = F.forall(F.zip_with("probabilities", "_shares", lambda a, b: F.abs(a - b) < 1e-9), lambda x: x)
+    return both.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("predicted_band") == F.col("_band")).alias("same_band"),
+                    F.count_if(near).alias("same_probabilities"))
+
+
 # --------------------------------------------------------------------------- streaming re-aims
 def _events_stream(spark, sf_dir):
     """The events table as a file stream (only ``events.parquet`` of the directory is picked up)."""

@@ -19,11 +19,13 @@ from pyspark.ml.feature import (OneHotEncoder, StandardScaler, StringIndexer, Un
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from caremart.functions.pvalues import f_pvalue
 from caremart.functions.quantiles import exact_quantiles
 from caremart.plans.materialize import write_stage
+from caremart.plans.scorer import CompiledForest
 
 NUMERIC = ["cost_per_session", "session_duration", "quality_rating"]
 CATEGORICAL = ["intervention_name", "intervention_category", "metric_name", "age_group", "disability_category",
@@ -66,6 +68,71 @@ def stratified_split(df: DataFrame, label: str = "band", test_fraction: float =
             marked.where(F.col("_u") < F.col("_cut")).drop("_u", "_cut").select(*df.columns))
 
 
+def stratified_folds(df: DataFrame, folds: int = 3, label: str = "band", seed: int = 42, out: str = "fold",
+                     key: Sequence[str] | None = None) -> DataFrame:
+    """ML4/ML5: adds fold numbers from 0; every label's folds differ by one row at most.
+
+    The cuts between folds are exact quantiles of a seeded hash of the row within each
+    label (``stratified_split``'s numbers under another seed), so no label is sorted in one task.
+    """
+    cols = list(key) if key else ["id"] if "id" in df.columns else [c for c in df.columns if c != label]
+    u = F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in cols]), F.lit(1 << 52)).cast("double")
+    marked = df.withColumn("_u", u)
+    names = [f"_cut{i}" for i in range(1, folds)]
+    cuts = exact_quantiles(marked, [label], "_u", [i / folds for i in range(1, folds)], names)
+    above = sum(((F.col("_u") >= F.col(c)).cast("int") for c in names), F.lit(0))
+    return marked.join(cuts, label).select(*df.columns, above.alias(out))
+
+
+def anova_scores(df: DataFrame, label: str = "band", numeric: Sequence[str] = NUMERIC,
+                 categorical: Sequence[str] = CATEGORICAL) -> DataFrame:
+    """ML5: ``feature, f_score, p_value`` of every numeric column and every level but the first of each categorical.
+
+    The F statistic of each feature between the labels, from its count, sum and sum of
+    squares in each label: one pass of partial sums for the numeric columns, one for the
+    levels, and a few rows for each feature after that.  A constant feature has no score.
+    """
+    rows = df.where(F.col(label).isNotNull())
+    per_label = rows.groupBy(F.col(label).alias("_label")).agg(F.count(F.lit(1)).alias("_n"), *[
+        a for c in numeric for a in (F.count(c).alias(f"_c_{c}"), F.sum(F.col(c).cast("double")).alias(f"_s_{c}"),
+                                     F.sum(F.pow(F.col(c).cast("double"), F.lit(2.0))).alias(f"_q_{c}"))])
+    per_label = write_stage(per_label, "anova-labels")  # one row for each label
+    sums = per_label.select("_label", F.explode(F.array(*[F.struct(
+        F.lit(c).alias("feature"), F.col(f"_c_{c}").alias("c"), F.col(f"_s_{c}").alias("s"), F.col(f"_q_{c}").alias("q"))
+        for c in numeric])).alias("v")).select("_label", "v.*")
+    levels = rows.select(F.col(label).alias("_label"), F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column"), F.col(c).cast("string").alias("level")) for c in categorical])).alias("v"))
+    levels = write_stage(levels.select("_label", "v.*").where(F.col("level").isNotNull())
+                         .groupBy("column", "level", "_label").agg(F.count(F.lit(1)).alias("one")), "anova-levels")
+    first = levels.groupBy("column").agg(F.min("level").alias("_first"))
+    used = levels.join(first, "column").where(F.col("level") != F.col("_first"))
+    names = used.select("column", "level").distinct()
+    # a label without the level has a sum of 0; one row for each label meets every level
+    grid = names.crossJoin(F.broadcast(per_label.select("_label", F.col("_n").alias("c"))))
+    ones = grid.join(used.select("column", "level", "_label", "one"), ["column", "level", "_label"], "left").select(
+        "_label", F.concat_ws("_", "column", "level").alias("feature"), "c",
+        F.coalesce(F.col("one"), F.lit(0)).cast("double").alias("s"), F.coalesce(F.col("one"), F.lit(0)).cast("double").alias("q"))
+    each = sums.unionByName(ones).where(F.col("c") > 0)
+    total = each.groupBy("feature").agg(
+        F.count(F.lit(1)).alias("_k"), F.sum("c").cast("double").alias("_n"), F.sum("s").alias("_s"), F.sum("q").alias("_q"),
+        F.sum(F.col("s") * F.col("s") / F.col("c")).alias("_b"))
+    between = (F.col("_b") - F.col("_s") * F.col("_s") / F.col("_n")) / (F.col("_k") - 1)
+    within = (F.col("_q") - F.col("_b")) / (F.col("_n") - F.col("_k"))
+    spread = F.col("_q") - F.col("_s") * F.col("_s") / F.col("_n") > 1e-12 * F.col("_q")
+    total = total.withColumn("f_score", F.when(spread & (F.col("_k") > 1), F.try_divide(between, within))).withColumn(
+        "_within", F.col("_n") - F.col("_k"))
+    p = F.lit(None).cast("double")
+    for k in range(2, len(BANDS) + 1):
+        p = F.when(F.col("_k") == k, f_pvalue(F.col("f_score"), k - 1, F.col("_within"))).otherwise(p)
+    return total.select("feature", "f_score", p.alias("p_value"))
+
+
+def k_best(scores: DataFrame, k: int = 20) -> DataFrame:
+    """ML5: the scores with ``chosen``, the ``k`` features of the greatest F (ties by name); one row for each feature."""
+    place = F.row_number().over(Window.orderBy(F.desc_nulls_last("f_score"), "feature"))
+    return scores.withColumn("chosen", (place <= k) & F.col("f_score").isNotNull())
+
+
 def feature_stages(categorical: Sequence[str] = CATEGORICAL, numeric: Sequence[str] = NUMERIC) -> list:
     """ML3: one-hot of each categorical dropping its alphabetically first level, plus numerics."""
     idx = [StringIndexer(inputCol=c, outputCol=f"{c}_idx", stringOrderType="alphabetDesc", handleInvalid="error")
@@ -91,18 +158,21 @@ class OutcomeModel:
 def train_outcome_model(mart: DataFrame, k_values: Sequence[int] = (20, 30), trees: Sequence[int] = (100, 150),
                         depths: Sequence[int] = (3, 4), folds: int = 3, seed: int = 42,
                         parallelism: int = 4, max_rows: int = 20_000) -> OutcomeModel | None:
-    """ML5-ML7: select k best (ANOVA F), scale, random forest; grid search by 3-fold CV on accuracy.
+    """ML5-ML7: select k best (ANOVA F), scale, random forest; grid search by stratified 3-fold CV on accuracy.
 
-    The fit takes at most ``max_rows`` labelled rows, those first by a hash of the
-    row; the frame is written once for all fits.  ``defaults`` of the model are the
-    first values (by id) of its rows.
+    All labelled rows are split first.  The fit takes at most ``max_rows`` rows of the
+    train side, those first by a hash of the row; the accuracies are over that part and
+    over the whole test side.  ``defaults`` of the model are the first values (by id) of
+    the rows it was fitted on.
     """
     frame = outcome_band(model_frame(mart)).dropna(subset=["band"])
     cols = ["id"] if "id" in frame.columns else frame.columns
-    frame = write_stage(frame.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(max_rows), "model-frame")
-    if frame.count() < MIN_ROWS:
+    train, test = stratified_split(write_stage(frame, "model-frame"), "band", 0.3, seed)
+    train = write_stage(train.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(max_rows), "model-train")
+    if train.count() < MIN_ROWS * 0.7:
         return None
-    first = frame.orderBy(*cols).first()
+    train = write_stage(stratified_folds(train, folds, "band", seed), "model-folds")
+    first = train.orderBy(*cols).first()
     label_idx = StringIndexer(inputCol="band", outputCol="label", stringOrderType="alphabetAsc")
     selector = UnivariateFeatureSelector(featuresCol="raw_features", outputCol="selected", labelCol="label",
                                          selectionMode="numTopFeatures")
@@ -113,11 +183,10 @@ def train_outcome_model(mart: DataFrame, k_values: Sequence[int] = (20, 30), tre
     grid = (ParamGridBuilder().addGrid(selector.selectionThreshold, [float(k) for k in k_values])
             .addGrid(rf.numTrees, list(trees)).addGrid(rf.maxDepth, list(depths)).build())
     ev = MulticlassClassificationEvaluator(labelCol="label", predictionCol="prediction", metricName="accuracy")
-    train, test = (write_stage(x, "model-split") for x in stratified_split(frame, "band", 0.3, seed))
-    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, seed=seed,
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=grid, evaluator=ev, numFolds=folds, foldCol="fold",
                         parallelism=parallelism)
     best = cv.fit(train).bestModel
-    tr_acc, te_acc = ev.evaluate(best.transform(train)), ev.evaluate(best.transform(test))
+    tr_acc, te_acc = (ev.evaluate(best.transform(side)) for side in (train, write_stage(test, "model-test")))
     return OutcomeModel(best, tr_acc, te_acc, feature_importance(best, train), list(best.stages[0].labels),
                         {"k": best.stages[-3].getSelectionThreshold(), "numTrees": best.stages[-1].getNumTrees,
                          "maxDepth": best.stages[-1].getOrDefault("maxDepth")},
@@ -132,12 +201,17 @@ def feature_importance(model: PipelineModel, sample: DataFrame, top: int = 10) -
     for group in meta.get("attrs", {}).values():
         for a in group:
             names[a["idx"]] = a["name"]
-    selected = model.stages[-3].selectedFeatures
+    selected = sorted(model.stages[-3].selectedFeatures)  # the selector keeps the order of the features
     imp = model.stages[-1].featureImportances.toArray()
     pairs = [(names.get(selected[i], f"f{selected[i]}"), float(v)) for i, v in enumerate(imp)]
     return sorted(pairs, key=lambda p: (-p[1], p[0]))[:top]
 
 
+def compiled(model: OutcomeModel) -> CompiledForest:
+    """ML8/ML9: the fitted model as plain column expressions and SQL (``plans.scorer``)."""
+    return CompiledForest.of(model.model, NUMERIC, CATEGORICAL, model.defaults)
+
+
 def predict(model: OutcomeModel, df: DataFrame, defaults: Mapping[str, object] | None = None) -> DataFrame:
     """ML8/ML9: class and per-class probabilities for new sessions.
 

@@ -112,6 +112,66 @@ def test_reports_and_prediction(spark):
     assert abs(sum(pred["probabilities"]) - 1.0) < 1e-6
 
 
+def test_compiled_model_scores_as_the_pipeline_and_as_sql(spark, tmp_path):
+    import duckdb
+    from caremart.plans.catalog import mart
+    m = mart(spark, "/root/testdata/sf0.001")
+    model = ML.train_outcome_model(m, k_values=(20,), trees=(8,), depths=(4,), folds=2)
+    flat = ML.compiled(model)
+    rows = m.select("id", *ML.NUMERIC, *ML.CATEGORICAL)
+    rows.write.parquet(str(tmp_path / "rows"))
+    want = {r["id"]: (r["predicted_band"], r["probabilities"]) for r in ML.predict(model, rows).collect()}
+    spark_rows = {r["id"]: (r["predicted_band"], r["probabilities"]) for r in flat.score(rows).collect()}
+    duck = {i: (b, p) for i, p, b in duckdb.sql(flat.sql(f"read_parquet('{tmp_path}/rows/*.parquet')", ["id"])).fetchall()}
+    assert want.keys() == spark_rows.keys() == duck.keys()
+    for i, (band, shares) in want.items():
+        for other_band, other in (spark_rows[i], duck[i]):
+            assert band == other_band and max(abs(a - b) for a, b in zip(shares, other)) < 1e-9
+    # one session with missing inputs takes the defaults; a level that the model never saw has no column
+    one = flat.score(spark.createDataFrame([("STANDARD", "never seen")], "intervention_name string, age_group string")).first()
+    assert one["predicted_band"] in model.labels and abs(sum(one["probabilities"]) - 1) < 1e-9
+    named = dict(model.feature_importance)
+    assert set(named) <= {f"{f.column}_ohe_{f.level}" if f.level else f.column for f in flat.features}
+
+
+def test_folds_and_split_are_stratified(spark):
+    df = spark.createDataFrame([(i, "a" if i % 7 else "b" if i % 3 else "c") for i in range(500)], "id long, band string")
+    for folds in (2, 3, 5):
+        sizes = {}
+        for r in ML.stratified_folds(df, folds).groupBy("band", "fold").count().collect():
+            sizes.setdefault(r["band"], {})[r["fold"]] = r["count"]
+        for per in sizes.values():
+            assert set(per) == set(range(folds)) and max(per.values()) - min(per.values()) <= 1
+
+
+def test_anova_scores_against_plain_sums(spark):
+    import random
+    rnd = random.Random(2)
+    rows = [(b := rnd.choice(["Low", "Medium", "High"]), rnd.gauss(len(b), 2), 5.0, rnd.choice("xyz") if b != "Low" else "x")
+            for _ in range(200)]
+    got = {r["feature"]: (r["f_score"], r["p_value"]) for r in ML.anova_scores(
+        spark.createDataFrame(rows, "band string, v double, same double, g string"), "band", ["v", "same"], ["g"]).collect()}
+    assert got.keys() == {"v", "same", "g_y", "g_z"} and got["same"] == (None, None)
+
+    def f(values):
+        groups = {}
+        for (b, *_), x in zip(rows, values):
+            groups.setdefault(b, []).append(x)
+        mean = sum(values) / len(values)
+        mid = {b: sum(g) / len(g) for b, g in groups.items()}
+        between = sum(len(g) * (mid[b] - mean) ** 2 for b, g in groups.items()) / (len(groups) - 1)
+        within = sum((x - mid[b]) ** 2 for b, g in groups.items() for x in g) / (len(values) - len(groups))
+        return between / within
+    for name, values in (("v", [r[1] for r in rows]), ("g_y", [float(r[3] == "y") for r in rows])):
+        want = f(values)
+        assert got[name][0] == pytest.approx(want, rel=1e-9)
+        # with two degrees between, the tail has a closed form
+        assert got[name][1] == pytest.approx((1 + 2 * want / 197) ** (-197 / 2), rel=1e-6)
+    best = {r["feature"]: r["chosen"] for r in ML.k_best(spark.createDataFrame(
+        [("a", 1.0), ("b", 3.0), ("c", 3.0), ("d", None)], "feature string, f_score double"), 2).collect()}
+    assert best == {"a": False, "b": True, "c": True, "d": False}
+
+
 def test_two_files_keep_their_order_and_ids(spark, tmp_path):
     from caremart.sources import csv as CSV
     header = "individual_anonymous_id,intervention_name,metric_name,score,session_date\n"
