@@ -25,6 +25,27 @@ def login_activity(logins: DataFrame, as_of: _dt.date, days: int = 30, ts: str =
         F.count(F.lit(1)).alias("login_count"), F.count_distinct(user).alias("unique_users"))
 
 
+SKETCH_BITS = 14  # 2^14 registers of a sketch, 16 KB at most
+SKETCH_ERROR = 0.03  # three standard errors and more: the standard error is 1.04 / sqrt(2^14) = 0.8 %
+
+
+def daily_user_sketches(events: DataFrame, ts: str = "ts", user: str = "user_id", bits: int = SKETCH_BITS) -> DataFrame:
+    """AGG30: ``day, sketch``, a HyperLogLog sketch of each day's users, to be stored and merged for any period."""
+    return events.where(F.col(user).isNotNull()).groupBy(F.to_date(ts).alias("day")).agg(
+        F.hll_sketch_agg(F.col(user).cast("string"), F.lit(bits)).alias("sketch"))
+
+
+def merge_sketches(sketches: DataFrame, *keys) -> DataFrame:
+    """The keys and the merged ``sketch`` of their rows; merging is associative, events are not read again."""
+    return sketches.groupBy(*keys).agg(F.hll_union_agg("sketch").alias("sketch"))
+
+
+def merged_users(sketches: DataFrame, *keys) -> DataFrame:
+    """The keys and ``estimate``, the approximate number of distinct users of their sketches together."""
+    merged = merge_sketches(sketches, *keys)
+    return merged.select(*[c for c in merged.columns if c != "sketch"], F.hll_sketch_estimate("sketch").alias("estimate"))
+
+
 def lockouts(events: DataFrame, limit: int = 3, user: str = "user_id", ts: str = "ts",
              order_tie: str = "event_id") -> DataFrame:
     """LOC1: final login state per user from an event table of (user, ts, failed).

@@ -8,8 +8,11 @@ are column expressions.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -62,11 +65,38 @@ def pairwise_significance(df: DataFrame, group: str = "intervention_name", value
     return t.withColumn("significant", F.coalesce(F.col("p_value") < alpha, F.lit(False)))
 
 
+def exact_u_tails(sizes: DataFrame) -> DataFrame:
+    """The exact two-sided tail of Mann-Whitney's U: ``n_1, n_2, u, p_exact`` for every ``u`` up to the mean.
+
+    ``sizes`` has one row for each pair of group sizes.  The number of ways to reach
+    each U is a coefficient of the Gaussian binomial: the product over i up to the
+    smaller size of (1 - q^(larger + i)) / (1 - q^i), built up one factor at a time.
+    """
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for n_1, n_2 in zip(frame["n_1"], frame["n_2"]):
+                small, large = sorted((int(n_1), int(n_2)))
+                ways = np.zeros(small * large + 1)
+                ways[0] = 1
+                for i in range(1, small + 1):
+                    if large + i < len(ways):
+                        ways[large + i:] -= ways[:-(large + i)].copy()
+                    for r in range(min(i, len(ways))):
+                        ways[r::i] = np.cumsum(ways[r::i])
+                upto = np.cumsum(ways[:small * large // 2 + 1]) / math.comb(small + large, small)
+                yield pd.DataFrame({"n_1": n_1, "n_2": n_2, "u": np.arange(len(upto)), "p_exact": np.minimum(1.0, 2 * upto)})
+
+    return sizes.mapInPandas(run, "n_1 long, n_2 long, u long, p_exact double")
+
+
 def mannwhitney_pairs(df: DataFrame, group: str = "intervention_name", value: str = "normalized_score",
-                      min_n: int = 1) -> DataFrame:
-    """STA2: two-sided Mann-Whitney U per pair (normal approximation, tie and continuity corrections).
+                      min_n: int = 1, exact_n: int = 8) -> DataFrame:
+    """STA2: two-sided Mann-Whitney U per pair of groups, with its p-value.
 
-    Each group is first reduced to (value, count); a pair only sees the distinct
+    A pair without ties in which one group has at most ``exact_n`` values takes the
+    exact null distribution (``exact_u_tails``, joined on the sizes and U), all others the
+    normal approximation with tie and continuity corrections, as the reference's test
+    does; ``z`` is that of the approximation.  Each group is first reduced to (value, count); a pair only sees the distinct
     values of its two groups, ranked inside the pair's window.
     """
     src = df.where(F.col(group).isNotNull() & F.col(value).isNotNull())
@@ -92,8 +122,15 @@ def mannwhitney_pairs(df: DataFrame, group: str = "intervention_name", value: st
     u = F.greatest(F.col("u1"), n1 * n2 - F.col("u1"))
     # the continuity correction stops at the mean: two like samples have z = 0 and p = 1
     z = F.try_divide(F.greatest(u - mu - 0.5, F.lit(0.0)), sigma)
+    g = g.withColumns({"_z": z, "_u": F.least(F.col("u1"), n1 * n2 - F.col("u1")).cast("long"),
+                       "_exact": (F.col("ties") == 0) & (F.least("n_1", "n_2") <= exact_n)})
+    tails = exact_u_tails(g.where("_exact").select("n_1", "n_2").distinct())
+    g = g.join(tails.select(F.col("n_1").alias("_n_1"), F.col("n_2").alias("_n_2"), F.col("u").alias("_at"), "p_exact"),
+               F.col("_exact") & (F.col("n_1") == F.col("_n_1")) & (F.col("n_2") == F.col("_n_2")) & (F.col("_u") == F.col("_at")),
+               "left")
     return g.select(F.col("g1").alias("group_1"), F.col("g2").alias("group_2"), "n_1", "n_2",
-                    F.col("u1").alias("u_stat"), z.alias("z"), normal_pvalue(z).alias("p_value"))
+                    F.col("u1").alias("u_stat"), F.col("_z").alias("z"),
+                    F.when(F.col("_exact"), F.col("p_exact")).otherwise(normal_pvalue(F.col("_z"))).alias("p_value"))
 
 
 # Effect-size magnitude cut points and labels.

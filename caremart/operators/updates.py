@@ -2,18 +2,23 @@
 
 Plain parquet tables have no MERGE, so each write operator returns the new
 table as a DataFrame (a join rewrite); writing it to a fresh path and swapping
-is the caller's business.  All joins are equi joins on the key.
+is the caller's business.  For tables that are stored by a partition column the
+``*_stored`` forms do the whole update: they read and replace only the partitions
+that hold an updated key.  All joins are equi joins on the key.
 """
 
 from __future__ import annotations
 
 import datetime as _dt
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from caremart.plans.materialize import write_stage
+from caremart.sources.fs import delete
+
 
 def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
            set_cols: Sequence[str] | None = None) -> DataFrame:
@@ -37,6 +42,64 @@ def upsert(target: DataFrame, updates: DataFrame, keys: Sequence[str],
     return old.unionByName(new)
 
 
+def write_by(df: DataFrame, path: str, part: str) -> None:
+    """Write a stored table in one folder for each value of ``part`` (a month, say), with one task for each."""
+    df.repartition(part).write.mode("overwrite").partitionBy(part).parquet(path)
+
+
+def rewrite_parts(spark: SparkSession, path: str, part: str, parts: Sequence, change: Callable[[DataFrame], DataFrame]) -> None:
+    """Replace some parts of a table stored by ``part`` by what ``change`` makes of their rows; no other file is touched.
+
+    Only these parts are read (partition pruning).  The new rows are written aside
+    first, so the table is never read and replaced at once, and a failed replacement
+    can be repeated from what was written.  A part left without rows is deleted.
+    """
+    parts = sorted(parts)
+    if not parts:
+        return
+    old = spark.read.parquet(path).where(F.col(part).isin(parts))
+    new = write_stage(change(old), "rewritten-parts")
+    new.repartition(part).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(part).parquet(path)
+    left = {r[part] for r in new.select(part).distinct().collect()}
+    for p in set(parts) - left:
+        delete(spark, f"{path}/{part}={p}")
+
+
+def parts_of_keys(spark: SparkSession, path: str, part: str, keys_df: DataFrame, keys: Sequence[str]) -> list:
+    """The parts that hold one of the keys, from a scan of the key columns alone; one value for each part."""
+    held = spark.read.parquet(path).select(*keys, part).join(keys_df.select(*keys), list(keys), "left_semi")
+    return [r[part] for r in held.select(part).distinct().collect()]
+
+
+def upsert_stored(spark: SparkSession, path: str, updates: DataFrame, keys: Sequence[str], part: str,
+                  set_cols: Sequence[str] | None = None) -> None:
+    """UPD1/UPD2 in place: ``upsert`` on the parts that hold an updated key or get a new one.
+
+    ``updates`` carry ``part``; an existing row stays in its own part unless ``set_cols`` name it.
+    """
+    parts = {*parts_of_keys(spark, path, part, updates, keys), *[r[part] for r in updates.select(part).distinct().collect()]}
+    rewrite_parts(spark, path, part, list(parts), lambda old: upsert(old, updates, keys, set_cols))
+
+
+def batch_update_stored(spark: SparkSession, path: str, updates: DataFrame, key: str, cols: Sequence[str], part: str) -> None:
+    """UPD4 in place: ``batch_update`` on the parts that hold an updated key."""
+    rewrite_parts(spark, path, part, parts_of_keys(spark, path, part, updates, [key]),
+                  lambda old: batch_update(old, updates, key, cols))
+
+
+def delete_stored(spark: SparkSession, path: str, keys_df: DataFrame, keys: Sequence[str], part: str) -> None:
+    """UPD5 in place: ``delete_by_key`` on the parts that hold such a key."""
+    rewrite_parts(spark, path, part, parts_of_keys(spark, path, part, keys_df, keys),
+                  lambda old: delete_by_key(old, keys_df, keys))
+
+
+def archive_stored(spark: SparkSession, path: str, part: str, predicate, active_col: str = "active") -> None:
+    """UPD3 in place: ``archive`` on the parts with a row that the predicate holds for and that is not archived yet."""
+    due = spark.read.parquet(path).where(predicate & F.coalesce(F.col(active_col), F.lit(True)))
+    rewrite_parts(spark, path, part, [r[part] for r in due.select(part).distinct().collect()],
+                  lambda old: archive(old, predicate, active_col))
+
+
 def batch_update(target: DataFrame, updates: DataFrame, key: str, cols: Sequence[str]) -> DataFrame:
     """UPD4/DQ6: overwrite the given columns by key where the update has a non-NULL value."""
     u = updates.select(F.col(key), *[F.col(c).alias(f"_u_{c}") for c in cols])

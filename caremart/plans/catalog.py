@@ -906,6 +906,25 @@ def q_upsert_scores(spark, sf_dir):
     return U.upsert(target, updates, ["id"], ["score"])
 
 
+@register("upsert_months", with_views("""SELECT coalesce(t.id, u.id) AS id,
+  CASE WHEN u.id IS NOT NULL THEN u.score ELSE t.score END AS score,
+  CASE WHEN t.id IS NOT NULL THEN t.session_date ELSE u.session_date END AS session_date,
+  strftime(CASE WHEN t.id IS NOT NULL THEN t.session_date ELSE u.session_date END, '%Y-%m') AS month
+ FROM (SELECT id, score, session_date FROM c_outcomes WHERE session_date < DATE '1998-09-01') t
+ FULL OUTER JOIN (SELECT id, score + 1 AS score, session_date FROM c_outcomes
+   WHERE session_date >= DATE '1998-07-15' AND session_date < DATE '1998-10-15') u ON t.id = u.id"""), ["score"], "UPD1")
+def q_upsert_months(spark, sf_dir):
+    """A table stored by month: three months of scores are updated in place and extended, the other months stay as they are."""
+    day = lambda d: F.lit(d).cast("date")
+    o = _outcome_slice(care(spark, sf_dir)).select("id", "score", "session_date", F.date_format("session_date", "yyyy-MM")
+                                                   .alias("month"))
+    path = stage_path(spark, "outcomes-by-month")
+    U.write_by(o.where(F.col("session_date") < day("1998-09-01")), path, "month")
+    updates = o.where((F.col("session_date") >= day("1998-07-15")) & (F.col("session_date") < day("1998-10-15")))
+    U.upsert_stored(spark, path, updates.withColumn("score", F.col("score") + 1), ["id"], "month", ["score"])
+    return spark.read.parquet(path)
+
+
 @register("upsert_budgets", with_views("""SELECT coalesce(t.fiscal_year, u.fiscal_year) AS fiscal_year,
   CASE WHEN u.fiscal_year IS NOT NULL THEN u.total_budget ELSE t.total_budget END AS total_budget
  FROM (SELECT * FROM c_budgets WHERE fiscal_year <= 1999) t FULL OUTER JOIN
@@ -1076,6 +1095,23 @@ def q_login_activity(spark, sf_dir):
     return AC.login_activity(care(spark, sf_dir).logins, EVENT_AS_OF)
 
 
+@register("unique_users_by_week", with_views("""SELECT CAST(date_trunc('week', ts) AS DATE) AS week,
+  count(DISTINCT user_id) AS users, true AS near, true AS merges_alike FROM c_logins GROUP BY 1"""), [], "AGG30")
+def q_unique_users_by_week(spark, sf_dir):
+    """Distinct users of each week from stored sketches of its days, against the exact count and another way to merge."""
+    logins = care(spark, sf_dir).logins
+    days = write_stage(AC.daily_user_sketches(logins), "user-sketches")
+    week = F.to_date(F.date_trunc("week", "day"))
+    merged = AC.merged_users(days, week.alias("week"))
+    # the same days merged in halves first
+    halves = AC.merge_sketches(days, week.alias("week"), (F.dayofmonth("day") % 2).alias("half"))
+    again = AC.merged_users(halves, "week").withColumnRenamed("estimate", "again")
+    exact = logins.groupBy(F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(F.count_distinct("user_id").alias("users"))
+    return exact.join(merged, "week").join(again, "week").select(
+        "week", "users", (F.abs(F.col("estimate") - F.col("users")) <= AC.SKETCH_ERROR * F.col("users")).alias("near"),
+        (F.col("estimate") == F.col("again")).alias("merges_alike"))
+
+
 _LOCK_SQL = """lk AS (SELECT user_id,
    min(CASE WHEN failed AND run = 3 THEN ts END) AS locked_at,
    arg_max(run, (ts, event_id)) AS last_run, count(*) AS events
@@ -1245,6 +1281,31 @@ def q_mannwhitney_pvalues(spark, sf_dir):
     return ST.mannwhitney_pairs(mart(spark, sf_dir))
 
 
+_MW_YEARS = """c AS (SELECT intervention_name AS g, avg(total_cost) AS v, 1 AS c FROM mart
+   WHERE intervention_name IS NOT NULL AND total_cost IS NOT NULL GROUP BY intervention_name, year(session_date)),
+sz AS (SELECT g, sum(c) AS n FROM c GROUP BY 1)"""
+# every way to deal n_1 of n_1 + n_2 ranks to the first group, by its U
+_MW_EXACT = """deals AS (SELECT n_1, n_2, u, count(*) AS ways FROM (
+  SELECT n_1, n_2, list_sum(list_transform(range(0, (n_1 + n_2)::INT), lambda i: CASE WHEN (m >> i) & 1 = 1 THEN i + 1 ELSE 0 END))
+    - n_1 * (n_1 + 1) / 2 AS u
+  FROM (SELECT DISTINCT n_1::BIGINT AS n_1, n_2::BIGINT AS n_2 FROM u_tests) s, (SELECT unnest(range(0, 65536)) AS m) k
+  WHERE m < (1 << (n_1 + n_2)::INT) AND bit_count(m) = n_1) d GROUP BY 1, 2, 3)"""
+
+
+@register("mannwhitney_exact", mart_query("""SELECT group_1, group_2, n_1, n_2, u_stat,
+  least(1.0, 2.0 * (SELECT sum(ways) FROM deals d WHERE d.n_1 = t.n_1 AND d.n_2 = t.n_2
+                      AND d.u <= least(t.u_stat, t.n_1 * t.n_2 - t.u_stat))
+    / (SELECT sum(ways) FROM deals d WHERE d.n_1 = t.n_1 AND d.n_2 = t.n_2)) AS p_value FROM u_tests t""", None, None,
+                                          _MW_YEARS, _MW_U, _MW_EXACT), ["n_1", "n_2", "u_stat", "p_value"], "STA2")
+def q_mannwhitney_exact(spark, sf_dir):
+    """The interventions' mean cost of each year, compared in pairs: groups of seven values without ties."""
+    yearly = (mart(spark, sf_dir).where(F.col("total_cost").isNotNull()).groupBy("intervention_name", F.year("session_date"))
+              .agg(F.avg("total_cost").alias("yearly_cost")))
+    t = ST.mannwhitney_pairs(yearly, value="yearly_cost")
+    return t.select("group_1", "group_2", F.col("n_1").cast("double").alias("n_1"), F.col("n_2").cast("double").alias("n_2"),
+                    "u_stat", "p_value")
+
+
 CORR_COLS = ["normalized_score", "total_cost", "session_duration", "quality_rating", "improvement_from_baseline"]
 _CORR_SQL = " UNION ALL ".join(f"SELECT '{a}' AS var1, '{b}' AS var2, corr({a}, {b}) AS correlation FROM mart"
                                for a in CORR_COLS for b in CORR_COLS)

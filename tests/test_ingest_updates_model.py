@@ -3,6 +3,7 @@
 import datetime as dt
 
 import pytest
+from pyspark.sql import functions as F
 
 from caremart.operators import ingest as G
 from caremart.operators import updates as U
@@ -216,3 +217,60 @@ def test_presence_matrix_raises_on_unlisted_keys(spark):
     assert sorted(presence_matrix(df, "row", "col").columns) == ["A", "B", "C", "row"]
     with pytest.raises(Exception, match="unlisted"):
         presence_matrix(df, "row", "col", ["A"]).collect()
+
+
+def test_stored_updates_touch_their_months_only(spark, tmp_path):
+    import os
+    path = str(tmp_path / "t")
+    rows = [(f"r{m}-{i}", float(i), f"2020-{m:02d}", True) for m in range(1, 7) for i in range(20)]
+    U.write_by(spark.createDataFrame(rows, "id string, score double, month string, active boolean"), path, "month")
+
+    def stamps():
+        return {m: {f: os.stat(f"{path}/{m}/{f}").st_mtime_ns for f in os.listdir(f"{path}/{m}")}
+                for m in os.listdir(path) if m.startswith("month=")}
+
+    def table():
+        return {r["id"]: (r["score"], r["month"], r["active"]) for r in spark.read.parquet(path).collect()}
+
+    def changed(update):
+        before = stamps()
+        update()
+        after = stamps()
+        return {m[-2:] for m in before.keys() | after.keys() if before.get(m) != after.get(m)}
+
+    want = {i: (s, m, a) for i, s, m, a in rows}
+    updates = spark.createDataFrame([("r2-3", 50.0, "2020-02", True), ("new", 1.0, "2020-04", False), ("late", 2.0, "2020-09", True)],
+                                    "id string, score double, month string, active boolean")
+    assert changed(lambda: U.upsert_stored(spark, path, updates, ["id"], "month", ["score"])) == {"02", "04", "09"}
+    want |= {"r2-3": (50.0, "2020-02", True), "new": (1.0, "2020-04", False), "late": (2.0, "2020-09", True)}
+    assert table() == want
+    up = spark.createDataFrame([("r5-1", 7.5), ("r5-2", None), ("absent", 1.0)], "id string, score double")
+    assert changed(lambda: U.batch_update_stored(spark, path, up, "id", ["score"], "month")) == {"05"}
+    want["r5-1"] = (7.5, "2020-05", True)
+    assert table() == want
+    gone = spark.createDataFrame([("late",), ("r6-0",)], "id string")
+    assert changed(lambda: U.delete_stored(spark, path, gone, ["id"], "month")) == {"06", "09"}
+    want = {k: v for k, v in want.items() if k not in ("late", "r6-0")}
+    assert table() == want and not os.path.exists(f"{path}/month=2020-09")
+    assert changed(lambda: U.archive_stored(spark, path, "month", F.col("score") >= 50)) == {"02"}
+    want["r2-3"] = (50.0, "2020-02", False)
+    assert table() == want
+    assert changed(lambda: U.archive_stored(spark, path, "month", F.col("score") >= 50)) == set()  # archived already
+    plan = spark.read.parquet(path).where(F.col("month").isin(["2020-02"]))._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(month" in plan or "PartitionFilters: [(month" in plan
+
+
+def test_sketches_of_days_merge_into_any_period(spark):
+    import datetime as dt
+    from caremart.operators import access as AC
+    rows = [(dt.datetime(2024, 1, 1 + i % 20), (i * 7919) % 40_000 if i % 50 else None) for i in range(120_000)]
+    events = spark.createDataFrame(rows, "ts timestamp, user_id long")
+    days = AC.daily_user_sketches(events)
+    whole = AC.merged_users(days).first()["estimate"]
+    exact = events.agg(F.count_distinct("user_id")).first()[0]
+    assert abs(whole - exact) <= AC.SKETCH_ERROR * exact and exact > 30_000
+    halves = AC.merge_sketches(days, (F.dayofmonth("day") % 3).alias("part"))
+    assert AC.merged_users(halves).first()["estimate"] == whole  # any way to merge gives the same
+    per_day = {r["day"]: r["estimate"] for r in AC.merged_users(days, "day").collect()}
+    for r in events.groupBy(F.to_date("ts").alias("d")).agg(F.count_distinct("user_id").alias("n")).collect():
+        assert abs(per_day[r["d"]] - r["n"]) <= AC.SKETCH_ERROR * r["n"]

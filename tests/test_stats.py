@@ -86,3 +86,32 @@ def test_labels(spark):
     rows = ST.label_significance(df).collect()
     assert rows[0]["p_value_formatted"] == "< 0.001" and rows[0]["effect_size_interpretation"] == "Large"
     assert rows[1]["p_value_formatted"] == "0.2000" and rows[1]["effect_size_interpretation"] == "Small"
+
+
+def test_mannwhitney_exact_for_small_samples_without_ties(spark):
+    """Against all ways to deal the ranks; with ties, or two large groups, the normal approximation stays."""
+    import itertools
+    import random
+    rnd = random.Random(4)
+    groups = {"a": rnd.sample(range(100), 5), "b": rnd.sample(range(100, 300), 8), "c": [x + 0.5 for x in rnd.sample(range(300), 4)],
+              "d": [-7.0], "e": [1000.5 + i for i in range(40)], "f": [2000.5 + i * 0.1 for i in range(30)]}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs]
+    got = {(r["group_1"], r["group_2"]): r for r in ST.mannwhitney_pairs(
+        spark.createDataFrame(rows, "g string, v double"), "g", "v").collect()}
+    for (g, h), r in got.items():
+        a, b = groups[g], groups[h]
+        u = sum((x > y) + 0.5 * (x == y) for x in a for y in b)
+        assert r["u_stat"] == u
+        if len(a) + len(b) > 14:
+            continue
+        low, n = min(u, len(a) * len(b) - u), len(a) + len(b)
+        us = [sum(d) - len(a) * (len(a) + 1) / 2 for d in itertools.combinations(range(1, n + 1), len(a))]
+        assert r["p_value"] == pytest.approx(min(1.0, 2 * sum(x <= low for x in us) / len(us)), rel=1e-12)
+    assert got["a", "e"]["p_value"] == pytest.approx(2 / __import__("math").comb(45, 5), rel=1e-12)  # one small group is enough
+    from caremart.functions.pvalues import normal_pvalue
+    z = spark.createDataFrame([(got["e", "f"]["z"],)], "z double").select(normal_pvalue(F.col("z")).alias("p")).first()["p"]
+    assert got["e", "f"]["p_value"] == z
+    tied = ST.mannwhitney_pairs(spark.createDataFrame([("a", 1.0), ("a", 2.0), ("b", 2.0), ("b", 3.0)], "g string, v double"),
+                                "g", "v").first()
+    z = spark.createDataFrame([(tied["z"],)], "z double").select(normal_pvalue(F.col("z")).alias("p")).first()["p"]
+    assert tied["p_value"] == z
