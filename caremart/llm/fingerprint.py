@@ -13,12 +13,14 @@ vector (``combine``), without the rest of the text.
 
 ``likeness`` of two fingerprints is 1 for equal ones, else ``2ab / (aa + bb)`` of the near lanes, from 0 up to below 1.
 
-Neighbours: the query also needs the next document in ascending id.  Rows are dealt into ranges of ids whose bounds
-are fixed numbers (quantiles of the ids), so that a retried task sees the same ranges; each range is sorted and read
-as a stream, and the first row of the following range is added to it.  The text is shuffled once.
+Neighbours: the query also needs the next document in ascending id.  Rows are dealt into ranges of (id, hash of the
+text) whose bounds are fixed (quantiles of the ids; an id that fills several ranges is cut by the hash), so that a
+retried task sees the same ranges, and null or repeated ids are spread.  The bounds are one constant array, searched by
+halving; each range is sorted and read as a stream, and the first row of the following range, found by a join on the
+range's first key, is added to it.  The text is shuffled once.
 
 Defined cases: a null text is empty; the empty text has the zero fingerprint; null ids stand before all others;
-rows with the same id are ordered by their text; in a table of one row the next document is the row itself; an empty
+rows with the same id are ordered by a hash of their text, then the text; in a table of one row the next document is the row itself; an empty
 table gives an empty result; other columns are not read.
 """
 
@@ -26,7 +28,9 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import json
 import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -122,42 +126,56 @@ def with_fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
 
 
-def _ranges(rows: DataFrame, parts: int) -> tuple[list[int], list[tuple[int, int]]]:
-    """Bounds that cut the ids into about ``parts`` ranges, and (range, its smallest id) of the ranges in use."""
+_KEY = "array<struct<id:bigint,h:bigint>>"
+
+
+def _bounds(rows: DataFrame, parts: int) -> list[tuple[int, int]]:
+    """Keys that cut the rows into about ``parts`` ranges: quantiles of the ids, and equal parts of a frequent id's hashes."""
     cuts = [i / parts for i in range(1, parts)] or [0.5]
-    bounds = rows.agg(F.percentile_approx("_id", F.array(*map(F.lit, cuts)), F.lit(max(10_000, 50 * parts)))).first()[0]
-    bounds = sorted(set(bounds or []))
-    firsts = rows.groupBy(_range_of(bounds).alias("_range")).agg(F.min("_id").alias("_id")).collect()
-    return bounds, sorted((r["_range"], r["_id"]) for r in firsts)
+    ids = rows.agg(F.percentile_approx("_id", F.array(*map(F.lit, cuts)), F.lit(max(10_000, 50 * parts)))).first()[0]
+    return sorted((i, -(1 << 63) + (k << 64) // n) for i, n in Counter(ids or []).items() for k in range(n))
 
 
-def _range_of(bounds: list[int]):
+def _range_of(bounds: list[tuple[int, int]], id_: str = "_id", h: str = "_h"):
+    """The number of bounds up to a row's key, by halving; the bounds are a single constant of the plan."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.array(*[F.lit(b).cast("long") for b in bounds]), lambda b: b <= F.col("_id")))
+    table = F.from_json(F.lit(json.dumps([{"id": i, "h": h_} for i, h_ in bounds])), _KEY)
+    key = F.struct(F.col(id_).alias("id"), F.col(h).alias("h"))
+
+    def halve(acc, _):
+        middle = F.floor((acc["a"] + acc["b"]) / 2).cast("int")
+        below = F.get(table, middle) <= key
+        done = acc["a"] >= acc["b"]
+        return F.struct(F.when(~done & below, middle + 1).otherwise(acc["a"]).alias("a"),
+                        F.when(~done & ~below, middle).otherwise(acc["b"]).alias("b"))
+
+    steps = F.sequence(F.lit(0), F.lit(len(bounds).bit_length()))
+    return F.aggregate(steps, F.struct(F.lit(0).alias("a"), F.lit(len(bounds)).alias("b")), halve, lambda acc: acc["a"])
 
 
 def with_next(docs: DataFrame, parts: int | None = None) -> DataFrame:
-    """``_range, _look, _id, doc_id, text``, sorted inside partitions: each range in order, then the row after it.
+    """``_range, _look, _id, _h, doc_id, text``, sorted inside partitions: each range in order, then the row after it.
 
-    The ranges' bounds and first ids, a few numbers for each range, come to the driver; rows do not.
+    The ranges' bounds and first keys, a few numbers for each range, come to the driver; rows do not.
     """
     spark = docs.sparkSession
     shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_NULL_ID)).alias("_id"), "doc_id",
-                       F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    bounds, firsts = _ranges(rows.select("_id"), parts or 8 * shuffle)
+                       F.coalesce(F.col("text"), F.lit("")).alias("text")).withColumn("_h", F.xxhash64("text"))
+    bounds = _bounds(rows.select("_id"), parts or 8 * shuffle)
     rows = rows.withColumn("_range", _range_of(bounds)).withColumn("_look", F.lit(False))
-    if firsts:
+    firsts = rows.groupBy("_range").agg(F.min(F.struct("_id", "_h")).alias("_first"))
+    keys = sorted((r["_range"], *r["_first"]) for r in firsts.collect())
+    if keys:
         # range k is followed by the first row of the next range in use; the last one by the first row of all
-        after = spark.createDataFrame([(firsts[(k + 1) % len(firsts)][1], r) for k, (r, _) in enumerate(firsts)],
-                                      "_id long, _range int")
-        wanted = [i for _, i in firsts]
-        heads = (rows.filter(F.col("_id").isin(wanted)).groupBy("_id").agg(F.min("text").alias("text"))
-                 .join(after, "_id"))
-        rows = rows.unionByName(heads.select("_id", F.col("_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
-                                             "text", "_range", F.lit(True).alias("_look")))
-    order = ["_range", "_look", "_id", "text"]
+        after = spark.createDataFrame([(*keys[(k + 1) % len(keys)][1:], r) for k, (r, _, _) in enumerate(keys)],
+                                      "_id long, _h long, _after int")
+        heads = rows.drop("_range").join(F.broadcast(after), ["_id", "_h"]).groupBy("_id", "_h", "_after").agg(
+            F.min("text").alias("text"))
+        rows = rows.unionByName(heads.select("_id", "_h", F.col("_id").cast(docs.schema["doc_id"].dataType).alias("doc_id"),
+                                             "text", F.col("_after").alias("_range"), F.lit(True).alias("_look")))
+    order = ["_range", "_look", "_id", "_h", "text"]
     return rows.select(*order, "doc_id").repartition(shuffle, "_range").sortWithinPartitions(*order)
 
 

@@ -66,6 +66,23 @@ def test_neighbours_across_many_ranges(documents):
         assert sent == len(rows)
 
 
+def test_neighbours_of_null_and_repeated_ids(spark):
+    """Ids that fill many ranges are cut by their texts' hashes, alike on any partitioning, and the plan stays small."""
+    rows = [(None if i % 3 == 0 else 7 if i % 3 == 1 else i, f"text {i % 400} of a document\nwith a second line {i}")
+            for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [sorted((tuple(r) for r in fp.neighbour_report(docs.repartition(n)).collect()), key=str) for n in (1, 5)]
+    assert got[0] == got[1] and len(got[0]) == len(rows)
+    # every text but one follows exactly one other: each half of an edited text comes from a different neighbour
+    sent = fp.with_next(docs, 64)
+    per = {r["_range"]: r["count"] for r in sent.filter("NOT _look").groupBy("_range").count().collect()}
+    assert len(per) > 40 and max(per.values()) < 60
+    looks = sorted((r["_id"], r["_h"]) for r in sent.filter("_look").collect())
+    assert len(looks) == len(per) == len(set(looks))
+    sizes = [len(fp.with_next(docs, n)._jdf.queryExecution().analyzed().toString().split("lambda")) for n in (8, 512)]
+    assert sizes[0] == sizes[1]  # no expression for each range
+
+
 def test_fingerprints_without_neighbours(documents):
     texts = {r["doc_id"]: r["text"] for r in documents.collect()}
     got = {r["doc_id"]: r["fingerprint"] for r in fp.with_fingerprints(documents).collect()}
