@@ -12,7 +12,8 @@ rows, and only the rank inside a block is a window over documents.  A source or
 third of all rows is spread over ``salts`` blocks.  No Python runs on the executors.
 
 Defined cases: a null or empty text has size 0 and takes 0 words; a null source is a source of its own, sorted last;
-a null id counts as hash 0; repeated rows are separate documents; sources of total size 0 have target 0; an empty
+a null id takes the hash of the text, where the rows have one; documents of one hash stand in order of id, size and text,
+so reruns agree on any partitioning (the SQL twin counts null ids as hash 0); repeated rows are separate documents; sources of total size 0 have target 0; an empty
 table gives an empty result; columns named like an added one are replaced.
 """
 
@@ -61,7 +62,10 @@ def source_targets(totals: DataFrame, weights: Sequence[float] = WEIGHTS, cap: f
 
 def _ordered(docs: DataFrame, size: Column, salts: int) -> DataFrame:
     """Adds the source key, size, size class (eighths of an octave), id hash and block of every document."""
-    h = F.coalesce((F.pmod(F.col("doc_id").cast("long"), F.lit(_PRIME)) * 48271) % _PRIME, F.lit(0))
+    tie = F.col("_tie") if "_tie" in docs.columns else F.xxhash64("text") if "text" in docs.columns else F.lit(0)
+    docs = docs.withColumn("_tie", tie.cast("long"))
+    h = F.coalesce((F.pmod(F.col("doc_id").cast("long"), F.lit(_PRIME)) * 48271) % _PRIME,
+                   F.pmod(F.col("_tie"), F.lit(_PRIME)), F.lit(0))
     octave = F.length(F.bin("_size")) - 1
     cls = F.when(F.col("_size") == 0, -1).otherwise(8 * octave + F.expr(
         "cast(shiftright(8 * _size, length(bin(_size)) - 1) as int)") - 8)
@@ -74,8 +78,10 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: Sequence[f
                 seed: int = SEED, salts: int | None = None) -> DataFrame:
     """All columns of ``docs`` plus ``size, source_size, target, copies, taken`` (copies * size).
 
-    ``docs`` needs ``doc_id`` (integer), ``source`` and, unless ``size`` is given, ``text``.
+    ``docs`` needs ``doc_id`` (integer), ``source`` and, unless ``size`` is given, ``text``.  Without the text, a column
+    ``_tie`` can tell documents of equal id and size apart.
     """
+    given = [c for c in docs.columns if c != "_tie"]
     spark = docs.sparkSession
     salts = salts or max(64, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")))
     rows = _ordered(docs, n_words() if size is None else size, salts)
@@ -93,7 +99,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: Sequence[f
                .join(classes, ["_skey", "_class"])
                .select(*block, (F.col("_class_off") + F.col("_salt_off")).alias("_off"),
                        F.col("source_size").alias("_source_size"), F.col("target").alias("_target")))
-    rank = F.row_number().over(Window.partitionBy(*block).orderBy("_h", "doc_id"))
+    rank = F.row_number().over(Window.partitionBy(*block).orderBy("_h", "doc_id", "_size", "_tie"))
     rows = rows.withColumn("_rank", rank).join(offsets, block)
     rate = F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0)
     place = F.col("_off") + F.col("_rank")
@@ -102,7 +108,7 @@ def mix_sources(docs: DataFrame, size: Column | None = None, weights: Sequence[f
         "_copies", (F.floor(F.col("_rate") * place + u) - F.floor(F.col("_rate") * (place - 1) + u)).cast("long"))
     added = {"size": F.col("_size"), "source_size": F.col("_source_size"), "target": F.col("_target"),
              "copies": F.col("_copies"), "taken": F.col("_copies") * F.col("_size")}
-    return rows.select(*[c for c in docs.columns if c not in added], *[v.alias(k) for k, v in added.items()])
+    return rows.select(*[c for c in given if c not in added], *[v.alias(k) for k, v in added.items()])
 
 
 def emit_copies(mixed: DataFrame) -> DataFrame:
@@ -112,7 +118,8 @@ def emit_copies(mixed: DataFrame) -> DataFrame:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size"))
+    tie = F.when(F.col("doc_id").isNull(), F.xxhash64("text"))  # ids tell the others apart
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", n_words().alias("size"), tie.alias("_tie"))
     mixed = mix_sources(write_stage(docs, "mix-sizes"), F.col("size"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", "copies")
 

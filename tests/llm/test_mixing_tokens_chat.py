@@ -42,6 +42,14 @@ def test_mix_targets_and_words_taken(spark, documents):
     assert again == {(r["doc_id"], r["copies"]) for r in rows}
 
 
+def test_mix_of_null_and_repeated_ids_is_the_same_on_any_partitioning(spark):
+    rows = [(None if i % 2 else i % 40, "s" if i % 3 else None, "w " * (9 + i % 2) + f"text {i % 700}") for i in range(2000)]
+    docs = spark.createDataFrame(rows, "doc_id long, source string, text string")
+    got = [sorted((str(r["doc_id"]), str(r["source"]), r["text"], r["copies"]) for r in mixing.mix_sources(
+        docs.repartition(n).withColumn("_salt", F.lit(1))).collect()) for n in (1, 3, 7)]
+    assert got[0] == got[1] == got[2] and len(got[0]) == 2000
+
+
 def test_mix_caps_a_small_source(spark):
     rows = [(i, "b", "w " * 10) for i in range(30)] + [(100, "a", "w w"), (101, None, "w"), (102, "z", None)]
     out = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, source string, text string")).collect()
