@@ -33,6 +33,22 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, or the name behind underscores, that no column of ``df`` has (names differ by more than case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name
+
+
+def with_own_columns(df: DataFrame, names: Sequence[str], step) -> DataFrame:
+    """``step(df)`` with the columns of ``df``, also those that are named like one that ``step`` adds."""
+    taken = {n.lower() for n in names}
+    aside = {c: free_name(df, f"_own_{c}") for c in df.columns if c.lower() in taken}
+    out = step(df.withColumnsRenamed(aside))
+    return out.select(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in df.columns])
+
+
 def n_words(text: str = "text"):
     """Number of ``WORD`` words of a text column (null: 0)."""
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD_REGEX)), F.lit(0)).cast("long")

@@ -12,8 +12,9 @@ blocks.
 A retrieved item is verified against the text around the passage: of its question (all sentences but the last) and of
 its answer (the last sentence) at least ``OVERLAP`` of the distinct word triples must occur.
 
-The index is broadcast, in shards of at most ``SHARD`` items, one map over the documents for each; documents are not
-shuffled or gathered.
+The index is broadcast, in shards of about ``SHARD`` items or ``SHARD_CHARS`` characters of items, whichever are more
+shards, one map over the documents for each; a shard's items pass through the driver, which builds its index.
+Documents are not shuffled or gathered.
 
 Words are maximal runs of letters, digits and non-ASCII bytes with A-Z lower-cased.  Defined cases: null or empty texts
 and items without words hit nothing; an item with one sentence is split into its first three quarters and the rest; an
@@ -34,13 +35,14 @@ import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from caremart.llm.common import LOWER, NOT_ALNUM, joined, mix64, read_table, span_hashes, text_chunks, word_spans
 
 SEGMENT, STRIDE, BLOCK = 48, 32, 4
 PASSAGE = 2 * STRIDE
 RETRIEVE, OVERLAP = 0.5, 0.6
-SHARD = 10_000
+SHARD, SHARD_CHARS = 10_000, 4_000_000
 CELLS = 4_000_000  # bounds held at once
 K1, B = 1.2, 0.75
 
@@ -204,7 +206,8 @@ def find_items(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE, ov
     ids = items.schema["item_id"].dataType.simpleString()
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, item_id {ids}, score double, question_overlap double, answer_overlap double"
-    found = [docs.select("doc_id", "text").mapInArrow(_searcher(index, retrieve, overlap, ids), schema)
+    id_type = to_arrow_type(items.schema["item_id"].dataType)
+    found = [docs.select("doc_id", "text").mapInArrow(_searcher(index, retrieve, overlap, id_type), schema)
              for index in _indexes(items, shard)]
     return reduce(DataFrame.unionByName, found)
 
@@ -219,10 +222,11 @@ def without_items(docs: DataFrame, items: DataFrame, retrieve: float = RETRIEVE,
 
 
 def _indexes(items: DataFrame, shard: int) -> Iterator:
-    """Broadcast indexes of the items, each of about ``shard`` of them."""
+    """Broadcast indexes of the items, each of about ``shard`` of them, or of ``SHARD_CHARS`` characters."""
     spark = items.sparkSession
     rows = items.select("item_id", "text")
-    shards = max(1, -(-rows.count() // shard))
+    count, size = rows.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
+    shards = max(1, -(-count // shard), -(-size // SHARD_CHARS))
     rows = rows.withColumn("_shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
     for k in range(shards):
         part = rows.filter(F.col("_shard") == k).orderBy("item_id", "text").collect()
@@ -250,9 +254,7 @@ def _cleaner(shared, at: int, retrieve: float, overlap: float):
     return run
 
 
-def _searcher(shared, retrieve: float, overlap: float, ids: str):
-    types = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}
-
+def _searcher(shared, retrieve: float, overlap: float, ids: pa.DataType):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = shared.value
         for batch in batches:
@@ -260,7 +262,7 @@ def _searcher(shared, retrieve: float, overlap: float, ids: str):
                      _batch_hits(index, batch.column(1).to_pylist(), retrieve, overlap)]
             d, i, s, q, a = zip(*found) if found else ((), (), (), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(d, pa.int64())), pa.array(i, types[ids]), pa.array(s, pa.float64()),
+                [batch.column(0).take(pa.array(d, pa.int64())), pa.array(i, ids), pa.array(s, pa.float64()),
                  pa.array(q, pa.float64()), pa.array(a, pa.float64())],
                 names=["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 

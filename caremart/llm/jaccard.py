@@ -39,7 +39,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from caremart.llm.common import (LOWER, SPACES, joined, mix64, read_table, span_hashes, text_chunks,
+from caremart.llm.common import (LOWER, SPACES, free_name, joined, mix64, read_table, span_hashes, text_chunks,
                                  word_spans)
 from caremart.plans.materialize import write_stage
 
@@ -335,11 +335,12 @@ def keep_one(docs: DataFrame, percent: int = PERCENT, size: int = SIZE) -> DataF
     row = F.concat(F.coalesce(F.lpad(F.col("doc_id").cast("string"), 20, "0"), F.lit("~")), F.lit(":"),
                    F.md5(F.coalesce("text", F.lit("")).cast("binary")))
     linked = link_components(docs.select(row.alias("doc_id"), "text"), percent, size)
-    stay = linked.select(F.col("component_id").alias("_row")).distinct()
-    rows = docs.withColumn("_row", row).join(stay, "_row", "left_semi")
+    key, at = free_name(docs, "_row"), free_name(docs, "_at")
+    stay = linked.select(F.col("component_id").alias(key)).distinct()
+    rows = docs.withColumn(key, row).join(stay, key, "left_semi")
     others = [F.col(c) for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
-    first = F.row_number().over(Window.partitionBy("_row").orderBy(*others))
-    return rows.withColumn("_at", first).filter("_at = 1").select(*docs.columns)
+    first = F.row_number().over(Window.partitionBy(key).orderBy(*others))
+    return rows.withColumn(at, first).filter(F.col(at) == 1).select(*docs.columns)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

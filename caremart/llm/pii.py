@@ -197,6 +197,7 @@ def _described(kind: str, strict: bool):
 
 
 FORM = ("long", "short", "digits", "spaced")
+ADDED = ("base_spans", "all_spans", "_c", "_base", "_all")
 
 
 def vote_counts(docs: DataFrame) -> list[tuple[str, tuple[int, ...], tuple[int, ...], int]]:
@@ -281,7 +282,7 @@ def _probability(c: Column, weights: dict[str, list[float]]) -> Column:
 
 def find_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     """All columns of ``docs`` plus ``base_spans`` and ``all_spans``: arrays of kind, start, end, in order."""
-    docs = docs.select(*[c for c in docs.columns if c not in ("base_spans", "all_spans")])
+    docs = docs.select(*[c for c in docs.columns if c not in ADDED])
     weights = train_classifier(vote_counts(docs))
     rows = docs.withColumn("_c", _candidates(F.coalesce("text", F.lit(""))))
     rows = rows.withColumn("_base", F.filter("_c", lambda c: c["base"]))

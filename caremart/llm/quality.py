@@ -256,7 +256,7 @@ def _lang():
     return F.coalesce(F.concat(F.lit("="), F.col("lang")), F.lit("-"))
 
 
-ADDED = ("perplexity", "threshold", "keep")
+ADDED = ("perplexity", "threshold", "keep", "_ll", "_n")
 
 
 def _trained(docs: DataFrame, labels: DataFrame) -> DataFrame:

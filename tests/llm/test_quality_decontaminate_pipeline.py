@@ -175,6 +175,24 @@ def test_planted_items_are_found(spark, documents):
     assert kept == set(texts) - {d for d, _ in sharded}
 
 
+def test_item_ids_of_any_type(spark, documents):
+    items = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = {(r["doc_id"], str(r["item_id"])) for r in dc.find_items(documents, items).collect()}
+    for kind in ("smallint", "string", "decimal(20,0)"):
+        cast = items.withColumn("item_id", F.col("item_id").cast(kind))
+        assert {(r["doc_id"], str(r["item_id"])) for r in dc.find_items(documents, cast).collect()} == want
+
+
+def test_stages_keep_columns_named_like_their_own(spark, documents):
+    own = ["keep", "Threshold", "perplexity", "_ll", "base_spans", "all_spans", "_c", "_row", "_at", "copies"]
+    docs = documents.select("*", *[F.concat(F.lit(f"{c} of "), F.col("doc_id").cast("string")).alias(c) for c in own])
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert rows and all(r[c] == f"{c} of {r['doc_id']}" for r in rows for c in own), name
+
+
 def test_long_items_and_changed_case(spark):
     rnd = random.Random(9)
     long = ". ".join(" ".join(f"q{rnd.randrange(10 ** 5)}" for _ in range(12)) for _ in range(15))
