@@ -1,7 +1,7 @@
 """A corpus-cleaning pipeline of five operators: what one stage keeps is the next one's input.
 
-Every stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``docs``; the last one adds the columns of the
-mix.  Between stages the documents are written to the shared checkpoint folder and read again.
+Every stage takes ``(spark, docs, sf_dir)`` and returns the columns of ``docs``, also those named like an operator's
+own; the last one adds the columns of the mix, which replace columns of these names.  Between stages the documents are written to the shared checkpoint folder and read again.
 
 1. quality_classifier: documents that the Kneser-Ney classifier rejects go.
 2. ngram_jaccard_join: one document of each group of near copies (``NEAR``: shingles of five words, Jaccard 0.8 or
@@ -17,14 +17,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caremart.llm import decontaminate, jaccard, mixing, pii, quality
-from caremart.llm.common import read_table
+from caremart.llm.common import read_table, with_own_columns
 from caremart.plans.materialize import write_stage
 
 NEAR = {"percent": 80, "size": 5}
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality.judge(docs, read_table(spark, sf_dir, "labels")).filter("keep").select(*docs.columns)
+    labels = read_table(spark, sf_dir, "labels")
+    return with_own_columns(docs, quality.ADDED, lambda d: quality.judge(d, labels).filter("keep"))
 
 
 def ngram_jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -36,8 +37,9 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    masked = pii.find_spans(docs).withColumn("text", pii.masked_text())
-    return masked.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    chars = F.length("text").cast(docs.schema["n_chars"].dataType)
+    return with_own_columns(docs, pii.ADDED, lambda d: pii.find_spans(d).withColumn("text", pii.masked_text()).withColumn(
+        "n_chars", chars))
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
