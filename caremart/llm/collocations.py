@@ -142,9 +142,12 @@ def _frequent_runs(docs: DataFrame, frequent, least: int) -> np.ndarray:
         held, size = [], 0
 
         def count() -> pa.RecordBatch:
-            h, c = np.unique(np.concatenate(held), return_counts=True)
+            h, c = np.unique(np.concatenate(held) >> np.uint64(8), return_counts=True)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(c.astype(np.int64))], names=["h", "c"])
+            full, rest = np.repeat(h, c // 255), c % 255
+            packed = np.concatenate((full << np.uint64(8) | np.uint64(255),
+                                     (h << np.uint64(8) | rest.astype(np.uint64))[rest > 0]))
+            return pa.RecordBatch.from_arrays([pa.array(packed.view(np.int64))], names=["hc"])
 
         for batch in batches:
             for _, _, _, words, piece, _ in _hashes(batch.column(1).to_pylist(), batch.column(0).to_pylist()):
@@ -157,7 +160,10 @@ def _frequent_runs(docs: DataFrame, frequent, least: int) -> np.ndarray:
         if size:
             yield count()
 
-    counts = docs.mapInArrow(run, "h long, c long").groupBy("h").agg(F.sum("c").alias("c"))
+    # one number holds 56 bits of the hash and a count up to 255; counted in the tasks already, rows go to their hash as
+    # they are
+    h, c = F.shiftrightunsigned("hc", 8), F.col("hc").bitwiseAND(F.lit(255))
+    counts = docs.mapInArrow(run, "hc long").repartition(h).groupBy(h.alias("h")).agg(F.sum(c).alias("c"))
     return _bitmap(counts.filter(F.col("c") >= least).select("h"))
 
 
@@ -169,8 +175,8 @@ def _windows(docs: DataFrame, frequent, pairs) -> DataFrame:
             langs = batch.column(0).to_pylist()
             for buf, ws, we, words, piece, doc in _hashes(batch.column(1).to_pylist(), langs):
                 pair, is_pair, triple, is_triple = _pairs(words, _bit(frequent.value, words), piece)
-                is_pair[is_pair] = _bit(pairs.value, pair[is_pair])
-                is_triple[is_triple] = _bit(pairs.value, triple[is_triple])
+                is_pair[is_pair] = _bit(pairs.value, pair[is_pair] >> np.uint64(8))
+                is_triple[is_triple] = _bit(pairs.value, triple[is_triple] >> np.uint64(8))
                 at = np.flatnonzero(is_pair)
                 # the window takes in one more word while the triples, and so the pairs, within it are frequent
                 three = np.zeros(len(words) + LONGEST, bool)
