@@ -1,7 +1,7 @@
 """Operator 7: personal data by weak supervision, with DataFrame functions only.
 
 Candidates are matches of a strict and a loose pattern for each kind (e-mail address, IP address, card number, phone
-number).  Six labelers vote on every candidate (yes, no or no vote): the strict rule; its shape; its checksum
+number), and of a loose one for secrets (keys and tokens).  Six labelers vote on every candidate (yes, no or no vote): the strict rule; its shape; its checksum
 or value range; a gazetteer (top-level domains, card issuers, calling codes, reserved networks); words before it; and
 the characters it touches.  The votes of all documents are counted by pattern (at most 3^6 for each kind), and
 expectation-maximisation on these counts estimates every labeler's reliability and each pattern's probability.  They
@@ -9,7 +9,8 @@ are the soft labels of the final classifier, a logistic regression on the span's
 candidate inside its document's row.
 
 The spans of the strict rule (the base) always stand.  The classifier adds candidates at or above ``ACCEPT`` that
-overlap no base span and whose checksum or range does not fail.
+overlap no base span and whose checksum or range does not fail.  Digests look like secrets, so a secret also needs the
+vote of its context or of the gazetteer (prefixes of known keys).
 
 The documents are read twice, once for the counts and once for the result, and never shuffled; only the counts
 of patterns are.  Matches are found by ``regexp_extract_all`` and placed by the gaps that ``split`` leaves, in code
@@ -31,6 +32,7 @@ from pyspark.sql import functions as F
 from caremart.llm.common import read_table
 
 KINDS = ("email", "ip", "card", "phone")
+ALL_KINDS = (*KINDS, "secret")
 ACCEPT = 0.9
 CONTEXT = 24  # characters before a candidate that a labeler reads
 BLOCK = 200  # array entries that are added up by copying
@@ -41,6 +43,7 @@ STRICT = {
     "ip": r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+    "secret": None,  # no strict rule names a secret
 }
 LOOSE = {
     "email": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+\x20?(?:\(at\)|\[at\]|\{at\})\x20?[A-Za-z0-9-]{1,63}+"
@@ -49,10 +52,11 @@ LOOSE = {
     "card": None,  # runs of digits that the strict rule drops are candidates already
     "phone": r"(?<![0-9+)(-])(?:00[1-9][0-9]{0,2}[\x20-]|\([0-9]{2,4}\)\x20?|[0-9]{2,4}[\x20-])"
              r"(?:[0-9]{2,4}[\x20-]){1,3}[0-9]{2,4}(?![0-9])",
+    "secret": r"(?<![A-Za-z0-9+/_-])(?=[A-Za-z+/_-]*+[0-9])(?=[0-9+/_-]*+[A-Za-z])[A-Za-z0-9+/_-]{20,}+={0,2}+",
 }
 #: What can be true of a text with a candidate of the kind at all; a cheap test before the pattern.
 NEEDS = {"email": r"@|[(\[{]at[)\]}]", "ip": r"[0-9]\.[0-9]|:[0-9A-Fa-f]{1,4}:", "card": r"[0-9][\x20-]?[0-9]",
-         "phone": r"[0-9][\x20().-]*[0-9]"}
+         "phone": r"[0-9][\x20().-]*[0-9]", "secret": r"[A-Za-z0-9+/_-]{20}"}
 
 GAZETTEER = {  # a candidate that matches it is known to be of its kind
     "email": r"(?i)(?:\.|dot[)\]}])\x20?(?:com|org|net|edu|gov|int|mil|info|biz|io|co|de|fr|es|uk|it|nl|eu|us|ca|au|jp|cn"
@@ -60,14 +64,18 @@ GAZETTEER = {  # a candidate that matches it is known to be of its kind
     "ip": r"^(?!0|10\.|127\.|169\.254\.|192\.168\.|22[4-9]\.|2[3-5][0-9]\.).+$",
     "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
     "phone": r"^(?:\+|00)(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58])",
+    "secret": r"^(?:AKIA|ASIA|AIza|ghp_|gho_|glpat-|sk-|sk_live_|xox[abp]-|eyJ|ya29)",
 }
 BEFORE_YES = {
     "email": r"(?i)mail|contact|write|reach|correo|courriel|kontakt",
     "ip": r"(?i)\bip\b|host|server|address|login|from",
     "card": r"(?i)card|visa|master|amex|credit|debit|karte|carte|tarjeta",
     "phone": r"(?i)tel|phone|call|fax|mobile|cell|whatsapp|anruf|appel",
+    "secret": r"(?i)token|secret|passw|pwd|credential|bearer|auth|(?:api|access|private|secret)[\x20_-]?key",
 }
-BEFORE_NO = r"(?i)version|\bv\.?$|isbn|issn|order|invoice|\bno\.?|nr\.?|number of|page|section|§|doi|figure|table"
+BEFORE_NO = r"(?i)commit|checksum|digest|sha-?[0-9]|md5|uuid|href|src=|version|\bv\.?$|isbn|issn|order|invoice|\bno\.?|nr\.?|number of|page|section|§|doi|figure|table"
+#: Sizes of usual keys and digests, in hexadecimal or base 64.
+SECRET_SIZES = (20, 24, 32, 36, 40, 44, 48, 64, 88, 96, 128)
 LABELERS = ("rule", "shape", "check", "gazetteer", "before", "touch")
 
 
@@ -154,15 +162,16 @@ def _votes(kind: str, strict: bool, s: Column) -> dict[str, Column]:
     valid = _valid(kind, m) if strict else F.lit(False)
     shape = {"email": m.rlike(r"^[A-Za-z]") & (F.length(m) <= 80), "ip": ~m.rlike(r"(?:^|\.)0[0-9]"),
              "card": m.rlike(r"^(?:[0-9]{4}([ -]?)[0-9]{4}\1[0-9]{4}\1[0-9]{1,7}|[0-9]{4}[ -]?[0-9]{6}[ -]?[0-9]{5})$"),
-             "phone": m.rlike(r"[ ()-]")}[kind]
+             "phone": m.rlike(r"[ ()-]"), "secret": m.rlike(r"[0-9].*[0-9].*[0-9].*[0-9]") & ~m.rlike(r"[A-Za-z]{9}")}[kind]
     check = {"email": _vote(F.length(m) >= 6), "ip": _vote(valid, ~valid) if strict else F.lit(1),
              "card": _vote(valid, ~n.between(13, 19) | ~valid),
-             "phone": _vote(n.between(9, 13), ~n.between(7, 15))}[kind]
+             "phone": _vote(n.between(9, 13), ~n.between(7, 15)),
+             "secret": _vote(F.length(m).isin(*SECRET_SIZES), F.length(m) > 512)}[kind]
     touch = F.right(s["before"], F.lit(1)).rlike(r"[A-Za-z0-9_.@/#=-]") | s["next"].rlike(r"[A-Za-z0-9_@/=]")
     return {"rule": _vote(valid) if strict else F.lit(0), "shape": _vote(shape, ~shape), "check": check,
             "gazetteer": _vote(m.rlike(GAZETTEER[kind])),
             "before": _vote(s["before"].rlike(BEFORE_YES[kind]), s["before"].rlike(BEFORE_NO)),
-            "touch": _vote(F.lit(False), touch)}
+            "touch": _vote(F.right(s["before"], F.lit(1)).rlike("[\"'=:]") if kind == "secret" else F.lit(False), touch)}
 
 
 def _form(s: Column) -> dict[str, Column]:
@@ -175,7 +184,7 @@ def _form(s: Column) -> dict[str, Column]:
 def _candidates(text: Column) -> Column:
     """All candidates of a text: kind, start, end, whether base, votes and form."""
     parts = []
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         for strict, pattern in ((True, STRICT[kind]), (False, LOOSE[kind])):
             if pattern is None:
                 continue
@@ -214,7 +223,7 @@ def expectation_maximisation(counts: list, rounds: int = 50) -> dict[tuple[str,
     times in three and is smoothed by one candidate.
     """
     out = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         total: dict[tuple[int, ...], int] = {}
         for k, votes, _, n in counts:
             if k == kind:
@@ -251,7 +260,7 @@ def train_classifier(counts: list, steps: int = 400) -> dict[str, list[float]]:
     """Logistic regression for each kind on the counted patterns, with the EM probabilities as soft labels."""
     belief = expectation_maximisation(counts)
     out = {}
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         rows = [(_inputs(kind, v, f), belief[kind, v], n) for k, v, f, n in counts if k == kind]
         w = [0.0] * (1 + 2 * len(LABELERS) + len(FORM))
         total = sum(n for _, _, n in rows) or 1
@@ -275,7 +284,7 @@ def _probability(c: Column, weights: dict[str, list[float]]) -> Column:
         terms += [c[k] * w[1 + 2 * len(LABELERS) + j] for j, k in enumerate(FORM)]
         return reduce(lambda a, b: a + b, terms)
     z = F.lit(-30.0)
-    for kind in KINDS:
+    for kind in ALL_KINDS:
         z = F.when(c["kind"] == kind, logit(weights[kind])).otherwise(z)
     return 1 / (1 + F.exp(-z))
 
@@ -287,13 +296,14 @@ def find_spans(docs: DataFrame, accept: float = ACCEPT) -> DataFrame:
     rows = docs.withColumn("_c", _candidates(F.coalesce("text", F.lit(""))))
     rows = rows.withColumn("_base", F.filter("_c", lambda c: c["base"]))
     added = F.filter("_c", lambda c: F.when(c["base"], False).otherwise(
-        (c["check"] >= 0) & (_probability(c, weights) >= accept)
+        (c["check"] >= 0) & ((c["kind"] != "secret") | (F.greatest(c["before"], c["gazetteer"]) > 0))
+        & (_probability(c, weights) >= accept)
         & ~F.exists("_base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))))
     rows = rows.withColumn("_all", F.concat("_base", F.when(F.size("_c") > F.size("_base"), added)
                                             .otherwise(F.slice("_c", 1, 0))))
 
     def ordered(name: str) -> Column:
-        place = lambda kind: sum((F.when(kind == k, i).otherwise(0) for i, k in enumerate(KINDS)), F.lit(0))
+        place = lambda kind: sum((F.when(kind == k, i).otherwise(0) for i, k in enumerate(ALL_KINDS)), F.lit(0))
         keyed = F.array_sort(F.transform(name, lambda c: F.struct(
             place(c["kind"]).alias("at"), c["start"].alias("start"), c["end"].alias("end"), c["kind"].alias("kind"))))
         return F.transform(keyed, lambda c: F.struct(c["kind"].alias("kind"), c["start"].alias("start"),
@@ -342,4 +352,5 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_spans(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
     return found.select("doc_id", *[count(k).alias(f"n_{k}") for k in KINDS],
-                        F.sha2(spans_text("base_spans"), 256).alias("base_sha256"), spans_text("all_spans").alias("spans"))
+                        F.sha2(spans_text("base_spans"), 256).alias("base_sha256"), spans_text("all_spans").alias("spans"),
+                        (F.size("all_spans") - F.size("base_spans")).cast("long").alias("n_added"))

@@ -47,7 +47,7 @@ def check(rows, docs):
         assert [tuple(s) for s in r["base_spans"]] == want
         every = [tuple(s) for s in r["all_spans"]]
         assert set(want) <= set(every)
-        assert every == sorted(every, key=lambda s: (pii.KINDS.index(s[0]), s[1]))
+        assert every == sorted(every, key=lambda s: (pii.ALL_KINDS.index(s[0]), s[1]))
 
 
 def test_base_spans_against_python(spark, documents):
@@ -179,3 +179,22 @@ def test_toxicity_odd_inputs(spark, odd_documents, empty_documents):
     assert {(r["score"], r["predicted"]) for r in none} == {(0.0, 0)}
     assert toxicity.score(empty_documents, toxicity.train(empty_documents, labels)).collect() == []
     assert odd_documents.select(toxicity.held_out().alias("h")).filter(F.col("h").isNull()).count() == 0
+
+
+def test_secrets_are_added_by_their_labelers(spark):
+    """Keys and tokens are found by form and context; digests of commits and long words are not."""
+    import random
+    rnd = random.Random(8)
+    code = lambda n: "".join(rnd.choice("0123456789abcdef") for _ in range(n))
+    rows, want = [], {}
+    for i in range(60):
+        key = code(40) if i % 2 else "AKIA" + code(16).upper()
+        text = f"é config {i}: " + (f'token = "{key}"' if i % 2 else f"secret_key={key}") + " and more"
+        rows.append((i, text))
+        want[i] = [("secret", text.index(key), text.index(key) + len(key))]
+        rows.append((100 + i, f"fixed in commit {code(40)} of the page, see checksum {code(32)}"))
+        rows.append((200 + i, "averyveryverylongwordwithoutanynumbers internationalisation2024conference of words"))
+        want[100 + i] = want[200 + i] = []
+    got = {r["doc_id"]: [tuple(s) for s in r["all_spans"] if s["kind"] == "secret"]
+           for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want
