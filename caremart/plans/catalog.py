@@ -1528,6 +1528,19 @@ def q_outcome_model(spark, sf_dir):
     return spark.createDataFrame(rows, "metric string, feature string, value double")
 
 
+@register("outcome_boosting", None, [], "ML5-ML7 (iterative: rows-only)")
+def q_outcome_boosting(spark, sf_dir):
+    """Boosted trees tuned over sixteen settings: accuracies, the mean accuracy of every setting, top importances."""
+    from caremart.plans import boosting as BO
+    m = BO.train_boosted_model(mart(spark, sf_dir))
+    if m is None:
+        return spark.createDataFrame([], "metric string, feature string, value double")
+    rows = [("train_accuracy", None, float(m.train_accuracy)), ("test_accuracy", None, float(m.test_accuracy))]
+    rows += [("setting", ", ".join(f"{k}={v}" for k, v in s.items()), float(a)) for s, a in m.settings]
+    rows += [("importance", f, float(v)) for f, v in m.feature_importance]
+    return spark.createDataFrame(rows, "metric string, feature string, value double")
+
+
 _BAND_SQL = """banded AS (SELECT * FROM (SELECT *, CASE WHEN normalized_score <= -1 THEN NULL
   WHEN normalized_score <= 4 THEN 'Low' WHEN normalized_score <= 7 THEN 'Medium' WHEN normalized_score <= 11 THEN 'High'
   END AS band FROM mart WHERE normalized_score IS NOT NULL) b WHERE band IS NOT NULL)"""
