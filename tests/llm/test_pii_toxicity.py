@@ -3,6 +3,7 @@ import re
 import zlib
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -198,3 +199,68 @@ def test_secrets_are_added_by_their_labelers(spark):
     got = {r["doc_id"]: [tuple(s) for s in r["all_spans"] if s["kind"] == "secret"]
            for r in pii.find_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == want
+
+
+def test_fit_minimises_the_loss_over_explicitly_swapped_texts():
+    """The loss written out: log-loss, ridge, and the squared change of the logit of every copy with one term swapped."""
+    import random
+    rnd = random.Random(6)
+    kinds = (("muslim", "christian", "jewish"), ("old", "young"))
+    words = ["scum", "kind", "idiots", "garden", "music", "awful"]
+    texts, labels = [], []
+    for i in range(60):
+        own = rnd.sample(words, 2) + rnd.sample(["muslim", "christian", "jewish", "old", "young"], rnd.randrange(3))
+        rnd.shuffle(own)
+        texts.append(" ".join(own))
+        labels.append(float("scum" in own or "idiots" in own) if rnd.random() < 0.9 else float("muslim" in own))
+    row, feature = toxicity.text_features(texts)
+    y, ridge, penalty = np.array(labels), 5e-3, 2.0
+    w = toxicity.fit(row, feature, y, kinds=kinds, penalty=penalty, ridge=ridge, steps=4000, clear=0.5)
+    used = np.flatnonzero(w[:-1])
+    logit = lambda t, v: v[toxicity.text_features([t])[1]].sum() + v[-1]
+
+    copies = []
+    for t in texts:
+        own = t.split()
+        for kind in kinds:
+            for term in set(own) & set(kind):
+                copies += [(t, " ".join(o if x == term else x for x in own)) for o in kind if o != term and o not in own]
+
+    # the same loss by plain gradient descent on the presence of each weighted feature
+    present = lambda t: np.append(np.isin(used, toxicity.text_features([t])[1]).astype(float), 1.0)
+    x = np.array([present(t) for t in texts])
+    change = np.array([present(a) - present(b) for a, b in copies])
+    free = np.append(np.ones(len(used)), 0.0)  # the bias is not shrunk
+
+    def loss(v):
+        z = x @ v
+        return (np.mean(np.logaddexp(0, -z) + (1 - y) * z) + ridge / 2 * (free * v * v).sum()
+                + penalty * ((change @ v) ** 2).sum() / len(texts))
+
+    v = np.zeros(len(used) + 1)
+    for _ in range(40_000):
+        error = (1 / (1 + np.exp(-(x @ v))) - y) / len(texts)
+        v -= 0.2 * (x.T @ error + ridge * free * v + 2 * penalty / len(texts) * change.T @ (change @ v))
+    own = np.append(w[used], w[-1])
+    assert copies and len(used) > 5 and logit(texts[0], w) == pytest.approx(x[0] @ own)
+    assert loss(v) <= loss(own) < loss(v) + 1e-3
+    assert np.abs(1 / (1 + np.exp(-(x @ own))) - 1 / (1 + np.exp(-(x @ v)))).max() < 0.01
+    plain = toxicity.fit(row, feature, y, kinds=kinds, penalty=0.0, ridge=ridge, steps=4000, clear=0.5)
+    assert loss(own) < loss(np.append(plain[used], plain[-1])) - 0.01
+
+
+def test_neutral_mentions_before_and_after_the_penalty():
+    """Counterfactual set: the same neutral sentence for each group; without the penalty the blamed groups are flagged."""
+    rude, kind = ["scum", "idiots", "vermin"], ["kind", "busy", "asleep", "hungry"]
+    texts = [f"the {g} people next door are {w} today number{i}" for i, (g, w) in enumerate(
+        [("muslim", w) for w in rude * 12] + [("muslim", "kind")] * 3 + [("gay", w) for w in rude * 10] + [("gay", "busy")] * 3
+        + [(g, w) for g in ("christian", "jewish", "straight", "lesbian") for w in kind * 5] + [("tall", w) for w in rude * 2 + kind * 90])]
+    labels = [float(any(w in t.split() for w in rude)) for t in texts]
+    flagged = {}
+    for penalty in (0.0, 20.0):
+        w = _fitted(texts, labels, penalty)
+        p = lambda t: 1 / (1 + np.exp(-(w[toxicity.text_features([t])[1]].sum() + w[-1])))
+        neutral = [p(f"a {g} family lives here") for g in ("muslim", "gay", "christian", "jewish", "straight", "lesbian")]
+        flagged[penalty] = sum(x >= toxicity.THRESHOLD for x in neutral)
+        assert all(p(f"the {g} people are {r}") >= toxicity.THRESHOLD for g in ("muslim", "christian") for r in rude)
+    assert flagged[0.0] >= 2 and flagged[20.0] == 0, flagged
