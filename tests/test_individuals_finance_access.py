@@ -70,7 +70,7 @@ def test_lockout_stream_matches_batch(spark, tmp_path):
     ev.write.parquet(src_dir)
     stream = spark.readStream.schema(ev.schema).parquet(src_dir)
     out = SJ.stream_lockouts(stream, out_dir=str(tmp_path / "out"), checkpoint=str(tmp_path / "ck"))
-    s = spark.read.parquet(SJ.latest_epoch(spark, out)).collect()[0]
+    s = SJ.lockout_state(spark, out).collect()[0]
     b = AC.lockouts(_events(spark, "FFSFFFSF")).collect()[0]
     assert (s["account_locked"], s["login_attempts"]) == (b["account_locked"], b["login_attempts"])
 
