@@ -118,8 +118,11 @@ def seasonal_profile(mart: DataFrame, part: str = "month", value: str = "normali
             .agg(agg.alias(value)))
 
 
-def benchmark(mart: DataFrame, dim: str) -> DataFrame:
-    """AGG8: outcome benchmark by any dimension, ranked by mean outcome (ties by name)."""
+def benchmark(mart: DataFrame, dim: str, decimals: int | None = None) -> DataFrame:
+    """AGG8: outcome benchmark by any dimension, ranked by mean outcome (ties by name).
+
+    ``decimals=2`` reproduces the reference, which rounds before the ratio and the ranking.
+    """
     g = _nonnull_keys(mart, [dim]).groupBy(dim).agg(
         F.avg("normalized_score").alias("avg_outcome"),
         F.stddev_samp("normalized_score").alias("outcome_std"),
@@ -127,6 +130,8 @@ def benchmark(mart: DataFrame, dim: str) -> DataFrame:
         F.sum("total_cost").alias("total_cost"),
         F.avg("improvement_from_baseline").alias("avg_improvement"),
         F.avg("quality_rating").alias("avg_quality"))
+    if decimals is not None:
+        g = g.select(*[rounded(c, decimals).alias(c) if t == "double" else F.col(c) for c, t in g.dtypes])
     g = g.withColumn("cost_per_outcome", safe_div("total_cost", "avg_outcome"))
     # one row per group: a global window over aggregated rows only
     return g.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("avg_outcome"), F.asc(dim))))

@@ -262,6 +262,18 @@ for _dim in ("intervention_category", "disability_category", "age_group", "staff
     register(f"benchmark_by_{_dim}", mart_query(_benchmark_sql(_dim)), BENCH_DOUBLES, "AGG8 WIN1")(_mk(_dim))
 
 
+@register("benchmark_by_age_group_rounded", mart_query("""SELECT *, total_cost / NULLIF(avg_outcome, 0) AS cost_per_outcome,
+  CAST(row_number() OVER (ORDER BY avg_outcome DESC, age_group) AS INTEGER) AS rank FROM (
+ SELECT age_group, round_even(avg(normalized_score), 2) AS avg_outcome,
+  round_even(stddev_samp(normalized_score), 2) AS outcome_std, count(normalized_score) AS session_count,
+  round_even(sum(total_cost), 2) AS total_cost, round_even(avg(improvement_from_baseline), 2) AS avg_improvement,
+  round_even(avg(quality_rating), 2) AS avg_quality FROM mart WHERE age_group IS NOT NULL GROUP BY age_group) a"""),
+          BENCH_DOUBLES, "AGG8 (decimals=2)")
+def q_benchmark_rounded(spark, sf_dir):
+    """AGG8 with the reference's rounding of the means before the ratio and the ranking."""
+    return A.benchmark(mart(spark, sf_dir), "age_group", decimals=2)
+
+
 @register("underperformers_by_staff", mart_query("""SELECT b.staff_name, b.avg_outcome, o.overall_avg,
   o.overall_avg - b.avg_outcome AS performance_gap
  FROM (SELECT staff_name, avg(normalized_score) AS avg_outcome FROM mart WHERE staff_name IS NOT NULL
