@@ -163,7 +163,9 @@ def schedule_list(schedules: DataFrame, individuals: DataFrame, metrics: DataFra
     """JN7/SCH2: schedules with individual and metric names ordered by due date; overdue flag vs ``as_of``."""
     i = individuals.select(F.col("id").alias("_iid"), "anonymous_id")
     m = metrics.select(F.col("id").alias("_mid"), F.col("name").alias("metric_name"))
-    j = (schedules.join(i, schedules.individual_id == i._iid).join(m, schedules.outcome_metric_id == m._mid)
+    # several schedules for each individual: their estimated size is that of the rows they are exploded from, so
+    # without the hint millions of schedules are gathered in the driver as the smaller side
+    j = (schedules.join(i.hint("merge"), schedules.individual_id == i._iid).join(m, schedules.outcome_metric_id == m._mid)
          .select(schedules.id, "anonymous_id", "metric_name", "frequency", "next_due_date"))
     if as_of is not None:
         j = j.withColumns({"days_overdue": F.datediff(F.lit(as_of), F.col("next_due_date")),

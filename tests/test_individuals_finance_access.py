@@ -84,3 +84,21 @@ def test_fiscal_year_start_month(spark):
     assert cal == {2023: 0.0, 2024: 15.0}
     july = {r["fiscal_year"]: r["ytd_spending"] for r in FN.budget_status(costs, budgets, start_month=7).collect()}
     assert july == {2023: 10.0, 2024: 5.0}
+
+
+def test_exploded_schedules_are_not_broadcast(spark, tmp_path):
+    """Schedules look as small as the individuals they are exploded from, and are many times as many."""
+    spark.range(20_000).withColumnRenamed("id", "key").write.parquet(str(tmp_path / "people"))
+    people = spark.read.parquet(str(tmp_path / "people"))
+    schedules = people.select(
+        "key", F.explode(F.sequence(F.lit(1), F.lit(40))).alias("outcome_metric_id")).select(
+        (F.col("key") * 100 + F.col("outcome_metric_id")).alias("id"), F.col("key").alias("individual_id"),
+        "outcome_metric_id", F.lit("Weekly").alias("frequency"), F.lit(dt.date(2024, 1, 1)).alias("start_date"))
+    individuals = people.join(people.select(F.col("key").alias("other")), F.col("key") == F.col("other")).select(
+        F.col("key").alias("id"), F.col("key").cast("string").alias("anonymous_id"))
+    metrics = spark.range(1, 41).select(F.col("id").cast("int").alias("id"), F.lit("m").alias("name"))
+    listed = I.schedule_list(I.next_due(schedules), individuals, metrics)
+    plan = listed._jdf.queryExecution().sparkPlan().toString()
+    joins = [line for line in plan.splitlines() if "Join" in line and "individual_id" in line]
+    assert joins and all("SortMergeJoin" in line for line in joins), plan
+    assert listed.count() == 800_000
