@@ -180,3 +180,64 @@ def test_describe_matches_numpy(spark):
             assert got[g][col] == pytest.approx(np.percentile(vals, p))
     whole = describe_by(df, None, "v").collect()[0]
     assert whole["p50"] == pytest.approx(np.median([v for _, v in rows if v is not None]))
+
+
+def _driver_tables(spark, root):
+    """Small driver tables with nulls, an unknown part and order, and two line items of one session."""
+    ts = dt.datetime
+    day = lambda d: ts(1998, 3, d)
+    lines = [(o, p, s, n, q, 1000.0 * o + p, 0.05, 0.02, "N", "O", day(1 + (o + p) % 28))
+             for o in range(2, 40) for p, s, n, q in ((o % 13, o % 5, 1 + o % 7, float(o % 30)), (10, 3, 2, 13.0))]
+    lines += [lines[0], (3, 5, None, 4, None, None, 0.0, 0.0, "R", None, None), (None, 5, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", day(2)),
+              (4, 99, 1, 1, 1.0, 1.0, 0.0, 0.0, "N", "O", day(2)), (4, 7, 7, 5, 8.0, 90.0, None, 0.1, "A", "F", day(3))]
+    data = {
+        "lineitem": (lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, "
+                            "l_extendedprice double, l_discount double, l_tax double, l_returnflag string, "
+                            "l_linestatus string, l_shipdate timestamp_ntz"),
+        "orders": ([(o, o % 6, "O", 1.0, day(1), "5-LOW") for o in range(1, 40)], "o_orderkey long, o_custkey long, "
+                   "o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, o_orderpriority string"),
+        "part": ([(p, "x", "b", "PROMO" if p % 2 else "SMALL", p, 1.0) for p in range(14)],
+                 "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double"),
+        "customer": ([(c, f"C{c}", c % 2, 1.0, "FURNITURE" if c == 2 else "BUILDING") for c in range(5)],
+                     "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string"),
+        "supplier": ([(s, f"S{s}", 0, 1.0) for s in range(4)], "s_suppkey long, s_name string, s_nationkey int, s_acctbal double"),
+        "nation": ([(0, "n0", 0), (1, "n1", 0)], "n_nationkey int, n_name string, n_regionkey int"),
+        "region": ([(0, "r0")], "r_regionkey int, r_name string")}
+    for name, (rows, schema) in data.items():
+        spark.createDataFrame(rows, schema).write.parquet(f"{root}/{name}.parquet")
+    return str(root)
+
+
+def test_mart_of_narrow_rows_is_the_mart_of_the_tables(spark, tmp_path):
+    from caremart.plans import catalog
+    from caremart.sources.adapter import CareTables
+    root = _driver_tables(spark, tmp_path)
+    plain = lambda df: sorted(map(repr, df.collect()))
+    for kw in ({}, {"period": ("1998-03-05", "1998-03-25"), "filters": {"age_group": "31-45", "staff": "All"}},
+               {"cost_grain": "session"}):
+        want = plain(M.outcome_mart(CareTables(spark, root).tables(), **kw))
+        assert len(want) > 5
+        for _ in range(2):  # the second time from what is kept
+            assert plain(catalog.mart(spark, root, **kw)) == want
+    whole = M.outcome_mart(CareTables(spark, root).tables())
+    assert whole.where("session_id LIKE '%-10-%'").count() > 0
+    # an outcome without costs takes the medians, no cost derived from an empty row
+    parts = M.outcome_star(**{k: v for k, v in CareTables(spark, root).derived().items()})
+    assert parts.where("session_id LIKE '%-10-3-2-%' AND (indirect_cost IS NOT NULL OR direct_cost IS NOT NULL)").count() == 0
+
+
+def test_mart_shuffles_and_writes_no_derived_text(spark, tmp_path):
+    """Ids and texts derive from narrow columns after the joins: they are neither shuffled nor written."""
+    from caremart.plans import catalog
+    root = _driver_tables(spark, tmp_path)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    staged = []
+    try:
+        M.outcome_mart(catalog.care(spark, root).derived(), stage=lambda df, name: staged.append(df) or df)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    files = catalog.mart(spark, root).inputFiles()
+    stored = spark.read.parquet(*files).columns
+    assert not {"id", "session_id", "notes", "recorded_by", "total_cost"} & set(stored), stored
+    plan = staged[0]._jdf.queryExecution().sparkPlan().toString()
+    assert not [line for line in plan.splitlines() if "Project" in line and "concat" in line.lower()], plan
