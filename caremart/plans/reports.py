@@ -122,10 +122,11 @@ def billing_export(mart: DataFrame, code_map: str,
                    ) -> DataFrame:
     """SNK6: sessions with the billing code of their intervention (NULL when unmapped).
 
-    The map comes from user text; Catalyst broadcasts it when its size allows.
+    The map comes from user text that the driver has parsed, so it is small, which Catalyst does not know of a list:
+    it is broadcast, and the sessions are not dealt by their few interventions.
     """
     pairs = parse_code_map(code_map)
     spark = mart.sparkSession
     schema = "intervention_name string, billing_code string"
     m = spark.createDataFrame(pairs, schema).dropDuplicates(["intervention_name"])
-    return mart.select(*cols, "id").join(m, "intervention_name", "left")
+    return mart.select(*cols, "id").join(F.broadcast(m), "intervention_name", "left")

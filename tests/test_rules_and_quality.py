@@ -2,7 +2,10 @@
 
 import datetime as dt
 
+from pyspark.sql import functions as F
+
 from caremart.operators import quality as Q
+from caremart.plans.reports import billing_export
 
 
 def test_rule_score_goldens(spark):
@@ -39,3 +42,14 @@ def test_duplicates_and_dedupe(spark):
     twice = Q.dedupe_keep_first(once)
     assert sorted(x["id"] for x in twice.collect()) == ["b", "d"]
     assert sorted(x["id"] for x in Q.removed_duplicates(r).collect()) == ["a", "c"]
+
+
+def test_billing_map_does_not_shuffle_the_sessions(spark):
+    mart = spark.range(1000).select(
+        "id", F.lit("2020-01-01").cast("date").alias("session_date"), F.col("id").cast("string").alias("anonymous_id"),
+        F.when(F.col("id") % 10 < 8, "PROMO").when(F.col("id") % 10 == 8, "O'Hara \\n").alias("intervention_name"),
+        F.lit(30.0).alias("session_duration"), F.lit(1.0).alias("total_cost"))
+    out = billing_export(mart, "PROMO: 97530\nO'Hara \\n: 1\nPROMO: 97530\nother: 2")
+    codes = {r["billing_code"]: r["n"] for r in out.groupBy("billing_code").agg(F.count("*").alias("n")).collect()}
+    assert codes == {"97530": 800, "1": 100, None: 100}
+    assert "SortMergeJoin" not in out._jdf.queryExecution().sparkPlan().toString()
