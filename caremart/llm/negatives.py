@@ -5,7 +5,8 @@ there: then ``2 q.x = |q|^2 + M^2 - d(q, x)^2``, so a ball around a node bounds
 
 Trees: candidates are dealt by a hash into shards of about ``SHARD`` points; a task builds a cover tree of each shard.
 The covering radii shrink by ``BASE`` from level to level: a node's points are covered by farthest-first centres until
-each lies within the level's radius of one; a node of at most ``LEAF`` points is a leaf.  Each node keeps its own
+each lies within the level's radius of one; a node of at most ``LEAF`` points is a leaf, and so is
+one whose balls would hold only a few points each, as around vectors without clusters.  Each node keeps its own
 covering radius, the greatest distance to a point below it.
 
 Search: best-first descent.  Of the open nodes the one with the greatest bound comes next; nodes whose bounds lie
@@ -44,7 +45,8 @@ from pyspark.sql import functions as F
 from caremart.llm.common import read_table
 from caremart.plans.materialize import write_stage
 
-SHARD, GROUP, LEAF = 8192, 50_000, 128
+SHARD, GROUP, LEAF = 8192, 50_000, 512
+FULL = 8  # points of a ball on average, at least
 BASE = 1.3
 SCALE = 256
 POSITIVES, NEGATIVES = 5, 5
@@ -71,7 +73,11 @@ class CoverTree:
             own = order[low[k]:high[k]]
             if len(own) > leaf and radius[k] > least:
                 level = math.floor(math.log(radius[0] / radius[k], base) + 1e-9) + 1
-                centres, groups, radii = self._cover(augmented, own, centre[k], radius[0] / base ** level)
+                balls = self._cover(augmented, own, centre[k], radius[0] / base ** level)
+                if balls is None:
+                    k += 1
+                    continue
+                centres, groups, radii = balls
                 first[k], count[k] = len(centre), len(centres)
                 order[low[k]:high[k]] = np.concatenate(groups)
                 ends = low[k] + np.cumsum([len(g) for g in groups])
@@ -104,12 +110,17 @@ class CoverTree:
         return np.sqrt(np.einsum("ij,ij->i", gap, gap))
 
     def _cover(self, augmented: np.ndarray, own: np.ndarray, centre: int, reach: float):
-        """Centres, points and radii of the balls that cover a node's points: farthest first, until all are in reach."""
+        """Centres, points and radii of the balls that cover a node's points: farthest first, until all are in reach.
+
+        None, if they would hold fewer than ``FULL`` points on average.
+        """
         points = augmented[own]
         centres = [centre]
         nearest = np.zeros(len(own), np.int64)
         distance = self._distances(points, augmented[centre])
         while distance.max() > reach:
+            if len(centres) > 1 and (len(centres) + 1) * FULL > len(own):
+                return None
             i = int(distance.argmax())
             d = self._distances(points, points[i])
             closer = d < distance
@@ -172,6 +183,8 @@ class CoverTree:
             at = np.flatnonzero(right)
             for i in at[np.argsort(-scores[at], kind="stable")].tolist():
                 score = int(scores[i])
+                if score < min(least):
+                    break
                 for w, (x, y) in enumerate(zip(least, most)):
                     if x <= score <= y:
                         for one in self.ids[a + i]:

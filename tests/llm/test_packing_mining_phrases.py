@@ -208,3 +208,16 @@ def test_collocation_scores_pass_64_bits(spark):
     sizes = spark.createDataFrame([("en", 10 ** 13 + 7)], "lang string, n long")
     r = collocations.ranked(counts, sizes, 10).collect()[0]
     assert r["score"] == 1000 * (2 * 10 ** 11 + 9) * (10 ** 13 + 7) // ((3 * 10 ** 11 + 1) * (7 * 10 ** 11 + 3))
+
+
+def test_cover_tree_of_scattered_vectors_has_no_ball_for_every_point():
+    rng = np.random.default_rng(5)
+    x = np.floor(256 * rng.normal(size=(3000, 64)))
+    tree = negatives.CoverTree(x, rng.integers(0, 3, 3000), [(i,) for i in range(3000)])
+    assert len(tree.count) < 3000 / 8
+    least = sorted((x @ x[7]).tolist(), reverse=True)[30]
+    scores = [(-int(v), i) for i, v in enumerate((x @ x[7]).tolist()) if i != 7]
+    labels = dict(zip([i for one in tree.ids for i in one], tree.labels.tolist()))
+    for same in (True, False):
+        want = sorted(p for p in scores if (labels[p[1]] == 1) == same and -p[0] >= least)[:5]
+        assert tree.search(x[7], 1, same, [(least, math.inf)], 5, 7)[0] == want
