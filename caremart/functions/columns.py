@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterable, Mapping
+from collections.abc import Callable, Iterable, Mapping, Sequence
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -13,10 +13,12 @@ class Derived(NamedTuple):
     """Rows, and the named columns that derive from them.
 
     Joins and written stages carry the rows, which may be far narrower than the columns; ``frame`` is the table.
+    ``uses`` may name the row columns that a column derives from.
     """
 
     rows: DataFrame
     columns: Mapping[str, Column]
+    uses: Mapping[str, Sequence[str]] = {}
 
     @classmethod
     def of(cls, table: DataFrame | Derived) -> Derived:
@@ -25,6 +27,13 @@ class Derived(NamedTuple):
     def frame(self) -> DataFrame:
         return self.rows.select(*[e.alias(c) for c, e in self.columns.items()])
 
+    def unused(self, columns: Iterable[str]) -> list[str]:
+        """The row columns that the named columns do not derive from; none, if ``uses`` lacks one of them."""
+        named = [c for c in columns if c in self.columns]
+        if any(c not in self.uses for c in named):
+            return []
+        return [r for r in self.rows.columns if not any(r in self.uses[c] for c in named)]
+
     def where(self, keep: Callable[[DataFrame], DataFrame]) -> Derived:
         """The rows that a filter of the derived columns keeps."""
         both = self.rows.select(F.struct(*self.rows.columns).alias("_row"), *[e.alias(c) for c, e in self.columns.items()])

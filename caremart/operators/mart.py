@@ -73,16 +73,18 @@ def _star(outcomes: DataFrame | Derived, interventions: DataFrame, metrics: Data
         # an outcome without costs has none: not the values of empty rows
         c, sid = costs.rows.withColumn("_c_here", F.lit(True)), costs.columns["session_id"]
         parts = {x: F.when(F.col("_c_here"), costs.columns.get(x, F.lit(None).cast("double"))) for x in COST_PARTS}
+        spent = costs.unused(COST_PARTS)
     else:
         c = costs.frame() if isinstance(costs, Derived) else costs
         c = c.select(F.col("session_id").alias("_c_sid"), *[_opt(c, x, dtype="double") for x in COST_PARTS])
         if cost_grain == "session":
             # one cost row per session: pre-aggregate so several cost rows never fan out metric rows
             c = c.groupBy("_c_sid").agg(*[F.sum(x).alias(x) for x in COST_PARTS])
-        sid, parts = F.col("_c_sid"), {x: F.col(x) for x in COST_PARTS}
+        sid, parts, spent = F.col("_c_sid"), {x: F.col(x) for x in COST_PARTS}, []
     # The joins that shuffle the outcomes go first, while their rows are narrowest; the other dimension joins (inner,
     # on outcome columns only) follow, so the result equals the written join order of the reference.
-    rows = (o.join(c, cols["session_id"] == sid, "left")
+    # What the costs' session ids derive from has done its work with the first join.
+    rows = (o.join(c, cols["session_id"] == sid, "left").drop(*spent)
             .join(p, cols["individual_id"] == F.col("_p_id"))
             .join(i, cols["intervention_id"] == F.col("_i_id"))
             .join(m, cols["outcome_metric_id"] == F.col("_m_id"))

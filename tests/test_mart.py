@@ -241,3 +241,12 @@ def test_mart_shuffles_and_writes_no_derived_text(spark, tmp_path):
     assert not {"id", "session_id", "notes", "recorded_by", "total_cost"} & set(stored), stored
     plan = staged[0]._jdf.queryExecution().sparkPlan().toString()
     assert not [line for line in plan.splitlines() if "Project" in line and "concat" in line.lower()], plan
+
+
+def test_mart_drops_the_parts_of_the_costs_ids_after_their_join(spark, tmp_path):
+    """Of the costs' rows only what their values derive from goes on through joins and stage."""
+    from caremart.plans import catalog
+    root = _driver_tables(spark, tmp_path)
+    stored = spark.read.parquet(*catalog.mart(spark, root).inputFiles()).columns
+    assert {c for c in stored if c.startswith("cost_")} - {"cost_per_session"} == {
+        "cost_extendedprice", "cost_discount", "cost_tax", "cost_linenumber"}
