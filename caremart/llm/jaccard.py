@@ -44,10 +44,11 @@ from caremart.llm.common import (LOWER, SPACES, free_name, joined, mix64, read_t
 from caremart.plans.materialize import write_stage
 
 SIZE, PERCENT = 3, 90
-BUCKET_TOKENS, LEAST_BUCKETS = 4_000_000, 64
+BUCKET_TOKENS, LEAST_BUCKETS = 1_000_000, 64
 LOW = (1 << 48) - 1  # bits of a shingle's hash that are sent; the bucket holds up to 15 more
 FREQUENT, FEW = 128, 8  # a shingle in 1 / FREQUENT of a chunk's texts, and FEW at least, may be frequent
 CHUNK = 4 << 20
+TEXTS = 1024  # texts whose sets a task holds at a time, to find those that may be frequent
 
 
 def shingle_sets(texts: list, size: int = SIZE) -> Iterator[np.ndarray]:
@@ -73,13 +74,17 @@ def _key(s: np.ndarray) -> tuple[int, int]:
     return int(a.sum(dtype=np.uint64).view(np.int64)), int(b.sum(dtype=np.uint64).view(np.int64))
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    return (batch.slice(at, TEXTS) for batch in batches for at in range(0, batch.num_rows, TEXTS))
+
+
 def _set_rows(docs: DataFrame, size: int) -> DataFrame:
     """A row for each document (doc_id, n, ka, kb), and rows (token, c) of shingles frequent in a chunk."""
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
-        for batch in batches:
+        for batch in _few(batches):
             ns, keys, new = [], [], []
             for s in shingle_sets(batch.column(1).to_pylist(), size):
                 key = _key(s)
@@ -145,7 +150,7 @@ def _dealt(docs: DataFrame, size: int, buckets: int, frequent: np.ndarray) -> Da
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[tuple[int, int]] = set()
         sets, keys, held = [], [], 0
-        for batch in batches:
+        for batch in _few(batches):
             for s in shingle_sets(batch.column(0).to_pylist(), size):
                 key = _key(s)
                 if not len(s) or key in seen:

@@ -1,6 +1,9 @@
 import random
 import re
+import tracemalloc
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -116,3 +119,19 @@ def test_components_of_a_path_and_a_star(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 101 + i) for i in range(30)] + [(7, 3)]
     got = {r["id"]: r["comp"] for r in jaccard.components(spark.createDataFrame(edges, "x long, y long")).collect()}
     assert got == {i: 1 for i in range(1, 41)} | {i: 100 for i in range(100, 131)}
+
+
+def test_a_full_bucket_fits_beside_others_in_an_executor():
+    rng = np.random.default_rng(3)
+    tokens = np.sort(rng.integers(0, 1 << 47, jaccard.BUCKET_TOKENS // 2, np.uint64))
+    runs = np.full(500, len(tokens) // 500, np.uint32)
+    tokens = tokens[:int(runs.sum())]
+    row = lambda k: (3, np.arange(500).tobytes(), np.full(500, k).tobytes(), runs.tobytes(),
+                     jaccard._six(tokens).tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(row(0), row(1))],
+                                       names=["bucket", "ka", "kb", "runs", "tokens"])
+    tracemalloc.start()
+    out = list(jaccard._shared_tokens(64)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert sum(b.num_rows for b in out) == 1000 and peak < 200e6
