@@ -49,11 +49,13 @@ LOW = (1 << 48) - 1  # bits of a shingle's hash that are sent; the bucket holds
 FREQUENT, FEW = 128, 8  # a shingle in 1 / FREQUENT of a chunk's texts, and FEW at least, may be frequent
 CHUNK = 4 << 20
 TEXTS = 1024  # texts whose sets a task holds at a time, to find those that may be frequent
+PIECE = 1 << 18  # bytes of text that are hashed at a time
+PARTS = 4  # parts in which the shingles of a bucket are sorted
 
 
 def shingle_sets(texts: list, size: int = SIZE) -> Iterator[np.ndarray]:
     """The sorted distinct shingle hashes of every text."""
-    for _, chunk in text_chunks(texts):
+    for _, chunk in text_chunks(texts, PIECE):
         buf, starts = joined(chunk)
         buf = LOWER[buf]
         ws, we = word_spans(buf, SPACES)
@@ -122,23 +124,25 @@ def _dealt(docs: DataFrame, size: int, buckets: int, frequent: np.ndarray) -> Da
 
     def pack(sets: list, keys: list) -> pa.RecordBatch:
         often = shared.value
-        tokens = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
-        owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        full = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
+        owner = np.repeat(np.arange(len(sets), dtype=np.uint32), [len(s) for s in sets])
+        sets.clear()  # held once from here on
         ka, kb = (np.array([k[i] for k in keys], np.int64) for i in (0, 1))
-        bucket = ((tokens >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
-        low = tokens & np.uint64(LOW)
-        tokens = low | (bucket % (1 << 15) << 48).astype(np.uint64)  # the shingle's name from here on
+        bucket = ((full >> np.uint64(48)) % np.uint64(buckets)).astype(np.int64)
+        tokens = full & np.uint64(LOW) | (bucket % (1 << 15) << 48).astype(np.uint64)  # the shingle's name from here on
         if len(often) and len(tokens):
-            full = np.concatenate(sets)
             at = np.minimum(np.searchsorted(often, full), len(often) - 1)
             hot = often[at] == full
             bucket[hot] = buckets + ka[owner[hot]] % buckets
-        order = np.lexsort((owner, bucket))
+            del at, hot
+        del full
+        order = np.argsort(bucket, kind="stable")  # the owners stand in order
         tokens, owner, bucket = tokens[order], owner[order], bucket[order]
+        del order
         cuts = np.flatnonzero(np.diff(bucket, prepend=-1, append=-1)) if len(bucket) else np.zeros(1, np.int64)
         rows = []
         for a, b in zip(cuts[:-1], cuts[1:]):
-            heads = a + np.flatnonzero(np.diff(owner[a:b], prepend=-1))
+            heads = a + _heads(owner[a:b])
             runs = np.diff(np.append(heads, b)).astype(np.uint32)
             rows.append((int(bucket[a]), ka[owner[heads]].tobytes(), kb[owner[heads]].tobytes(), runs.tobytes(),
                          (tokens[a:b] if bucket[a] >= buckets else _six(tokens[a:b])).tobytes()))
@@ -180,34 +184,61 @@ def _tokens(raw: bytes, bucket: int, buckets: int) -> np.ndarray:
     return out.view("<u8").ravel() | np.uint64(bucket % (1 << 15) << 48)
 
 
+def _heads(x: np.ndarray, *more: np.ndarray) -> np.ndarray:
+    """Where a run of equal values (of all the arrays) starts."""
+    new = np.ones(len(x), bool)
+    new[1:] = x[1:] != x[:-1]
+    for y in more:
+        new[1:] |= y[1:] != y[:-1]
+    return np.flatnonzero(new)
+
+
+def _shared_part(part: int, packed: list, runs: list, numbers: list, bucket: int, buckets: int) -> tuple:
+    """Of one part of a bucket: the shingles that several classes share (all, if frequent), and their classes."""
+    tokens, owner = [], []
+    for raw, run, number in zip(packed, runs, numbers):
+        t = _tokens(raw, bucket, buckets)
+        mine = t % np.uint64(PARTS) == part
+        tokens.append(t[mine])
+        owner.append(np.repeat(number, run)[mine])
+    tokens, owner = np.concatenate(tokens), np.concatenate(owner)
+    order = np.lexsort((owner, tokens))
+    tokens, owner = tokens[order], owner[order]
+    del order
+    once = _heads(tokens, owner)  # a class may come from many tasks
+    tokens, owner = tokens[once], owner[once]
+    sizes = np.diff(np.append(_heads(tokens), len(tokens)))
+    keep = np.repeat(sizes, sizes) > (0 if bucket >= buckets else 1)
+    return tokens[keep], owner[keep]
+
+
 def _shared_tokens(buckets: int):
     """Of one bucket: for every class its shingles that another class has too; frequent ones are taken as shared."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, bucket = [], 0
+        keys, runs, packed, bucket = [], [], [], 0
         for batch in batches:
-            for b, *raw in zip(*(c.to_pylist() for c in batch.columns)):
-                bucket = b
-                ka, kb = (np.frombuffer(x, np.int64) for x in raw[:2])
-                parts.append((ka, kb, np.frombuffer(raw[2], np.uint32), _tokens(raw[3], b, buckets)))
-        ka, kb, runs, tokens = (np.concatenate(x) for x in zip(*parts))
+            for bucket, a, b, run, raw in zip(*(c.to_pylist() for c in batch.columns)):
+                keys.append((np.frombuffer(a, np.int64), np.frombuffer(b, np.int64)))
+                runs.append(np.frombuffer(run, np.uint32))
+                packed.append(raw)
+        batch = None
+        ka, kb = (np.concatenate(x) for x in zip(*keys))
+        del keys
         order = np.lexsort((kb, ka))  # number the classes
         new = (np.diff(ka[order], prepend=0) != 0) | (np.diff(kb[order], prepend=0) != 0)
         new[0] = True
-        number = np.empty(len(ka), np.int64)
+        number = np.empty(len(ka), np.uint32)
         number[order] = np.cumsum(new) - 1
         ka, kb = ka[order][new], kb[order][new]
-        owner = np.repeat(number, runs)
-        order = np.lexsort((owner, tokens))
-        tokens, owner = tokens[order], owner[order]
-        once = (np.diff(tokens, prepend=tokens[:1]) != 0) | (np.diff(owner, prepend=-1) != 0)  # a class from many tasks
-        tokens, owner = tokens[once], owner[once]
-        heads = np.flatnonzero(np.concatenate(([True], tokens[1:] != tokens[:-1])))
-        sizes = np.diff(np.append(heads, len(tokens)))
-        keep = np.repeat(sizes, sizes) > (0 if bucket >= buckets else 1)
-        tokens, owner = tokens[keep], owner[keep]
+        numbers = np.split(number, np.cumsum([len(r) for r in runs])[:-1])
+        del order, new, number
+        # equal shingles are in one part, so a part at a time holds what is sorted
+        found = [_shared_part(part, packed, runs, numbers, bucket, buckets) for part in range(PARTS)]
+        tokens, owner = (np.concatenate(x) for x in zip(*found))
+        del found, packed, runs, numbers
         order = np.argsort(owner, kind="stable")
         tokens, owner = tokens[order].view(np.int64), owner[order]
-        heads = np.flatnonzero(np.diff(owner, prepend=-1))
+        heads = _heads(owner)
         offsets = pa.array(np.append(heads, len(owner)), pa.int32())
         yield pa.RecordBatch.from_arrays(
             [pa.array(ka[owner[heads]]), pa.array(kb[owner[heads]]), pa.ListArray.from_arrays(offsets, pa.array(tokens))],

@@ -1,6 +1,7 @@
 import random
 import re
 import tracemalloc
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -135,3 +136,38 @@ def test_a_full_bucket_fits_beside_others_in_an_executor():
     peak = tracemalloc.get_traced_memory()[1]
     tracemalloc.stop()
     assert sum(b.num_rows for b in out) == 1000 and peak < 200e6
+
+
+def test_the_parts_of_a_bucket_find_what_its_classes_share():
+    rng = np.random.default_rng(7)
+    sets = [np.unique(rng.integers(0, 400, 60)).astype(np.uint64) for _ in range(12)]
+    at = 5
+    for bucket in (at, 64 + at):  # a bucket, and one of frequent shingles, where all count as shared
+        raw = (lambda s: s.tobytes()) if bucket >= 64 else (lambda s: jaccard._six(s).tobytes())
+        named = [s | np.uint64(at << 48) for s in sets]
+        rows = [(bucket, np.int64(k).tobytes(), np.int64(-k).tobytes(), np.uint32(len(s)).tobytes(), raw(s))
+                for k, s in enumerate(named)]
+        rows += rows[:3]  # a class that comes from two tasks
+        batches = [pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows[a:b])],
+                                              names=["bucket", "ka", "kb", "runs", "tokens"]) for a, b in ((0, 7), (7, 15))]
+        got = {r["ka"]: sorted(r["tokens"]) for out in jaccard._shared_tokens(64)(iter(batches)) for r in out.to_pylist()}
+        count = Counter(t for s in named for t in s.tolist())
+        least = 1 if bucket >= 64 else 2
+        want = {k: sorted(t for t in s.tolist() if count[t] >= least) for k, s in enumerate(named)}
+        assert got == {k: v for k, v in want.items() if v}
+
+
+def test_a_full_bucket_takes_little_beside_its_rows():
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(0, 1 << 47, jaccard.BUCKET_TOKENS, np.uint64)
+    each = 2000
+    rows = [(3, np.arange(at, at + each // 8).tobytes(), np.zeros(each // 8, np.int64).tobytes(),
+             np.full(each // 8, 8, np.uint32).tobytes(), jaccard._six(tokens[at:at + each]).tobytes())
+            for at in range(0, len(tokens), each)]
+    batch = pa.RecordBatch.from_arrays([pa.array(c) for c in zip(*rows)], names=["bucket", "ka", "kb", "runs", "tokens"])
+    del rows, tokens
+    tracemalloc.start()
+    list(jaccard._shared_tokens(64)(iter([batch])))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 45e6
