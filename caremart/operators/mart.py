@@ -39,9 +39,12 @@ OUTCOME_COLUMNS = {"id": None, "session_id": None, "individual_id": None, "inter
                    "session_date": None, "session_duration": "double", "attendance_status": None, "staff_id": "string",
                    "notes": "string", "quality_rating": "double", "created_at": "timestamp_ntz",
                    "recorded_by": "string"}
+# the columns that it takes from the individuals; all but the name may be absent
+INDIVIDUAL_COLUMNS = ["anonymous_id", "age_group", "disability_category", "support_level", "gender",
+                      "disability_severity", "funding_source"]
 
 
-def _star(outcomes: DataFrame | Derived, interventions: DataFrame, metrics: DataFrame, individuals: DataFrame,
+def _star(outcomes: DataFrame | Derived, interventions: DataFrame, metrics: DataFrame, individuals: DataFrame | None,
           staff: DataFrame, costs: DataFrame | Derived, cost_grain: str) -> Derived:
     """The joined rows, still without the columns that outcomes and costs derive from theirs, and all columns."""
     if isinstance(outcomes, Derived):
@@ -62,10 +65,16 @@ def _star(outcomes: DataFrame | Derived, interventions: DataFrame, metrics: Data
         _opt(metrics, "scale_min", dtype="double"), _opt(metrics, "scale_max", dtype="double"),
         _opt(metrics, "higher_is_better", dtype="boolean"),
         _opt(metrics, "clinical_significance_threshold", dtype="double"), _opt(metrics, "unit_of_measure"))
-    p = individuals.select(
-        F.col("id").alias("_p_id"), "anonymous_id", _opt(individuals, "age_group"),
-        _opt(individuals, "disability_category"), _opt(individuals, "support_level"),
-        _opt(individuals, "gender"), _opt(individuals, "disability_severity"), _opt(individuals, "funding_source"))
+    if individuals is None:
+        if not isinstance(outcomes, Derived):
+            raise ValueError("only outcomes given as Derived may carry the individuals' columns")
+        p = None
+        own = {x: outcomes.columns["anonymous_id"] if x == "anonymous_id" else
+               outcomes.columns.get(x, F.lit(None).cast("string")) for x in INDIVIDUAL_COLUMNS}
+    else:
+        p = individuals.select(F.col("id").alias("_p_id"), "anonymous_id",
+                               *[_opt(individuals, x) for x in INDIVIDUAL_COLUMNS[1:]])
+        own = {x: F.col(x) for x in INDIVIDUAL_COLUMNS}
     u = staff.select(F.col("id").alias("_u_id"), F.col("full_name").alias("staff_name"))
     if cost_grain not in ("row", "session"):
         raise ValueError("cost_grain must be 'row' or 'session'")
@@ -84,20 +93,22 @@ def _star(outcomes: DataFrame | Derived, interventions: DataFrame, metrics: Data
     # The joins that shuffle the outcomes go first, while their rows are narrowest; the other dimension joins (inner,
     # on outcome columns only) follow, so the result equals the written join order of the reference.
     # What the costs' session ids derive from has done its work with the first join.
-    rows = (o.join(c, cols["session_id"] == sid, "left").drop(*spent)
-            .join(p, cols["individual_id"] == F.col("_p_id"))
-            .join(i, cols["intervention_id"] == F.col("_i_id"))
+    rows = o.join(c, cols["session_id"] == sid, "left").drop(*spent)
+    if p is not None:
+        rows = rows.join(p, cols["individual_id"] == F.col("_p_id"))
+    rows = (rows.join(i, cols["intervention_id"] == F.col("_i_id"))
             .join(m, cols["outcome_metric_id"] == F.col("_m_id"))
             .join(u, cols["staff_id"] == F.col("_u_id"), "left")
             .drop("_i_id", "_m_id", "_p_id", "_u_id", "_c_sid"))
     cols |= parts
-    for d in (i, m, p, u):
+    for d in (i, m):
         cols |= {x: F.col(x) for x in d.columns[1:]}
+    cols |= own | {"staff_name": F.col("staff_name")}
     return Derived(rows, cols)
 
 
-def outcome_star(outcomes: DataFrame | Derived, interventions: DataFrame, metrics: DataFrame, individuals: DataFrame,
-                 staff: DataFrame, costs: DataFrame | Derived, cost_grain: str = "row") -> DataFrame:
+def outcome_star(outcomes: DataFrame | Derived, interventions: DataFrame, metrics: DataFrame,
+                 individuals: DataFrame | None, staff: DataFrame, costs: DataFrame | Derived, cost_grain: str = "row") -> DataFrame:
     """MRT1/JN1: outcomes x interventions x metrics x individuals (inner), staff and costs (left).
 
     Dimensions are pre-projected so only used columns are scanned.  Join strategy
@@ -105,7 +116,8 @@ def outcome_star(outcomes: DataFrame | Derived, interventions: DataFrame, metric
     ``autoBroadcastJoinThreshold``; the joins with the costs (on ``session_id``) and the
     individuals are sort-merge joins once those are large.  Outcomes and costs given as
     ``Derived`` pass them as their narrow rows, and their columns are derived after the
-    joins; the two must have no row column in common.
+    joins; the two must have no row column in common.  Without ``individuals`` the outcomes
+    (``Derived``) carry the individuals' columns: they were joined where the rows were fewest.
     """
     return _star(outcomes, interventions, metrics, individuals, staff, costs, cost_grain).frame()
 
@@ -201,14 +213,14 @@ MART_COLUMNS = [
 ]
 
 
-def outcome_mart(tables: Mapping[str, DataFrame | Derived], period: tuple | None = None,
+def outcome_mart(tables: Mapping[str, DataFrame | Derived | None], period: tuple | None = None,
                  filters: Mapping[str, object] | None = None, cost_grain: str = "row",
                  median_strategy: str = "exact",
                  stage: Callable[[DataFrame, str], DataFrame] | None = None, known: dict | None = None) -> DataFrame:
     """MRT9: the whole mart for an optional period and optional equality filters.
 
     ``tables`` holds ``outcomes, interventions, metrics, individuals, staff, costs``;
-    outcomes and costs may be ``Derived``.
+    outcomes and costs may be ``Derived``, and such outcomes may carry the individuals' columns (``individuals`` None).
     Medians/modes are computed after the period and filters (reference
     semantics); filter the returned frame to narrow *after* imputation.
     ``stage`` (e.g. ``materialize.write_stage``) writes the rows of the filtered star

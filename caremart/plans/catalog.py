@@ -71,6 +71,16 @@ def care(spark: SparkSession, sf_dir: str) -> CareTables:
     return StoredCareTables(spark, sf_dir)
 
 
+class ViewedCareTables(StoredCareTables):
+    """The outcomes stay a view, for a query that scans few of their rows or columns once: storing all would move more."""
+
+    outcome_rows = CareTables.outcome_rows
+
+
+def viewed(spark: SparkSession, sf_dir: str) -> CareTables:
+    return ViewedCareTables(spark, sf_dir)
+
+
 def mart(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """The outcome mart: its joined rows are written once per session and parameters, then scanned.
 
@@ -79,7 +89,7 @@ def mart(spark: SparkSession, sf_dir: str, **kw) -> DataFrame:
     """
     key = (sf_dir, tuple(sorted((k, repr(v)) for k, v in kw.items())))
     stage = lambda rows, name: materialized(spark, f"mart-{name}", key, lambda: rows, sf_dir)
-    return outcome_mart(care(spark, sf_dir).derived(), stage=stage, known=kept_values(spark, "mart", key, sf_dir), **kw)
+    return outcome_mart(viewed(spark, sf_dir).derived(), stage=stage, known=kept_values(spark, "mart", key, sf_dir), **kw)
 
 
 def _dbl(*names: str) -> list[str]:
