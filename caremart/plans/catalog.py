@@ -1805,7 +1805,7 @@ def q_stream_import_outcomes(spark, sf_dir):
  FROM c_outcomes o JOIN c_individuals p ON o.individual_id = p.id WHERE o.attendance_status = 'partial'"""), [],
           "SNK3 SNK5")
 def q_emergency_entry_alerts(spark, sf_dir):
-    c = care(spark, sf_dir)
+    c = viewed(spark, sf_dir)
     e = (c.outcomes.where(F.col("attendance_status") == "partial")
          .join(c.individuals.select(F.col("id").alias("individual_id"), "anonymous_id"), "individual_id"))
     a = U.emergency_alerts(e)
