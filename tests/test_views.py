@@ -18,7 +18,7 @@ def _stored(root):
     return [k[1] for k in materialize._WRITTEN if k[2][0] == root]
 
 
-@pytest.mark.parametrize("name", ["emergency_entry_alerts", "session_audit_rows", "report_cost_summary"])
+@pytest.mark.parametrize("name", ["emergency_entry_alerts", "session_audit_rows", "stream_import", "report_cost_summary"])
 def test_outcomes_are_not_stored(spark, root, name):
     catalog.REGISTRY[name].build(spark, root).collect()
     assert "outcome_rows" not in _stored(root)
