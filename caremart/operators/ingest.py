@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import datetime as _dt
 import uuid
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -127,6 +127,21 @@ REJECT_REASONS = ("score does not convert", "date does not convert", "score is m
                   "unknown individual", "unknown intervention", "unknown metric", "score is out of range")
 
 
+def name_ids(individuals: DataFrame, interventions: DataFrame, metrics: DataFrame, check_scale: bool = True,
+             active_only: bool = True) -> dict[str, DataFrame]:
+    """For each name column of a batch its ``_name`` with the id it stands for: the smallest of those that share it.
+
+    With ``check_scale`` the metrics' come with that row's scale.
+    """
+    def dim(df, name_col, out, *more):
+        d = df.where(F.col("active")) if active_only and "active" in df.columns else df
+        return d.groupBy(F.col(name_col).cast("string").alias("_name")).agg(
+            F.min("id").alias(out), *[F.min_by(F.col(c).cast("double"), "id").alias(f"_{c}") for c in more])
+    return {"individual_anonymous_id": dim(individuals, "anonymous_id", "individual_id"),
+            "intervention_name": dim(interventions, "name", "intervention_id"),
+            "metric_name": dim(metrics, "name", "outcome_metric_id", *(("scale_min", "scale_max") if check_scale else ()))}
+
+
 def judged_rows(batch: DataFrame, individuals: DataFrame, interventions: DataFrame, metrics: DataFrame,
                 check_scale: bool = True, active_only: bool = True) -> DataFrame:
     """ING2-ING4 for each row: the ``typed`` batch with its ids and ``reasons``, the list of what is wrong with it.
@@ -134,16 +149,14 @@ def judged_rows(batch: DataFrame, individuals: DataFrame, interventions: DataFra
     Rows without reasons can be imported.  A name that several (active) rows share
     resolves to its smallest id, and to that row's scale.
     """
-    def dim(df, name_col, out, *more):
-        d = df.where(F.col("active")) if active_only and "active" in df.columns else df
-        return d.groupBy(F.col(name_col).cast("string").alias(f"_{out}")).agg(
-            F.min("id").alias(out), *[F.min_by(F.col(c).cast("double"), "id").alias(f"_{c}") for c in more])
+    return judged_by(batch, name_ids(individuals, interventions, metrics, check_scale, active_only), check_scale)
+
+
+def judged_by(batch: DataFrame, ids: Mapping[str, DataFrame], check_scale: bool = True) -> DataFrame:
+    """``judged_rows`` by the names' ids (``name_ids``)."""
     j = typed(batch)
-    for name, d, col, out, more in (
-            ("individual_anonymous_id", individuals, "anonymous_id", "individual_id", ()),
-            ("intervention_name", interventions, "name", "intervention_id", ()),
-            ("metric_name", metrics, "name", "outcome_metric_id", ("scale_min", "scale_max") if check_scale else ())):
-        j = j.join(dim(d, col, out, *more), F.col(name) == F.col(f"_{out}"), "left").drop(f"_{out}")
+    for name, d in ids.items():
+        j = j.join(d, F.col(name) == F.col("_name"), "left").drop("_name")
     blank = lambda c: F.coalesce(F.trim(F.col(c)) == "", F.lit(True))
     score, day = F.col("score_value"), F.col("session_day")
     scale = score.between(F.col("_scale_min"), F.col("_scale_max")) if check_scale else F.lit(True)

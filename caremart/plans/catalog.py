@@ -1787,10 +1787,12 @@ imported AS (SELECT DISTINCT individual_id, intervention_id, session_day FROM fr
 def q_stream_import_outcomes(spark, sf_dir):
     """What became of every row of the arriving files, a few files to a micro-batch, by outcome and reasons."""
     from caremart.streaming import jobs as SJ
-    c = care(spark, sf_dir)
+    c = viewed(spark, sf_dir)
     rows = c.import_batch.select(*OUTCOMES_CSV_REQUIRED)
     in_dir = _csv(spark, rows, "stream")
-    out = SJ.stream_import(spark, in_dir, c.individuals, c.interventions, c.metrics, _stored(c), max_files=2, validate=True)
+    # every micro-batch scans the stored records: their keys alone are written for it
+    stored = write_stage(_stored(c).select("individual_id", "intervention_id", "session_date"), "stored-keys")
+    out = SJ.stream_import(spark, in_dir, c.individuals, c.interventions, c.metrics, stored, max_files=2, validate=True)
     left = spark.read.parquet(SJ.rejects_of(out)).withColumn("reasons", F.concat(F.array_join("reasons", "; "), F.lit("; ")))
     n = F.count(F.lit(1)).alias("rows")
     count = lambda df, outcome: df.agg(n).select(F.lit(outcome).alias("outcome"), F.lit("").alias("reasons"), "rows")

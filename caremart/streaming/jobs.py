@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from caremart.operators import access as AC
 from caremart.operators import ingest as G
-from caremart.plans.materialize import stage_path
+from caremart.plans.materialize import stage_path, write_stage
 from caremart.schemas import OUTCOMES_CSV_REQUIRED
 from caremart.sources.csv import QUOTING
 from caremart.sources.fs import child_names, delete, exists, rename
@@ -53,6 +53,7 @@ LOCK_STATE = T.StructType([T.StructField("user_id", T.LongType()), T.StructField
                            T.StructField("last_seen", T.TimestampType())])
 EARLIEST = "0001-01-01 00:00:00"
 BUCKETS = 64
+SMALL = 500_000  # rows of a micro-batch whose keys are broadcast to the stored records
 
 
 def advance_lockouts(state: DataFrame, logins: DataFrame, limit: int = 3) -> DataFrame:
@@ -215,8 +216,10 @@ def stream_import(spark: SparkSession, in_dir: str, individuals: DataFrame, inte
     Rejected are rows that do not convert or whose names are unknown; with ``validate``
     names must be active and scores within their metric's scale, as in the validation of
     a file.  ``skip_duplicates`` sees the stored records and the keys of earlier
-    micro-batches, of which only the months that the batch touches are read.  A
-    repeated micro-batch overwrites its own rows in both sinks.
+    micro-batches, of which only the months that the batch touches are read; the keys of
+    a batch of at most ``SMALL`` rows go to them, a larger batch meets them in a shuffle.
+    The names' ids are derived once for all micro-batches of a run.  A repeated
+    micro-batch overwrites its own rows in both sinks.
     """
     schema = T.StructType([T.StructField(c, T.StringType()) for c in csv_columns])
     out_dir = out_dir or stage_path(spark, "stream-import")
@@ -226,13 +229,15 @@ def stream_import(spark: SparkSession, in_dir: str, individuals: DataFrame, inte
            .select("*", F.col("_metadata.file_path").alias("_file"),
                    F.col("_metadata.file_block_start").alias("_block")))
     month = F.date_format(F.trunc("session_date", "month"), "yyyy-MM")
+    ids = {c: write_stage(d, "stream-names") for c, d in
+           G.name_ids(individuals, interventions, metrics, validate, validate).items()}
 
     def import_batch(batch: DataFrame, epoch: int) -> None:
         row = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).cast("string")
         b = batch.withColumn("row_num", F.concat_ws("#", "_file", F.lpad(F.col("_block").cast("string"), 20, "0"),
                                                     F.lpad(row, 12, "0")))
         # judged once: both sinks read the same written rows
-        G.judged_rows(b, individuals, interventions, metrics, validate, validate).write.mode("overwrite").parquet(judged_dir)
+        G.judged_by(b, ids, validate).write.mode("overwrite").parquet(judged_dir)
         judged = spark.read.parquet(judged_dir)
         accepted = judged.where(F.size("reasons") == 0)
         days = accepted.select(F.col("session_day").alias("session_date"))
@@ -242,6 +247,9 @@ def stream_import(spark: SparkSession, in_dir: str, individuals: DataFrame, inte
         if exists(spark, keys_dir):
             done = spark.read.parquet(keys_dir).where((F.col("epoch") < epoch) & F.col("month").isin(months))
             existing = existing.unionByName(done.select(*cols))
+        if accepted.count() <= SMALL:
+            keys = accepted.select("individual_id", "intervention_id", F.col("session_day").alias("session_date"))
+            existing = existing.join(F.broadcast(keys.distinct()), cols, "left_semi").distinct()
         G.new_rows(accepted, existing=existing, batch_id="stream").write.mode("overwrite").parquet(f"{out_dir}/epoch={epoch}")
         imported = spark.read.parquet(f"{out_dir}/epoch={epoch}")
         skipped = (accepted.join(imported.select("row_num"), "row_num", "left_anti")

@@ -54,3 +54,31 @@ def test_mart_refuses_plain_outcomes_without_individuals(spark, root):
     tables = catalog.viewed(spark, root).tables() | {"individuals": None}
     with pytest.raises(ValueError, match="individuals"):
         M.outcome_mart(tables)
+
+
+def test_stream_import_brings_small_batches_to_the_stored_records(spark, tmp_path, monkeypatch):
+    """Both ways skip what is stored or came in an earlier micro-batch; names are resolved once for a run."""
+    import datetime as dt
+
+    from caremart.operators import ingest as G
+    from caremart.streaming import jobs as SJ
+    ind = spark.createDataFrame([(1, "A1"), (0, "A1"), (2, "A2")], "id long, anonymous_id string")
+    itv = spark.createDataFrame([("t1", "Art")], "id string, name string")
+    met = spark.createDataFrame([("m1", "Mood", 0.0, 10.0)], "id string, name string, scale_min double, scale_max double")
+    stored = spark.createDataFrame([(0, "t1", dt.date(2020, 1, 3)), (0, "t1", dt.date(2020, 1, 3)), (None, None, None)],
+                                   "individual_id long, intervention_id string, session_date date")
+    (tmp_path / "csv").mkdir()
+    for n, day in enumerate(("2020-01-03", "2020-01-04", "2020-01-04", "2020-01-05")):
+        (tmp_path / "csv" / f"{n}.csv").write_text("individual_anonymous_id,intervention_name,metric_name,score,session_date\n"
+                                                   f"A1,Art,Mood,{n},{day}\nA2,Art,Mood,{n},{day}\n")
+    resolved = []
+    names = G.name_ids
+    monkeypatch.setattr(G, "name_ids", lambda *a: resolved.append(1) or names(*a))
+    for small in (0, SJ.SMALL):
+        monkeypatch.setattr(SJ, "SMALL", small)
+        out = SJ.stream_import(spark, str(tmp_path / "csv"), ind, itv, met, stored, out_dir=str(tmp_path / f"out{small}"),
+                               max_files=1)
+        got = sorted((r["individual_id"], str(r["session_date"])) for r in spark.read.parquet(out).collect())
+        assert got == [(0, "2020-01-04"), (0, "2020-01-05"), (2, "2020-01-03"), (2, "2020-01-04"), (2, "2020-01-05")]
+        assert spark.read.parquet(SJ.rejects_of(out)).count() == 3
+    assert len(resolved) == 2  # once a run, not once for each of its four micro-batches
