@@ -181,35 +181,64 @@ def _shard_column(shards: int):
     return code(-3), code(-2)
 
 
-def shards_of_model(model: DataFrame, order: int = ORDER, size: int = SHARD) -> list[Shard]:
-    """The model in shards of about ``size`` rows; all of them pass through the driver and are held there together."""
+class PackedShard:
+    """A shard as the Arrow table that the driver passes on; a Python worker builds its maps once, when it first needs them."""
+
+    def __init__(self, table: pa.Table, order: int, shards: int, own: int):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.packed, self.settings, self.built = sink.getvalue().to_pybytes(), (order, shards, own), None
+
+    def unpacked(self) -> Shard:
+        if self.built is None:
+            table = pa.ipc.open_stream(self.packed).read_all()
+            self.built = Shard(list(zip(*(table.column(c).to_pylist() for c in range(3)))), *self.settings)
+        return self.built
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"built": None}
+
+
+def packed_shards(model: DataFrame, order: int = ORDER, size: int = SHARD) -> Iterator[PackedShard]:
+    """The model in shards of about ``size`` rows, which pass through the driver one after the other, as Arrow bytes."""
     total = model.count()
     shards = max(1, -(-total // size))
     logp_at, logb_at = _shard_column(shards)
-    out = []
     for k in range(shards):
         part = model.filter((F.col("order") <= 2) | (logp_at == k) | (logb_at == k)) if shards > 1 else model
-        rows = part.select("gram", "logp", "logb").toArrow()
-        out.append(Shard(list(zip(*(rows.column(c).to_pylist() for c in range(3)))), order, shards, k))
-    return out
+        yield PackedShard(part.select("gram", "logp", "logb").toArrow(), order, shards, k)
 
 
-def perplexity(docs: DataFrame, model: DataFrame, order: int = ORDER, size: int = SHARD) -> DataFrame:
-    """All columns of ``docs`` plus ``perplexity`` (of a character, the word's end included)."""
-    sc = docs.sparkSession.sparkContext
+def shards_of_model(model: DataFrame, order: int = ORDER, size: int = SHARD) -> list[Shard]:
+    """The shards with their maps, all of them on the driver; scoring takes ``shared_model``."""
+    return [shard.unpacked() for shard in packed_shards(model, order, size)]
+
+
+def shared_model(model: DataFrame, order: int = ORDER, size: int = SHARD) -> list:
+    """A broadcast for each shard of the model; several scorings take the same ones."""
+    sc = model.sparkSession.sparkContext
+    return [sc.broadcast(shard) for shard in packed_shards(model, order, size)]
+
+
+def perplexity(docs: DataFrame, model: DataFrame | list, order: int = ORDER, size: int = SHARD) -> DataFrame:
+    """All columns of ``docs`` plus ``perplexity`` (of a character, the word's end included).
+
+    ``model`` is the written table or its broadcasts (``shared_model``).
+    """
     docs = docs.select(*[c for c in docs.columns if c != "perplexity"])
     at = docs.columns.index("text")
     rows = docs.withColumns({"_ll": F.lit(0.0), "_n": F.lit(0).cast("long")})
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in rows.schema])
-    for shard in shards_of_model(model, order, size):
-        rows = rows.mapInArrow(_scorer(sc.broadcast(shard), at), schema)
+    for shared in model if isinstance(model, list) else shared_model(model, order, size):
+        rows = rows.mapInArrow(_scorer(shared, at), schema)
     ppl = F.when(F.col("_n") > 0, F.exp(-F.col("_ll") / F.col("_n")))
     return rows.select(*docs.columns, ppl.alias("perplexity"))
 
 
 def _scorer(shared, at: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = shared.value
+        shard = shared.value.unpacked()
         known: dict[str, tuple[float, int]] = {}
         for batch in batches:
             ll, n = [], []
@@ -279,7 +308,7 @@ def _judged(scored: DataFrame, limits: list) -> DataFrame:
 def judge(docs: DataFrame, labels: DataFrame, **settings) -> DataFrame:
     """All columns of ``docs`` plus ``perplexity, threshold, keep``; the texts are scored where they stand."""
     docs = docs.select(*[c for c in docs.columns if c not in ADDED])
-    model = _trained(docs, labels)
+    model = shared_model(_trained(docs, labels))
     held = trusted_ids(labels).filter(_held_out(F.col("_trusted")))
     sample = docs.select("doc_id", "lang", "text").filter(_held_out(F.col("doc_id"))).join(
         held.hint("merge"), F.col("doc_id") == F.col("_trusted"), "left_semi")

@@ -276,3 +276,27 @@ def test_registration(spark):
     names = {n.split("_")[0] for n in entry.queries()}
     assert {f"op{i}" for i in range(1, 11)} | {"pipeline"} <= names
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_quality_model_passes_the_driver_packed_and_once(spark, monkeypatch):
+    """The driver builds no maps of the model, and both scorings of ``judge`` take the same broadcasts."""
+    from pyspark import cloudpickle
+    texts = spark.createDataFrame([("abc abd bcd",), ("abc xyz",)], "text string")
+    model = quality.train(texts)
+    shards = list(quality.packed_shards(model, size=20))
+    assert len(shards) > 1 and all(s.built is None for s in shards)
+    whole = next(quality.packed_shards(model)).unpacked()
+    parts = [cloudpickle.loads(cloudpickle.dumps(s)).unpacked() for s in shards]
+    for word in ("abc", "zzz", "bx"):
+        total, n = whole.word(word)
+        assert sum(p.word(word)[1] for p in parts) == n
+        assert abs(sum(p.word(word)[0] for p in parts) - total) < 1e-9
+    shards[0].unpacked()
+    assert cloudpickle.loads(cloudpickle.dumps(shards[0])).built is None
+    calls = []
+    shared = quality.shared_model
+    monkeypatch.setattr(quality, "shared_model", lambda *a: calls.append(1) or shared(*a))
+    docs = spark.createDataFrame([(i, "abc abd bcd", "en") for i in range(40)], "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert quality.judge(docs, labels).filter("keep").count() == 40
+    assert calls == [1]
