@@ -61,9 +61,9 @@ class StoredCareTables(CareTables):
                             lambda: CareTables.metrics.func(self).coalesce(1), self.sf_dir)
 
     @cached_property
-    def import_batch(self) -> DataFrame:
-        """The incoming CSV batch is a file in a real deployment: written once, then scanned."""
-        return materialized(self.spark, "import_batch", (self.sf_dir,), lambda: CareTables.import_batch.func(self),
+    def import_rows(self) -> DataFrame:
+        """The incoming CSV batch is a file in a real deployment: its rows are written once, then scanned."""
+        return materialized(self.spark, "import_rows", (self.sf_dir,), lambda: CareTables.import_rows.func(self),
                             self.sf_dir)
 
 
@@ -733,13 +733,18 @@ def q_rule_score(spark, sf_dir):
 # --------------------------------------------------------------------------- bulk import
 
 
+def _numbered(df: DataFrame) -> DataFrame:
+    """The batch's row numbers as the BIGINT that the results have; greater ones are an error, as in the SQL."""
+    return df.withColumn("row_num", F.col("row_num").cast("bigint"))
+
+
 @register("import_conversion_errors", with_views("""SELECT row_num,
   CASE WHEN score IS NOT NULL AND score_value IS NULL THEN score END AS bad_score,
   CASE WHEN session_date IS NOT NULL AND session_day IS NULL THEN session_date END AS bad_date
  FROM c_import_typed WHERE (score IS NOT NULL AND score_value IS NULL)
    OR (session_date IS NOT NULL AND session_day IS NULL)"""), [], "ING2")
 def q_import_conversion_errors(spark, sf_dir):
-    return G.conversion_errors(care(spark, sf_dir).import_batch)
+    return _numbered(G.conversion_errors(care(spark, sf_dir).import_batch))
 
 
 @register("import_unknown_references", with_views("""SELECT kind, count(*) AS unknown_count,
@@ -762,7 +767,7 @@ def q_import_unknown(spark, sf_dir):
           ["score", "scale_min", "scale_max"], "ING4 JN11")
 def q_import_range_violations(spark, sf_dir):
     c = care(spark, sf_dir)
-    return G.range_violations(c.import_batch, c.metrics)
+    return _numbered(G.range_violations(c.import_batch, c.metrics))
 
 
 @register("import_warnings", with_views(f"""SELECT
@@ -797,7 +802,7 @@ imported AS (SELECT * FROM fresh f WHERE row_num = (SELECT min(row_num) FROM fre
 def q_import_outcomes(spark, sf_dir):
     c = care(spark, sf_dir)
     out = G.import_outcomes(c.import_batch, c.individuals, c.interventions, c.metrics, existing=_stored(c))
-    return out.select("row_num", "individual_id", "intervention_id", "outcome_metric_id", "score", "session_date",
+    return _numbered(out).select("row_num", "individual_id", "intervention_id", "outcome_metric_id", "score", "session_date",
                       "session_duration", "attendance_status", "quality_rating", "notes")
 
 
