@@ -1597,8 +1597,11 @@ def q_model_feature_scores(spark, sf_dir):
 def q_model_folds(spark, sf_dir):
     """The stratified folds of all labelled rows: in each band three folds that differ by one row at most."""
     from caremart.plans import model as ML
-    frame = ML.outcome_band(ML.model_frame(mart(spark, sf_dir))).dropna(subset=["band"])
-    sizes = ML.stratified_folds(frame, 3).groupBy("band", "fold").agg(F.count(F.lit(1)).alias("n"))
+    rows = ML.model_frame(mart(spark, sf_dir))
+    # one scan of the mart: the scores and the numbers that the rows draw are written, bands and folds come from them
+    drawn = write_stage(rows.select("normalized_score", ML.draw(rows, 43).alias("draw")), "fold-draws")
+    frame = ML.outcome_band(drawn).dropna(subset=["band"])
+    sizes = ML.stratified_folds(frame, 3, drawn="draw").groupBy("band", "fold").agg(F.count(F.lit(1)).alias("n"))
     return sizes.groupBy("band").agg(F.sum("n").alias("rows"), F.count(F.lit(1)).alias("folds"),
                                      (F.max("n") - F.min("n") <= 1).alias("even"))
 

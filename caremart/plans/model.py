@@ -19,7 +19,7 @@ from pyspark.ml.feature import (OneHotEncoder, StandardScaler, StringIndexer, Un
                                 VectorAssembler)
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from caremart.functions.pvalues import f_pvalue
@@ -51,37 +51,47 @@ def outcome_band(df: DataFrame, col: str = "normalized_score", out: str = "band"
     return df.withColumn(out, band)
 
 
+def draw(df: DataFrame, seed: int = 42, label: str = "band", key: Sequence[str] | None = None) -> Column:
+    """The number that each row draws: a seeded hash of its key (``id``, else all columns but the label)."""
+    cols = list(key) if key else ["id"] if "id" in df.columns else [c for c in df.columns if c != label]
+    return F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), F.lit(1 << 52)).cast("double")
+
+
+def _cut(df: DataFrame, label: str, number: Column, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """``df`` with the drawn number as ``_u`` and the exact quantiles of its label's numbers.
+
+    The passes over the numbers scan them as written, not what ``df`` derives from.
+    """
+    marked = df.withColumn("_u", number)
+    numbers = write_stage(marked.select(label, "_u"), "draws")
+    return marked.join(exact_quantiles(numbers, [label], "_u", probs, names), label)  # one row per label
+
+
 def stratified_split(df: DataFrame, label: str = "band", test_fraction: float = 0.3, seed: int = 42,
                      key: Sequence[str] | None = None) -> tuple[DataFrame, DataFrame]:
     """ML4: reproducible split with ``test_fraction`` of every label, to one row, in the test side.
 
-    Each row draws a number from a seeded hash of its key (``id``, else all columns);
-    the exact quantile of these numbers within each label is the cut, so no label's
-    rows are sorted in one task.
+    Each row draws a number (``draw``); the exact quantile of these numbers within each
+    label is the cut, so no label's rows are sorted in one task.
     """
-    cols = list(key) if key else ["id"] if "id" in df.columns else [c for c in df.columns if c != label]
-    u = F.pmod(F.xxhash64(F.lit(seed), *[F.col(c) for c in cols]), F.lit(1 << 52)).cast("double")
-    marked = df.withColumn("_u", u)
-    cuts = exact_quantiles(marked, [label], "_u", [test_fraction], ["_cut"])  # one row per label
-    marked = marked.join(cuts, label)
+    marked = _cut(df, label, draw(df, seed, label, key), [test_fraction], ["_cut"])
     return (marked.where(F.col("_u") >= F.col("_cut")).drop("_u", "_cut").select(*df.columns),
             marked.where(F.col("_u") < F.col("_cut")).drop("_u", "_cut").select(*df.columns))
 
 
 def stratified_folds(df: DataFrame, folds: int = 3, label: str = "band", seed: int = 42, out: str = "fold",
-                     key: Sequence[str] | None = None) -> DataFrame:
+                     key: Sequence[str] | None = None, drawn: str | None = None) -> DataFrame:
     """ML4/ML5: adds fold numbers from 0; every label's folds differ by one row at most.
 
-    The cuts between folds are exact quantiles of a seeded hash of the row within each
-    label (``stratified_split``'s numbers under another seed), so no label is sorted in one task.
+    The cuts between folds are exact quantiles of the numbers drawn under the next seed
+    within each label, so no label is sorted in one task.  ``drawn`` names a column that
+    holds these numbers already (``draw`` with ``seed + 1``).
     """
-    cols = list(key) if key else ["id"] if "id" in df.columns else [c for c in df.columns if c != label]
-    u = F.pmod(F.xxhash64(F.lit(seed + 1), *[F.col(c) for c in cols]), F.lit(1 << 52)).cast("double")
-    marked = df.withColumn("_u", u)
     names = [f"_cut{i}" for i in range(1, folds)]
-    cuts = exact_quantiles(marked, [label], "_u", [i / folds for i in range(1, folds)], names)
+    number = F.col(drawn) if drawn else draw(df, seed + 1, label, key)
+    marked = _cut(df, label, number, [i / folds for i in range(1, folds)], names)
     above = sum(((F.col("_u") >= F.col(c)).cast("int") for c in names), F.lit(0))
-    return marked.join(cuts, label).select(*df.columns, above.alias(out))
+    return marked.select(*df.columns, above.alias(out))
 
 
 def anova_scores(df: DataFrame, label: str = "band", numeric: Sequence[str] = NUMERIC,
