@@ -1,9 +1,10 @@
 """ML5-ML7: boosted trees for the outcome bands, tuned over the reference's sixteen settings.
 
-The fit takes a bounded sample of the train side (``max_rows``, as the forest's): its columns are coded as small numbers
-and broadcast, and Spark runs the grid search as one task for each fold and setting of features, depth and rate; both
-numbers of rounds come from one run, since the shorter one is its beginning.  The test side is scored whole, in Arrow
-batches where it lies.
+The fit takes the whole train side.  Its columns are coded as bins, and rows of the same bins become one cell with the
+number of rows of each fold and band (the test side's with them), which gives the same sums as the rows.  The cells stay
+dealt over the cluster: each round of all fits of the grid search takes one pass for each level of the trees, in which
+tasks sum the gradients of their own cells in the bins of each column, and the driver sees these sums only.  Both numbers
+of rounds come from one run, since the shorter one is its beginning.
 
 Trees minimise the log-loss of the softmax of one score for each class: each round adds a tree for each class, grown
 level by level from sums of gradients in the bins of each column.  A numeric column splits at a bin's upper end, a
@@ -12,24 +13,31 @@ categorical one into a level and all others, as its one-hot column would.
 
 from __future__ import annotations
 
+import operator
+import pickle
 import sys
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark import RDD, cloudpickle
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from caremart.functions.quantiles import exact_quantiles
 from caremart.plans.materialize import write_stage
 from caremart.plans.model import (BANDS, CATEGORICAL, MIN_ROWS, NUMERIC, model_frame, outcome_band, stratified_folds,
                                   stratified_split)
+from caremart.session import checkpoint_dir
+from caremart.sources.fs import delete
 
 PENALTY = 1.0  # of squared leaf weights
 LEAST_WEIGHT = 1.0  # second derivatives in a leaf
 BINS = 32  # of a numeric column
+PART = (2_048, 65_536)  # cells of a partition: at least, so that passes are few tasks, and at most, so that tasks stay small
+KEPT = 10  # rounds between two checkpoints of the cells' scores
+DIRECT = 32  # partitions whose sums go straight to the driver
 
 
 @dataclass
@@ -77,20 +85,56 @@ def coding(frame: DataFrame, bins: int = BINS) -> Coding:
 
 def best_features(codes: np.ndarray, y: np.ndarray, code: Coding, k: int) -> np.ndarray:
     """Which bins may split: those of the ``k`` features of the greatest ANOVA F."""
-    groups = [y == c for c in np.unique(y)]
+    return features_of(np.stack([np.bincount(codes[y == c].ravel(), minlength=code.bins) for c in np.unique(y)]), code, k)
+
+
+def features_of(counts: np.ndarray, code: Coding, k: int) -> np.ndarray:
+    """``best_features`` of the rows of each class that lie in each bin."""
+    ends = [*code.starts[1:], code.bins]
+    rows = counts[:, :ends[0]].sum(axis=1)  # each row lies in one bin of the first column
+    counts, rows = counts[rows > 0], rows[rows > 0]
     scores = {}
     for b in np.flatnonzero(code.usable):
         name = code.names[b]
         if name not in scores:
-            col = codes[:, code.column[b]]
-            x = col.astype(float) if code.numeric[b] else (col == b).astype(float)
-            between = sum(g.sum() * (x[g].mean() - x.mean()) ** 2 for g in groups) / max(1, len(groups) - 1)
-            within = sum(((x[g] - x[g].mean()) ** 2).sum() for g in groups) / max(1, len(x) - len(groups))
+            j = code.column[b]
+            own = slice(code.starts[j], ends[j]) if code.numeric[b] else slice(b, b + 1)
+            x, n = np.arange(own.start, own.stop, dtype=float) if code.numeric[b] else np.ones(1), counts[:, own].astype(float)
+            mean, whole = n @ x / rows, (n.sum(axis=0) @ x) / rows.sum()
+            apart = (n * (x - mean[:, None]) ** 2).sum() + ((rows - n.sum(axis=1)) * mean ** 2).sum()
+            between = (rows * (mean - whole) ** 2).sum() / max(1, len(rows) - 1)
+            within = apart / max(1, rows.sum() - len(rows))
             scores[name] = between / within if within > 0 else 0.0
     chosen = set(sorted(scores, key=lambda n: (-scores[n], n))[:k])
     return np.array([bool(u) and n in chosen for u, n in zip(code.usable, code.names)])
 
 
+def bin_sums(codes: np.ndarray, node: np.ndarray, weights: Sequence[np.ndarray], nodes: int, bins: int) -> np.ndarray:
+    """The sums of each of the rows' weights in each node and bin."""
+    key, width = (node[:, None] * bins + codes).ravel(), codes.shape[1]
+    return np.stack([np.bincount(key, np.repeat(w, width), nodes * bins).reshape(nodes, bins) for w in weights])
+
+
+def choose(code: Coding, g: np.ndarray, h: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each node the best bin to split at (-1 for none) and its gain, and the weights of the two leaves that it makes."""
+    first, sums = code.starts[1] if len(code.starts) > 1 else code.bins, []
+    for s in (g, h):
+        running = np.cumsum(s, axis=1)
+        before = np.where(code.starts > 0, running[:, code.starts - 1], 0)[:, code.column]
+        sums.append((np.where(code.numeric, running - before, s), s[:, :first].sum(axis=1, keepdims=True)))
+    (gl, gt), (hl, ht) = sums
+    score = lambda a, b: a * a / (b + PENALTY)
+    gain = score(gl, hl) + score(gt - gl, ht - hl) - score(gt, ht)
+    gain[~(may & (hl >= LEAST_WEIGHT) & (ht - hl >= LEAST_WEIGHT))] = -np.inf
+    best, at = gain.argmax(axis=1), np.arange(len(g))
+    top = gain[at, best]
+    # a node without a split hands all its rows to the left
+    left = [np.where(top > 1e-9, part[at, best], total[:, 0]) for part, total in sums]
+    right = [total[:, 0] - own for (_, total), own in zip(sums, left)]
+    leaves = np.column_stack([-own[0] / (own[1] + PENALTY) for own in (left, right)]).ravel()
+    return np.where(top > 1e-9, best, -1), top, leaves
+
+
 class Boosted:
     """The trees of a fit: for each round and class the splits of each level, and the leaves' weights."""
 
@@ -105,32 +149,19 @@ class Boosted:
         left = np.where(self.code.numeric[np.maximum(at, 0)], own <= at, own == at) | (at < 0)
         return 2 * node + ~left
 
+    def _split(self, g: np.ndarray, h: np.ndarray, may: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        best, top, leaves = choose(self.code, g, h, may)
+        for b, x in zip(best, top):
+            if b >= 0:
+                self.gains[self.code.names[b]] = self.gains.get(self.code.names[b], 0.0) + float(x)
+        return best, leaves
+
     def _tree(self, codes: np.ndarray, g: np.ndarray, h: np.ndarray, may: np.ndarray, depth: int) -> tuple:
-        code, width = self.code, codes.shape[1]
         node, levels = np.zeros(len(codes), np.int64), []
         for level in range(depth):
-            n = 1 << level
-            key = (node[:, None] * code.bins + codes).ravel()
-            sums = []
-            for weights in (g, h):
-                s = np.bincount(key, np.repeat(weights, width), n * code.bins).reshape(n, code.bins)
-                running = np.cumsum(s, axis=1)
-                before = np.where(code.starts > 0, running[:, code.starts - 1], 0)[:, code.column]
-                total = np.bincount(node, weights, n)[:, None]
-                sums.append((np.where(code.numeric, running - before, s), total))
-            (gl, gt), (hl, ht) = sums
-            score = lambda a, b: a * a / (b + PENALTY)
-            gain = score(gl, hl) + score(gt - gl, ht - hl) - score(gt, ht)
-            gain[~(may & (hl >= LEAST_WEIGHT) & (ht - hl >= LEAST_WEIGHT))] = -np.inf
-            best = gain.argmax(axis=1)
-            top = gain[np.arange(n), best]
-            best[~(top > 1e-9)] = -1
-            for b, x in zip(best, top):
-                if b >= 0:
-                    self.gains[code.names[b]] = self.gains.get(code.names[b], 0.0) + float(x)
+            best, leaves = self._split(*bin_sums(codes, node, (g, h), 1 << level, self.code.bins), may)
             levels.append(best)
             node = self._down(codes, node, best)
-        leaves = -np.bincount(node, g, 1 << depth) / (np.bincount(node, h, 1 << depth) + PENALTY)
         return levels, leaves, node
 
     def fit(self, codes: np.ndarray, y: np.ndarray, may: np.ndarray, depth: int, rounds: int) -> Boosted:
@@ -169,51 +200,185 @@ class BoostedModel:
     settings: list[tuple[dict, float]]  # every setting with its mean accuracy over the folds
 
 
+@dataclass
+class Fit:
+    """A fit over the rows of all folds but its own (``None``: of all folds)."""
+    k: int
+    depth: int
+    rate: float
+    fold: int | None
+    rounds: int
+
+
+def cells(rows: DataFrame, code: Coding, labels: list[str], folds: int) -> tuple[RDD, int]:
+    """Blocks of (bins, numbers of rows) of the distinct bins of rows with a ``band`` and a ``fold``, and their partitions.
+
+    A cell has a number for the test side (fold -1) and each fold, times each label.
+    """
+    shared, slots = rows.sparkSession.sparkContext.broadcast((code.cuts, code.levels)), (folds + 1) * len(labels)
+
+    def coded(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        code = Coding(*shared.value)
+        for frame in frames:
+            text, width = code.codes(frame).astype("<i4").tobytes(), 4 * (len(code.cuts) + len(code.levels))
+            slot = (frame["fold"].to_numpy() + 1) * len(labels) + frame["band"].map(labels.index).to_numpy()
+            yield pd.DataFrame({"code": [text[i:i + width] for i in range(0, len(text), width)], "slot": slot})
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            bins = np.frombuffer(b"".join(frame["code"]), "<i4").reshape(len(frame), -1).astype(np.int64)
+            yield pd.DataFrame({"block": [pickle.dumps((bins, frame[names].to_numpy(float)))]})
+
+    names = [f"n{i}" for i in range(slots)]
+    held = rows.select(*NUMERIC, *CATEGORICAL, "band", "fold").mapInPandas(coded, "code binary, slot int")
+    held = write_stage(held.groupBy("code").agg(*[F.count_if(F.col("slot") == i).alias(n) for i, n in enumerate(names)]), "boost-cells")
+    least, most = PART
+    n = held.count()
+    parts = max(1, min(-(-n // least), max(rows.sparkSession.sparkContext.defaultParallelism, -(-n // most))))
+    return held.repartition(parts).mapInPandas(packed, "block binary").rdd.map(lambda r: pickle.loads(r["block"])), parts
+
+
+class Search:
+    """Fits over the cells, all of them round by round: the cells' scores stay where the cells are."""
+
+    def __init__(self, spark: SparkSession, blocks: RDD, parts: int, code: Coding, classes: int, folds: int):
+        self.spark, self.blocks, self.code, self.classes, self.folds = spark, blocks, code, classes, folds
+        self.depth = 1 if parts <= DIRECT else 2
+        self.shared = blocks.context.broadcast((code.cuts, code.levels))
+        self.counts = self.summed(blocks, lambda code: lambda b: np.stack([
+            np.bincount(b[0].ravel(), np.repeat(w, b[0].shape[1]), code.bins) for w in b[1].T]))
+
+    def summed(self, rdd: RDD, by: Callable) -> np.ndarray:
+        """The sum over all blocks of the arrays that ``by(code)`` makes of them."""
+        shared = self.shared
+
+        def sums(blocks: Iterator) -> Iterator:
+            of, out = by(Coding(*shared.value)), None
+            for block in blocks:
+                part = of(block)
+                out = part if out is None else out + part
+            return iter([] if out is None else [out])
+
+        return rdd.mapPartitions(sums).treeReduce(operator.add, self.depth)
+
+    def inside(self, fold: int | None) -> list[int]:
+        """The sides (0 is the test side) whose rows a fit without this fold takes."""
+        return [f + 1 for f in range(self.folds) if f != fold]
+
+    def run(self, fits: list[Fit], marks: Sequence[int]) -> tuple[list[Boosted], dict[int, np.ndarray]]:
+        """The fitted trees, and after each number of rounds in ``marks`` the share of each side's rows that they hit."""
+        classes, sides, shared = self.classes, self.folds + 1, self.shared
+        models = [Boosted(self.code, classes, f.rate) for f in fits]
+        by_class = self.counts.reshape(sides, classes, -1)
+        may = [features_of(by_class[self.inside(f.fold)].sum(axis=0), self.code, f.k) for f in fits]
+        taken, rates, depths = [self.inside(f.fold) for f in fits], [f.rate for f in fits], [f.depth for f in fits]
+        total = by_class[:, :, :self.code.starts[1]].sum(axis=(1, 2))
+        state = self.blocks.map(lambda b: (*b, np.zeros((len(rates), len(b[0]), classes))))
+        found, kept, last = {}, [], max(f.rounds for f in fits)
+        for done in range(last + 1):
+            if done:
+                grown = [m.trees[-classes:] for m in models]
+
+                def add(part: Iterator, grown=grown) -> Iterator:
+                    code = Coding(*shared.value)
+                    for codes, n, scores in part:
+                        scores = scores.copy()
+                        for own, rate, trees in zip(scores, rates, grown):
+                            step = Boosted(code, classes, rate)
+                            step.trees = trees
+                            own += step.scores(codes)
+                        yield codes, n, scores
+
+                before, state = state, state.mapPartitions(add)
+            state.persist()
+            if done % KEPT == 0:
+                state.checkpoint()
+            if done in marks:
+                def hits(code: Coding) -> Callable:
+                    def of(block: tuple) -> np.ndarray:
+                        codes, n, scores = block
+                        n, at = n.reshape(len(codes), sides, classes), np.arange(len(codes))
+                        return np.stack([n[at, :, own.argmax(axis=1)].sum(axis=0) for own in scores])
+                    return of
+                found[done] = self.summed(state, hits) / np.maximum(total, 1)
+            if done < last:
+                self._round(state, models, may, taken, depths)
+            if done:
+                before.unpersist()
+            if done % KEPT == 0 and state.getCheckpointFile():
+                kept.append(state.getCheckpointFile())
+                for path in kept[:-1]:
+                    delete(self.spark, path)
+                del kept[:-1]
+        state.unpersist()
+        for path in kept:
+            delete(self.spark, path)
+        return models, found
+
+    def _round(self, state: RDD, models: list[Boosted], may: list[np.ndarray], taken: list[list[int]], depths: list[int]) -> None:
+        """One more tree of each class for every fit."""
+        classes, sides = self.classes, self.folds + 1
+        grown: list[list[list[np.ndarray]]] = [[[] for _ in range(classes)] for _ in models]
+        for level in range(max(depths)):
+            live = [i for i, d in enumerate(depths) if d > level]
+
+            def gradients(code: Coding, level=level, live=live) -> Callable:
+                def of(block: tuple) -> np.ndarray:
+                    codes, n, scores = block
+                    n, walk = n.reshape(len(codes), sides, classes), Boosted(code, classes, 1.0)
+                    out = np.empty((len(live), classes, 2, 1 << level, code.bins))
+                    for sums, i in zip(out, live):
+                        p, own = shares(scores[i]), n[:, taken[i]].sum(axis=1)
+                        rows = own.sum(axis=1)
+                        for c in range(classes):
+                            node = np.zeros(len(codes), np.int64)
+                            for splits in grown[i][c]:
+                                node = walk._down(codes, node, splits)
+                            g, h = rows * p[:, c] - own[:, c], rows * 2 * p[:, c] * (1 - p[:, c])
+                            sums[c] = bin_sums(codes, node, (g, h), 1 << level, code.bins)
+                    return out
+                return of
+
+            for i, sums in zip(live, self.summed(state, gradients)):
+                for c in range(classes):
+                    best, leaves = models[i]._split(*sums[c], may[i])
+                    grown[i][c].append(best)
+                    if level == depths[i] - 1:
+                        models[i].trees.append((grown[i][c], leaves))
+
+
 def train_boosted_model(mart: DataFrame, k_values: Sequence[int] = (20, 30), rounds: Sequence[int] = (100, 150),
                         depths: Sequence[int] = (3, 4), rates: Sequence[float] = (0.05, 0.1), folds: int = 3,
-                        seed: int = 42, max_rows: int = 20_000) -> BoostedModel | None:
-    """The best of all settings by the mean accuracy over stratified folds, fitted on the sample and scored on the test side.
+                        seed: int = 42, max_rows: int | None = None) -> BoostedModel | None:
+    """The best of all settings by the mean accuracy over stratified folds, fitted on the train side and scored on the test side.
 
-    Split, sample and folds are the forest's (``model.train_outcome_model``).
+    Split, folds and ``max_rows`` are the forest's (``model.train_outcome_model``).
     """
-    frame = outcome_band(model_frame(mart)).dropna(subset=["band"])
+    frame = outcome_band(write_stage(model_frame(mart), "boost-frame")).dropna(subset=["band"])
     spark, cols = frame.sparkSession, ["id"] if "id" in frame.columns else frame.columns
-    train, test = stratified_split(write_stage(frame, "boost-frame"), "band", 0.3, seed)
-    train = write_stage(train.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(max_rows), "boost-train")
+    checkpoint_dir(spark)
+    train, test = stratified_split(frame, "band", 0.3, seed)
+    if max_rows is not None:
+        train = write_stage(train.orderBy(F.xxhash64(F.lit(seed), *cols), *cols).limit(max_rows), "boost-train")
     if train.count() < MIN_ROWS * 0.7:
         return None
-    train = write_stage(stratified_folds(train, folds, "band", seed), "boost-folds")
     code, labels = coding(train), sorted(name for _, name in BANDS)
-    sample = train.orderBy(*cols).toPandas()  # at most ``max_rows`` rows
-    codes, y, fold = code.codes(sample), sample["band"].map(labels.index).to_numpy(), sample["fold"].to_numpy()
-    shared = spark.sparkContext.broadcast((code.cuts, code.levels, codes, y, fold, len(labels)))
-
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cuts, levels, codes, y, fold, classes = shared.value
-        code = Coding(cuts, levels)
-        for frame in frames:
-            for k, depth, rate, own in zip(frame["k"], frame["depth"], frame["rate"], frame["fold"]):
-                inside = fold != own
-                may = best_features(codes[inside], y[inside], code, int(k))
-                fit = Boosted(code, classes, float(rate)).fit(codes[inside], y[inside], may, int(depth), max(rounds))
-                for n in rounds:
-                    right = fit.scores(codes[~inside], n).argmax(axis=1) == y[~inside]
-                    yield pd.DataFrame({"k": [k], "rounds": [n], "depth": [depth], "rate": [rate], "accuracy": [right.mean()]})
-
-    tasks = [(k, d, r, f) for k in k_values for d in depths for r in rates for f in range(folds)]
-    grid = spark.createDataFrame(tasks, "k int, depth int, rate double, fold int").repartition(len(tasks), "k", "depth", "rate", "fold")
-    found = grid.mapInPandas(run, "k int, rounds int, depth int, rate double, accuracy double")
-    settings = sorted((({x: r[x] for x in ("k", "rounds", "depth", "rate")}, r["accuracy"]) for r in found.groupBy(
-        "k", "rounds", "depth", "rate").agg(F.avg("accuracy").alias("accuracy")).collect()), key=lambda s: str(s[0]))
+    rows = stratified_folds(train, folds, "band", seed).unionByName(test.withColumn("fold", F.lit(-1)))
+    search = Search(spark, *cells(rows, code, labels, folds), code, len(labels), folds)
+    tasks = [Fit(k, d, r, f, max(rounds)) for k in k_values for d in depths for r in rates for f in range(folds)]
+    _, found = search.run(tasks, rounds)
+    means: dict[tuple, list[float]] = {}
+    for n in rounds:
+        for fit, shares_hit in zip(tasks, found[n]):
+            means.setdefault((fit.k, n, fit.depth, fit.rate), []).append(shares_hit[fit.fold + 1])
+    settings = sorted(((dict(zip(("k", "rounds", "depth", "rate"), s)), float(np.mean(a))) for s, a in means.items()),
+                      key=lambda s: str(s[0]))
     best = max(settings, key=lambda s: s[1])[0]
-    may = best_features(codes, y, code, best["k"])
-    model = Boosted(code, len(labels), best["rate"]).fit(codes, y, may, best["depth"], best["rounds"])
+    (model,), found = search.run([Fit(best["k"], best["depth"], best["rate"], None, best["rounds"])], [best["rounds"]])
     total = sum(model.gains.values()) or 1.0
     importance = sorted(((n, g / total) for n, g in model.gains.items()), key=lambda p: (-p[1], p[0]))[:10]
-    out = BoostedModel(model, labels, 0.0, 0.0, importance, best, settings)
-    hit = lambda df: score(out, df).agg(F.avg((F.col("predicted_band") == F.col("band")).cast("double"))).first()[0]
-    out.train_accuracy, out.test_accuracy = hit(train), hit(test)
-    return out
+    (hit,), size = found[best["rounds"]], search.counts.reshape(folds + 1, -1, code.bins)[:, :, :code.starts[1]].sum(axis=(1, 2))
+    return BoostedModel(model, labels, float(hit[1:] @ size[1:] / size[1:].sum()), float(hit[0]), importance, best, settings)
 
 
 def score(model: BoostedModel, df: DataFrame) -> DataFrame:
